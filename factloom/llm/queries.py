@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, quality
 from .common import table
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and the verdict of the quality rules for every document."""
+    out = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents: 4-word shingles, similarity of 80 percent."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
