@@ -5,13 +5,15 @@ that half as many permutations are evaluated as the signature has entries. Bands
 from the minima and from the maxima; documents that share a band are candidates, and every link is confirmed
 on the full shingle sets.
 
-Documents of equal sets are one node. Within a bucket, not all pairs are compared: a small bucket gives its
-pairs, a large one gives the links of its most central node (the hub). What a hub may hide is then looked
-for where it can be. Let a and r count the shingles that a node adds to its hub and lacks of it. Two nodes
-of one bucket, of which one at least isn't linked with the hub, can only be similar if they share an added
-shingle, or if for the node o that isn't linked and the other node y the sizes allow it
-(|r_o - r_y| + a_o + a_y is at most the difference that the threshold leaves). The first are the buckets of
-the next round, keyed by the added shingle; the second are compared. Rounds end when no hub is new.
+Documents of equal sets are one node. Nodes that buckets hold together, directly or through others, are a
+cluster. A cluster of a bounded size is settled in one task, which compares the full sets. A larger one is
+never brought together, nor are all pairs within its buckets: each bucket's most central node (the hub) is
+compared with the others, and what a hub may hide is looked for where it can be. Let a and r count the
+shingles that a node adds to its hub and lacks of it. Two nodes of one bucket, of which one at least isn't
+linked with the hub, can only be similar if they share an added shingle, or if for the node o that isn't
+linked and the other node y the sizes allow it (|r_o - r_y| + a_o + a_y is at most the difference that the
+threshold leaves). The second are compared at once; the first are the buckets of the next round, keyed by
+the added shingle. A hub lacks each of these shingles, so the next round has other hubs, and rounds end.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import hashing as H
 from .common import bounded_batches, connected, written
@@ -96,7 +98,7 @@ def _sets(k: int):
     return batches
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small_bucket: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, cluster_nodes: int = 4096, cluster_shingles: int = 4_000_000) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Shingles are runs of k lower-cased (A-Z) words; a document of fewer words is one run; a document without
@@ -105,6 +107,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     doc_id = component_id. With the defaults (32 bands of 4 entries from 64 permutations) a link of
     similarity 0.8 is missed with a probability of 5e-8.
 
+    A cluster of up to cluster_nodes nodes and cluster_shingles shingles is settled in one task.
+
     A row without doc_id is linked with nothing: component_id is null, kept is true. Rows that share a doc_id
     count as one document. Other columns are ignored.
     """
@@ -114,74 +118,104 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = written(base.mapInArrow(_signed(k, bands, rows), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
     classes = written(real.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")), "classes")
-    labels = _resolve(base, classes.select("node", "n", "bands"), k, percent, small_bucket)
+    labels = _resolve(base, classes.select("node", "n", "bands"), k, percent, cluster_nodes, cluster_shingles)
     where = classes.select("key1", "key2", "node").join(labels, F.col("node") == F.col("id"), "left").select("key1", "key2", F.coalesce("label", "node").alias("found"))
     out = signed.select("doc_id", "n_shingles", "key1", "key2").join(where, ["key1", "key2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("found")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _resolve(base: DataFrame, nodes: DataFrame, k: int, percent: int, small_bucket: int) -> DataFrame:
+def _within(percent: int):
+    """Components of one cluster, from the full sets of its nodes: rows (a: node, b: smallest node of its component, where it is another)."""
+
+    def settle(cluster: pa.Table) -> pa.Table:
+        cluster = cluster.combine_chunks()
+        node = cluster.column("node").to_numpy()
+        lists = cluster.column("shingles").chunk(0)
+        m = len(node)
+        start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        values = lists.flatten().to_numpy()
+        _, ids = np.unique(values, return_inverse=True)
+        owner = np.repeat(np.arange(m), np.diff(start))
+        order = np.argsort(ids, kind="stable")
+        holders, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(ids))])
+        size = np.diff(start)
+        root = np.arange(m)
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for i in range(m - 1):
+            mine = ids[start[i] : start[i + 1]]
+            lo, n = first[mine], first[mine + 1] - first[mine]
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(holders[at], minlength=m)[i + 1 :].astype(np.int64)
+            for j in np.flatnonzero(100 * common >= percent * (size[i] + size[i + 1 :] - common)) + i + 1:
+                x, y = top(i), top(int(j))
+                if x != y:
+                    x, y = (x, y) if node[x] < node[y] else (y, x)
+                    root[y] = x
+        least = node[[top(i) for i in range(m)]]
+        other = least != node
+        return pa.table({"a": pa.array(node[other], pa.int64()), "b": pa.array(least[other], pa.int64())})
+
+    return settle
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs (p, q, ...) with the sizes np, nq and i of the sets and the intersection, linked, and what q adds to p."""
+    held = pairs.join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("node").alias("q"), F.col("shingles").alias("sq")), "q")
+    held = held.withColumn("i", F.size(F.array_intersect("sp", "sq")).cast("long")).withColumn("np", F.size("sp").cast("long")).withColumn("nq", F.size("sq").cast("long"))
+    return held.withColumn("linked", F.expr(f"100 * i >= {int(percent)} * (np + nq - i)")).withColumn("added", F.array_except("sq", "sp")).drop("sp", "sq")
+
+
+def _resolve(base: DataFrame, nodes: DataFrame, k: int, percent: int, cluster_nodes: int, cluster_shingles: int) -> DataFrame:
     """Labels (id, label) of the nodes that have links."""
     members = nodes.select("node", "n", F.explode("bands").alias("g"))
-    busy = members.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    groups = written(members.join(busy, "g").select("g", "node", "c"), "buckets")
-    centre = written(groups.groupBy("node").agg(F.sum("c").alias("score")), "centres")
+    busy = members.groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1")
+    groups = written(members.join(busy, "g").select("g", "node", "n", "c", "first"), "buckets")
+    centre = written(groups.groupBy("node").agg(F.sum("c").alias("score"), F.max("n").alias("n")), "centres")
     wanted = centre.select("node")
     texts = base.where("doc_id is not null").join(wanted, base.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"])
     sets = written(texts.select("doc_id", "text").mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
-    labels = None
-    done = None  # confirmed or refuted pairs
-    links = None
-    extra = None
+    links = done = None
     while True:
-        g = groups.join(centre, "node")
-        if labels is not None:
-            g = g.join(labels, g.node == labels.id, "left").withColumn("of", F.coalesce("label", "node")).drop("id", "label")
-            mixed = g.groupBy("g").agg(F.min("of").alias("x"), F.max("of").alias("y")).where("x <> y").select("g")
-            g = g.join(mixed, "g", "left_semi")
-        else:
-            g = g.withColumn("of", F.col("node"))
-        few = g.where(F.col("c") <= small_bucket).select("g", "node", "of")
-        other = few.select("g", F.col("node").alias("q"), F.col("of").alias("of_q"))
-        pairs = few.join(other, "g").where("node < q and of <> of_q").select(F.col("node").alias("p"), "q", F.lit(False).alias("star"))
-        many = g.where(F.col("c") > small_bucket)
+        held = groups.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        of = connected(held)
+        of = written(of.join(centre, of.id == centre.node).select("node", F.col("label").alias("cluster"), "n", "score"), "clusters")
+        sizes = of.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+        fits = (F.col("nodes") <= cluster_nodes) & (F.col("shingles") <= cluster_shingles)
+        small = of.join(sizes.where(fits), "cluster").select("cluster", "node")
+        settled = sets.join(small, "node").groupBy("cluster").applyInArrow(_within(percent), "a long, b long")
+        settled = written(settled, "links")
+        links = settled if links is None else links.unionByName(settled)
+        large = written(of.join(sizes.where(~fits), "cluster").select("node", "score"), "large")
+        if not large.limit(1).count():
+            return connected(links)
+        many = written(groups.select("g", "node").join(large, "node"), "buckets")
         hub = many.groupBy("g").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("h")).select("g", (-F.col("h.m")).alias("p"))
-        pairs = pairs.unionByName(many.join(hub, "g").where("node <> p").select("p", F.col("node").alias("q"), F.lit(True).alias("star")))
-        if extra is not None:
-            pairs = pairs.unionByName(extra)
-        pairs = pairs.groupBy("p", "q").agg(F.max("star").alias("star"))
+        pairs = many.join(hub, "g").where("node <> p").select("p", F.col("node").alias("q")).distinct()
         if done is not None:
-            pairs = pairs.join(done.select("p", "q", F.col("star").alias("was")), ["p", "q"], "left").where("was is null or (star and not was)").drop("was")
-        held = pairs.join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("node").alias("q"), F.col("shingles").alias("sq")), "q")
-        held = held.withColumn("i", F.size(F.array_intersect("sp", "sq")).cast("long")).withColumn("np", F.size("sp").cast("long")).withColumn("nq", F.size("sq").cast("long"))
-        held = held.withColumn("linked", F.expr(f"100 * i >= {int(percent)} * (np + nq - i)"))
-        # what q adds to its hub; nothing where the two are equal in all but a few shingles of the hub
-        held = held.select("p", "q", "star", "i", "np", "nq", "linked", F.when(F.col("star"), F.array_except("sq", "sp")).alias("added"))
-        held = written(held, "confirmed")
-        part = held.select("p", "q", "star")
+            pairs = pairs.join(done, ["p", "q"], "left_anti")
+        held = written(_compared(pairs, sets, percent), "stars")
+        part = held.select("p", "q")
         done = part if done is None else done.unionByName(part)
-        new = held.where("linked").select(F.col("p").alias("a"), F.col("q").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        loose = held.where("star and not linked").select("p").distinct()
-        if held.where("linked").limit(1).count() or labels is None:
-            labels = written(connected(links), "labels")
-        if not loose.limit(1).count():
-            return labels
-        open_ = held.where("star").join(loose, "p", "left_semi").withColumn("a", F.col("nq") - F.col("i")).withColumn("r", F.col("np") - F.col("i"))
-        added = open_.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("added"))).alias("e")).select(F.col("q").alias("node"), F.explode("e").alias("g"))
-        sizes = added.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-        groups = written(added.join(sizes, "g").select("g", "node", "c"), "buckets")
+        links = links.unionByName(held.where("linked").select(F.col("p").alias("a"), F.col("q").alias("b")))
+        loose = held.where("not linked").select("p").distinct()
+        open_ = held.join(loose, "p", "left_semi").withColumn("a", F.col("nq") - F.col("i")).withColumn("r", F.col("np") - F.col("i"))
         # pairs that share nothing but the lack of the hub's shingles: only next to the threshold
-        gap = 100 - percent
-        slack = F.expr(f"{gap} * (nq + np) - {100 + percent} * (a + r)")  # below 0 where q isn't linked with p
+        gap, both = 100 - percent, 100 + percent
         y = open_.where("r > a").select("p", F.col("q").alias("y"), F.col("r").alias("ry"), F.col("a").alias("ay"), F.col("nq").alias("ny"))
         widest = y.groupBy("p").agg(F.max(F.col("ry") - F.col("ay")).alias("widest"))
-        o = open_.where("not linked").withColumn("slack", slack).join(widest, "p").where(F.col("slack") >= -2 * 100 * F.col("widest")).select("p", F.col("q").alias("o"), F.col("r").alias("ro"), F.col("a").alias("ao"), F.col("nq").alias("no"))
-        close = o.join(y, "p").where("o <> y").where(F.expr(f"{100 + percent} * (abs(ro - ry) + ao + ay) <= {gap} * (no + ny)"))
-        close = close.select(F.least("o", "y").alias("p"), F.greatest("o", "y").alias("q"), F.lit(False).alias("star")).distinct()
-        at = labels.select("id", "label")
-        close = close.join(at.select(F.col("id").alias("p"), F.col("label").alias("lp")), "p", "left").join(at.select(F.col("id").alias("q"), F.col("label").alias("lq")), "q", "left")
-        extra = written(close.where("coalesce(lp, p) <> coalesce(lq, q)").select("p", "q", "star"), "close")
-        if not groups.limit(1).count() and not extra.limit(1).count():
-            return labels
+        o = open_.where("not linked").join(widest, "p").where(F.expr(f"{gap} * (nq + np) - {both} * (a + r) >= -{2 * percent} * widest"))
+        o = o.select("p", F.col("q").alias("o"), F.col("r").alias("ro"), F.col("a").alias("ao"), F.col("nq").alias("no"))
+        close = o.join(y, "p").where("o <> y").where(F.expr(f"{both} * (abs(ro - ry) + ao + ay) <= {gap} * (no + ny)"))
+        close = written(close.select(F.least("o", "y").alias("p"), F.greatest("o", "y").alias("q")).distinct(), "close")
+        links = links.unionByName(written(_compared(close, sets, percent).where("linked").select(F.col("p").alias("a"), F.col("q").alias("b")), "links"))
+        # the buckets of the next round: an added shingle that two nodes share, one of them not linked with its hub
+        added = open_.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("added"))).alias("e"), F.bool_or(~F.col("linked")).alias("loose")).select(F.col("q").alias("node"), "loose", F.explode("e").alias("g"))
+        shared = added.groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.bool_or("loose").alias("loose")).where("c > 1 and loose").drop("loose")
+        groups = written(added.join(shared, "g").select("g", "node", "c", "first"), "buckets")
