@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality
+from . import html_text, minhash, quality
 from .common import table
 
 
@@ -19,8 +19,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_rules, op7_minhash_near_dedup)}
+    return {f.__name__: f for f in (op5_quality_rules, op7_minhash_near_dedup, op9_html_extraction)}
 
 
 def oracle_sql() -> dict:
