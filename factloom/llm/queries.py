@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, minhash, quality
+from . import html_text, minhash, quality, warc
 from .common import table
 
 
+def op3_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, read back and assembled."""
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and the verdict of the quality rules for every document."""
     out = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -25,8 +30,23 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_quality_rules, op7_minhash_near_dedup, op9_html_extraction)}
+    return {f.__name__: f for f in (op3_warc_assembly, op5_quality_rules, op7_minhash_near_dedup, op9_html_extraction)}
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+hx AS (SELECT page_id, url, strlen(h) AS payload_bytes, sha1(h) AS x FROM p),
+d AS (
+  SELECT page_id, url, payload_bytes, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v >> (5 * (3 - j))) & 31 AS INTEGER), 1), '' ORDER BY i, j) AS payload_digest
+  FROM (SELECT page_id, url, payload_bytes, i, CAST('0x' || substr(x, 1 + 5 * CAST(i AS INTEGER), 5) AS BIGINT) AS v FROM hx, range(8) AS a(i)), range(4) AS b(j)
+  GROUP BY page_id, url, payload_bytes
+),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to, trim(url) AS url
+FROM d JOIN f USING (payload_digest)
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op3_warc_assembly": OP3_SQL}
