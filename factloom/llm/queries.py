@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, minhash, quality, warc
+from . import html_text, lm, minhash, quality, warc
 from .common import table
 
 
@@ -29,8 +29,13 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and suffix-tree scores of every document."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc_assembly, op5_quality_rules, op7_minhash_near_dedup, op9_html_extraction)}
+    return {f.__name__: f for f in (op3_warc_assembly, op5_quality_rules, op7_minhash_near_dedup, op9_html_extraction, op10_lm_scoring)}
 
 
 OP3_SQL = """
