@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, lm, minhash, quality, warc
+from . import html_text, lm, minhash, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -19,6 +19,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeated strings of 400 bytes cover."""
+    out = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), min_bytes=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents: 4-word shingles, similarity of 80 percent."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -35,7 +41,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc_assembly, op5_quality_rules, op7_minhash_near_dedup, op9_html_extraction, op10_lm_scoring)}
+    return {f.__name__: f for f in (op3_warc_assembly, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op9_html_extraction, op10_lm_scoring)}
 
 
 OP3_SQL = """
