@@ -12,6 +12,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of ASCII that are neither letters nor digits: white space, control characters, punctuation.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are hashed at once.
@@ -75,11 +78,11 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         at = to
 
 
-def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, end, hash) of every word of a slice, in order."""
     if lower:
         buf = LOWER[buf]
-    inside = ~SPACE[buf]
+    inside = ~space[buf]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

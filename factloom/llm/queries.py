@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, lm, minhash, quality, suffix_dedup, warc
+from . import decontam, html_text, lm, minhash, quality, suffix_dedup, warc
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op3_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the passage and its edit distance."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and the verdict of the quality rules for every document."""
     out = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -41,7 +46,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc_assembly, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op9_html_extraction, op10_lm_scoring)}
+    return {f.__name__: f for f in (op3_warc_assembly, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op9_html_extraction, op10_lm_scoring)}
 
 
 OP3_SQL = """
