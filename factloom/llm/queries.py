@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html_text, lm, minhash, quality, suffix_dedup, warc
+from . import decontam, html_text, lm, minhash, quality, substring, suffix_dedup, warc
 from .common import table
 
 
@@ -35,6 +35,12 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds too: one row per passage."""
+    out = substring.passages(table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", F.explode("spans").alias("x")).select("doc_id", F.col("x.s").alias("start_word"), F.col("x.e").alias("end_word"), F.col("x.home_id").alias("home_doc_id"), F.col("x.home_s").alias("home_start"), F.col("x.home_e").alias("home_end"), F.col("x.edits").alias("edits"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -46,7 +52,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc_assembly, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op9_html_extraction, op10_lm_scoring)}
+    return {f.__name__: f for f in (op3_warc_assembly, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_html_extraction, op10_lm_scoring)}
 
 
 OP3_SQL = """
