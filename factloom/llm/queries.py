@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html_text, lm, minhash, quality, substring, suffix_dedup, warc
+from . import decontam, html_text, lm, minhash, packing, quality, substring, suffix_dedup, warc
 from .common import table
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in bins of 512, 1024, 2048 or 4096 words."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op3_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives, read back and assembled."""
     return warc.archived(table(spark, sf_dir, "pages"))
@@ -52,7 +57,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc_assembly, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_html_extraction, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_warc_assembly, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_html_extraction, op10_lm_scoring)}
 
 
 OP3_SQL = """
