@@ -4,8 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, html_text, lm, minhash, packing, quality, substring, suffix_dedup, warc
-from .common import table
+from . import decontam, html_text, license_scan, lm, minhash, packing, quality, substring, suffix_dedup, warc
+from .common import table, written
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, as a file source/lang/doc_id of a tree.
+
+    The first document of a directory that speaks of a licence is its licence file: its name is LICENSE.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    speaks = docs.where(F.rlike("text", F.lit("(?i)licen[cs]e"))).groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
+    speaks = written(speaks, "speaks")  # a written table has a known size: Spark broadcasts it only if it is small
+    name = F.when(F.col("doc_id") == F.col("first"), "LICENSE").otherwise(F.col("doc_id").cast("string"))
+    files = docs.join(speaks, ["source", "lang"], "left")
+    files = files.select("doc_id", F.concat_ws("/", "source", "lang", name).alias("path"), "text")
+    return license_scan.licenses(files).select("row.doc_id", "row.path", "license", "how", "similarity", "source")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +71,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_warc_assembly, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_html_extraction, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_warc_assembly, op4_benchmark_decontamination, op5_quality_rules, op6_suffix_array_dedup, op7_minhash_near_dedup, op8_substring_dedup, op9_html_extraction, op10_lm_scoring)}
 
 
 OP3_SQL = """
