@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("scalar_queries",)
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(import_module(f"factloom.jobs.{m}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("Q")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _all("O")
