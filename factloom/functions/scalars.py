@@ -35,7 +35,7 @@ def conflict_rep(a: Column, b: Column) -> Column:
 def identifier_tokens(c: Column) -> Column:
     """Lower-cased tokens: split at anything but letters and digits, then at case changes and digit runs."""
     parted = F.regexp_replace(F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z])([A-Z])", "$1 $2")
-    return F.transform(F.regexp_extract_all(parted, F.lit("([A-Z]+|[A-Z]?[a-z]+|[0-9]+)"), F.lit(1)), F.lower)
+    return F.transform(F.regexp_extract_all(parted, F.lit("([A-Z]?[a-z]+|[A-Z]+|[0-9]+)"), F.lit(1)), F.lower)
 
 
 def identifier_style(c: Column) -> Column:

@@ -29,12 +29,12 @@ def _names(s, d):
 
 
 _add("b3_identifier_tokens", lambda s, d: _names(s, d).select("p_partkey", "n", F.array_join(S.identifier_tokens(c("n")), "|").alias("tokens")),
-     f"SELECT p_partkey, n, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(n, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Z]+|[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)), '|') AS tokens FROM ({_NAMES})")
+     f"SELECT p_partkey, n, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(n, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), '|') AS tokens FROM ({_NAMES})")
 _add("b4_identifier_style", lambda s, d: _names(s, d).select("p_partkey", "n", S.identifier_style(c("n")).alias("style")),
      f"""SELECT p_partkey, n, CASE WHEN regexp_full_match(n, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)+') THEN 'upper_snake' WHEN regexp_full_match(n, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 'snake'
      WHEN regexp_full_match(n, '[A-Z][A-Z0-9]*') THEN 'upper' WHEN regexp_full_match(n, '[a-z][a-z0-9]*') THEN 'lower' WHEN regexp_full_match(n, '[A-Z][A-Za-z0-9]*') THEN 'pascal' WHEN regexp_full_match(n, '[a-z][A-Za-z0-9]*') THEN 'camel' ELSE 'unknown' END AS style FROM ({_NAMES})""")
 _add("b5_tag_keys", lambda s, d: fact(s, d, "ext_tags").select("var_key", S.tag_key(c("external_tag")).alias("key"), S.tag_family_key(c("external_tag")).alias("family")),
-     with_facts("SELECT var_key, lower(external_tag) AS key, array_to_string(list_transform(regexp_extract_all(regexp_replace(external_tag, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Z]+|[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)), '|') AS family FROM ext_tags", "ext_tags"))
+     with_facts("SELECT var_key, lower(external_tag) AS key, array_to_string(list_transform(regexp_extract_all(regexp_replace(external_tag, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), '|') AS family FROM ext_tags", "ext_tags"))
 _LIM = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Min' || p_type WHEN 1 THEN p_type || '_max' WHEN 2 THEN 'MAXIMUM_' || p_type WHEN 3 THEN lower(p_type) || 'Minimum' ELSE p_type END AS n FROM part"
 _add("b6_limit_binding", lambda s, d: s.sql(_LIM.replace("FROM part", "FROM {part}"), part=_t(s, d, "part")).withColumn("x", S.limit_binding(c("n"))).select("p_partkey", "n", "x.bound", "x.body"),
      f"SELECT p_partkey, n, CASE p_partkey % 5 WHEN 0 THEN 'min' WHEN 1 THEN 'max' WHEN 2 THEN 'max' WHEN 3 THEN 'min' END AS bound, CASE WHEN p_partkey % 5 < 4 THEN regexp_extract(lower(n), '^(minimum|maximum|min|max)?_?(.+?)_?(minimum|maximum|min|max)?$', 2) END AS body FROM ({_LIM})")
