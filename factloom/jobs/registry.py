@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalar_queries", "usage_queries", "instance_queries", "log_queries", "graph_queries")
+MODULES = ("scalar_queries", "usage_queries", "instance_queries", "log_queries", "graph_queries", "report_queries", "stream_queries")
 
 
 def _all(name: str) -> dict:
