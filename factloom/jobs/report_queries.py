@@ -24,7 +24,7 @@ _W = lambda *n: (lambda sql: _F(sql, *n).replace("\n,", ",", 1))
 _fi = lambda s, d: fact(s, d, "findings")
 _BASE = lambda s, d: _fi(s, d).where("doc_id % 5 <> 0")
 _CUR = lambda s, d: _fi(s, d).where("doc_id % 7 <> 0").withColumn("severity", F.when(c("doc_id") % 3 == 0, "high").otherwise(c("severity"))).withColumn("message", F.when(c("doc_id") % 4 == 0, "moved").otherwise(c("message")))
-_fp = finding_fingerprint(c("rule_id"), c("path"), c("line"), c("symbol"), c("message"))
+_fp = lambda: finding_fingerprint(c("rule_id"), c("path"), c("line"), c("symbol"), c("message"))
 _w = _W("findings")
 _BC = ", b AS (SELECT * FROM findings WHERE doc_id % 5 <> 0), k AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE severity END AS severity, CASE WHEN doc_id % 4 = 0 THEN 'moved' ELSE message END AS message) FROM findings WHERE doc_id % 7 <> 0)"
 _K = "rule_id, path, line, symbol"
@@ -36,7 +36,7 @@ _add("h2_findings_diff", lambda s, d: H.findings_diff(_BASE(s, d), _CUR(s, d)),
      lo AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY os, message) AS m FROM f WHERE NOT w), lw AS (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY ns, message) AS m FROM f WHERE NOT o)
      SELECT CASE WHEN os = ns THEN 'unchanged' ELSE 'changed' END AS status, {_K}, CASE WHEN os = ns THEN '' ELSE 'severity' END AS changed FROM f WHERE o AND w
      UNION ALL SELECT CASE WHEN lo.message IS NULL THEN 'new' WHEN lw.message IS NULL THEN 'resolved' ELSE 'changed' END, {_K}, CASE WHEN lo.message IS NULL OR lw.message IS NULL THEN '' WHEN lo.os = lw.ns THEN 'message' ELSE 'message,severity' END FROM lo FULL JOIN lw USING ({_K}, m)"""))
-_add("h3_findings_set_diff", lambda s, d: H.findings_set_diff(_BASE(s, d).withColumn("fingerprint", _fp), _CUR(s, d).withColumn("fingerprint", _fp), ["fingerprint"]),
+_add("h3_findings_set_diff", lambda s, d: H.findings_set_diff(_BASE(s, d).withColumn("fingerprint", _fp()), _CUR(s, d).withColumn("fingerprint", _fp()), ["fingerprint"]),
      _w(_BC + ", x AS (SELECT DISTINCT rule_id || '|' || path || '|' || line || '|' || symbol || '|' || message AS fingerprint FROM b), y AS (SELECT DISTINCT rule_id || '|' || path || '|' || line || '|' || symbol || '|' || message AS fingerprint FROM k) SELECT coalesce(x.fingerprint, y.fingerprint) AS fingerprint, CASE WHEN x.fingerprint IS NULL THEN 'added' WHEN y.fingerprint IS NULL THEN 'removed' ELSE 'surviving' END AS status FROM x FULL JOIN y ON x.fingerprint = y.fingerprint"))
 _add("h4_findings_summary", lambda s, d: H.findings_summary(_fi(s, d)), _w("SELECT CASE WHEN g = 3 THEN 'rule' WHEN g = 5 THEN 'category' ELSE 'severity' END AS grp, coalesce(rule_id, category, severity) AS value, n FROM (SELECT rule_id, category, severity, count(*) AS n, grouping(rule_id, category, severity) AS g FROM findings GROUP BY GROUPING SETS ((rule_id), (category), (severity)))"))
 _add("h5_rule_metrics", lambda s, d: H.rule_metrics(_fi(s, d).where("rule_id <> 'semantic.src3'"), _fi(s, d).select("rule_id")), _w("SELECT rule_id, count(*) FILTER (rule_id <> 'semantic.src3') AS fires, count(DISTINCT CASE WHEN rule_id <> 'semantic.src3' THEN path END) AS targets, rule_id = 'semantic.src3' AS never_triggered FROM findings GROUP BY 1"))

@@ -87,3 +87,12 @@ _add("c22_string_narrowing", lambda s, d: U.string_narrowing(_sql(s, d, _MAP, "p
      f"WITH m AS (SELECT *, CASE lower(source_type) WHEN 'string' THEN 40 WHEN 'tagstring' THEN 15 WHEN 'maxstring' THEN 140 END AS a, CASE target_type WHEN 'identstring' THEN 30 WHEN 'linestring' THEN 80 END AS b FROM ({_MAP})) SELECT id, CASE WHEN literal IS NOT NULL THEN 'literal_too_long' ELSE 'narrowing' END AS issue FROM m WHERE (literal IS NOT NULL AND length(literal) > b) OR (literal IS NULL AND a > b)")
 _add("c23_min_max_crossed", lambda s, d: U.min_max_crossed(_sql(s, d, _MAP, "part")), f"SELECT id FROM ({_MAP}) WHERE (source = 'MinLevel' AND target = 'maxLevel') OR (source = 'Level_MAX' AND target = 'Low')")
 _add("c24_contract_mismatch", lambda s, d: U.contract_mismatch(_sql(s, d, _MAP, "part")), f"SELECT id, source_type, target_type FROM ({_MAP}) WHERE target_type <> 'AnyType' AND NOT (source_type <> 'integer' AND target_type <> 'real')")
+_CALL = "SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_returnflag = 'A' THEN 'OpenFile' ELSE 'closefile' END AS function, l_linenumber % 3 AS arg_pos, 'v' || cast(l_partkey AS string) AS var_key FROM lineitem WHERE l_quantity < 20"
+_SG = "SELECT DISTINCT CASE WHEN l_returnflag = 'A' THEN 'openfile' ELSE 'CloseFile' END AS function, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS arg_pos FROM lineitem"
+_add("c16_procedure_status_ignored", lambda s, d: U.procedure_status_ignored(_sql(s, d, _CALL, "lineitem"), _sql(s, d, _SG, "lineitem"), U.usage_summary(_D(s, d), _few(s, d))),
+     _U(f"SELECT site, var_key, CASE WHEN ui_read THEN 'ui_only' ELSE 'ignored' END AS issue FROM ({_CALL}) c JOIN u USING (var_key) WHERE NOT non_ui_read AND ((function = 'OpenFile' AND arg_pos = 1) OR (function = 'closefile' AND arg_pos = 2))").replace("FROM accesses GROUP BY var_key", "FROM accesses WHERE literal > 47 GROUP BY var_key"))
+_add("c18_record_order_dependence", lambda s, d: U.record_order_dependence(_sql(s, d, "SELECT p_brand AS record, p_partkey AS site, p_size % 7 AS pos FROM part WHERE p_size > 30", "part"), _sql(s, d, "SELECT DISTINCT p_brand AS record, p_size % 5 AS pos, 'f' || cast(p_size % 5 AS string) AS field FROM part", "part")),
+     "SELECT record, site, field FROM (SELECT p_brand AS record, min(p_partkey) AS site, arg_min(p_size % 7, p_partkey) AS pos FROM part WHERE p_size > 30 GROUP BY 1) LEFT JOIN (SELECT DISTINCT p_brand AS record, p_size % 5 AS pos, 'f' || (p_size % 5) AS field FROM part) USING (record, pos)")
+_SYM = "SELECT DISTINCT p_brand || '.' || p_type || '.' || replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN '.' ELSE '_' END) AS path FROM part"
+_add("b18_search_symbols", lambda s, d: U.search_symbols(_sql(s, d, _SYM, "part"), "none.ECONOMY.red.widget", 15),
+     f"SELECT path, CASE WHEN lower(path) LIKE '%.economy.red.widget' THEN 3 WHEN lower(path) LIKE '%.red.widget' THEN 2 ELSE 1 END AS rank FROM ({_SYM}) WHERE lower(path) LIKE '%.widget' ORDER BY rank DESC, len(string_split(path, '.')), path LIMIT 15")

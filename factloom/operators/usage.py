@@ -6,7 +6,7 @@ declarations, so the shuffle carries the aggregate. Keys are lower-cased names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import identifier_tokens
 
@@ -203,3 +203,30 @@ def contract_mismatch(mappings: DataFrame) -> DataFrame:
     a, b = F.lower("source_type"), F.lower("target_type")
     both = string_capacity(a).isNotNull() & string_capacity(b).isNotNull()
     return mappings.where((a != b) & ~both & (b != "anytype")).select("id", "source_type", "target_type")
+
+
+def procedure_status_ignored(calls: DataFrame, signatures: DataFrame, usage: DataFrame) -> DataFrame:
+    """(site, var_key, issue): status outputs of calls that nothing reads (ignored), or only the user interface (ui_only).
+
+    calls: (site, function, arg_pos, var_key); signatures: (function, arg_pos) of status outputs; usage: usage_summary's flags.
+    """
+    out = calls.withColumn("key", F.lower("function")).join(signatures.select(F.lower("function").alias("key"), "arg_pos"), ["key", "arg_pos"]).join(usage.select("var_key", "ui_read", "non_ui_read"), "var_key")
+    return out.where("not non_ui_read").select("site", "var_key", F.when(c("ui_read"), "ui_only").otherwise("ignored").alias("issue"))
+
+
+def record_order_dependence(sites: DataFrame, record_fields: DataFrame) -> DataFrame:
+    """(record, site, field): per record type, its first access of a component by number, with the field's name. sites: (record, site, pos); record_fields: (record, pos, field)."""
+    first = sites.groupBy("record").agg(F.min(F.struct("site", "pos")).alias("x")).select("record", "x.site", "x.pos")
+    return first.join(record_fields, ["record", "pos"], "left").select("record", "site", "field")
+
+
+def search_symbols(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(path, rank): symbols found by a dotted query. Symbols that equal it come alone; else those that end with its last segments, the longest suffix first, then the shortest path, then by name; limit is the list's length. symbols: (path)."""
+    q = query.lower().split(".")
+    s = symbols.select("path", F.lower("path").alias("key")).distinct().withColumn("steps", F.split("key", r"\."))
+    suffix = lambda n: F.slice(c("steps"), -n, n) == F.array(*map(F.lit, q[-n:]))
+    n = F.coalesce(*(F.when((F.size("steps") >= k) & suffix(k), k) for k in range(len(q), 0, -1)))
+    s = s.withColumn("n", n).where("n is not null").withColumn("exact", c("key") == query.lower())
+    if s.where("exact").limit(1).count():
+        s = s.where("exact")
+    return s.orderBy(c("n").desc(), F.size("steps"), "path").limit(limit).select("path", c("n").cast("int").alias("rank"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 c = F.col
 #: File kinds by extension.
@@ -18,7 +18,7 @@ def discover_sources(spark: SparkSession, root: str, ignored: tuple = (".git", "
     return f.select("path", F.lower(F.regexp_extract("path", r"([^/]+)\.[A-Za-z]+$", 1)).alias("stem"), F.coalesce(*(F.when(ext == e, F.lit(k)) for e, k in KINDS)).alias("kind"), "content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decoded(content: pd.Series) -> pd.Series:
     def one(b: bytes | None) -> str | None:
         if b is None:
