@@ -122,8 +122,8 @@ def index(items: list[tuple[int | None, str | None]], similarity: float, recall:
     rng = np.random.default_rng(seed)
     size = np.array([len(w) for w in words])
     flat, begin = np.concatenate(words), np.concatenate([[0], np.cumsum(size)[:-1]])
-    # trial windows: items with as many random edits as are allowed
-    pick = rng.permutation(len(words))[:200]
+    # trial windows: items with as many random edits as are allowed, several of each where items are few
+    pick = np.resize(rng.permutation(len(words)), max(400, min(len(words), 2000)))
     trial = [_edited(words[i], edits[i], rng) for i in pick]
     trial_flat, trial_begin = np.concatenate(trial), np.concatenate([[0], np.cumsum(size[pick])[:-1]])
     found = np.zeros(len(pick), bool)
