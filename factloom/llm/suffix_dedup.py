@@ -213,6 +213,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     base = base.withColumn("kd", F.coalesce("doc_id", F.lit(-1))).withColumn("kh", F.xxhash64("text"))
     anchors = written(base.select("kd", "kh", "text").mapInArrow(_anchored(min_bytes, anchor_bytes), "kd long, kh long, h long, hull long, start long, len long"), "anchors")
     often = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    often = written(often, "often")  # as a table of its own: a join of two shuffles, which Spark splits where an anchor is hot
     twice = written(anchors.join(often, "h"), "repeated-anchors")
     hulls = written(twice.groupBy("h", "hull").agg(F.count("*").alias("c"), F.min(F.struct("kd", "kh", "start", "len")).alias("at")), "hulls")
     spans = twice.join(hulls.where("c > 1").select("h", "hull"), ["h", "hull"]).select("kd", "kh", F.col("start").alias("s"), (F.col("start") + F.col("len")).alias("e"))
