@@ -46,7 +46,11 @@ _add("f8_dependency_cycles", lambda s, d: G.cycles(_sql(s, d, _CYC, "part")), f"
 _add("f8_load_order", lambda s, d: G.load_order(_sql(s, d, _DAG, "part")), f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_DAG})), w(node, level) AS (SELECT dst, 0 FROM e UNION SELECT src, 0 FROM e UNION SELECT e.src, w.level + 1 FROM w JOIN e ON e.dst = w.node) SELECT node, max(level) AS level FROM w GROUP BY 1")
 _IM = "SELECT 'pkg.' || p_type || '.' || p_brand AS source, 'pkg.' || CASE WHEN p_size % 3 = 0 THEN 'LARGE' ELSE 'other' END || '.' || p_brand AS target FROM part"
 _LA = "SELECT DISTINCT 'pkg.' || p_type AS prefix, length(p_type) AS layer FROM part UNION SELECT DISTINCT 'pkg.' || p_type || '.Brand#1', 9 FROM part WHERE p_type = 'LARGE'"
-_add("f9_layer_violations", lambda s, d: G.layer_violations(_sql(s, d, _IM, "part"), s.sql(_LA.replace("FROM part", "FROM {part}"), part=_t(s, d, "part"))), f"WITH l AS ({_LA}), n AS (SELECT name, arg_max(layer, length(prefix)) AS layer FROM (SELECT source AS name FROM ({_IM}) UNION SELECT target FROM ({_IM})) JOIN l ON starts_with(name || '.', prefix || '.') GROUP BY 1) SELECT DISTINCT source, target, a.layer AS source_layer, b.layer AS target_layer FROM ({_IM}) JOIN n a ON a.name = source JOIN n b ON b.name = target WHERE b.layer > a.layer")
+_FO = "SELECT DISTINCT 'pkg.' || p_type AS source_prefix, 'pkg.LARGE.' || p_brand AS target_prefix FROM part WHERE p_size = 3"
+_add("f9_layer_violations", lambda s, d: G.layer_violations(_sql(s, d, _IM, "part"), s.sql(_LA.replace("FROM part", "FROM {part}"), part=_t(s, d, "part")), _sql(s, d, _FO, "part")),
+     f"""WITH i AS (SELECT DISTINCT * FROM ({_IM})), l AS ({_LA}), n AS (SELECT name, arg_max(layer, length(prefix)) AS layer FROM (SELECT source AS name FROM i UNION SELECT target FROM i) JOIN l ON starts_with(name || '.', prefix || '.') GROUP BY 1),
+     x AS (SELECT i.*, EXISTS (SELECT 1 FROM ({_FO}) f WHERE starts_with(i.source || '.', source_prefix || '.') AND starts_with(i.target || '.', target_prefix || '.')) AS bad FROM i)
+     SELECT source, target, 'forbidden' AS rule FROM x WHERE bad UNION ALL SELECT source, target, 'upward' FROM x JOIN n a ON a.name = source JOIN n b ON b.name = target WHERE NOT bad AND b.layer > a.layer""")
 _T = lambda s, d: fact(s, d, "ext_tags")
 _add("g1_duplicate_tags", lambda s, d: V.duplicate_tags(_T(s, d)), _F("SELECT source_kind, lower(external_tag) AS key, count(*) AS n FROM ext_tags GROUP BY ALL HAVING count(*) >= 2", "ext_tags"))
 _add("g2_tag_datatype_mismatch", lambda s, d: V.tag_datatype_mismatch(_T(s, d)), _F("SELECT lower(external_tag) AS key, string_agg(DISTINCT datatype, ',' ORDER BY datatype) AS datatypes FROM ext_tags GROUP BY 1 HAVING count(DISTINCT datatype) >= 2", "ext_tags"))

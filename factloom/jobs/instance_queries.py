@@ -38,6 +38,7 @@ _add("d5_variant_diff", lambda s, d: I.variant_diff(_sql(s, d, "SELECT p_brand A
      "SELECT name, item, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'missing' ELSE 'changed' END AS change FROM (SELECT p_brand AS name, p_partkey // 2 AS item, p_type AS a FROM part WHERE p_partkey % 2 = 0 AND p_size > 5) FULL JOIN (SELECT CASE WHEN (p_partkey // 2) % 3 > 0 THEN 'Brand#1' ELSE p_brand END AS name, p_partkey // 2 AS item, p_type AS b FROM part WHERE p_partkey % 2 = 1) USING (name, item) WHERE a IS DISTINCT FROM b")
 _add("d6_missing_initial_values", lambda s, d: I.missing_initial_values(_P(s, d).withColumn("value", F.when(c("value") != "0", c("value")))), _F("SELECT moduletype, instance FROM parameters GROUP BY ALL HAVING NOT bool_or(parameter = 'Size' AND value <> '0')", "parameters"))
 _add("d7_unsafe_defaults", lambda s, d: I.unsafe_defaults(fact(s, d, "declarations").withColumn("init_true", c("init_value") % 2 == 1)), _F("SELECT var_key, name FROM declarations WHERE init_value % 2 = 1 AND len(list_intersect(string_split(name, ' '), ['bypass', 'enable', 'red'])) > 0", "declarations"))
+_add("d8_alarm_candidates", lambda s, d: I.alarm_candidates(fact(s, d, "alarms").withColumn("tag", F.when(c("tag") != "TAG7", c("tag"))).withColumn("condition", F.when(c("condition") > "3", c("condition"))).unpivot(["instance"], ["tag", "priority", "condition"], "parameter", "value")), _F("SELECT * FROM (SELECT instance, CASE WHEN tag <> 'TAG7' THEN tag END AS tag, priority, CASE WHEN condition > '3' THEN condition END AS condition FROM alarms) WHERE tag IS NOT NULL AND (priority IS NOT NULL OR condition IS NOT NULL)", "alarms"))
 _add("d8_duplicate_alarm_tags", lambda s, d: I.duplicate_alarms(fact(s, d, "alarms"), "tag"), _F("SELECT tag AS key, instance, n FROM alarms JOIN (SELECT tag, count(*) AS n FROM alarms GROUP BY 1 HAVING n >= 2) USING (tag)", "alarms"))
 _add("d8_duplicate_alarm_conditions", lambda s, d: I.duplicate_alarms(fact(s, d, "alarms"), "condition"), _F("SELECT condition AS key, instance, n FROM alarms JOIN (SELECT condition, count(*) AS n FROM alarms GROUP BY 1 HAVING n >= 2) USING (condition)", "alarms"))
 _add("d9_conflicting_priorities", lambda s, d: I.conflicting_priorities(fact(s, d, "alarms")), _F("SELECT 'tag' AS scope, tag AS key, instance, priority FROM alarms WHERE priority IS NOT NULL AND tag IN (SELECT tag FROM alarms GROUP BY 1 HAVING count(DISTINCT priority) >= 2) UNION ALL SELECT 'condition', condition, instance, priority FROM alarms WHERE priority IS NOT NULL AND condition IN (SELECT condition FROM alarms GROUP BY 1 HAVING count(DISTINCT priority) >= 2)", "alarms"))

@@ -29,7 +29,12 @@ def _sql(s, d, sql, table):
 
 _INIT = lambda s, d: _D(s, d).where("init_value > 40").select("var_key")
 _add("e1_read_before_write", lambda s, d: L.read_before_write(_A(s, d), _INIT(s, d)), _F("SELECT module_path, var_key FROM accesses GROUP BY ALL HAVING min(seq) FILTER (kind = 'read') < coalesce(min(seq) FILTER (kind = 'write'), 9223372036854775807) AND var_key NOT IN (SELECT var_key FROM declarations WHERE init_value > 40)", "accesses", "declarations"))
-_add("e1_read_before_write_branches", lambda s, d: L.read_before_write_branches(_A(s, d).select("module_path", F.concat(F.lit("w"), F.substring("var_key", -1, 1)).alias("var_key"), "seq", "kind", F.when(c("parallel_id") % 2 == 0, c("parallel_id")).alias("block"), (c("branch") % 2).cast("long").alias("branch"))))
+_BR = "SELECT module_path, 'w' || right(var_key, 1) AS var_key, seq, kind, CASE WHEN parallel_id % 2 = 0 THEN parallel_id END AS block, cast(branch % 2 AS bigint) AS branch FROM accesses"
+_add("e1_read_before_write_branches", lambda s, d: L.read_before_write_branches(s.sql(_BR.replace("FROM accesses", "FROM {accesses}"), accesses=_A(s, d))),
+     _F(f""", l AS ({_BR}), b AS (SELECT module_path, var_key, block, max(seq) AS last FROM l WHERE block IS NOT NULL GROUP BY ALL HAVING count(DISTINCT CASE WHEN kind = 'write' THEN branch END) = 2)
+     SELECT DISTINCT module_path, var_key FROM l x WHERE kind = 'read' AND NOT EXISTS (SELECT 1 FROM l y WHERE y.module_path = x.module_path AND y.var_key = x.var_key AND y.kind = 'write' AND y.seq < x.seq AND y.block IS NULL)
+     AND NOT EXISTS (SELECT 1 FROM l y WHERE y.module_path = x.module_path AND y.var_key = x.var_key AND y.kind = 'write' AND y.seq < x.seq AND y.block = x.block AND y.branch = x.branch)
+     AND NOT EXISTS (SELECT 1 FROM b WHERE b.module_path = x.module_path AND b.var_key = x.var_key AND b.last < x.seq)""", "accesses").replace("\n,", ",", 1))
 _add("e2_unconsumed_writes", lambda s, d: L.unconsumed_writes(_A(s, d)), _F("SELECT module_path, var_key, max(CASE WHEN kind = 'write' THEN seq END) AS seq FROM accesses GROUP BY module_path, var_key HAVING max(CASE WHEN kind = 'write' THEN seq END) > coalesce(max(CASE WHEN kind = 'read' THEN seq END), -1)", "accesses"))
 _add("e3_dead_overwrites", lambda s, d: L.dead_overwrites(_A(s, d)), _F("SELECT module_path, var_key, seq, next_seq FROM (SELECT *, lead(kind) OVER w AS nk, lead(seq) OVER w AS next_seq FROM accesses WINDOW w AS (PARTITION BY module_path, var_key ORDER BY seq)) WHERE kind = 'write' AND nk = 'write'", "accesses"))
 _FLOW = "SELECT 'm' || cast(l_suppkey AS string) AS module_path, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq, 'v' || cast(l_partkey % 60 AS string) AS target, 'v' || cast((l_partkey * 7 + l_linenumber) % 60 AS string) AS source FROM lineitem WHERE l_quantity > 25"
@@ -63,7 +68,9 @@ _add("e16_unreachable_nodes", lambda s, d: L.unreachable_nodes(_sql(s, d, _NO, "
 _add("e17_duplicate_guards", lambda s, d: L.duplicate_guards(_sql(s, d, _NO, "lineitem")), f"SELECT sequence, branch, lower(replace(guard, ' ', '')) AS guard, count(*) AS n FROM ({_NO}) GROUP BY 1, 2, 3 HAVING count(*) >= 2")
 _add("e18_illegal_step_combinations", lambda s, d: L.illegal_step_combinations(_sql(s, d, "SELECT l_orderkey AS instant, l_suppkey AS step FROM lineitem", "lineitem"), _sql(s, d, "SELECT s_suppkey % 9 AS grp, s_suppkey AS step FROM supplier", "supplier")), "SELECT l_orderkey AS instant, l_suppkey % 9 AS grp FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2")
 _SC = "SELECT l_suppkey AS step, 'v' || cast(l_partkey % 40 AS string) AS var_key, CASE WHEN l_linestatus = 'O' THEN 'enter' ELSE 'exit' END AS phase FROM lineitem WHERE"
-_add("e19_step_contracts", lambda s, d: L.step_contracts(_sql(s, d, _SC.replace("SELECT", "SELECT DISTINCT") + " l_quantity < 10", "lineitem"), _sql(s, d, _SC + " l_quantity > 30", "lineitem")), f"SELECT * FROM ({_SC} l_quantity < 10) EXCEPT SELECT * FROM ({_SC} l_quantity > 30)")
+_add("e19_step_contracts", lambda s, d: L.step_contracts(_sql(s, d, _SC.replace("SELECT", "SELECT DISTINCT") + " l_quantity < 10", "lineitem"), _sql(s, d, _SC + " l_quantity > 30", "lineitem")),
+     f"""WITH k AS (SELECT DISTINCT * FROM ({_SC} l_quantity < 10)), w AS (SELECT DISTINCT * FROM ({_SC} l_quantity > 30)), h AS (FROM k INTERSECT FROM w), m AS (FROM k EXCEPT FROM w)
+     SELECT step, var_key, phase, phase = 'enter' AND (SELECT max(h.step) FROM h WHERE h.var_key = m.var_key AND h.step < m.step AND h.phase = 'enter') > coalesce((SELECT max(h.step) FROM h WHERE h.var_key = m.var_key AND h.step < m.step AND h.phase = 'exit'), -1) IS TRUE AS leaked FROM m""")
 _RS = "SELECT l_suppkey AS sequence, l_linenumber AS path_id, 'v' || cast(l_partkey % 20 AS string) AS var_key, l_tax > 0.04 AS value FROM lineitem WHERE"
 _add("e20_reset_contamination", lambda s, d: L.reset_contamination(_sql(s, d, _RS + " l_quantity < 20", "lineitem"), _sql(s, d, _RS + " l_quantity >= 20 AND l_suppkey > 9", "lineitem")), f"WITH r AS ({_RS} l_quantity >= 20 AND l_suppkey > 9) SELECT sequence, var_key FROM (SELECT DISTINCT sequence, var_key FROM ({_RS} l_quantity < 20)) LEFT JOIN (SELECT sequence, count(DISTINCT path_id) AS total FROM r GROUP BY 1) USING (sequence) LEFT JOIN (SELECT sequence, var_key, count(DISTINCT path_id) AS hit FROM r GROUP BY ALL) USING (sequence, var_key) WHERE total IS NULL OR coalesce(hit, 0) < total")
 _add("e21_implicit_latch", lambda s, d: L.implicit_latch(_sql(s, d, _RS + " l_quantity < 15", "lineitem"), _sql(s, d, _RS + " l_quantity < 40", "lineitem")), f"SELECT sequence, var_key FROM (SELECT sequence, var_key, count(DISTINCT CASE WHEN NOT value THEN path_id END) + count(DISTINCT CASE WHEN value THEN path_id END) AS n, bool_or(value) AS t FROM ({_RS} l_quantity < 15) GROUP BY ALL) JOIN (SELECT sequence, count(DISTINCT path_id) AS total FROM ({_RS} l_quantity < 40) GROUP BY 1) USING (sequence) WHERE t AND n < total")

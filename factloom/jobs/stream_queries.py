@@ -56,7 +56,7 @@ def _discovered(s, d):
     at = _place(s, "tree")
     rows = _t(s, d, "documents").select(F.concat("lang", F.lit("="), "source").alias("name"), F.concat_ws(" ", "lang", "source", c("doc_id").cast("string")).alias("value"))
     rows.write.partitionBy("name").text(at)
-    f = s.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "content")
+    f = S.discover_sources(s, at, kinds=(("txt", "program"),))
     lines = S.decode_text(f).select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     return lines.groupBy(F.split("line", " ")[0].alias("lang")).agg(F.count("*").alias("n"))
 

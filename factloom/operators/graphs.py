@@ -130,14 +130,21 @@ def load_order(edges: DataFrame) -> DataFrame:
     raise RuntimeError("the graph has a cycle, or is deeper than 1000")
 
 
-def layer_violations(imports: DataFrame, layers: DataFrame) -> DataFrame:
-    """(source, target, source_layer, target_layer): imports of a higher layer. imports: (source, target); layers: (prefix, layer): the longest dotted prefix of a name counts; names without one are skipped."""
+def layer_violations(imports: DataFrame, layers: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """(source, target, rule): forbidden, or else upward: an import of a higher layer.
+
+    imports: (source, target); layers: (prefix, layer): the longest dotted prefix of a name counts; names without
+    one have no layer. forbidden: (source_prefix, target_prefix): wins over the layers.
+    """
 
     def layered(names: DataFrame) -> DataFrame:
         steps = F.split("name", r"\.")
         up = names.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "."))).alias("prefix"))
         return up.join(layers, "prefix").groupBy("name").agg(F.max(F.struct(F.length("prefix").alias("n"), "layer")).alias("x")).select("name", "x.layer")
 
-    known = layered(imports.select(c("source").alias("name")).union(imports.select("target")).distinct())
-    x = imports.join(known.select(c("name").alias("source"), c("layer").alias("source_layer")), "source").join(known.select(c("name").alias("target"), c("layer").alias("target_layer")), "target")
-    return x.where("target_layer > source_layer").select("source", "target", "source_layer", "target_layer").distinct()
+    i = imports.distinct()
+    up = lambda x: F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(x, r"\."))), lambda n: F.array_join(F.slice(F.split(x, r"\."), 1, n), ".")))
+    banned = i.withColumn("source_prefix", up("source")).withColumn("target_prefix", up("target")).join(forbidden, ["source_prefix", "target_prefix"], "left_semi").select("source", "target").distinct()
+    known = layered(i.select(c("source").alias("name")).union(i.select("target")).distinct())
+    x = i.join(banned, ["source", "target"], "left_anti").join(known.select(c("name").alias("source"), c("layer").alias("a")), "source").join(known.select(c("name").alias("target"), c("layer").alias("b")), "target")
+    return banned.withColumn("rule", F.lit("forbidden")).unionByName(x.where("b > a").select("source", "target", F.lit("upward").alias("rule")))

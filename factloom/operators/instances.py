@@ -67,6 +67,12 @@ def unsafe_defaults(decls: DataFrame, words: tuple = ("bypass", "enable", "red")
     return decls.where(c("init_true") & F.exists(identifier_tokens(c("name")), lambda t: t.isin(*words))).select("var_key", "name")
 
 
+def alarm_candidates(values: DataFrame) -> DataFrame:
+    """(instance, tag, priority, condition) of instances with a tag and a priority or a condition. values: (instance, parameter, value), parameters tag, priority, condition."""
+    x = values.where("value is not null").groupBy("instance").pivot("parameter", ["tag", "priority", "condition"]).agg(F.min("value"))
+    return x.where("tag is not null and (priority is not null or condition is not null)")
+
+
 def duplicate_alarms(alarms: DataFrame, key: str) -> DataFrame:
     """Alarms that share a tag, or a condition, with another one: (key, instance, n)."""
     n = alarms.where(c(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n >= 2")

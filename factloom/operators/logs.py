@@ -6,7 +6,6 @@ an aggregate combines before the shuffle.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import conflict_rep, limit_binding, path_conflicts
@@ -21,36 +20,18 @@ def read_before_write(log: DataFrame, with_init: DataFrame) -> DataFrame:
 
 
 def read_before_write_branches(log: DataFrame) -> DataFrame:
-    """(module_path, var_key) read before a sure write, where rows may stand in one of two branches.
+    """(module_path, var_key) read before a sure write, where rows may stand in one of two branches of a block.
 
-    log: (module_path, var_key, seq, kind, block, branch): block null means straight line; a write in a block
-    counts for what follows the block only if both branches (0 and 1) write. One module's log is one group,
-    a bounded program text.
+    log: (module_path, var_key, seq, kind, block, branch): block null means straight line; the rows of a block
+    follow each other. A write in a branch counts for what follows in it, and for what follows the block if
+    both branches (0 and 1) write. First a row per branch, so that a long log is summed before it meets.
     """
-
-    def of(module: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for var, rows in module.sort_values("seq").groupby("var_key"):
-            sure, held, block = False, {0: False, 1: False}, None
-            bad = False
-            for r in rows.itertuples():
-                now = None if pd.isna(r.block) else r.block
-                if now != block:
-                    sure = sure or (held[0] and held[1])
-                    held, block = {0: False, 1: False}, now
-                covered = sure or (now is not None and held[int(r.branch)])
-                if r.kind == "read" and not covered:
-                    bad = True
-                if r.kind == "write":
-                    if now is None:
-                        sure = True
-                    else:
-                        held[int(r.branch)] = True
-            if bad:
-                out.append((rows.module_path.iloc[0], var))
-        return pd.DataFrame(out, columns=["module_path", "var_key"])
-
-    return log.groupBy("module_path").applyInPandas(of, "module_path string, var_key string")
+    key = ["module_path", "var_key"]
+    per = log.groupBy(*key, "block", "branch").agg(F.min(F.when(c("kind") == "read", c("seq"))).alias("r"), F.min(F.when(c("kind") == "write", c("seq"))).alias("w"), F.max("seq").alias("last"))
+    blocks = per.groupBy(*key, "block").agg(F.min("w").alias("w"), F.count(F.when(c("w").isNotNull(), c("branch"))).alias("writing"), F.max("last").alias("last"))
+    sure = blocks.groupBy(*key).agg(F.min(F.when(c("block").isNull(), c("w")).when(c("writing") == 2, c("last"))).alias("sure"))
+    bad = per.where("r is not null and (w is null or r < w)").join(sure, key).where("sure is null or r < sure")
+    return bad.select(*key).distinct()
 
 
 def unconsumed_writes(log: DataFrame) -> DataFrame:
@@ -176,8 +157,18 @@ def illegal_step_combinations(active: DataFrame, groups: DataFrame) -> DataFrame
 
 
 def step_contracts(contracts: DataFrame, writes: DataFrame) -> DataFrame:
-    """(step, var_key, phase) of contract writes that a step lacks. contracts, writes: (step, var_key, phase)."""
-    return contracts.join(writes, ["step", "var_key", "phase"], "left_anti")
+    """(step, var_key, phase, leaked) of contract writes that a step lacks. contracts, writes: (step, var_key, phase).
+
+    Steps are ordered by their number. A missing enter write leaks if an earlier step's enter contract set the
+    variable and no exit contract satisfied since then cleared it.
+    """
+    missing = contracts.join(writes, ["step", "var_key", "phase"], "left_anti")
+    held = contracts.join(writes, ["step", "var_key", "phase"], "left_semi")
+    # the last set and the last clear before each missing write: an aggregate over the earlier steps of its variable
+    earlier = held.select("var_key", c("step").alias("s"), c("phase").alias("p"))
+    x = missing.where("phase = 'enter'").join(earlier, "var_key").where("s < step").groupBy("step", "var_key").agg(F.max(F.when(c("p") == "enter", c("s"))).alias("set"), F.max(F.when(c("p") == "exit", c("s"))).alias("cleared"))
+    leaks = x.where("set is not null and (cleared is null or cleared < set)").select("step", "var_key", F.lit("enter").alias("phase"), F.lit(True).alias("leaked"))
+    return missing.join(leaks, ["step", "var_key", "phase"], "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
 
 
 def reset_contamination(run: DataFrame, reset: DataFrame) -> DataFrame:

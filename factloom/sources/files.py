@@ -10,12 +10,12 @@ c = F.col
 KINDS = (("s", "program"), ("x", "program"), ("l", "dependencies"), ("z", "dependencies"))
 
 
-def discover_sources(spark: SparkSession, root: str, ignored: tuple = (".git", "node_modules", "__pycache__")) -> DataFrame:
+def discover_sources(spark: SparkSession, root: str, kinds: tuple = KINDS, ignored: tuple = (".git", "node_modules", "__pycache__")) -> DataFrame:
     """(path, stem, kind, content) of the program and dependency files under root; stem is lower-cased; ignored directories are skipped."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{s,x,l,z,S,X,L,Z}").load(root)
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(y for e, _ in kinds for y in (e, e.upper())) + "}").load(root)
     f = f.where(~F.rlike("path", F.lit("/(" + "|".join(x.replace(".", r"\.") for x in ignored) + ")/")))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    return f.select("path", F.lower(F.regexp_extract("path", r"([^/]+)\.[A-Za-z]+$", 1)).alias("stem"), F.coalesce(*(F.when(ext == e, F.lit(k)) for e, k in KINDS)).alias("kind"), "content")
+    return f.select("path", F.lower(F.regexp_extract("path", r"([^/]+)\.[A-Za-z]+$", 1)).alias("stem"), F.coalesce(*(F.when(ext == e, F.lit(k)) for e, k in kinds)).alias("kind"), "content")
 
 
 @F.pandas_udf(T.StringType())

@@ -98,6 +98,13 @@ def test_a_write_counts_if_both_branches_write(spark, branches, bad):
     assert (L.read_before_write_branches(df).count() == 1) is bad
 
 
+def test_a_missing_enter_write_leaks_until_an_exit_clears(spark):
+    schema = "step int, var_key string, phase string"
+    contracts = spark.createDataFrame([(1, "x", "enter"), (2, "x", "enter"), (3, "x", "exit"), (4, "x", "enter")], schema)
+    writes = spark.createDataFrame([(1, "x", "enter"), (3, "x", "exit")], schema)
+    assert rows(L.step_contracts(contracts, writes), "step", "phase", "leaked") == [(2, "enter", True), (4, "enter", False)]
+
+
 @pytest.mark.parametrize(("second", "conflict"), [((2, "b.c", "write"), True), ((1, "b.c", "write"), False), ((2, "d", "write"), False)])
 def test_parallel_conflicts(spark, second, conflict):
     df = spark.createDataFrame([(1, 1, "A", "b", "write"), (1, second[0], "A", second[1], second[2])], "parallel_id int, branch int, var_key string, field string, kind string")
