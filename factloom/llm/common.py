@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Words are runs of anything but space, tab, newline, vertical tab, form feed and carriage return.
-WORD_SPACE = " \t\n\x0b\x0c\r"
-WORD_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_UPPER = bytes(range(65, 91))
-LOWER_BYTES = bytes.maketrans(_UPPER, _UPPER.lower())
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of an input folder."""
@@ -48,21 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, records: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as rows may be long. A smaller bound that the user has set is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > records:
-        spark.conf.set(key, str(records))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """The words of a UTF-8 text. bytes.split() also splits at exactly the six bytes of WORD_SPACE."""
-    return text.split()
+    """Bound the rows of an Arrow batch, as rows may be long, and let local Python workers import this package.
 
-
-def dist_hash(*cols) -> F.Column:
-    """64-bit hash of the columns."""
-    return F.xxhash64(*cols)
+    A smaller bound that the user has set is kept; a bound that another operator has set isn't.
+    """
+    key, own, user = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.factloom.batchRows", "spark.factloom.userBatchRows"
+    now = spark.conf.get(key, "10000")
+    if now != spark.conf.get(own, None):
+        spark.conf.set(user, now)
+    most = int(spark.conf.get(user))
+    now = str(records if most <= 0 else min(most, records))
+    spark.conf.set(key, now)
+    spark.conf.set(own, now)
+    # workers get these variables; on a cluster the package comes with the job, and the path is simply not there
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

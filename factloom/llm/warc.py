@@ -158,6 +158,7 @@ def archived(pages: DataFrame, *, least_revisit_bytes: int = 0) -> DataFrame:
     write_archives(pages, path, least_revisit_bytes=least_revisit_bytes)
     # parsed once: a lazy plan would parse the archives for each side of the joins
     c = captures(written(read_archives(spark, path, with_payload=False), "records"))
+    bounded_batches(spark)  # what follows has small rows again
     told = F.col("metadata")[0]["fields"]
     whole = F.col("response.record_type") == "response"
     return c.where("response is not null").select(
