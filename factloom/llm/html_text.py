@@ -30,6 +30,9 @@ NAMED = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|widgets?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu\w*|nav\w*|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share\w*|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pagination|pager|tags|copyright|legal|disclaimer)(?:$|[-_\s\d])",
     re.I,
 )
+#: Names that say what a container stands beside (with-sidebar), or that it is an article's own head.
+BESIDE = re.compile(r"\b(?:with|has|no|without)[-_]\w+", re.I)
+OWN_HEAD = re.compile(r"(?:^|(?<=[-_\s]))header(?=$|[-_\s\d])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -53,6 +56,12 @@ class _Lines(HTMLParser):
             self.text = []
         self.tags = 0
 
+    def boilerplate(self, names: str, region: int) -> bool:
+        names = BESIDE.sub("", names)
+        if self.regions[region][0] in ("article", "main"):
+            names = OWN_HEAD.sub("", names)
+        return bool(NAMED.search(names))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in INLINE:
             self.tags += 1
@@ -74,9 +83,11 @@ class _Lines(HTMLParser):
             _, dropped, region = self.stack[-1] if self.stack else ("", False, 0)
         if not dropped:
             dropped = tag in DROPPED or (tag == "header" and self.regions[region][0] not in ("article", "main"))
-            if not dropped and tag not in ("html", "body", "article", "main"):
+            if tag == "article":  # its classes also name topics: only a whole name counts
+                dropped = dropped or any(NAMED.fullmatch(x) for name, value in attrs if name in ("class", "id") for x in (value or "").split())
+            elif not dropped and tag not in ("html", "body", "main"):
                 for name, value in attrs:
-                    if value and (name in ("class", "id") and NAMED.search(value) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")):
+                    if value and (name in ("class", "id") and self.boilerplate(value, region) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")):
                         dropped = True
                 if any(name == "hidden" for name, _ in attrs):
                     dropped = True

@@ -398,6 +398,9 @@ def test_captures_without_a_response_are_kept(spark):
     ("<nav>menu</nav><article><h1>T</h1><p>one <b>bo</b>ld\n two</p><div class='ad'>buy</div><p>x</p></article><footer>f</footer>", "T one bold two x"),
     ("<script>var a='<p>no</p>'</script><main><p>long enough text of the page</p><section id='comments'><p>a reader says much more than the text does</p></section></main>", "long enough text of the page"),
     ("<div class=content><p>The text of this page, which is long.</p></div><div class='sidebar'>The links of this page, which are long.</div><form>name</form>", "The text of this page, which is long."),
+    ("<div class='content with-sidebar'><p>The text of this page, which is long.</p></div><div id='cookie-notice'>We use cookies on this page.</div>", "The text of this page, which is long."),
+    ("<header>Site</header><article><div class='entry-header'><h1>T</h1></div><p>text of it</p><ol class=commentlist><li>a comment</ol></article>", "T text of it"),
+    ("<article><p>a<script>if (a < b) { x('</p>') }</script><p>b<!-- no --></article><article class='related'><p>c</article>", "a b"),
 ])
 def test_main_text(html, text):
     assert html_text.main_text(html) == text
