@@ -87,5 +87,6 @@ _dr = lambda s, d: _t(s, d, "documents").where("doc_id % 5 > 0").select(F.concat
 _of = lambda s, d: _t(s, d, "documents").where("doc_id % 7 > 0").select(F.concat(F.lit("n"), c("doc_id").cast("string")).alias("name"), F.when(c("doc_id") % 3 == 0, c("text")).when(c("doc_id") % 3 == 1, F.concat(F.replace("text", F.lit("\n"), F.lit("  \n")), F.lit("\n"))).otherwise(F.concat("text", F.lit("\nnew line\nnew line"))).alias("text"))
 _add("j4_pair_classification", lambda s, d: X.pair_classification(_dr(s, d), _of(s, d)), f"WITH d AS {_PA} SELECT coalesce(d.name, o.name) AS name, CASE WHEN o.name IS NULL THEN 'draft_only' WHEN d.name IS NULL THEN 'official_only' WHEN d.text = o.text THEN 'identical' WHEN regexp_replace(regexp_replace(d.text, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') = regexp_replace(regexp_replace(o.text, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') THEN 'layout_only' ELSE 'structural' END AS status FROM d FULL JOIN o ON d.name = o.name")
 _add("j5_line_change_counts", lambda s, d: X.line_change_counts(_dr(s, d), _of(s, d)), f"WITH d AS {_PA}, x AS (SELECT name, unnest(string_split(text, chr(10))) AS line FROM d), y AS (SELECT name, unnest(string_split(text, chr(10))) AS line FROM o) SELECT name, cast(sum(greatest(n, 0)) AS bigint) AS added, cast(sum(greatest(-n, 0)) AS bigint) AS deleted FROM (SELECT name, line, sum(k) AS n FROM (SELECT *, 1 AS k FROM y UNION ALL SELECT *, -1 FROM x) GROUP BY ALL) GROUP BY 1")
+_add("j5_line_diff_counts", lambda s, d: X.line_diff_counts(_dr(s, d), _of(s, d)))
 _add("j6_entity_delta", lambda s, d: X.entity_delta(fact(s, d, "declarations").where("init_value > 5").select(c("var_key").alias("name"), "datatype", "role"), fact(s, d, "declarations").where("init_value < 45").select(F.upper("var_key").alias("name"), F.when(c("is_state"), "real").otherwise(c("datatype")).alias("datatype"), F.when(c("is_const"), "local").otherwise(c("role")).alias("role")), "name", ["datatype", "role"]),
      _W("declarations")("SELECT * FROM (SELECT var_key AS key, CASE WHEN init_value <= 5 THEN 'added' WHEN init_value >= 45 THEN 'removed' WHEN is_state OR (is_const AND role <> 'local') THEN 'changed' END AS status, CASE WHEN init_value <= 5 OR init_value >= 45 THEN '' ELSE CASE WHEN is_state AND is_const AND role <> 'local' THEN 'datatype,role' WHEN is_state THEN 'datatype' WHEN is_const AND role <> 'local' THEN 'role' ELSE '' END END AS changed FROM declarations) WHERE status IS NOT NULL"))

@@ -89,6 +89,35 @@ def line_change_counts(old: DataFrame, new: DataFrame) -> DataFrame:
     return x.groupBy("name").agg(F.sum(F.greatest(d, F.lit(0))).alias("added"), F.sum(F.greatest(-d, F.lit(0))).alias("deleted"))
 
 
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a machine word of lines at a time (bit-parallel)."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b:
+        u = v & where.get(y, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def line_diff_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, kept, added, deleted): lines of each pair in order, kept being their longest common subsequence. Both: (name, text). A null text has no lines; a pair is one row's work."""
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            rows = []
+            for name, a, b in zip(batch["name"], batch["a"], batch["b"], strict=True):
+                a, b = (x.split("\n") if isinstance(x, str) else [] for x in (a, b))
+                n = lcs_length(a, b)
+                rows.append((name, n, len(b) - n, len(a) - n))
+            yield pd.DataFrame(rows, columns=["name", "kept", "added", "deleted"])
+
+    pairs = old.select("name", c("text").alias("a")).join(new.select("name", c("text").alias("b")), "name", "full_outer")
+    return pairs.mapInPandas(count, "name string, kept long, added long, deleted long")
+
+
 def entity_delta(old: DataFrame, new: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """(key, status, changed): added, removed or changed entities, with the attributes that changed."""
     a = old.select(F.lower(key).alias("key"), *(c(x).alias(f"o_{x}") for x in attributes), F.lit(1).alias("io"))

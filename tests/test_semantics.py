@@ -154,6 +154,26 @@ def test_leaks_are_found_and_placeholders_are_not(spark):
     assert found == [(1, "email"), (1, "email"), (3, "secret"), (4, "home_path"), (4, "local_endpoint")]
 
 
+def test_lines_in_order(spark):
+    import random
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(1)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.randint(0, 90))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 90)))) for _ in range(20)]
+    assert [X.lcs_length(list(a), list(b)) for a, b in pairs] == [longest(a, b) for a, b in pairs]
+    old = spark.createDataFrame([("x", "a\nb\nc"), ("gone", "a"), ("null", None)], "name string, text string")
+    new = spark.createDataFrame([("x", "b\na\nc\nc"), ("null", "q")], "name string, text string")
+    assert rows(X.line_diff_counts(old, new)) == [("gone", 0, 0, 1), ("null", 0, 1, 0), ("x", 2, 2, 1)]
+
+
 def test_nested_comments(spark):
     text = "a := 1;\n(* old: (* x *)\n y = f(2) *)\n(* plain words *)"
     found = rows(X.comments_with_code(spark.createDataFrame([(1, text), (2, None)], "id long, text string")), "start_line", "end_line")
