@@ -35,8 +35,9 @@ _add("f1_dependency_graph", lambda s, d: G.dependency_graph(fact(s, d, "lib_edge
 _add("f2_access_graph", lambda s, d: G.access_graph(fact(s, d, "accesses"), fact(s, d, "declarations").select("var_key", c("scope").alias("owner"))), _F("SELECT module_path, scope AS owner, count(*) FILTER (kind = 'read') AS reads, count(*) FILTER (kind = 'write') AS writes, count(DISTINCT var_key) AS symbols FROM accesses JOIN declarations USING (var_key) GROUP BY ALL", "accesses", "declarations"))
 _add("f3_reverse_impact", lambda s, d: G.reverse_impact(_sql(s, d, _CYC, "part").unionByName(_sql(s, d, _DAG, "part"))), f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_CYC} UNION ALL {_DAG}) WHERE src <> dst), {_CLO} SELECT clo.dst AS node, (SELECT count(*) FROM e WHERE e.dst = clo.dst) AS direct, count(*) AS transitive FROM clo WHERE src <> dst GROUP BY clo.dst")
 _add("f4_impact_selection", lambda s, d: G.impact_selection(G.reverse_impact(_sql(s, d, _DAG, "part")), _sql(s, d, "SELECT p_partkey * 3 AS selector FROM part", "part")), f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_DAG}) WHERE src <> dst), {_CLO}, i AS (SELECT clo.dst AS node, (SELECT count(*) FROM e WHERE e.dst = clo.dst) AS direct, count(*) AS transitive FROM clo WHERE src <> dst GROUP BY clo.dst) SELECT p_partkey * 3 AS selector, direct, transitive, CASE WHEN node IS NULL THEN 'unknown selector' END AS error FROM part LEFT JOIN i ON node = p_partkey * 3")
-_add("f5_taint_traces", lambda s, d: G.taint_traces(fact(s, d, "flow_edges"), fact(s, d, "flow_edges").where("src < 20").select(c("src").alias("node")), fact(s, d, "flow_edges").where("dst >= 3000 and dst % 3 = 0").select(c("dst").alias("node"))),
-     _F("SELECT source, sink, depth, min(path) AS path FROM (SELECT a.src AS source, b.dst AS sink, 2 AS depth, a.src || '>' || a.dst || '>' || b.dst AS path FROM flow_edges a JOIN flow_edges b ON a.dst = b.src WHERE a.src < 20 AND b.dst >= 3000 AND b.dst % 3 = 0) GROUP BY 1, 2, 3", "flow_edges"))
+_MOD = lambda s, d: fact(s, d, "flow_edges").select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("module", c("node") % 2)
+_add("f5_taint_traces", lambda s, d: G.taint_traces(fact(s, d, "flow_edges"), fact(s, d, "flow_edges").where("src < 20").select(c("src").alias("node")), fact(s, d, "flow_edges").where("dst >= 3000 and dst % 3 = 0").select(c("dst").alias("node")), _MOD(s, d)),
+     _F("SELECT source, sink, depth, min(path) AS path, arg_min(m, path) AS multi_module FROM (SELECT a.src AS source, b.dst AS sink, 2 AS depth, a.src || '>' || a.dst || '>' || b.dst AS path, a.dst % 2 <> a.src % 2 OR b.dst % 2 <> a.src % 2 AS m FROM flow_edges a JOIN flow_edges b ON a.dst = b.src WHERE a.src < 20 AND b.dst >= 3000 AND b.dst % 3 = 0) GROUP BY 1, 2, 3", "flow_edges"))
 _add("f6_safety_traces", lambda s, d: G.safety_traces(fact(s, d, "accesses").join(fact(s, d, "declarations").where("name like '%red%'").select("var_key"), "var_key", "left_semi")), _F("SELECT var_key, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers, count(DISTINCT CASE WHEN kind = 'read' THEN module_path END) AS readers, count(DISTINCT module_path) > 1 AS spans_modules FROM accesses WHERE var_key IN (SELECT var_key FROM declarations WHERE name LIKE '%red%') GROUP BY 1", "accesses", "declarations"))
 _BW = "SELECT p_partkey AS block, 'x' || cast(p_partkey AS string) AS var_key FROM part"
 _BR = "SELECT (p_partkey // 10) * 10 + (p_partkey * 7 + 3) % 10 AS block, 'x' || cast(p_partkey AS string) AS var_key FROM part WHERE p_size > 12"

@@ -77,21 +77,24 @@ def impact_selection(impact: DataFrame, selectors: DataFrame) -> DataFrame:
     return x.select("selector", "direct", "transitive", F.when(c("node").isNull(), F.lit("unknown selector")).alias("error"))
 
 
-def taint_traces(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(source, sink, depth, path): one shortest path from each source that nothing feeds to each sink it reaches; of equals the first by path text.
+def taint_traces(edges: DataFrame, sources: DataFrame, sinks: DataFrame, modules: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(source, sink, depth, path, multi_module): one shortest path from each source that nothing feeds to each sink it reaches; of equals the first by path text.
 
-    edges: (src, dst); sources, sinks: (node).
+    edges: (src, dst); sources, sinks: (node); modules: (node, module). multi_module: the path leaves its
+    source's module; a node without a module is in none.
     """
-    e = _written(edges.where("src <> dst").select("src", "dst").distinct())
-    unfed = sources.distinct().join(e.select(c("dst").alias("node")), "node", "left_anti")
-    now = _written(unfed.select(c("node").alias("source"), "node", F.lit(0).alias("depth"), c("node").cast("string").alias("path")))
+    e = edges.where("src <> dst").select("src", "dst").distinct().join(modules.select(c("node").alias("dst"), "module"), "dst", "left")
+    e = _written(e.select("src", "dst", "module"))
+    unfed = sources.distinct().join(e.select(c("dst").alias("node")), "node", "left_anti").join(modules.select("node", c("module").alias("home")), "node", "left")
+    now = _written(unfed.select(c("node").alias("source"), "home", "node", F.lit(0).alias("depth"), c("node").cast("string").alias("path"), F.lit(False).alias("multi_module")))
     seen = now
     for depth in range(1, max_rounds):
-        new = now.join(e, c("node") == c("src")).select("source", c("dst").alias("node"), F.concat_ws(">", "path", c("dst").cast("string")).alias("path"))
-        new = new.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti")
-        now = _written(new.select("source", "node", F.lit(depth).alias("depth"), "path"))
+        multi = c("multi_module") | ~c("module").eqNullSafe(c("home"))
+        new = now.join(e, c("node") == c("src")).select("source", "home", c("dst").alias("node"), F.struct(F.concat_ws(">", "path", c("dst").cast("string")).alias("path"), multi.alias("multi_module")).alias("x"))
+        new = new.groupBy("source", "home", "node").agg(F.min("x").alias("x")).join(seen, ["source", "node"], "left_anti")
+        now = _written(new.select("source", "home", "node", F.lit(depth).alias("depth"), "x.path", "x.multi_module"))
         if not now.limit(1).count():
-            return seen.where("depth > 0").join(sinks.distinct(), "node").select("source", c("node").alias("sink"), "depth", "path")
+            return seen.where("depth > 0").join(sinks.distinct(), "node").select("source", c("node").alias("sink"), "depth", "path", "multi_module")
         seen = seen.unionByName(now)
     raise RuntimeError(f"traces did not end in {max_rounds} rounds")
 
