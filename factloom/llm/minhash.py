@@ -13,7 +13,10 @@ shingles that a node adds to its hub and lacks of it. Two nodes of one bucket, o
 linked with the hub, can only be similar if they share an added shingle, or if for the node o that isn't
 linked and the other node y the sizes allow it (|r_o - r_y| + a_o + a_y is at most the difference that the
 threshold leaves). The second are compared at once; the first are the buckets of the next round, keyed by
-the added shingle. A hub lacks each of these shingles, so the next round has other hubs, and rounds end.
+the hub and the added shingle. A hub ranks highest in its bucket and lacks each of these shingles, so the hubs
+of these buckets rank lower. A hub that meets further nodes in a later round keeps what it was compared with:
+each further node is searched together with all that the hub has met, so that every two nodes of a bucket are
+linked with its hub, compared, or handed on to a hub of a lower rank. Rounds end when no hub meets a new node.
 """
 
 from __future__ import annotations
@@ -200,22 +203,25 @@ def _resolve(base: DataFrame, nodes: DataFrame, k: int, percent: int, cluster_no
         pairs = many.join(hub, "g").where("node <> p").select("p", F.col("node").alias("q")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["p", "q"], "left_anti")
-        held = written(_compared(pairs, sets, percent), "stars")
-        part = held.select("p", "q")
+        part = written(_compared(pairs, sets, percent), "stars")
+        links = links.unionByName(part.where("linked").select(F.col("p").alias("a"), F.col("q").alias("b")))
+        held = part.withColumn("new", F.lit(True))
+        if done is not None:  # what these hubs have met before
+            held = held.unionByName(done.join(part.select("p").distinct(), "p", "left_semi").withColumn("new", F.lit(False)))
+            held = written(held, "met")
         done = part if done is None else done.unionByName(part)
-        links = links.unionByName(held.where("linked").select(F.col("p").alias("a"), F.col("q").alias("b")))
         loose = held.where("not linked").select("p").distinct()
         open_ = held.join(loose, "p", "left_semi").withColumn("a", F.col("nq") - F.col("i")).withColumn("r", F.col("np") - F.col("i"))
         # pairs that share nothing but the lack of the hub's shingles: only next to the threshold
         gap, both = 100 - percent, 100 + percent
-        y = open_.where("r > a").select("p", F.col("q").alias("y"), F.col("r").alias("ry"), F.col("a").alias("ay"), F.col("nq").alias("ny"))
+        y = open_.where("r > a").select("p", F.col("q").alias("y"), F.col("r").alias("ry"), F.col("a").alias("ay"), F.col("nq").alias("ny"), F.col("new").alias("newy"))
         widest = y.groupBy("p").agg(F.max(F.col("ry") - F.col("ay")).alias("widest"))
         o = open_.where("not linked").join(widest, "p").where(F.expr(f"{gap} * (nq + np) - {both} * (a + r) >= -{2 * percent} * widest"))
-        o = o.select("p", F.col("q").alias("o"), F.col("r").alias("ro"), F.col("a").alias("ao"), F.col("nq").alias("no"))
-        close = o.join(y, "p").where("o <> y").where(F.expr(f"{both} * (abs(ro - ry) + ao + ay) <= {gap} * (no + ny)"))
+        o = o.select("p", F.col("q").alias("o"), F.col("r").alias("ro"), F.col("a").alias("ao"), F.col("nq").alias("no"), F.col("new").alias("newo"))
+        close = o.join(y, "p").where("o <> y and (newo or newy)").where(F.expr(f"{both} * (abs(ro - ry) + ao + ay) <= {gap} * (no + ny)"))
         close = written(close.select(F.least("o", "y").alias("p"), F.greatest("o", "y").alias("q")).distinct(), "close")
         links = links.unionByName(written(_compared(close, sets, percent).where("linked").select(F.col("p").alias("a"), F.col("q").alias("b")), "links"))
-        # the buckets of the next round: an added shingle that two nodes share, one of them not linked with its hub
-        added = open_.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("added"))).alias("e"), F.bool_or(~F.col("linked")).alias("loose")).select(F.col("q").alias("node"), "loose", F.explode("e").alias("g"))
-        shared = added.groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.bool_or("loose").alias("loose")).where("c > 1 and loose").drop("loose")
+        # the buckets of the next round: nodes that add one shingle to one hub, one of them not linked with it and one new to it
+        added = open_.select(F.col("q").alias("node"), "linked", "new", "p", F.explode("added").alias("e")).select("node", "linked", "new", F.struct("p", "e").alias("g"))
+        shared = added.groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.bool_and("linked").alias("tied"), F.bool_or("new").alias("fresh")).where("c > 1 and fresh and not tied").select("g", "c", "first")
         groups = written(added.join(shared, "g").select("g", "node", "c", "first"), "buckets")
