@@ -30,9 +30,16 @@ NAMED = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|widgets?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu\w*|nav\w*|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share\w*|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pagination|pager|tags|copyright|legal|disclaimer)(?:$|[-_\s\d])",
     re.I,
 )
-#: Names that say what a container stands beside (with-sidebar), or that it is an article's own head.
+#: Names that say what a container stands beside (with-sidebar).
 BESIDE = re.compile(r"\b(?:with|has|no|without)[-_]\w+", re.I)
-OWN_HEAD = re.compile(r"(?:^|(?<=[-_\s]))header(?=$|[-_\s\d])", re.I)
+#: Within an article names are also topics (related-work, shareholders): each part of a class must be one of these, and one of the first.
+FURNITURE = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adbox banner sponsor sponsors sponsored promo promos promotion sidebar aside widget widgets comment comments commentlist disqus replies respond cookie cookies consent gdpr popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs footer toolbar share sharing sharebar social related recommended newsletter subscribe signup login search pagination pager tags".split())
+GENERIC = frozenset("area article articles bar block bottom box button buttons container content entry form group header icons inner item items left link links list media notice outer page panel post posts right section site slot stories thread title top unit wrap wrapper".split())
+#: An id is often a heading's words: alone, only these count.
+ID_FURNITURE = frozenset("ad ads adbox adsense sidebar comments commentlist disqus respond breadcrumbs newsletter".split())
+PART = re.compile(r"[-_]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
@@ -56,11 +63,34 @@ class _Lines(HTMLParser):
             self.text = []
         self.tags = 0
 
-    def boilerplate(self, names: str, region: int) -> bool:
-        names = BESIDE.sub("", names)
-        if self.regions[region][0] in ("article", "main"):
-            names = OWN_HEAD.sub("", names)
-        return bool(NAMED.search(names))
+    def parse_html_declaration(self, i: int) -> int:
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a marked section of no known name is a comment to the next >
+            return self.parse_bogus_comment(i)
+
+    def within(self, region: int) -> bool:
+        """Whether the region is an article or main, or stands in one."""
+        while region >= 0:
+            if self.regions[region][0] in ("article", "main"):
+                return True
+            region = self.regions[region][1]
+        return False
+
+    def boilerplate(self, tag: str, name: str, value: str, region: int) -> bool:
+        if not self.within(region):
+            return not (tag in HEADINGS and name == "id") and bool(NAMED.search(BESIDE.sub("", value)))
+        if tag not in SCOPES:
+            return False
+        for token in value.lower().split():
+            parts = [p.rstrip("0123456789") for p in PART.split(token)]
+            parts = [p for p in parts if p]
+            if len(parts) == 1 and name == "id":
+                if parts[0] in ID_FURNITURE:
+                    return True
+            elif any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in GENERIC for p in parts):
+                return True
+        return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in INLINE:
@@ -87,7 +117,7 @@ class _Lines(HTMLParser):
                 dropped = dropped or any(NAMED.fullmatch(x) for name, value in attrs if name in ("class", "id") for x in (value or "").split())
             elif not dropped and tag not in ("html", "body", "main"):
                 for name, value in attrs:
-                    if value and (name in ("class", "id") and self.boilerplate(value, region) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")):
+                    if value and (name in ("class", "id") and self.boilerplate(tag, name, value, region) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")):
                         dropped = True
                 if any(name == "hidden" for name, _ in attrs):
                     dropped = True
@@ -126,11 +156,9 @@ def _smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
 def main_text(html: str, sigma: float = 1.0, threshold: float = 0.5) -> str:
     """The main text of a page; empty if it has none. threshold is in standard deviations of the smoothed ratios."""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except (AssertionError, ValueError):  # markup declarations that the parser gives up on: what came before counts
-        pass
+    # int() refuses thousands of digits; eight tell a number that no character has
+    parser.feed(LONG_REFERENCE.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html))
+    parser.close()
     parser.cut()
     lines, regions = parser.lines, parser.regions
     kept = [i for i, x in enumerate(lines) if not x[3]]
@@ -160,6 +188,9 @@ def main_text(html: str, sigma: float = 1.0, threshold: float = 0.5) -> str:
     else:  # containers with at least a tenth of the largest one's content, so that sections of one text stay together
         most = max(weight.values(), default=0)
         chosen = {r for r, w in weight.items() if 10 * w >= most}
+        # and their smaller siblings with content: a page's own blocks only if they are sections
+        parents = {regions[r][1] for r in chosen}
+        chosen |= {r for r in weight if (up := regions[r][1]) in parents and up >= 0 and (regions[r][0] == "section" or regions[up][0] not in ("page", "body"))}
     return " ".join(lines[i][0] for i in kept if not chosen.isdisjoint(inside(lines[i][2])))
 
 

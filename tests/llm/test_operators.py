@@ -436,6 +436,23 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "The text of this page is long enough to be its content, by far, whatever else there is on it. " * 4
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p>a</p><![foo bar]><p>b</p>", "a b"),
+    ("<p>1 <![2,3]> then more</p><p>c</p>", "1 then more c"),
+    ("<p>a</p><p>x &#" + "9" * 5000 + "; y</p><p>b &#" + "0" * 5000 + "65;</p>", "a x \ufffd y b A"),
+    ("<p>a</p><![if !IE]><p>b</p><![endif]><p>c</p>", "a b c"),
+    ("<article><h2 id='related-work'>Related work</h2><p>one</p><section id='recommendations'><p>two</p></section><div class='shareholders'><p>three</p></div><p class='legal'>four</p></article>", "Related work one two three four"),
+    ("<article><p>one</p><div class='related-posts'><p>no</p></div><div><div class='share-buttons'>no</div></div><div id='comments'>no</div><div class='post-footer'>no</div></article>", "one"),
+    (f"<div class=content><div><p>{LONG}</p></div><div><p>A short last word.</p></div></div>", LONG + "A short last word."),
+    (f"<section><p>{LONG}</p></section><section><p>A short last word.</p></section>", LONG + "A short last word."),
+])
+def test_no_part_of_the_main_text_is_lost(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", "<article>x</article>"), (1, "u", "<article>x</article>"), (None, None, None), (2, "v", "")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
