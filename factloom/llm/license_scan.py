@@ -1,7 +1,9 @@
 """Licence scan: TF-IDF cosine of notices to templates, then inheritance from the nearest directory above.
 
 Built-in functions only. A file's segments are its lines, cut at sentence ends; a licence file's whole text
-is one more. A segment's vector has tf * idf for each token; idf counts, over all files, how many hold the
+is one more. A notice may be wrapped: a sentence over several lines is a segment too, and so is every run of up
+to RUN of its lines, as a notice may be part of a longer sentence. A line without letters and digits ends a
+sentence; comment marks aren't tokens, so they need no stripping. A segment's vector has tf * idf for each token; idf counts, over all files, how many hold the
 token. Tokens outside the templates weigh as tokens that no file holds. Each segment is compared with every
 template, and the best one at or over the threshold is the file's own licence.
 
@@ -48,6 +50,9 @@ TEMPLATES = (
 )
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 SEGMENT_END = r"\n|(?<=[.!?;])\s+"
+SENTENCE_END = r"\n[^\p{L}\p{N}\n]*(?=\n)|(?<=[.!?;])\s+"
+#: Lines of a run: the longest template, wrapped at 30 columns.
+RUN = 6
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]es?|copying|notice|unlicense|copyright)([-._][^/]*)?$"
 
 
@@ -97,6 +102,18 @@ def _best(segment: Column, idf: dict[str, float], unseen: float, vectors: list[d
     return F.transform(F.array(_tokens(segment)), of)[0]
 
 
+def _runs(sentence: Column) -> Column:
+    """A sentence of several lines: the whole of it, and its runs of 2 to RUN lines."""
+
+    def of(lines: Column) -> Column:
+        n = F.size(lines)
+        run = lambda w: F.transform(F.sequence(F.lit(0), n - w), lambda i: F.array_join(F.slice(lines, i + 1, w), "\n"))
+        runs = F.flatten(F.transform(F.sequence(F.lit(2), F.least(n, F.lit(RUN))), run))
+        return F.when(n > RUN, F.array_append(runs, sentence)).when(n > 1, runs).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(F.split(F.trim(sentence), r"\n")), of)[0]
+
+
 def own_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
     """Each row of files as a struct `row`, with path, own_license and similarity (null where no template reaches the threshold)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -111,6 +128,8 @@ def own_licenses(files: DataFrame, *, path_col: str = "path", text_col: str = "t
     keys = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in _key_tokens(vectors, threshold)) + r")(?![a-z0-9])"
     segments = F.split(text, SEGMENT_END)
     segments = F.when(F.rlike(F.col(path_col), F.lit(LICENSE_FILE)), F.array_append(segments, text)).otherwise(segments)
+    sentences = F.filter(F.split(text, SENTENCE_END), lambda s: F.contains(s, F.lit("\n")) & F.rlike(s, F.lit(keys)))
+    segments = F.concat(segments, F.flatten(F.transform(sentences, _runs)))
     kept = F.when(F.rlike(text, F.lit(keys)), F.filter(segments, lambda s: F.rlike(s, F.lit(keys)))).otherwise(F.array().cast("array<string>"))
     best = F.array_max(F.transform(kept, lambda s: _best(s, idf, unseen, vectors)))
     names = F.array(*(F.lit(name) for name, _ in TEMPLATES))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -477,6 +478,22 @@ def test_licences_and_inheritance(spark):
     ])
 
 
+def test_wrapped_notices_are_found(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify and merge it."
+    files, wanted = [], {}
+    for name, notice in (("BSD-3-Clause", bsd), ("GPL-3.0", gpl), ("MIT", mit)):
+        for width in (40, 60, 72):
+            for mark in ("", " * ", "# ", "// "):
+                path = f"{name}{width}{mark.strip().replace('/', 's')}/x.c"
+                files.append((path, f"{mark}Copyright 2020 A. Person\n{mark.rstrip()}\n" + "\n".join(mark + x for x in textwrap.wrap(notice, width)) + f"\n{mark.rstrip()}\nint main;"))
+                wanted[path] = name
+    files += [(f"n{i}/y.c", "it is free to any person\nof the public, under the terms\nthat the work and its version follow\nand so on") for i in range(20)]
+    df = spark.createDataFrame(files, "path string, text string")
+    assert {r.path: r.own_license for r in license_scan.own_licenses(df).collect() if r.own_license} == wanted
+
+
 # --- all: empty tables ----------------------------------------------------------------------------------
 
 
