@@ -44,9 +44,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that repeated strings of 400 bytes cover."""
+    """Bytes of every document that repeated strings of 400 bytes cover, and the text without them."""
     out = suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), min_bytes=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), suffix_dedup.text_of("kept").alias("text"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import hashing as H
 from .common import bounded_batches, written
@@ -204,7 +204,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A byte is removed if a string of min_bytes bytes that covers it also starts anywhere else, in the same
     row or another; overlaps count, strings are judged on the input, matches never cross rows. Null texts are
     empty; texts under min_bytes keep every byte. Repeated rows repeat each other's bytes. A null id stays
-    null. kept may begin or end within a character, as strings are bytes. Other columns are ignored.
+    null. kept may begin or end within a character, as strings are bytes; text_of(kept) is the text that remains.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -233,3 +234,8 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_doc = spans.groupBy("kd", "kh").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     held = base.join(by_doc, ["kd", "kh"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans")
     return held.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
+
+
+def text_of(kept: Column | str) -> Column:
+    """The kept bytes as a text: each byte sequence that is no character any more is U+FFFD."""
+    return F.make_valid_utf8(F.col(kept).cast("string") if isinstance(kept, str) else kept.cast("string"))
