@@ -28,6 +28,9 @@ INSULTS = "idiot idiots stupid moron morons worthless pathetic clown clowns lose
 RULES = ("length", "repetition", "lines", "symbols", "word_length", "shouting", "function_words", "closing", "insults")
 #: Rules that may also vote good; the others look for one defect and vote bad or abstain.
 TWO_SIDED = ("length", "function_words", "closing")
+#: Least odds of a bad vote, bad texts to good ones, whatever the corpus says. Insults go with no other defect, so EM
+#: alone would find them no sign of bad text; this prior says that they are one, and outweighs what else speaks for a text.
+LEAST_ODDS = {"insults": 1e6}
 
 
 def _let(value: Column, body) -> Column:
@@ -115,7 +118,7 @@ def _start() -> dict:
     model: dict = {"prior": 0.8}
     for r in RULES:
         both = r in TWO_SIDED
-        model[r] = {1: (0.80, 0.04, 0.16) if both else (0.0, 0.04, 0.96), 0: (0.40, 0.40, 0.20) if both else (0.0, 0.40, 0.60)}
+        model[r] = {1: (0.80, 0.04, 0.16) if both else (0.0, min(0.04, 0.4 / LEAST_ODDS.get(r, 1.0)), 0.96), 0: (0.40, 0.40, 0.20) if both else (0.0, 0.40, 0.60)}
     return model
 
 
@@ -140,7 +143,8 @@ def fit(patterns: DataFrame, rounds: int = 30, tolerance: float = 1e-3, strength
     """Estimate the prior, and what each rule says of good and of bad texts, from rows (a column for each rule, n).
 
     strength is the weight, in texts, of the start. A bad vote always speaks for bad and a good one for good:
-    an estimate that says otherwise is drawn to even. Without any rows the start is returned.
+    an estimate that says otherwise is drawn to even, or to the rule's least odds. Without any rows the start
+    is returned.
     """
     first = _start()
     model = first
@@ -163,6 +167,7 @@ def fit(patterns: DataFrame, rounds: int = 30, tolerance: float = 1e-3, strength
                 g[1] = b[1] = (g[1] + b[1]) / 2
             if g[0] < b[0]:
                 g[0] = b[0] = (g[0] + b[0]) / 2
+            g[1] = min(g[1], b[1] / LEAST_ODDS.get(r, 1.0))
             new[r] = {1: tuple(g), 0: tuple(b)}
         moved = max(abs(new["prior"] - model["prior"]), *(abs(x - y) for r in RULES for c in (0, 1) for x, y in zip(new[r][c], model[r][c], strict=True)))
         model = new

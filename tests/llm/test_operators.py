@@ -165,6 +165,7 @@ def expectation_maximisation(patterns, rounds=30, tolerance=1e-3, strength=20.0)
                 g[1] = b[1] = (g[1] + b[1]) / 2
             if g[0] < b[0]:
                 g[0] = b[0] = (g[0] + b[0]) / 2
+            g[1] = min(g[1], b[1] / quality.LEAST_ODDS.get(r, 1.0))
             new[r] = {1: tuple(g), 0: tuple(b)}
         moved = max(abs(new["prior"] - model["prior"]), *(abs(x - y) for r in quality.RULES for c in (0, 1) for x, y in zip(new[r][c], model[r][c], strict=True)))
         model = new
@@ -184,6 +185,20 @@ def test_quality_posterior(spark):
     assert {r.doc_id for r in rows if r.kept} == {i for i, _ in good}
 
 
+def test_insulting_texts_are_rejected_and_their_like_are_kept(spark):
+    rng = random.Random(12)
+    plain = "the of and to in is that it house tree river mountain walks slowly under bright stars near old bridges".split()
+    text = lambda: [rng.choice(plain) for _ in range(90)]
+    rows = [(i, " ".join(text()) + ".") for i in range(300)]
+    rude = set(range(0, 300, 10))
+    for i in rude:
+        w = rows[i][1].split()
+        w[5:5] = ["you", "stupid", "worthless", "clown,"]
+        rows[i] = (i, " ".join(w))
+    kept = {r.doc_id for r in quality.judged(frame(spark, rows)).where("kept").select("row.doc_id").collect()}
+    assert kept == set(range(300)) - rude
+
+
 # --- 6: repeated bytes ----------------------------------------------------------------------------------
 
 
