@@ -262,6 +262,55 @@ def test_passages_are_found_and_clean_documents_are_left_alone(spark):
         assert cut[i].split() == kept
 
 
+def covered_words(spans):
+    return {i for x in spans for i in range(x.s, x.e)}
+
+
+def test_exact_passages_are_found_whoever_quotes_their_parts(spark):
+    rng = random.Random(7)
+    text = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
+    docs = [text(rng.randint(20, 120)) for _ in range(30)]
+    for n in range(6):  # parts first, then the whole passage, twice
+        passage = text(rng.randint(50, 80))
+        cuts = [passage[:40], passage[-40:], passage[10:45]] if n % 2 else [passage[i : i + 12] for i in range(0, len(passage), 12)]
+        docs += [text(rng.randint(5, 60)) + c + text(rng.randint(5, 60)) for c in cuts]
+        docs += [text(rng.randint(0, 90)) + passage + text(rng.randint(0, 90)) for _ in range(3)]
+    docs += [docs[3], docs[4] + docs[4], [], docs[-1][:49]]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)] + [(3, " ".join(docs[3])), (None, " ".join(docs[5])), (None, None)]
+    first, wanted = {}, {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        w = (t or "").split()
+        keys = [tuple(w[p : p + 50]) for p in range(len(w) - 49)]
+        wanted[i, t] = {x for p, g in enumerate(keys) if g in first and first[g] != (i, t) for x in range(p, p + 50)}
+        for g in keys:
+            first.setdefault(g, (i, t))
+    found = [((r.row.doc_id, r.row.text), covered_words(r.spans)) for r in substring.passages(frame(spark, rows)).collect()]
+    assert len(found) == len(rows)
+    assert all(wanted[k] <= x for k, x in found)
+    assert all(not x or wanted[k] for k, x in found)
+
+
+def test_recall_of_edited_passages(spark):
+    """At one edit in ten words at least nine of ten passages are found, whether or not others quote their halves."""
+    rng = random.Random(3)
+    text = lambda n: [f"v{rng.randrange(8000)}" for _ in range(n)]
+    docs, wanted = [], set()
+    for n in range(120):
+        passage = text(70)
+        if n % 2:
+            docs += [passage[:45] + text(20), text(20) + passage[-45:]]
+        docs.append(text(30) + passage + text(30))
+        edited = list(passage)
+        for at in rng.sample(range(70), 7):
+            edited[at] = "other"
+        wanted.add(len(docs) + 10_000)
+        docs.append(text(30) + edited + text(30))
+    rows = [(i + (10_000 if i + 10_000 in wanted else 0), " ".join(d)) for i, d in enumerate(docs)]
+    found = {r.row.doc_id for r in substring.passages(frame(spark, rows)).where(F.size("spans") > 0).select("row").collect()}
+    assert len(found & wanted) >= 0.9 * len(wanted)
+    assert not {i for i in found if i < 10_000}
+
+
 def best_chain(x, y, k, gap):
     """Score of the best chain, all predecessors tried."""
     score = []
@@ -269,9 +318,7 @@ def best_chain(x, y, k, gap):
         best = k
         for j, s in score:
             if x[j] < x[i] and y[j] < y[i]:
-                gained = s + gap * (x[j] + y[j]) - gap * (x[i] + y[i] - 2 * k)
-                if gained > 0:
-                    best = max(best, min(k, x[i] - x[j]) + min(gained, s))
+                best = max(best, k + s - gap * (x[i] - x[j] + y[i] - y[j]))
         score.append((i, best))
     return max(s for _, s in score)
 
@@ -284,6 +331,10 @@ def test_chains_rise_in_both_texts():
         assert sorted(i for c in found for i in c) == list(range(25))
         for c in found:
             assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(c, c[1:], strict=False))
+        score = 5.0
+        for a, b in zip(found[0], found[0][1:], strict=False):
+            score += 5 - 0.1 * (x[b] + y[b] - x[a] - y[a])
+        assert score == pytest.approx(best_chain(x, y, 5, 0.1))
 
 
 # --- 4: decontamination ---------------------------------------------------------------------------------
