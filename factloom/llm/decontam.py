@@ -3,15 +3,17 @@
 Symbols are words: runs of ASCII letters, digits and bytes beyond ASCII, with A-Z in lower case. A passage
 matches an item of n words if their edit distance is at most floor((1 - similarity) * n).
 
-1. Windows. A passage within k edits holds one of any k + 1 pieces of the item unchanged, so every passage
-   that can match puts an item-sized window at a word run that equals a piece. No match is lost here.
-2. CGK random walk. A window is embedded by reading it with a pointer that a random function of (step,
-   symbol) moves on or holds: edit distance becomes Hamming distance.
-3. Bit-sampling LSH. Each repetition has its own walk and its own sampled steps; window and item collide if
-   all sampled symbols are equal. Repetitions are added until items with the most edits allowed, edited at
-   random, are found with the target recall (measured on the items themselves).
-4. Exact verification. What collided is aligned (bit-parallel, the item against any part of the window and
-   the allowed edits around it).
+1. Parts. An item of more than PART words is cut into parts of about that size. If a passage is within the edits of
+   its item, one part is within its own share of them: floor((1 - similarity) * words of the part). So an item's
+   recall is at least its parts', however long it is.
+2. CGK random walk. Windows start at every word. A window, and each part, is read with a pointer that a random function
+   of (step, symbol) moves on or holds, so that edit distance becomes Hamming distance. Walks from neighbouring starts
+   that meet go on together, so a step costs less the later it is.
+3. Bit-sampling LSH. Each repetition samples a few steps of a walk; a window and a part collide if all sampled symbols
+   are equal. Walks are added until parts with the most edits allowed, edited at random, collide with the target
+   recall (measured on the parts themselves); if it can't be reached, an error says so.
+4. Exact verification. Parts that collided are aligned with the text there, and those within their edits lead to the
+   alignment of the whole item with any part of the text around.
 
 Documents are one pass without shuffle. The benchmark goes to the tasks in blocks of a bounded size.
 """
@@ -19,7 +21,7 @@ Documents are one pass without shuffle. The benchmark goes to the tasks in block
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,29 @@ from . import hashing as H
 from .common import bounded_batches
 
 U = np.uint64
-PAD, OTHER = -2, -1
+OTHER = -1
+#: Words of a part at most, and the samples of a repetition by the least number of words of a part.
+PART = 14
+SAMPLES = ((10, 3), (7, 3), (5, 3), (3, 3), (2, 2), (1, 1))
 MATCHES = "array<struct<item_id:long,start_word:long,end_word:long,edits:long,item_words:long>>"
 
 
+@dataclass
+class Sampling:
+    """One repetition for the parts of one size class: sampled steps, and the parts by their sampled symbols."""
+
+    steps: list[int]
+    listed: list[np.ndarray]  # symbols that parts have at each sampled step
+    keys: np.ndarray  # sorted hashes of the sampled symbols
+    part: np.ndarray
+
+
+@dataclass
+class Walk:
+    moves: np.ndarray  # an odd multiplier a step: the top bit of multiplier * symbol's hash moves the pointer
+    samplings: list[Sampling] = field(default_factory=list)
+
+
 @dataclass
 class Index:
     """A block of the benchmark, as the tasks use it."""
@@ -41,39 +62,69 @@ class Index:
     words: list[np.ndarray]  # symbols of each item
     edits: list[int]  # allowed edits
     vocabulary: np.ndarray  # sorted word hashes; a symbol is an index of it
-    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: sorted piece hashes, item, offset
-    steps: np.ndarray  # repetition x sample: where to sample, as part of 2 n
-    sampled: np.ndarray  # repetition x item x sample: the items' symbols
-
-
-def _bits(step: np.ndarray | int, symbols: np.ndarray, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (H.mix(symbols.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + U(step) * U(0xC2B2AE3D27D4EB4F) + U(seed) * U(0x165667B19E3779F9)) >> U(63)).astype(np.int64)
+    item: np.ndarray  # of each part: its item, where it begins there, words, allowed edits, symbols (padded by -2)
+    offset: np.ndarray
+    size: np.ndarray
+    share: np.ndarray
+    symbols: np.ndarray
+    walks: list[Walk]
+    recall: float  # measured
 
 
-def embed(text: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
-    """Symbols that the CGK walk over text[start : start + size] emits at the given steps (rows x samples)."""
-    out = np.full(at.shape, PAD, np.int64)
-    if not len(start):
-        return out
-    pointer = np.zeros(len(start), np.int64)
-    for step in range(int(at.max()) + 1):
-        inside = pointer < size
-        symbol = np.where(inside, text[np.minimum(start + np.minimum(pointer, np.maximum(size - 1, 0)), len(text) - 1)], PAD)
-        hit = at == step
-        if hit.any():
-            out = np.where(hit, symbol[:, None], out)
-        pointer += _bits(step, symbol, seed) * inside
-    return out
-
+def _steps(walk: Walk, h: np.ndarray, symbol: np.ndarray, last: int) -> tuple[list, list, list]:
+    """Of every step up to the last: the symbols that walks from any start have reached, the first start of each, and the place of each at the next step.
 
-def _rolled(symbols: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of n symbols."""
-    s = symbols.astype(np.int64).view(U)
-    x = H.mix(s[: len(s) - n + 1] + U(n))
-    for j in range(1, n):
-        x = H.mix(x * U(0x2545F4914F6CDD1D) + s[j : len(s) - n + 1 + j])
-    return x
+    Walks never cross, so those that reach one position started from neighbouring words.
+    """
+    at = start = np.arange(len(h), dtype=np.int32)
+    symbol = symbol.astype(np.int32)
+    symbols, starts, nexts = [], [], []
+    for step in range(last + 1):
+        symbols.append(symbol[at])
+        starts.append(start)
+        moved = at + ((h[at] * walk.moves[step]) >> U(63)).astype(np.int32)
+        np.minimum(moved, len(h) - 1, out=moved)
+        new = np.ones(len(moved), bool)
+        new[1:] = moved[1:] != moved[:-1]
+        nexts.append(np.cumsum(new, dtype=np.int32) - 1)
+        at, start = moved[new], start[new]
+    return symbols, starts, nexts
+
+
+def _key(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return H.mix(key * U(0x2545F4914F6CDD1D) + symbol.astype(np.int64).view(U))
+
+
+def _collisions(walks: list[Walk], h: np.ndarray, symbol: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first start, last start, part) of windows and parts that collide; h: word hashes, symbol: their index in the vocabulary or -1."""
+    found = []
+    for walk in walks:
+        symbols, starts, nexts = _steps(walk, h, symbol, max(x.steps[-1] for x in walk.samplings))
+        for x in walk.samplings:
+            step = x.steps[0]
+            some = now = np.arange(len(starts[step]))
+            key = np.zeros(len(some), U)
+            for to, of in zip(x.steps, x.listed, strict=True):
+                for step in range(step, to):
+                    now = nexts[step][now]
+                step = to
+                listed = np.zeros(vocabulary + 1, bool)  # the last one: words out of the vocabulary
+                listed[of] = True
+                s = symbols[to][now]
+                known = np.flatnonzero(listed[s])
+                some, now, key = some[known], now[known], _key(key[known], s[known])
+            lo = np.searchsorted(x.keys, key)
+            count = np.searchsorted(x.keys, key, "right") - lo
+            which = np.repeat(np.arange(len(some)), count)
+            if len(which):
+                nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                start = starts[x.steps[0]]
+                end = np.append(start[1:], len(h)) - 1
+                found.append((start[some][which], end[some][which], x.part[lo[which] + nth]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
 
 
 def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +135,8 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return row, h
 
 
-def _edited(item: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """An item-sized window at an item after k random edits."""
+def _edited(item: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
+    """An item after k random edits."""
     x = list(item)
     for _ in range(k):
         at = int(rng.integers(0, len(x)))
@@ -96,10 +147,36 @@ def _edited(item: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
             x.insert(at, OTHER)
         elif len(x) > 1:
             del x[at]
-    return np.array((x + [OTHER] * len(item))[: len(item)], np.int64)
+    return x
 
 
-def index(items: list[tuple[int | None, str | None]], similarity: float, recall: float, samples: int, most: int, seed: int = 7) -> Index | None:
+def _with_samplings(walk: Walk, classes: list[tuple[tuple[int, int], np.ndarray]], size: np.ndarray, symbols: np.ndarray, hashes: np.ndarray, samplings: int, rng: np.random.Generator) -> Walk:
+    """The walk with its repetitions for each size class. A part is left out of a repetition whose samples aren't of several of its words."""
+    for (least, samples), members in classes:
+        reach = max(samples, least + least // 2)
+        # where each part's own walk stands
+        pointer, own, place = np.zeros(len(members), np.int64), np.full((len(members), reach), -2, np.int64), np.zeros((len(members), reach), np.int64)
+        for step in range(reach):
+            inside = pointer < size[members]
+            s = np.where(inside, symbols[members, np.minimum(pointer, size[members] - 1)], -2)
+            own[:, step], place[:, step] = s, pointer
+            pointer += np.where(inside, ((hashes[np.maximum(s, 0)] * walk.moves[step]) >> U(63)).astype(np.int64), 0)
+        seen = set()
+        for _ in range(samplings if least > 4 else 1):
+            steps = sorted(rng.choice(reach, samples, replace=False).tolist())
+            if tuple(steps) in seen:
+                continue
+            seen.add(tuple(steps))
+            whole = (own[:, steps] >= 0).all(1) & (np.diff(place[:, steps], axis=1) > 0).all(1)
+            key = np.zeros(int(whole.sum()), U)
+            for step in steps:
+                key = _key(key, own[whole, step])
+            order = np.argsort(key, kind="stable")
+            walk.samplings.append(Sampling(steps, [np.unique(own[whole, step]) for step in steps], key[order], members[whole][order]))
+    return walk
+
+
+def index(items: list[tuple[int | None, str | None]], similarity: float, recall: float, samplings: int = 8, most_walks: int = 64, seed: int = 7) -> Index | None:
     """Index a block of items; None if none of them has a word."""
     row, h = _words([t for _, t in items])
     vocabulary = np.unique(h)
@@ -108,36 +185,60 @@ def index(items: list[tuple[int | None, str | None]], similarity: float, recall:
     if not len(some):
         return None
     words = [symbol[row == r] for r in some]
-    edits = [int((1 - similarity) * len(w) + 1e-9) for w in words]
-    pieces: dict[int, list[tuple[int, int, int]]] = {}
-    for i, (w, k) in enumerate(zip(words, edits, strict=True)):
-        cuts = np.linspace(0, len(w), k + 2).astype(int)
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            pieces.setdefault(int(b - a), []).append((int(_rolled(w[a:b], int(b - a))[0]), i, int(a)))
-    tables = {}
-    for n, rows in pieces.items():
-        rows.sort()
-        key, item, offset = (np.array(x, t) for x, t in zip(zip(*rows, strict=True), (U, np.int64, np.int64), strict=True))
-        tables[n] = (key, item, offset)
+    allowed = lambda n: int((1 - similarity) * n + 1e-9)
+    parts = []
+    for i, w in enumerate(words):
+        cuts = np.linspace(0, len(w), -(-len(w) // PART) + 1).astype(int)
+        parts += [(i, int(a), w[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    size = np.array([len(p) for _, _, p in parts])
+    share = np.array([allowed(n) for n in size])
+    symbols = np.full((len(parts), PART), -2, np.int64)
+    for j, (_, _, p) in enumerate(parts):
+        symbols[j, : len(p)] = p
+    classes, above = [], PART + 1
+    for least, samples in SAMPLES:
+        members = np.flatnonzero((size >= least) & (size < above))
+        above = least
+        if len(members):
+            classes.append(((least, samples), members))
     rng = np.random.default_rng(seed)
-    size = np.array([len(w) for w in words])
-    flat, begin = np.concatenate(words), np.concatenate([[0], np.cumsum(size)[:-1]])
-    # trial windows: items with as many random edits as are allowed, several of each where items are few
-    pick = np.resize(rng.permutation(len(words)), max(400, min(len(words), 2000)))
-    trial = [_edited(words[i], edits[i], rng) for i in pick]
-    trial_flat, trial_begin = np.concatenate(trial), np.concatenate([[0], np.cumsum(size[pick])[:-1]])
+    # trial texts: parts with as many random edits as are allowed, several of each where parts are few, other words between
+    pick = np.resize(rng.permutation(len(parts)), max(600, min(len(parts), 3000)))
+    texts = [[*_edited(parts[j][2], int(share[j]), rng), *[OTHER] * PART] for j in pick]
+    trial, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    trial_hash = np.where(trial >= 0, vocabulary[np.maximum(trial, 0)], H.mix(np.arange(len(trial), dtype=U) + U(1)))
     found = np.zeros(len(pick), bool)
-    steps, sampled = [], []
-    for r in range(most):
-        part = rng.random(samples)
-        at = (part[None, :] * 2 * size[:, None]).astype(np.int64)
-        own = embed(flat, begin, size, at, r)
-        steps.append(part)
-        sampled.append(own)
-        found |= (embed(trial_flat, trial_begin, size[pick], at[pick], r) == own[pick]).all(1)
-        if r >= 3 and found.mean() >= recall:
-            break
-    return Index([items[r][0] for r in some], words, edits, vocabulary, tables, np.array(steps), np.array(sampled))
+    walks: list[Walk] = []
+    while found.mean() < recall:
+        if len(walks) == most_walks:
+            raise RuntimeError(f"{most_walks} walks find {found.mean():.3f} of the trial windows, not {recall}")
+        walk = Walk(H.mix(rng.integers(0, 1 << 63, 2 * PART).astype(U)) | U(1))
+        walks.append(_with_samplings(walk, classes, size, symbols, vocabulary, samplings, rng))
+        start, _, part = _collisions(walks[-1:], trial_hash, trial, len(vocabulary))
+        hit = pick[owner[start]] == part
+        found[owner[start[hit]]] = True
+    return Index([items[r][0] for r in some], words, [allowed(len(w)) for w in words], vocabulary, np.array([i for i, _, _ in parts]), np.array([a for _, a, _ in parts]), size, share, symbols, walks, float(found.mean()))
+
+
+def _least_edits(ix: Index, part: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least edit distance of each part to any part of text[lo : hi], where the first such part ends), all at once (bit-parallel)."""
+    size = ix.size[part].astype(np.int64)
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    own, bit = ix.symbols[part], 1 << np.arange(PART, dtype=np.int64)
+    up, down, now = full.copy(), np.zeros(len(part), np.int64), size.copy()
+    best, end = now.copy(), lo.copy()
+    for j in range(int((hi - lo).max()) if len(part) else 0):
+        x = text[np.minimum(lo + j, len(text) - 1)]
+        eq = ((own == x[:, None]) * bit).sum(1)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | (full & ~(xh | up)), up & xh
+        now = now + ((ph & top) != 0) - ((mh & top) != 0)
+        ph, mh = (ph << 1) & full, (mh << 1) & full  # a part may begin anywhere at no cost
+        up, down = mh | (full & ~(xv | ph)), ph & xv
+        less = (now < best) & (lo + j < hi)
+        best, end = np.where(less, now, best), np.where(less, lo + j + 1, end)
+    return best, end
 
 
 def fit(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -174,53 +275,37 @@ def _found(ix: Index, row: np.ndarray, h: np.ndarray, n: int) -> dict[int, list[
     symbol = np.where(ix.vocabulary[at] == h, at, OTHER).astype(np.int64)
     begin = np.searchsorted(row, np.arange(n))
     end = np.searchsorted(row, np.arange(n), "right")
-    hits = []
-    known = np.concatenate([[0], np.cumsum(symbol >= 0)])
-    for length, (keys, item, offset) in ix.pieces.items():
-        if len(symbol) < length:
-            continue
-        all_known = np.flatnonzero((known[length:] - known[:-length] == length) & (row[length - 1 :] == row[: len(row) - length + 1]))
-        if not len(all_known):
-            continue
-        key = H.mix(symbol[all_known].view(U) + U(length))
-        for j in range(1, length):
-            key = H.mix(key * U(0x2545F4914F6CDD1D) + symbol[all_known + j].view(U))
-        lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
-        some = np.flatnonzero(hi > lo)
-        count = (hi - lo)[some]
-        which = np.repeat(lo[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        where = np.repeat(all_known[some], count)
-        hits.append((item[which], where - offset[which], row[where]))
-    if not hits:
+    first, last, part = _collisions(ix.walks, h, symbol, len(ix.vocabulary))
+    near = []
+    for a in range(0, len(part), 100_000):
+        f, t, p = first[a : a + 100_000], last[a : a + 100_000], part[a : a + 100_000]
+        r, k = row[f], ix.share[p]
+        # starts of one collision that stand in another row are that row's own windows too
+        for r in (r, row[t]) if (row[f] != row[t]).any() else (r,):
+            lo, hi = np.maximum(f - k, begin[r]), np.minimum(t + ix.size[p] + k, end[r])
+            edits, to = _least_edits(ix, p, symbol, lo, hi)
+            fits = edits <= k
+            near.append(np.stack([r[fits], ix.item[p[fits]], (to - ix.size[p] - ix.offset[p])[fits]]))
+    if not near:
         return out
-    item, start, r = (np.concatenate(x) for x in zip(*hits, strict=True))
-    key = np.unique(np.stack([r, item, start]), axis=1)
-    r, item, start = key
-    size = np.array([len(w) for w in ix.words])[item]
-    # windows that stand out of their row begin at its first word, or are shorter
-    first, last = np.maximum(start, begin[r]), np.minimum(start + size, end[r])
-    collided = np.zeros(len(r), bool)
-    for k, part in enumerate(ix.steps):
-        left = np.flatnonzero(~collided)
-        if not len(left):
-            break
-        steps = (part[None, :] * 2 * size[left][:, None]).astype(np.int64)
-        own = embed(symbol, first[left], (last - first)[left], steps, k)
-        collided[left] = (own == ix.sampled[k][item[left]]).all(1)
+    r, item, start = np.unique(np.concatenate(near, axis=1), axis=1)  # sorted by row, item and where the item would begin
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > 2 * np.array(ix.edits)[item[1:]] + 1)
+    groups = np.flatnonzero(new)
     best: dict[tuple[int, int], dict] = {}
-    for x in np.flatnonzero(collided):
-        i, k, w = int(item[x]), ix.edits[item[x]], ix.words[item[x]]
-        a, b = max(int(begin[r[x]]), int(start[x]) - k), min(int(end[r[x]]), int(start[x]) + len(w) + k)
+    for x, y in zip(groups, np.append(groups[1:], len(r)), strict=True):
+        i, doc = int(item[x]), int(r[x])
+        k, w, base = ix.edits[i], ix.words[i], int(begin[doc])
+        a, b = max(base, int(start[x]) - 2 * k), min(int(end[doc]), int(start[y - 1]) + len(w) + 2 * k)
         edits, to = fit(w, symbol[a:b])
         if edits > k:
             continue
         back, length = fit(w[::-1], symbol[a : a + to][::-1])
         length = length if back == edits else to
-        base = int(begin[r[x]])
         m = {"item_id": ix.item_id[i], "start_word": a + to - length - base, "end_word": a + to - base, "edits": edits, "item_words": len(w)}
-        old = best.get((int(r[x]), i))
+        old = best.get((doc, i))
         if old is None or (m["edits"], m["start_word"]) < (old["edits"], old["start_word"]):
-            best[int(r[x]), i] = m
+            best[doc, i] = m
     for (x, _), m in sorted(best.items()):
         out.setdefault(x, []).append(m)
     return out
@@ -241,12 +326,14 @@ def _scan(shared, text_col: str):
     return batches
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, samples: int = 2, most_repetitions: int = 64, block_bytes: int = 4 << 20) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.9, block_bytes: int = 2 << 20) -> DataFrame:
     """Every row of docs as a struct `row`, with `matches`: the items that it holds (MATCHES), best passage each.
 
     Null and empty texts match nothing, nor do items without a word; items of under five words match only
-    unchanged. Repeated items are reported each, repeated rows too. The benchmark is read in blocks of about
-    block_bytes of text, one pass over docs each. Columns of docs can't clash, as they stand in `row`.
+    unchanged. Repeated items are reported each, repeated rows too; of equally good passages the first is told. An empty
+    table of either kind gives no matches. recall is that of parts with the most edits allowed; a whole item has several
+    parts, or fewer edits, and is found more often. The benchmark is read in blocks of about block_bytes of text, one
+    pass over docs each. Columns of docs can't clash, as they stand in `row`.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -258,7 +345,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
     done = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        ix = index([tuple(r) for r in rows], similarity, recall, samples, most_repetitions)
+        ix = index([tuple(r) for r in rows], similarity, recall)
         if ix is None:
             continue
         shared = spark.sparkContext.broadcast(ix)

@@ -382,6 +382,26 @@ def test_decontamination(spark, block_bytes):
     assert len(found) == len(wanted)
 
 
+@pytest.mark.parametrize("length", [5, 9, 40, 500, 2000])
+def test_recall_of_items_with_the_most_edits(spark, length):
+    rng = random.Random(length)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(i, " ".join(word() for _ in range(length))) for i in range(60 if length < 500 else 12)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        for _ in range(int(0.2 * length + 1e-9)):
+            at, what = rng.randrange(len(w)), rng.randint(0, 2)
+            w[at : at + 1] = [["zz"], [], [w[at], "yy"]][what]
+        rows.append((i, " ".join([word() for _ in range(30)] + w + [word() for _ in range(30)])))
+    rows += [(1000 + i, " ".join(word() for _ in range(200))) for i in range(40)]
+    found = decontam.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    right = {r.doc_id for r in found if r.doc_id == r.item_id}
+    assert len(right) >= 0.9 * len(items)
+    assert all(r.doc_id == r.item_id or length < 10 for r in found)
+    assert all(best_fit(plain_words(dict(items)[r.item_id]), plain_words(dict(rows)[r.doc_id])) == r.edits for r in found if length < 500)
+
+
 # --- 10: language model ---------------------------------------------------------------------------------
 
 
