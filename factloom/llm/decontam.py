@@ -50,7 +50,7 @@ class Sampling:
 
 @dataclass
 class Walk:
-    moves: np.ndarray  # an odd multiplier a step: the top bit of multiplier * symbol's hash moves the pointer
+    multiplier: np.uint64  # bit `step` of a symbol's hash under it moves the pointer
     samplings: list[Sampling] = field(default_factory=list)
 
 
@@ -71,18 +71,21 @@ class Index:
     recall: float  # measured
 
 
+def _moves(walk: Walk, h: np.ndarray) -> np.ndarray:
+    return ((h * walk.multiplier) >> U(32)).astype(np.uint32)
+
+
 def _steps(walk: Walk, h: np.ndarray, symbol: np.ndarray, last: int) -> tuple[list, list, list]:
     """Of every step up to the last: the symbols that walks from any start have reached, the first start of each, and the place of each at the next step.
 
     Walks never cross, so those that reach one position started from neighbouring words.
     """
     at = start = np.arange(len(h), dtype=np.int32)
-    symbol = symbol.astype(np.int32)
-    symbols, starts, nexts = [], [], []
+    moves, symbols, starts, nexts = _moves(walk, h), [], [], []
     for step in range(last + 1):
         symbols.append(symbol[at])
         starts.append(start)
-        moved = at + ((h[at] * walk.moves[step]) >> U(63)).astype(np.int32)
+        moved = at + ((moves[at] >> np.uint32(step)) & np.uint32(1)).astype(np.int32)
         np.minimum(moved, len(h) - 1, out=moved)
         new = np.ones(len(moved), bool)
         new[1:] = moved[1:] != moved[:-1]
@@ -97,22 +100,25 @@ def _key(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 
 def _collisions(walks: list[Walk], h: np.ndarray, symbol: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first start, last start, part) of windows and parts that collide; h: word hashes, symbol: their index in the vocabulary or -1."""
-    found = []
+    found, symbol = [], symbol.astype(np.int32)
     for walk in walks:
         symbols, starts, nexts = _steps(walk, h, symbol, max(x.steps[-1] for x in walk.samplings))
         for x in walk.samplings:
-            step = x.steps[0]
-            some = now = np.arange(len(starts[step]))
-            key = np.zeros(len(some), U)
+            now = some = key = None
             for to, of in zip(x.steps, x.listed, strict=True):
-                for step in range(step, to):
-                    now = nexts[step][now]
-                step = to
                 listed = np.zeros(vocabulary + 1, bool)  # the last one: words out of the vocabulary
                 listed[of] = True
-                s = symbols[to][now]
-                known = np.flatnonzero(listed[s])
-                some, now, key = some[known], now[known], _key(key[known], s[known])
+                if now is None:
+                    s = symbols[to]
+                    some = now = np.flatnonzero(listed[s])
+                    key = _key(np.zeros(len(now), U), s[now])
+                else:
+                    for step in range(step, to):
+                        now = nexts[step][now]
+                    s = symbols[to][now]
+                    known = np.flatnonzero(listed[s])
+                    some, now, key = some[known], now[known], _key(key[known], s[known])
+                step = to
             lo = np.searchsorted(x.keys, key)
             count = np.searchsorted(x.keys, key, "right") - lo
             which = np.repeat(np.arange(len(some)), count)
@@ -152,6 +158,7 @@ def _edited(item: np.ndarray, k: int, rng: np.random.Generator) -> list[int]:
 
 def _with_samplings(walk: Walk, classes: list[tuple[tuple[int, int], np.ndarray]], size: np.ndarray, symbols: np.ndarray, hashes: np.ndarray, samplings: int, rng: np.random.Generator) -> Walk:
     """The walk with its repetitions for each size class. A part is left out of a repetition whose samples aren't of several of its words."""
+    moves = _moves(walk, hashes)
     for (least, samples), members in classes:
         reach = max(samples, least + least // 2)
         # where each part's own walk stands
@@ -160,7 +167,7 @@ def _with_samplings(walk: Walk, classes: list[tuple[tuple[int, int], np.ndarray]
             inside = pointer < size[members]
             s = np.where(inside, symbols[members, np.minimum(pointer, size[members] - 1)], -2)
             own[:, step], place[:, step] = s, pointer
-            pointer += np.where(inside, ((hashes[np.maximum(s, 0)] * walk.moves[step]) >> U(63)).astype(np.int64), 0)
+            pointer += np.where(inside, (moves[np.maximum(s, 0)] >> np.uint32(step)) & np.uint32(1), 0)
         seen = set()
         for _ in range(samplings if least > 4 else 1):
             steps = sorted(rng.choice(reach, samples, replace=False).tolist())
@@ -212,7 +219,7 @@ def index(items: list[tuple[int | None, str | None]], similarity: float, recall:
     while found.mean() < recall:
         if len(walks) == most_walks:
             raise RuntimeError(f"{most_walks} walks find {found.mean():.3f} of the trial windows, not {recall}")
-        walk = Walk(H.mix(rng.integers(0, 1 << 63, 2 * PART).astype(U)) | U(1))
+        walk = Walk(H.mix(rng.integers(0, 1 << 62, 1).astype(U))[0] | U(1))
         walks.append(_with_samplings(walk, classes, size, symbols, vocabulary, samplings, rng))
         start, _, part = _collisions(walks[-1:], trial_hash, trial, len(vocabulary))
         hit = pick[owner[start]] == part
@@ -289,6 +296,8 @@ def _found(ix: Index, row: np.ndarray, h: np.ndarray, n: int) -> dict[int, list[
     if not near:
         return out
     r, item, start = np.unique(np.concatenate(near, axis=1), axis=1)  # sorted by row, item and where the item would begin
+    if not len(r):
+        return out
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > 2 * np.array(ix.edits)[item[1:]] + 1)
     groups = np.flatnonzero(new)
