@@ -1,16 +1,18 @@
-"""Main text of web pages: parser events, text-to-tag ratio, smoothing, thresholding.
+"""Main text of web pages: parser events, text-to-tag ratio, smoothing, threshold clustering.
 
 The standard library's parser streams events. They cut a page into lines: the text between two block-level
-tags, with the number of its tags. A line's ratio is its characters over its tags. The ratios are smoothed
+tags, with the number of its tags. A line's ratio is its characters outside links over its tags. The ratios are smoothed
 with a Gaussian, and lines over the threshold are the cluster of content. Content lines vote for the region
-(article, main, or a container) that holds them; the text of a page is every line of the chosen regions, in
-page order, that isn't inside something named as a menu, header, footer, sidebar, notice, advert, form or
-reader comment.
+(article, main, or a container) that holds them; regions of links without a content line are no part of it. The
+text of a page is every line of the chosen regions, in page order, but for what its tags or names say to be a menu,
+header, footer, sidebar, notice, advert, form or reader comment. Names that say less (legal, tags, search) only drop
+lines that the ratio doesn't find to be content.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,13 +25,15 @@ from .common import bounded_batches
 #: Elements of the HTML standard by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas math dialog menu audio video map applet".split())
+DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas dialog menu audio video map applet".split())
 REGIONS = frozenset("article main section div td body".split())
 SCOPES = frozenset("article main section div td th table body html nav footer aside form header ul ol dl".split())
 NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|side|aside|widgets?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu\w*|nav\w*|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share\w*|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pagination|pager|tags|copyright|legal|disclaimer)(?:$|[-_\s\d])",
+    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar|aside|widgets?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|menu\w*|nav\w*|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|share\w*|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login)(?:$|[-_\s\d])",
     re.I,
 )
+#: Names of what may be the topic as well: the ratio decides.
+WEAK = re.compile(r"(?:^|[-_\s])(?:side|search|pagination|pager|tags|copyright|legal|disclaimer)(?:$|[-_\s\d])", re.I)
 #: Names that say what a container stands beside (with-sidebar).
 BESIDE = re.compile(r"\b(?:with|has|no|without)[-_]\w+", re.I)
 #: Within an article names are also topics (related-work, shareholders): each part of a class must be one of these, and one of the first.
@@ -43,25 +47,30 @@ LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 
+#: What is known of the text within an element: kept, dropped unless it is content, dropped.
+KEPT, DOUBTED, DROPPED_TEXT = 0, 1, 2
+
+
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (text, tags, region, dropped)."""
+    """Cuts a page into lines: (text, characters in links, tags, region, what is known of it)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, dropped, region
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.regions: list[tuple[str, int]] = [("page", -1)]  # kind, parent
+        self.stack: list[tuple[str, int, int]] = []  # name, what is known, region
+        self.open: Counter = Counter()  # names on the stack
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.regions: list[tuple[str, int, bool]] = [("page", -1, False)]  # kind, parent, whether in an article or main
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.links = self.linked = 0
 
     def cut(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                _, dropped, region = self.stack[-1] if self.stack else ("", False, 0)
-                self.lines.append((line, self.tags, region, dropped))
+                _, known, region = self.stack[-1] if self.stack else ("", KEPT, 0)
+                self.lines.append((line, min(self.linked, len(line)), self.tags, region, known))
             self.text = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def parse_html_declaration(self, i: int) -> int:
         try:
@@ -69,62 +78,64 @@ class _Lines(HTMLParser):
         except AssertionError:  # a marked section of no known name is a comment to the next >
             return self.parse_bogus_comment(i)
 
-    def within(self, region: int) -> bool:
-        """Whether the region is an article or main, or stands in one."""
-        while region >= 0:
-            if self.regions[region][0] in ("article", "main"):
-                return True
-            region = self.regions[region][1]
-        return False
-
-    def boilerplate(self, tag: str, name: str, value: str, region: int) -> bool:
-        if not self.within(region):
-            return not (tag in HEADINGS and name == "id") and bool(NAMED.search(BESIDE.sub("", value)))
+    def boilerplate(self, tag: str, name: str, value: str, region: int) -> int:
+        if not self.regions[region][2]:
+            value = BESIDE.sub("", value)
+            if tag in HEADINGS and name == "id":
+                return KEPT
+            return DROPPED_TEXT if NAMED.search(value) else DOUBTED if WEAK.search(value) else KEPT
         if tag not in SCOPES:
-            return False
+            return KEPT
         for token in value.lower().split():
             parts = [p.rstrip("0123456789") for p in PART.split(token)]
             parts = [p for p in parts if p]
             if len(parts) == 1 and name == "id":
                 if parts[0] in ID_FURNITURE:
-                    return True
+                    return DROPPED_TEXT
             elif any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in GENERIC for p in parts):
-                return True
-        return False
+                return DROPPED_TEXT
+        return KEPT
+
+    def shut(self, i: int) -> None:
+        """Take the elements from place i off the stack."""
+        for name, _, _ in self.stack[i:]:
+            self.open[name] -= 1
+        del self.stack[i:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in INLINE:
             self.tags += 1
-            if tag == "a":
-                return
+            self.links += tag == "a"
             return
         self.cut()
-        self.tags = 1
+        self.tags, self.links = 1, 0
         if tag in VOID:
             return
-        _, dropped, region = self.stack[-1] if self.stack else ("", False, 0)
-        if tag == "p" or tag == "li":  # an open one ends here
+        if tag in ("p", "li") and self.open[tag]:  # an open one ends here
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] in SCOPES:
                     break
                 if self.stack[i][0] == tag:
-                    del self.stack[i:]
+                    self.shut(i)
                     break
-            _, dropped, region = self.stack[-1] if self.stack else ("", False, 0)
-        if not dropped:
-            dropped = tag in DROPPED or (tag == "header" and self.regions[region][0] not in ("article", "main"))
+        _, known, region = self.stack[-1] if self.stack else ("", KEPT, 0)
+        if known < DROPPED_TEXT:
+            if tag in DROPPED or (tag == "header" and self.regions[region][0] not in ("article", "main")):
+                known = DROPPED_TEXT
             if tag == "article":  # its classes also name topics: only a whole name counts
-                dropped = dropped or any(NAMED.fullmatch(x) for name, value in attrs if name in ("class", "id") for x in (value or "").split())
-            elif not dropped and tag not in ("html", "body", "main"):
+                if any(NAMED.fullmatch(x) for name, value in attrs if name in ("class", "id") for x in (value or "").split()):
+                    known = DROPPED_TEXT
+            elif tag not in ("html", "body", "main"):
                 for name, value in attrs:
-                    if value and (name in ("class", "id") and self.boilerplate(tag, name, value, region) or name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")):
-                        dropped = True
-                if any(name == "hidden" for name, _ in attrs):
-                    dropped = True
+                    if value and name in ("class", "id"):
+                        known = max(known, self.boilerplate(tag, name, value, region))
+                    elif name == "hidden" or value and (name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")):
+                        known = DROPPED_TEXT
         if tag in REGIONS:
-            self.regions.append((tag, region))
+            self.regions.append((tag, region, self.regions[region][2] or tag in ("article", "main")))
             region = len(self.regions) - 1
-        self.stack.append((tag, dropped, region))
+        self.stack.append((tag, known, region))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash doesn't end an element of HTML
@@ -132,18 +143,23 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
             self.tags += 1
+            self.links -= tag == "a" and self.links > 0
             return
         self.cut()
-        self.tags = 1
+        self.tags, self.links = 1, 0
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.shut(i)
                 return
             if tag in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "dt", "dd") and self.stack[i][0] in SCOPES:
                 return
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.links:
+            self.linked += len(data.strip())
 
 
 def _smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -161,27 +177,33 @@ def main_text(html: str, sigma: float = 1.0, threshold: float = 0.5) -> str:
     parser.close()
     parser.cut()
     lines, regions = parser.lines, parser.regions
-    kept = [i for i, x in enumerate(lines) if not x[3]]
-    if not kept:
+    possible = [i for i, x in enumerate(lines) if x[4] < DROPPED_TEXT]
+    if not possible:
         return ""
-    ratio = _smoothed(np.array([len(x[0]) / max(1, x[1]) for x in lines]), sigma)
-    content = ratio >= min(threshold * ratio.std(), ratio[kept].max())
+    plain = np.array([(len(x[0]) - x[1]) / max(1, x[2]) for x in lines])
+    ratio = _smoothed(plain, sigma)
+    content = ratio >= min(threshold * ratio.std(), ratio[possible].max())
+    kept = [i for i in possible if lines[i][4] == KEPT or content[i]]
     weight: dict[int, int] = {}
+    told: dict[int, list[int]] = {}  # of each region without those in it: characters, of which in links, lines over half of which is plain content
     for i in kept:
+        text, linked, _, r, _ = lines[i]
         if content[i]:
-            weight[lines[i][2]] = weight.get(lines[i][2], 0) + len(lines[i][0])
-
-    def inside(region: int) -> Iterator[int]:
-        while region >= 0:
-            yield region
-            region = regions[region][1]
-
-    best = {"article": {}, "main": {}}
+            weight[r] = weight.get(r, 0) + len(text) - linked
+        t = told.setdefault(r, [0, 0, 0])
+        t[0] += len(text)
+        t[1] += linked
+        t[2] += bool(content[i]) and 2 * linked < len(text)
+    # the outermost article and main around each region, or -1
+    outer = {kind: np.full(len(regions), -1) for kind in ("article", "main")}
+    for r, (kind, up, _) in enumerate(regions):
+        for k, at in outer.items():
+            at[r] = at[up] if up >= 0 and at[up] >= 0 else r if kind == k else -1
+    best: dict[str, dict[int, int]] = {"article": {}, "main": {}}
     for r, w in weight.items():
-        for kind, found in best.items():  # the outermost region of this kind
-            out = [x for x in inside(r) if regions[x][0] == kind]
-            if out:
-                found[out[-1]] = found.get(out[-1], 0) + w
+        for kind, found in best.items():
+            if outer[kind][r] >= 0:
+                found[outer[kind][r]] = found.get(outer[kind][r], 0) + w
     if best["article"] or best["main"]:
         found = best["article"] or best["main"]
         chosen = {r for r, w in found.items() if 2 * w >= max(found.values())}
@@ -191,7 +213,12 @@ def main_text(html: str, sigma: float = 1.0, threshold: float = 0.5) -> str:
         # and their smaller siblings with content: a page's own blocks only if they are sections
         parents = {regions[r][1] for r in chosen}
         chosen |= {r for r in weight if (up := regions[r][1]) in parents and up >= 0 and (regions[r][0] == "section" or regions[up][0] not in ("page", "body"))}
-    return " ".join(lines[i][0] for i in kept if not chosen.isdisjoint(inside(lines[i][2])))
+    # regions of links, where no article says that they belong to it
+    links = {r for r, (n, linked, plain_lines) in told.items() if 2 * linked > n and not plain_lines and not regions[r][2]}
+    within = np.zeros(len(regions), bool)
+    for r, (_, up, _) in enumerate(regions):
+        within[r] = r in chosen or (up >= 0 and within[up])
+    return " ".join(lines[i][0] for i in kept if within[lines[i][3]] and lines[i][3] not in links)
 
 
 def _batches(sigma: float, threshold: float):
@@ -208,7 +235,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Character references are decoded, white space within a block becomes one space, blocks are joined by one
     space. Null and empty pages, and pages without content, have an empty text. Repeated rows give repeated
-    rows; null ids and addresses stay null; other columns are ignored. No shuffle: a page is one row's work.
+    rows; null ids and addresses stay null; other columns are ignored, whatever their names. Long and deeply nested
+    pages take time in proportion to their length. No shuffle: a page is one row's work.
     """
     bounded_batches(pages.sparkSession, 500)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

@@ -540,6 +540,33 @@ def test_no_part_of_the_main_text_is_lost(html, text):
     assert html_text.main_text(html) == text
 
 
+LIST = "".join(f"<li><a href=x>{w}</a></li>" for w in "Home News Sport Weather Travel Culture".split())
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<div class=k1><ul>{LIST}</ul></div><div class=k2><p>{LONG}</p><p>{LONG}</p></div>", LONG + LONG.strip()),
+    ("<div id=content>short</div><div class=k1><ul>" + LIST + "</ul></div>", "short"),
+    (f"<div class=k0><div class=k2><p>{LONG}</p></div><div class=k1><a href=x>Buy this</a> <a href=y>and that</a></div></div>", LONG.strip()),
+    (f"<div class='search-results'><p>{LONG}</p></div><div class=tags><a href=x>one</a> <a href=y>two</a></div>", LONG.strip()),
+    (f"<div class=legal><p>{LONG}</p></div>", LONG.strip()),
+    ("<article><p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> holds for all bodies</p></article>", "E = m c 2 holds for all bodies"),
+])
+def test_the_ratio_chooses_where_tags_are_generic(html, text):
+    assert html_text.main_text(html).split() == text.split()
+
+
+def test_the_threshold_matters():
+    html = f"<div class=k2><p>{LONG}</p>" + "<p class=legal>Ltd.</p>" * 6 + "</div>"
+    assert html_text.main_text(html).count("Ltd.") < 3 < html_text.main_text(html, threshold=-100.0).count("Ltd.")
+
+
+def test_long_and_deeply_nested_pages():
+    deep = "<div>" * 20_000 + "<p>deep text</p>" + "</span></b></section>" * 20_000
+    assert html_text.main_text(deep) == "deep text"
+    many = "<article>" + "<p>word <b>bold</b></p>" * 30_000 + "</article>"
+    assert html_text.main_text(many) == " ".join(["word bold"] * 30_000)
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", "<article>x</article>"), (1, "u", "<article>x</article>"), (None, None, None), (2, "v", "")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
