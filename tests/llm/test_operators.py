@@ -430,18 +430,77 @@ def test_next_word_probabilities_sum_to_one(spark):
             w.append(vocabulary[(vocabulary.index(w[-1]) * 5 + 1) % 12] if rng.random() < 0.7 else rng.choice(vocabulary))
         texts.append((" ".join(w),))
     df = spark.createDataFrame(texts, "text string")
-    out = [r for r in lm.score(df.withColumn("doc_id", F.monotonically_increasing_id() % 1000)).collect() if r.held_out]
+    out = [r for r in lm.score(df.withColumn("doc_id", F.monotonically_increasing_id() % 1000), least_context=20).collect() if r.held_out]
     assert out and sum(r.score for r in out) > 0.85 * sum(r.base_score for r in out)
-    model, _ = lm.learn(spark, df)
+    model, _ = lm.learn(spark, df, least_context=20)
     assert model.levels[0].kept.any()
     root = model.root(model.count)
     assert abs(root.sum() + model.root(np.array([0]))[0] - 1) < 1e-9
-    level, width = model.levels[0], len(model.common)
+    level, width = model.levels[0], len(model.words)
     for c in np.flatnonzero(level.kept):
-        p = level.free[c] * root[model.common]
+        p = level.free[c] * root
         own = level.owner == c
         p[level.pairs[own] % width] += (level.pair_count[own] - 0.5) / level.count[c]
-        assert abs(p.sum() + level.free[c] * (1 - root[model.common].sum()) - 1) < 1e-6
+        assert abs(p.sum() + level.free[c] * (1 - root.sum()) - 1) < 1e-6
+
+
+def tree_score(texts, held, least_context, least_pair):
+    """The tree's log10 probability of every text, in plain Python over all counts."""
+    unigram, pairs, triples = Counter(), Counter(), Counter()
+    for w, h in zip(texts, held, strict=True):
+        if not h:
+            unigram.update(w)
+            pairs.update(zip(w, w[1:], strict=False))
+            triples.update(zip(w, w[1:], w[2:], strict=False))
+    n, v = sum(unigram.values()), len(unigram)
+    ones, twos = sum(c == 1 for c in unigram.values()), sum(c == 2 for c in unigram.values())
+    d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+    root = lambda w: max(unigram[w] - d, 1e-9) / n if unigram[w] else d * v / n
+    nodes = {}
+
+    def node(ctx, count, told, parent):
+        told = {w: c for w, c in told.items() if c >= least_pair}
+        mass, expected = sum(told.values()) / count, sum(parent(w) for w in told)
+        gain = sum(c * math.log(c / count / parent(w)) for w, c in told.items()) + count * max(0, 1 - mass) * math.log(max(1 - mass, 1e-12) / max(1 - expected, 1e-12))
+        df = min(count, v)
+        free = min(1.0, max(1e-9, 1 - sum(c - 0.5 for c in told.values()) / count))
+        if 2 * gain > df + 3.1 * math.sqrt(2 * max(df, 1)) + 6:
+            nodes[ctx] = lambda w: ((told[w] - 0.5) / count if w in told else 0.0) + free * parent(w)
+
+    after, after2 = defaultdict(Counter), defaultdict(Counter)
+    for (a, b), c in pairs.items():
+        after[a][b] += c
+    for (a, b, x), c in triples.items():
+        after2[a, b][x] += c
+    for a in [a for a, c in unigram.items() if c >= least_context and a is not None]:
+        node((a,), unigram[a], after[a], root)
+    for (a, b), c in pairs.items():
+        if c >= least_context and b is not None:
+            node((a, b), c, after2[a, b], nodes.get((b,), root))
+    out = []
+    for w in texts:
+        total = 0.0
+        for i, x in enumerate(w):
+            total += math.log10(next((nodes[t] for t in (tuple(w[max(0, i - 2) : i]), tuple(w[max(0, i - 1) : i])) if t in nodes), root)(x))
+        out.append(total)
+    return out, nodes
+
+
+def test_tree_scores_equal_a_plain_tree(spark):
+    rng = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(40)]
+    texts = []
+    for i in range(150):
+        w = ["v0", "v1"]
+        for _ in range(rng.randint(0, 80)):
+            a, b = (int(x[1:]) if x[1:].isdigit() else 0 for x in w[-2:])
+            w.append(vocabulary[(3 * a + 5 * b) % 40] if rng.random() < 0.5 else vocabulary[(7 * b + 1) % 40] if rng.random() < 0.4 else rng.choice([*vocabulary, f"rare{i}"]))
+        texts.append(w)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(150)]
+    wanted, nodes = tree_score([[*w, None] for w in texts], held, 30, 2)
+    assert {len(x) for x in nodes} == {1, 2}
+    found = lm.score(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), least_context=30).collect()
+    assert np.allclose([r.score for r in sorted(found, key=lambda r: r.doc_id)], wanted)
 
 
 # --- 2: packing -----------------------------------------------------------------------------------------
