@@ -39,13 +39,13 @@ def identifier_tokens(c: Column) -> Column:
 
 
 def identifier_style(c: Column) -> Column:
-    """upper_snake, snake, upper, lower, pascal, camel or unknown; the first that fits."""
+    """upper_snake, snake, pascal, upper, lower, camel or unknown; the first that fits. One letter, or one with digits, is pascal."""
     return (
         F.when(F.rlike(c, F.lit("^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$")), "upper_snake")
         .when(F.rlike(c, F.lit("^[a-z][a-z0-9]*(_[a-z0-9]+)+$")), "snake")
+        .when(F.rlike(c, F.lit("^[A-Z]([0-9]*|[A-Z0-9]*[a-z][A-Za-z0-9]*)$")), "pascal")
         .when(F.rlike(c, F.lit("^[A-Z][A-Z0-9]*$")), "upper")
         .when(F.rlike(c, F.lit("^[a-z][a-z0-9]*$")), "lower")
-        .when(F.rlike(c, F.lit("^[A-Z][A-Za-z0-9]*$")), "pascal")
         .when(F.rlike(c, F.lit("^[a-z][A-Za-z0-9]*$")), "camel")
         .otherwise("unknown")
     )
@@ -63,8 +63,9 @@ def tag_family_key(c: Column) -> Column:
 
 
 def limit_binding(c: Column) -> Column:
-    """struct(bound, body) of names like MinX or X_max: prefix first, then suffix; null for others."""
-    pre, post = "(?i)^(minimum|maximum|min|max)_?(.+)$", "(?i)^(.+?)_?(minimum|maximum|min|max)$"
+    """struct(bound, body) of names like MinX, X_max or x-min: prefix first, then suffix; the body has no _ or - at its ends; null for others."""
+    body = "([^_-]|[^_-].*[^_-])"
+    pre, post = f"(?i)^(minimum|maximum|min|max)[_-]*{body}[_-]*$", f"(?i)^[_-]*{body}[_-]*(minimum|maximum|min|max)$"
     bound = lambda x: F.lower(F.substring(x, 1, 3))
     first = F.struct(bound(F.regexp_extract(c, pre, 1)).alias("bound"), F.lower(F.regexp_extract(c, pre, 2)).alias("body"))
     last = F.struct(bound(F.regexp_extract(c, post, 2)).alias("bound"), F.lower(F.regexp_extract(c, post, 1)).alias("body"))
@@ -94,9 +95,13 @@ def icf_is_placeholder(c: Column) -> Column:
 
 
 #: Keywords by class, in the order in which classes are tried.
-SIGNAL_KEYWORDS = (("mes", ("mes", "recipe", "batch")), ("operator", ("operator", "manual", "setpoint")), ("sensor", ("sensor", "measure", "input")))
-SINK_KEYWORDS = ("valve", "pump", "motor", "heater", "output")
-SAFETY_KEYWORDS = ("safety", "interlock", "emergency", "shutdown", "trip")
+SIGNAL_KEYWORDS = (
+    ("mes", ("mes", "mms", "opc", "batch")),
+    ("operator", ("operator", "manual", "command", "cmd", "setpoint")),
+    ("sensor", ("sensor", "measurement", "measured", "feedback", "probe", "transmitter")),
+)
+SINK_KEYWORDS = ("emergency", "shutdown", "estop", "interlock", "trip")
+SAFETY_KEYWORDS = ("emergency", "shutdown", "estop")
 
 
 def classify_signal_path(path: Column, keywords=SIGNAL_KEYWORDS) -> Column:

@@ -36,8 +36,8 @@ _add("d3_config_drift", lambda s, d: I.config_drift(_P(s, d)), _F(f"SELECT modul
 _add("d4_version_drift", lambda s, d: I.version_drift(_P(s, d).select(c("moduletype").alias("name"), "instance", F.concat_ws("=", "parameter", "value").alias("part"))), _F("SELECT name, count(DISTINCT f) AS variants, count(*) AS instances FROM (SELECT moduletype AS name, instance, string_agg(parameter || '=' || value, ',' ORDER BY parameter || '=' || value) AS f FROM parameters GROUP BY ALL) GROUP BY 1 HAVING variants >= 2", "parameters"))
 _add("d5_variant_diff", lambda s, d: I.variant_diff(_sql(s, d, "SELECT p_brand AS name, p_partkey // 2 AS item, p_type AS value FROM part WHERE p_partkey % 2 = 0 AND p_size > 5"), _sql(s, d, "SELECT p_brand AS name, p_partkey // 2 AS item, p_type AS value FROM part WHERE p_partkey % 2 = 1").withColumn("name", F.when(c("item") % 3 > 0, F.lit("Brand#1")).otherwise(c("name"))).unionByName(_sql(s, d, "SELECT p_brand AS name, p_partkey // 2 AS item, p_name AS value FROM part WHERE p_partkey % 14 = 0").where("false"))),
      "SELECT name, item, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'missing' ELSE 'changed' END AS change FROM (SELECT p_brand AS name, p_partkey // 2 AS item, p_type AS a FROM part WHERE p_partkey % 2 = 0 AND p_size > 5) FULL JOIN (SELECT CASE WHEN (p_partkey // 2) % 3 > 0 THEN 'Brand#1' ELSE p_brand END AS name, p_partkey // 2 AS item, p_type AS b FROM part WHERE p_partkey % 2 = 1) USING (name, item) WHERE a IS DISTINCT FROM b")
-_add("d6_missing_initial_values", lambda s, d: I.missing_initial_values(_P(s, d).withColumn("value", F.when(c("value") != "0", c("value")))), _F("SELECT moduletype, instance FROM parameters GROUP BY ALL HAVING NOT bool_or(parameter = 'Size' AND value <> '0')", "parameters"))
-_add("d7_unsafe_defaults", lambda s, d: I.unsafe_defaults(fact(s, d, "declarations").withColumn("init_true", c("init_value") % 2 == 1)), _F("SELECT var_key, name FROM declarations WHERE init_value % 2 = 1 AND len(list_intersect(string_split(name, ' '), ['bypass', 'enable', 'red'])) > 0", "declarations"))
+_add("d6_missing_initial_values", lambda s, d: I.missing_initial_values(_P(s, d).withColumn("value", F.when(c("value") != "0", c("value"))), ("size", "value")), _F("SELECT moduletype, instance FROM parameters GROUP BY ALL HAVING NOT bool_or(parameter = 'Size' AND value <> '0')", "parameters"))
+_add("d7_unsafe_defaults", lambda s, d: I.unsafe_defaults(fact(s, d, "declarations").withColumn("init_true", c("init_value") % 2 == 1), ("bypass", "enable", "red")), _F("SELECT var_key, name FROM declarations WHERE init_value % 2 = 1 AND len(list_intersect(string_split(name, ' '), ['bypass', 'enable', 'red'])) > 0", "declarations"))
 _add("d8_alarm_candidates", lambda s, d: I.alarm_candidates(fact(s, d, "alarms").withColumn("tag", F.when(c("tag") != "TAG7", c("tag"))).withColumn("condition", F.when(c("condition") > "3", c("condition"))).unpivot(["instance"], ["tag", "priority", "condition"], "parameter", "value")), _F("SELECT * FROM (SELECT instance, CASE WHEN tag <> 'TAG7' THEN tag END AS tag, priority, CASE WHEN condition > '3' THEN condition END AS condition FROM alarms) WHERE tag IS NOT NULL AND (priority IS NOT NULL OR condition IS NOT NULL)", "alarms"))
 _add("d8_duplicate_alarm_tags", lambda s, d: I.duplicate_alarms(fact(s, d, "alarms"), "tag"), _F("SELECT tag AS key, instance, n FROM alarms JOIN (SELECT tag, count(*) AS n FROM alarms GROUP BY 1 HAVING n >= 2) USING (tag)", "alarms"))
 _add("d8_duplicate_alarm_conditions", lambda s, d: I.duplicate_alarms(fact(s, d, "alarms"), "condition"), _F("SELECT condition AS key, instance, n FROM alarms JOIN (SELECT condition, count(*) AS n FROM alarms GROUP BY 1 HAVING n >= 2) USING (condition)", "alarms"))
@@ -53,6 +53,6 @@ _add("d13_layout_drift", lambda s, d: I.layout_drift(_sql(s, d, "SELECT p_brand
 _add("d14_layout_overlaps", lambda s, d: I.layout_overlaps(fact(s, d, "placements")), _F("SELECT a.container, a.item, b.item AS other FROM placements a JOIN placements b ON a.container = b.container AND a.item < b.item AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.layer = b.layer", "placements"))
 _add("d15_dependency_version_conflicts", lambda s, d: I.dependency_version_conflicts(_sql(s, d, "SELECT p_brand AS library, p_name AS name, CASE WHEN p_size > 3 THEN p_size % 4 END AS datecode FROM part")), "SELECT lower(p_name) AS name, count(DISTINCT p_size % 4) AS versions FROM part WHERE p_size > 3 GROUP BY 1 HAVING versions >= 2 AND count(DISTINCT p_brand) >= 2")
 _MO = "SELECT p_name AS name, 'r' || cast(p_partkey // 8 AS string) || CASE WHEN p_partkey % 8 > 0 THEN '.s' || cast(p_partkey % 8 // 4 AS string) ELSE '' END || CASE WHEN p_partkey % 8 > 1 THEN '.t' || cast(p_partkey % 8 AS string) ELSE '' END AS path FROM part"
-_add("d16_classify_modules", lambda s, d: I.classify_modules(_sql(s, d, _MO)), f"WITH m AS (SELECT path, CASE WHEN list_contains(string_split(name, ' '), 'widget') THEN 'em' WHEN list_contains(string_split(name, ' '), 'bolt') THEN 'ops' WHEN list_contains(string_split(name, ' '), 'ring') THEN 'parameters' END AS own FROM ({_MO})) SELECT a.path, arg_max(b.own, length(b.path)) AS category FROM m a LEFT JOIN m b ON b.own IS NOT NULL AND starts_with(a.path || '.', b.path || '.') GROUP BY a.path")
+_add("d16_classify_modules", lambda s, d: I.classify_modules(_sql(s, d, _MO), (("em", ("widget",)), ("ops", ("bolt",)), ("parameters", ("ring",)))), f"WITH m AS (SELECT path, CASE WHEN list_contains(string_split(name, ' '), 'widget') THEN 'em' WHEN list_contains(string_split(name, ' '), 'bolt') THEN 'ops' WHEN list_contains(string_split(name, ' '), 'ring') THEN 'parameters' END AS own FROM ({_MO})) SELECT a.path, arg_max(b.own, length(b.path)) AS category FROM m a LEFT JOIN m b ON b.own IS NOT NULL AND starts_with(a.path || '.', b.path || '.') GROUP BY a.path")
 _add("d17_structure_metrics", lambda s, d: I.structure_metrics(fact(s, d, "accesses").select("program", "kind")), _F("SELECT program, kind, count(*) AS n FROM accesses GROUP BY ROLLUP (program, kind)", "accesses"))
 _add("d17_top_findings", lambda s, d: I.top_findings(fact(s, d, "findings").select(c("category").alias("program"), c("rule_id").alias("kind"))), _F("SELECT category AS program, rule_id AS kind, count(*) AS n FROM findings GROUP BY ALL ORDER BY n DESC, program, kind LIMIT 10", "findings"))

@@ -36,13 +36,18 @@ _add("e1_read_before_write_branches", lambda s, d: L.read_before_write_branches(
      AND NOT EXISTS (SELECT 1 FROM l y WHERE y.module_path = x.module_path AND y.var_key = x.var_key AND y.kind = 'write' AND y.seq < x.seq AND y.block = x.block AND y.branch = x.branch)
      AND NOT EXISTS (SELECT 1 FROM b WHERE b.module_path = x.module_path AND b.var_key = x.var_key AND b.last < x.seq)""", "accesses").replace("\n,", ",", 1))
 _add("e2_unconsumed_writes", lambda s, d: L.unconsumed_writes(_A(s, d)), _F("SELECT module_path, var_key, max(CASE WHEN kind = 'write' THEN seq END) AS seq FROM accesses GROUP BY module_path, var_key HAVING max(CASE WHEN kind = 'write' THEN seq END) > coalesce(max(CASE WHEN kind = 'read' THEN seq END), -1)", "accesses"))
-_add("e3_dead_overwrites", lambda s, d: L.dead_overwrites(_A(s, d)), _F("SELECT module_path, var_key, seq, next_seq FROM (SELECT *, lead(kind) OVER w AS nk, lead(seq) OVER w AS next_seq FROM accesses WINDOW w AS (PARTITION BY module_path, var_key ORDER BY seq)) WHERE kind = 'write' AND nk = 'write'", "accesses"))
-_FLOW = "SELECT 'm' || cast(l_suppkey AS string) AS module_path, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq, 'v' || cast(l_partkey % 60 AS string) AS target, 'v' || cast((l_partkey * 7 + l_linenumber) % 60 AS string) AS source FROM lineitem WHERE l_quantity > 25"
+_add("e3_dead_overwrites", lambda s, d: L.dead_overwrites(_A(s, d).drop("field")), _F("SELECT module_path, var_key, seq, next_seq FROM (SELECT *, lead(kind) OVER w AS nk, lead(seq) OVER w AS next_seq FROM accesses WINDOW w AS (PARTITION BY module_path, var_key ORDER BY seq)) WHERE kind = 'write' AND nk = 'write'", "accesses"))
+_W3 = "SELECT module_path, 'w' || right(var_key, 1) AS var_key, field, seq, kind FROM accesses"
+_add("e3_dead_field_overwrites", lambda s, d: L.dead_overwrites(s.sql(_W3.replace("FROM accesses", "FROM {accesses}"), accesses=_A(s, d))),
+     _F(f""", l AS ({_W3}), nw AS (SELECT w.module_path, w.var_key, w.field, w.seq, min(x.seq) AS next_seq FROM l w JOIN l x ON x.module_path = w.module_path AND x.var_key = w.var_key AND x.seq > w.seq AND x.kind = 'write' AND x.field IN ('', w.field) WHERE w.kind = 'write' GROUP BY ALL)
+     SELECT * FROM nw WHERE NOT EXISTS (SELECT 1 FROM l r WHERE r.kind = 'read' AND r.module_path = nw.module_path AND r.var_key = nw.var_key AND r.seq > nw.seq AND r.seq < nw.next_seq AND (r.field = '' OR nw.field = '' OR starts_with(r.field || '.', nw.field || '.') OR starts_with(nw.field || '.', r.field || '.')))""", "accesses").replace("\n,", ",", 1))
+_FLOW = "SELECT 'm' || cast(l_suppkey AS string) AS module_path, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS seq, 'v' || cast(l_partkey % 60 AS string) AS target, 'v' || cast((l_partkey * 7 + l_linenumber) % 60 AS string) AS source FROM lineitem"
 _add("e4_initialization_order_hazards", lambda s, d: L.initialization_order_hazards(_sql(s, d, _FLOW, "lineitem"), _sql(s, d, _FLOW, "lineitem").select("module_path", "seq", c("target").alias("var_key")), _INIT(s, d)),
      _F(f", fl AS ({_FLOW}) SELECT DISTINCT f.module_path, target, source FROM fl f LEFT JOIN (SELECT module_path, target AS source, min(seq) AS w FROM fl GROUP BY ALL) x USING (module_path, source) WHERE (w IS NULL OR w >= seq) AND source NOT IN (SELECT var_key FROM declarations WHERE init_value > 40)", "declarations").replace("\n,", ",", 1))
 _add("e5_dependency_chains", lambda s, d: L.dependency_chains(_sql(s, d, _FLOW, "lineitem")),
-     f"""WITH fl AS ({_FLOW}), two AS (SELECT module_path, (x).s AS seq, chain || '<-' || (x).n AS chain, (x).n AS via FROM (SELECT a.module_path, a.seq, a.target || '<-' || a.source AS chain, max({{'s': b.seq, 'n': b.source}}) AS x FROM fl a JOIN fl b ON a.module_path = b.module_path AND a.source = b.target AND b.seq < a.seq GROUP BY ALL)),
-     three AS (SELECT module_path, chain || '<-' || (x).n AS chain FROM (SELECT a.module_path, a.seq, a.chain, max({{'s': b.seq, 'n': b.source}}) AS x FROM two a JOIN fl b ON a.module_path = b.module_path AND a.via = b.target AND b.seq < a.seq GROUP BY ALL)) SELECT DISTINCT module_path, chain FROM two UNION SELECT module_path, chain FROM three""")
+     f"""WITH RECURSIVE fl AS ({_FLOW}), p AS (SELECT a.*, b.seq AS prev FROM fl a ASOF LEFT JOIN fl b ON a.module_path = b.module_path AND a.source = b.target AND a.seq > b.seq),
+     walk AS (SELECT module_path, seq, target || '<-' || source AS chain, 2 AS n FROM p WHERE prev IS NULL UNION ALL SELECT p.module_path, p.seq, p.target || '<-' || chain, n + 1 FROM walk w JOIN p ON p.module_path = w.module_path AND p.prev = w.seq)
+     SELECT DISTINCT module_path, chain FROM walk WHERE n >= 3""")
 _OPS = "SELECT user_id AS handle, event_id AS seq, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'acquire' ELSE 'release' END AS op FROM events"
 _add("e6_resource_pairing", lambda s, d: L.resource_pairing(_sql(s, d, _OPS, "events")), f"WITH x AS (SELECT *, lag(op) OVER w AS b, lead(op) OVER w AS a FROM ({_OPS}) WINDOW w AS (PARTITION BY handle ORDER BY seq)) SELECT handle, seq, 'double_acquire' AS issue FROM x WHERE op = 'acquire' AND b = 'acquire' UNION ALL SELECT handle, seq, 'release_without_acquire' FROM x WHERE op = 'release' AND (b IS NULL OR b = 'release') UNION ALL SELECT handle, seq, 'leak' FROM x WHERE op = 'acquire' AND a IS NULL")
 _add("e7_conflicting_setpoints", lambda s, d: L.conflicting_setpoints(_A(s, d)), _F("SELECT module_path, var_key, array_to_string(list_sort(list(DISTINCT literal)), ',') AS literals FROM accesses WHERE kind = 'write' GROUP BY ALL HAVING count(DISTINCT literal) >= 2", "accesses"))
@@ -57,15 +62,19 @@ _P = "lower(v || CASE WHEN {0} = '' THEN '' ELSE '.' || {0} END)"
 _REP = f"CASE WHEN len(string_split({_P.format('g')}, '.')) < len(string_split({_P.format('f')}, '.')) THEN {_P.format('g')} ELSE {_P.format('f')} END"
 _CONF = f"(starts_with({_P.format('f')} || '.', {_P.format('g')} || '.') OR starts_with({_P.format('g')} || '.', {_P.format('f')} || '.'))"
 _add("e11_parallel_conflicts", lambda s, d: L.parallel_conflicts(_PAR(s, d)), _F(f", e AS (SELECT DISTINCT parallel_id, branch, 'w' || right(var_key, 1) AS v, field AS f, kind FROM accesses) SELECT parallel_id, {_REP} AS path, CASE WHEN bool_or(kind = 'write' AND k = 'write') THEN 'write/write' ELSE 'read/write' END AS conflict FROM (SELECT a.*, b.f AS g, b.kind AS k FROM e a JOIN e b ON a.parallel_id = b.parallel_id AND a.v = b.v AND a.branch < b.branch AND (a.kind = 'write' OR b.kind = 'write')) WHERE {_CONF} GROUP BY ALL", "accesses").replace("\n,", ",", 1))
-_HZ = lambda key: _F(f", e AS (SELECT DISTINCT program, var_key AS v, field AS f, {key} AS u, kind FROM accesses WHERE literal > 30) SELECT program, path, count(DISTINCT x) AS users FROM (SELECT program, path, unnest([u, u2]) AS x FROM (SELECT a.program, {_REP} AS path, a.u, u2 FROM (SELECT a.*, b.f AS g, b.u AS u2 FROM e a JOIN e b ON a.program = b.program AND a.v = b.v AND a.u <> b.u AND a.kind = 'read' AND b.kind = 'write') a WHERE {_CONF})) GROUP BY ALL", "accesses").replace("\n,", ",", 1)
-_add("e12_shared_access_hazards", lambda s, d: L.shared_access_hazards(_A(s, d).where("literal > 30")), _HZ("module_path"))
-_add("e13_non_state_multi_site", lambda s, d: L.shared_access_hazards(_A(s, d).where("literal > 30").join(_D(s, d).where("not is_state").select("var_key"), "var_key", "left_semi"), "site"), _HZ("site").replace("WHERE literal > 30)", "WHERE literal > 30 AND var_key IN (SELECT 'v' || p_partkey FROM part WHERE p_size % 5 <> 0))"))
+_HZ = lambda key: _F(f", e AS (SELECT DISTINCT program, var_key AS v, field AS f, {key} AS u, kind FROM accesses) SELECT program, path, count(DISTINCT x) AS users FROM (SELECT program, path, unnest([u, u2]) AS x FROM (SELECT a.program, {_REP} AS path, a.u, u2 FROM (SELECT a.*, b.f AS g, b.u AS u2 FROM e a JOIN e b ON a.program = b.program AND a.v = b.v AND a.u <> b.u AND a.kind = 'read' AND b.kind = 'write') a WHERE {_CONF})) GROUP BY ALL", "accesses").replace("\n,", ",", 1)
+_add("e12_shared_access_hazards", lambda s, d: L.shared_access_hazards(_A(s, d)), _HZ("module_path"))
+_add("e13_non_state_multi_site", lambda s, d: L.shared_access_hazards(_A(s, d).join(_D(s, d).where("not is_state").select("var_key"), "var_key", "left_semi"), "site"), _HZ("site").replace("kind FROM accesses)", "kind FROM accesses WHERE var_key IN (SELECT 'v' || p_partkey FROM part WHERE p_size % 5 <> 0))"))
 _add("e14_unsafe_scan_calls", lambda s, d: L.unsafe_scan_calls(_sql(s, d, "SELECT event_id AS site, upper(event_type) AS function FROM events", "events"), _sql(s, d, "SELECT DISTINCT event_type AS function, length(event_type) = 5 AS safe FROM events WHERE event_type <> 'view'", "events")), "SELECT event_id AS site, upper(event_type) AS function FROM events WHERE event_type NOT IN ('click', 'error')")
 _CX = "SELECT 'm' || cast(l_suppkey AS string) AS module_path, 's' || cast(l_orderkey % 50 AS string) AS step, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS decisions FROM lineitem"
 _add("e15_complexity", lambda s, d: L.complexity(_sql(s, d, _CX, "lineitem"), 200, 6), f"SELECT module_path, NULL AS step, cast(sum(decisions) + 1 AS bigint) AS complexity FROM ({_CX}) GROUP BY 1 HAVING complexity > 200 UNION ALL SELECT module_path, step, cast(sum(decisions) + 1 AS bigint) AS complexity FROM ({_CX}) GROUP BY ALL HAVING complexity > 6")
 _NO = "SELECT l_orderkey AS sequence, l_suppkey % 2 AS branch, l_linenumber * 100000 + l_partkey AS node, CASE WHEN l_linenumber = 3 AND l_returnflag = 'R' THEN 'break' WHEN l_quantity = 7 THEN 'fork' ELSE 'step' END AS type, CASE WHEN l_tax > 0.04 THEN 'A = B' ELSE 'a  =b' END || cast(l_linenumber % 3 AS string) AS guard FROM lineitem"
 _add("e16_unreachable_nodes", lambda s, d: L.unreachable_nodes(_sql(s, d, _NO, "lineitem")), f"WITH n AS ({_NO}) SELECT sequence, branch, node FROM n JOIN (SELECT sequence, branch, min(node) AS stop FROM n WHERE type <> 'step' GROUP BY ALL) USING (sequence, branch) WHERE node > stop")
 _add("e17_duplicate_guards", lambda s, d: L.duplicate_guards(_sql(s, d, _NO, "lineitem")), f"SELECT sequence, branch, lower(replace(guard, ' ', '')) AS guard, count(*) AS n FROM ({_NO}) GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+_GU = "SELECT l_orderkey AS sequence, l_suppkey % 2 AS branch, l_linenumber AS node, CASE WHEN l_linenumber < 7 THEN 'k' || cast(l_partkey % 9 AS string) END AS key, CASE WHEN l_returnflag = 'R' THEN '<>' ELSE '=' END AS op, CASE WHEN l_linenumber < 7 THEN cast(l_partkey % 2 AS string) WHEN l_returnflag = 'A' THEN 'True' ELSE 'false' END AS value FROM lineitem"
+_KN = "SELECT DISTINCT 'k' || cast(p_partkey % 4 AS string) AS key, cast(p_partkey % 4 % 2 AS string) AS value FROM part"
+_add("e17_constant_guards", lambda s, d: L.constant_guards(_sql(s, d, _GU, "lineitem"), _sql(s, d, _KN, "part")),
+     f"WITH h AS (SELECT sequence, branch, node, CASE WHEN g.key IS NULL THEN lower(g.value) = 'true' WHEN op = '=' THEN k.value = g.value ELSE k.value <> g.value END AS h FROM ({_GU}) g LEFT JOIN ({_KN}) k ON k.key = g.key) SELECT sequence, branch, node, count(*) = count(*) FILTER (h) AS value FROM h GROUP BY 1, 2, 3 HAVING count(*) = count(*) FILTER (h) OR count(*) FILTER (NOT h) > 0")
 _add("e18_illegal_step_combinations", lambda s, d: L.illegal_step_combinations(_sql(s, d, "SELECT l_orderkey AS instant, l_suppkey AS step FROM lineitem", "lineitem"), _sql(s, d, "SELECT s_suppkey % 9 AS grp, s_suppkey AS step FROM supplier", "supplier")), "SELECT l_orderkey AS instant, l_suppkey % 9 AS grp FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 2")
 _SC = "SELECT l_suppkey AS step, 'v' || cast(l_partkey % 40 AS string) AS var_key, CASE WHEN l_linestatus = 'O' THEN 'enter' ELSE 'exit' END AS phase FROM lineitem WHERE"
 _add("e19_step_contracts", lambda s, d: L.step_contracts(_sql(s, d, _SC.replace("SELECT", "SELECT DISTINCT") + " l_quantity < 10", "lineitem"), _sql(s, d, _SC + " l_quantity > 30", "lineitem")),
@@ -76,3 +85,6 @@ _add("e20_reset_contamination", lambda s, d: L.reset_contamination(_sql(s, d, _R
 _add("e21_implicit_latch", lambda s, d: L.implicit_latch(_sql(s, d, _RS + " l_quantity < 15", "lineitem"), _sql(s, d, _RS + " l_quantity < 40", "lineitem")), f"SELECT sequence, var_key FROM (SELECT sequence, var_key, count(DISTINCT CASE WHEN NOT value THEN path_id END) + count(DISTINCT CASE WHEN value THEN path_id END) AS n, bool_or(value) AS t FROM ({_RS} l_quantity < 15) GROUP BY ALL) JOIN (SELECT sequence, count(DISTINCT path_id) AS total FROM ({_RS} l_quantity < 40) GROUP BY 1) USING (sequence) WHERE t AND n < total")
 _CO = "SELECT l_orderkey AS condition, l_suppkey % 5 AS key, CASE WHEN l_returnflag = 'R' THEN '<>' ELSE '=' END AS op, l_partkey % 3 AS value FROM lineitem"
 _add("e22_contradictory_conditions", lambda s, d: L.contradictory_conditions(_sql(s, d, _CO, "lineitem")), f"SELECT condition, key FROM ({_CO}) GROUP BY ALL HAVING count(DISTINCT value) FILTER (op = '=') >= 2 OR len(list_intersect(list(value) FILTER (op = '='), list(value) FILTER (op = '<>'))) > 0")
+_TA = "SELECT l_orderkey AS condition, 'k' || cast(l_suppkey % 5 AS string) AS key, CASE WHEN l_returnflag = 'R' THEN '<>' ELSE '=' END AS op, CASE WHEN l_linenumber = 5 THEN 'K' || cast(l_partkey % 5 AS string) ELSE cast(l_partkey % 3 AS string) END AS value FROM lineitem"
+_add("e22_tautologies", lambda s, d: L.tautologies(_sql(s, d, _TA, "lineitem")),
+     f"WITH t AS ({_TA}) SELECT DISTINCT condition, key, 'self_compare' AS issue FROM t WHERE lower(key) = lower(value) UNION ALL SELECT DISTINCT a.condition, a.key, 'tautology' FROM t a JOIN t b USING (condition, key, value) WHERE a.op = '=' AND b.op = '<>'")

@@ -65,7 +65,7 @@ _add("i4_analyzer_bottlenecks", lambda s, d: T.analyzer_bottlenecks(_te(s, d).wh
 _add("i5_phase_spans", lambda s, d: T.phase_spans(_te(s, d).select((c("id") % 500).alias("phase"), (c("id") % 7 * c("duration").cast("double")).alias("offset_ms"))), _T("SELECT phase, span_ms, span_ms >= 25 AS slow, span_ms > 50 AS over_budget FROM (SELECT id % 500 AS phase, round(max(id % 7 * cast(duration AS double)) - min(id % 7 * cast(duration AS double)), 3) AS span_ms FROM telemetry GROUP BY 1)"))
 _SS = "(SELECT session, count(*) FILTER (type = 'user') AS users, count(*) FILTER (type = 'assistant') AS assistants, count(*) FILTER (type = 'assistant' AND content = '') AS empty_assistants, count(*) FILTER (type = 'tool.start') AS tool_calls, count(*) FILTER (type = 'tool.complete' AND NOT success) AS failures, CASE WHEN contains(coalesce(arg_min(content, seq) FILTER (type = 'user'), ''), 'review') THEN 'review' ELSE 'other' END AS bucket FROM transcript GROUP BY 1)"
 _add("i6_session_summary", lambda s, d: T.session_summary(_tr(s, d)), _R(f"FROM {_SS}"))
-_DI = "(SELECT session, CASE WHEN first IS NOT NULL THEN coalesce(n, 0) END AS discovery FROM (SELECT DISTINCT session FROM transcript) LEFT JOIN (SELECT session, min(seq) AS first FROM transcript WHERE type = 'tool.start' AND tool <> 'search' GROUP BY 1) USING (session) LEFT JOIN (SELECT t.session, count(*) AS n FROM transcript t JOIN (SELECT session, min(seq) AS first FROM transcript WHERE type = 'tool.start' AND tool <> 'search' GROUP BY 1) f ON f.session = t.session AND seq < first WHERE type = 'tool.start' AND tool = 'search' GROUP BY 1) USING (session))"
+_DI = "(SELECT session, CASE WHEN first IS NOT NULL THEN coalesce(n, 0) END AS discovery FROM (SELECT DISTINCT session FROM transcript) LEFT JOIN (SELECT session, min(seq) AS first FROM transcript WHERE type = 'tool.start' AND tool <> 'grep_search' GROUP BY 1) USING (session) LEFT JOIN (SELECT t.session, count(*) AS n FROM transcript t JOIN (SELECT session, min(seq) AS first FROM transcript WHERE type = 'tool.start' AND tool <> 'grep_search' GROUP BY 1) f ON f.session = t.session AND seq < first WHERE type = 'tool.start' AND tool = 'grep_search' GROUP BY 1) USING (session))"
 _add("i7_discovery_before_action", lambda s, d: T.discovery_before_action(_tr(s, d)), _R(f"FROM {_DI}"))
 _RE = "(SELECT session, count(*) FILTER (type = 'tool.start' AND bt = 'tool.complete' AND b = tool) AS retries FROM (SELECT *, lag(type) OVER w AS bt, lag(tool) OVER w AS b FROM transcript WHERE type IN ('tool.start', 'tool.complete') AND (type = 'tool.start' OR NOT success) WINDOW w AS (PARTITION BY session ORDER BY seq)) GROUP BY 1)"
 _add("i8_same_tool_retries", lambda s, d: T.same_tool_retries(_tr(s, d)), _R(f"FROM {_RE}"))

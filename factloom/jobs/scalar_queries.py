@@ -32,20 +32,20 @@ _add("b3_identifier_tokens", lambda s, d: _names(s, d).select("p_partkey", "n",
      f"SELECT p_partkey, n, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(n, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), '|') AS tokens FROM ({_NAMES})")
 _add("b4_identifier_style", lambda s, d: _names(s, d).select("p_partkey", "n", S.identifier_style(c("n")).alias("style")),
      f"""SELECT p_partkey, n, CASE WHEN regexp_full_match(n, '[A-Z][A-Z0-9]*(_[A-Z0-9]+)+') THEN 'upper_snake' WHEN regexp_full_match(n, '[a-z][a-z0-9]*(_[a-z0-9]+)+') THEN 'snake'
-     WHEN regexp_full_match(n, '[A-Z][A-Z0-9]*') THEN 'upper' WHEN regexp_full_match(n, '[a-z][a-z0-9]*') THEN 'lower' WHEN regexp_full_match(n, '[A-Z][A-Za-z0-9]*') THEN 'pascal' WHEN regexp_full_match(n, '[a-z][A-Za-z0-9]*') THEN 'camel' ELSE 'unknown' END AS style FROM ({_NAMES})""")
+     WHEN NOT regexp_full_match(n, '[A-Za-z][A-Za-z0-9]*') THEN 'unknown' WHEN left(n, 1) = upper(left(n, 1)) THEN CASE WHEN n <> upper(n) OR length(n) = 1 OR try_cast(substr(n, 2) AS HUGEINT) IS NOT NULL THEN 'pascal' ELSE 'upper' END WHEN regexp_full_match(n, '[a-z][a-z0-9]*') THEN 'lower' WHEN regexp_full_match(n, '[a-z][A-Za-z0-9]*') THEN 'camel' ELSE 'unknown' END AS style FROM ({_NAMES})""")
 _add("b5_tag_keys", lambda s, d: fact(s, d, "ext_tags").select("var_key", S.tag_key(c("external_tag")).alias("key"), S.tag_family_key(c("external_tag")).alias("family")),
      with_facts("SELECT var_key, lower(external_tag) AS key, array_to_string(list_transform(regexp_extract_all(regexp_replace(external_tag, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), '|') AS family FROM ext_tags", "ext_tags"))
-_LIM = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Min' || p_type WHEN 1 THEN p_type || '_max' WHEN 2 THEN 'MAXIMUM_' || p_type WHEN 3 THEN lower(p_type) || 'Minimum' ELSE p_type END AS n FROM part"
+_LIM = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Min-' || p_type || '_' WHEN 1 THEN p_type || '_max' WHEN 2 THEN 'MAXIMUM_' || p_type WHEN 3 THEN lower(p_type) || 'Minimum' ELSE p_type END AS n FROM part"
 _add("b6_limit_binding", lambda s, d: s.sql(_LIM.replace("FROM part", "FROM {part}"), part=_t(s, d, "part")).withColumn("x", S.limit_binding(c("n"))).select("p_partkey", "n", "x.bound", "x.body"),
-     f"SELECT p_partkey, n, CASE p_partkey % 5 WHEN 0 THEN 'min' WHEN 1 THEN 'max' WHEN 2 THEN 'max' WHEN 3 THEN 'min' END AS bound, CASE WHEN p_partkey % 5 < 4 THEN regexp_extract(lower(n), '^(minimum|maximum|min|max)?_?(.+?)_?(minimum|maximum|min|max)?$', 2) END AS body FROM ({_LIM})")
+     f"SELECT p_partkey, n, CASE p_partkey % 5 WHEN 0 THEN 'min' WHEN 1 THEN 'max' WHEN 2 THEN 'max' WHEN 3 THEN 'min' END AS bound, CASE WHEN p_partkey % 5 < 4 THEN regexp_extract(lower(n), '^(minimum|maximum|min|max)?[_-]?(.+?)_?(minimum|maximum|min|max)?$', 2) END AS body FROM ({_LIM})")
 _add("b7_literal_signature", lambda s, d: fact(s, d, "parameters").select("instance", "parameter", S.literal_signature(c("value"), F.when(c("parameter") == "Type", "string").otherwise("integer")).alias("signature")),
      with_facts("SELECT instance, parameter, CASE WHEN parameter = 'Type' THEN 'string:' || lower(trim(value)) ELSE 'integer:' || value END AS signature FROM parameters", "parameters"))
 _ICF = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'F::' || c_mktsegment || ':a.b' || cast(c_custkey AS string) WHEN 1 THEN 'x::.' WHEN 2 THEN 'plain' ELSE 'Tr::P:Q' END AS v FROM customer"
 _add("b8_icf_refs", lambda s, d: s.sql(_ICF.replace("FROM customer", "FROM {customer}"), customer=_t(s, d, "customer")).withColumn("r", S.icf_ref(c("v"))).select("c_custkey", "r.program", "r.path", S.icf_prefix(c("v")).alias("prefix"), S.icf_is_placeholder(c("v")).alias("placeholder")),
      "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment WHEN 3 THEN 'P' END AS program, CASE c_custkey % 4 WHEN 0 THEN 'a.b' || c_custkey WHEN 3 THEN 'Q' END AS path, CASE c_custkey % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'X' WHEN 3 THEN 'TR' END AS prefix, c_custkey % 4 = 1 AS placeholder FROM customer")
-_SIG = "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Unit.Mes_Recipe.Value' WHEN 1 THEN 'Unit.Sensor1.Operator' WHEN 2 THEN 'Plant.Valve_1.Out' WHEN 3 THEN 'Area.Safety-Trip' WHEN 4 THEN 'Set_Point.X' ELSE s_name END AS p FROM supplier"
+_SIG = "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Unit.Mes_Recipe.Value' WHEN 1 THEN 'Unit.Sensor1.Operator' WHEN 2 THEN 'Plant.Inter-lock_1.Out' WHEN 3 THEN 'Area.Emergency-Stop' WHEN 4 THEN 'Set_Point.X' ELSE s_name END AS p FROM supplier"
 _add("b9_classify_signal_path", lambda s, d: s.sql(_SIG.replace("FROM supplier", "FROM {supplier}"), supplier=_t(s, d, "supplier")).select("s_suppkey", S.classify_signal_path(c("p")).alias("class"), S.holds_keyword(c("p")).alias("sink"), S.holds_keyword(c("p"), S.SAFETY_KEYWORDS).alias("safety")),
-     "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'mes' WHEN 1 THEN 'sensor' WHEN 4 THEN 'operator' END AS class, s_suppkey % 6 = 2 AS sink, s_suppkey % 6 = 3 AS safety FROM supplier")
+     "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'mes' WHEN 1 THEN 'sensor' WHEN 4 THEN 'operator' END AS class, s_suppkey % 6 IN (2, 3) AS sink, s_suppkey % 6 = 3 AS safety FROM supplier")
 _add("b10_prompt_bucket", lambda s, d: _t(s, d, "conversations").select("conv_id", "turn", S.prompt_bucket(F.concat(F.when(c("conv_id") % 3 == 0, "Implement the plan: ").when(c("conv_id") % 3 == 1, "Review "), c("text"))).alias("bucket")),
      "SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'implement_plan' WHEN 1 THEN 'review' ELSE 'other' END AS bucket FROM conversations")
 _add("b11_redact", lambda s, d: _t(s, d, "customer").select("c_custkey", S.redact_value(F.substring("c_name", 1, 5)).alias("short"), S.redact_value(c("c_name")).alias("long"), S.redact_email(F.concat(c("c_name"), F.lit("@x.example"))).alias("email")),

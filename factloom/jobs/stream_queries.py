@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
+from ..shared import fresh_path
 from ..sources import files as S
 from ..sources.facts import fact, with_facts as _F
 from ..streaming import rollups as R
@@ -32,11 +30,6 @@ def _stream(s, d) -> DataFrame:
     return e.select(c("event_id").alias("seq"), c("ts").cast("timestamp").alias("ts"), c("user_id").alias("session"), F.when(c("event_id") % 11 != 0, c("event_type")).alias("operation"), (c("event_type") != "error").alias("success"))
 
 
-def _place(s, name: str) -> str:
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-files-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 _add("k1_stream_operation_rollup", lambda s, d: R.drained(R.operation_rollup(_stream(s, d)), "rollup"), _F(f"SELECT date_trunc('hour', ts) AS start, coalesce(operation, 'unknown') AS operation, count(*) AS n, count(*) FILTER (NOT success) AS failures FROM telemetry GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_MARK}", "telemetry"))
 _add("k2_stream_session_rollup", lambda s, d: R.drained(R.session_rollup(_stream(s, d)), "sessions"), f"SELECT session, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS \"end\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY ts) AS g FROM (SELECT user_id AS session, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY session, g HAVING max(ts) + INTERVAL 6 HOUR <= {_MARK}")
@@ -53,7 +46,7 @@ _add("k4_stream_tool_retries", _retries, "SELECT session, count(*) FILTER (s AND
 
 def _discovered(s, d):
     """Documents as program files, one text file a language and kind, found again."""
-    at = _place(s, "tree")
+    at = fresh_path(s, "tree")
     rows = _t(s, d, "documents").select(F.concat("lang", F.lit("="), "source").alias("name"), F.concat_ws(" ", "lang", "source", c("doc_id").cast("string")).alias("value"))
     rows.write.partitionBy("name").text(at)
     f = S.discover_sources(s, at, kinds=(("txt", "program"),))
@@ -67,10 +60,10 @@ _add("a3_dependency_edges", lambda s, d: S.dependency_edges(_t(s, d, "documents"
 
 
 def _found(s, d):
-    """Findings written as collections, a file each, and read back."""
-    at = _place(s, "findings")
+    """Findings written as collections of a bounded size, a file each, and read back."""
+    at = fresh_path(s, "findings")
     f = fact(s, d, "findings").withColumn("line", c("line").cast("int"))
-    one = f.groupBy("rule_id", "category").agg(F.collect_list(F.struct("rule_id", "severity", "message", F.struct("path", "line", "symbol").alias("location"))).alias("findings"))
+    one = f.groupBy("rule_id", "category", F.floor(c("doc_id") / 1000)).agg(F.collect_list(F.struct("rule_id", "severity", "message", F.struct("path", "line", "symbol").alias("location"))).alias("findings"))
     one.select("findings").write.option("maxRecordsPerFile", 1).json(at)
     return S.read_findings(s, at)
 
@@ -80,20 +73,20 @@ _add("a5_read_findings", _found, _F("SELECT rule_id, severity, message, path, li
 
 def _covered(s, d):
     """Coverage XML of findings, written as text and read back."""
-    at = _place(s, "coverage")
+    at = fresh_path(s, "coverage")
     line = F.concat(F.lit('<line number="'), c("line").cast("string"), F.lit('" hits="'), (c("doc_id") % 3).cast("string"), F.lit('"/>'))
-    x = fact(s, d, "findings").withColumn("path", F.when(c("doc_id") % 4 == 0, F.concat(F.lit("tests/"), "path")).otherwise(c("path"))).groupBy("path").agg(F.array_join(F.collect_list(line), "").alias("lines"))
+    x = fact(s, d, "findings").withColumn("path", F.when(c("doc_id") % 4 == 0, F.concat(F.lit("tests/"), "path")).otherwise(c("path"))).groupBy("path", F.floor(c("doc_id") / 10_000)).agg(F.array_join(F.collect_list(line), "").alias("lines"))
     x.select(F.concat(F.lit('<coverage><class filename="'), "path", F.lit('"><lines>'), "lines", F.lit("</lines></class></coverage>")).alias("value")).write.option("maxRecordsPerFile", 1).text(at)
     return S.read_coverage(s, at)
 
 
 _add("a7_read_coverage", _covered, _F("SELECT path, line, doc_id % 3 AS hits FROM findings WHERE doc_id % 4 <> 0", "findings"))
-_add("a6_read_jsonl", lambda s, d: S.read_jsonl(_t(s, d, "events").groupBy((c("event_id") % 97).alias("file")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("event_id", F.when(c("event_id") % 10 == 3, F.lit("oops")).when(c("event_id") % 10 == 4, F.lit(" ")).otherwise(c("props")).alias("p")))).getField("p"), "\n").alias("text")), "k long").select("file", "line_no", "bad", "row.k"),
-     "SELECT file, line_no, CASE WHEN e % 10 = 3 THEN 'oops' END AS bad, CASE WHEN e % 10 <> 3 THEN cast(json_extract(props, '$.k') AS bigint) END AS k FROM (SELECT event_id % 97 AS file, row_number() OVER (PARTITION BY event_id % 97 ORDER BY event_id) AS line_no, event_id AS e, props FROM events) WHERE e % 10 <> 4")
+_add("a6_read_jsonl", lambda s, d: S.read_jsonl(_t(s, d, "events").groupBy(F.expr("event_id div 500").alias("file")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("event_id", F.when(c("event_id") % 10 == 3, F.lit("oops")).when(c("event_id") % 10 == 4, F.lit(" ")).otherwise(c("props")).alias("p")))).getField("p"), "\n").alias("text")), "k long").select("file", "line_no", "bad", "row.k"),
+     "SELECT file, line_no, CASE WHEN e % 10 = 3 THEN 'oops' END AS bad, CASE WHEN e % 10 <> 3 THEN cast(json_extract(props, '$.k') AS bigint) END AS k FROM (SELECT event_id // 500 AS file, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS line_no, event_id AS e, props FROM events) WHERE e % 10 <> 4")
 
 
 def _report(s, d):
-    at = _place(s, "report")
+    at = fresh_path(s, "report")
     S.write_report(fact(s, d, "accesses").groupBy("program", "kind").agg(F.count("*").alias("n")), at)
     return s.read.parquet(at).select(c("program").cast("string"), "kind", "n")
 

@@ -30,18 +30,25 @@ _USE = """u AS (SELECT d.*, coalesce(read, false) AS read, coalesce(written, fal
  count(DISTINCT CASE WHEN kind = 'read' THEN module_path END) AS readers, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers FROM accesses GROUP BY var_key) a USING (var_key))"""
 _F = lambda sql, *n: with_facts(sql, *n)
 _U = lambda sql: with_facts("", "declarations", "accesses").rstrip() + ", " + _USE + "\n" + sql
-_FEW = lambda s, d: _A(s, d).where("var_key not like '%7'")
 
 _add("c2_usage_summary", lambda s, d: U.usage_summary(_D(s, d), _A(s, d)), _U("SELECT * FROM u"))
-_add("c3_classify_usage", lambda s, d: U.classify_usage(_D(s, d), _FEW(s, d).where("literal > 40 or not is_ui and literal > 45"), _A(s, d).where("literal = 50").select("var_key")),
-     _U("""SELECT u.*, CASE WHEN NOT read AND NOT written THEN 'unused' WHEN ui_read AND NOT non_ui_read AND NOT written THEN 'ui_only' WHEN role = 'local' AND read AND NOT written AND NOT is_const THEN 'read_only_non_const'
-     WHEN role = 'local' AND written AND NOT read THEN 'never_read' WHEN written AND var_key NOT IN (SELECT var_key FROM accesses WHERE literal = 50) THEN 'write_without_effect' END AS issue FROM u""").replace("FROM accesses GROUP BY var_key", "FROM accesses WHERE var_key NOT LIKE '%7' AND literal > 40 GROUP BY var_key"))
-_LINKS = "SELECT 'v' || cast(p_partkey % 100 AS string) AS parent_key, 'v' || cast(p_partkey AS string) AS child_key, CASE WHEN p_size % 2 = 0 THEN 'sub' ELSE '' END AS prefix, p_partkey // 1000 AS level FROM part WHERE p_partkey >= 100 AND p_partkey < 10000"
-_add("c4_propagate_aliases", lambda s, d: U.propagate_aliases(_A(s, d).select("var_key", "field", "module_path", "kind", "is_ui").distinct(), _sql(s, d, _LINKS.replace("//", "div"), "part")).groupBy("var_key", "field", "kind").agg(F.count("*").alias("n")),
-     _F(f"""SELECT var_key, field, kind, count(*) AS n FROM (SELECT DISTINCT var_key, field, module_path, kind, is_ui FROM accesses UNION ALL
-     SELECT * FROM (SELECT DISTINCT parent_key, CASE WHEN prefix <> '' AND field <> '' THEN prefix || '.' || field ELSE prefix || field END, module_path, kind, is_ui FROM (SELECT * FROM ({_LINKS}) WHERE level = 0) l JOIN accesses ON child_key = var_key)
-     UNION ALL SELECT * FROM (SELECT DISTINCT parent_key, CASE WHEN prefix <> '' AND field <> '' THEN prefix || '.' || field ELSE prefix || field END, module_path, kind, is_ui FROM (SELECT * FROM ({_LINKS}) WHERE level = 1) l JOIN accesses ON child_key = var_key)
-     ) GROUP BY ALL""", "accesses"))
+# facts with every kind of use: accesses of nine variables in ten, by the user interface alone for some, without reads or writes for others
+_MIX = "SELECT *, cast(substr(var_key, 2) AS bigint) % 10 AS k FROM accesses"
+_VARIED = f"SELECT var_key, field, module_path, CASE WHEN k = 3 THEN 'write' WHEN k IN (4, 5) THEN 'read' ELSE kind END AS kind, CASE WHEN k IN (5, 8) THEN true WHEN k = 4 THEN false ELSE is_ui END AS is_ui FROM ({_MIX}) WHERE k <> 7"
+_varied = lambda s, d: s.sql(_VARIED.replace("FROM accesses", "FROM {accesses}"), accesses=_A(s, d))
+_BOUND = "SELECT var_key FROM declarations WHERE init_value < 20"
+_EFF = "SELECT var_key FROM declarations WHERE init_value % 2 = 0"
+_keys = lambda s, d, sql: s.sql(sql.replace("FROM declarations", "FROM {declarations}"), declarations=_D(s, d))
+_V = lambda sql: _U(sql).replace("FROM accesses GROUP BY var_key", f"FROM ({_VARIED}) GROUP BY var_key")
+_add("c3_classify_usage", lambda s, d: U.classify_usage(_D(s, d), _varied(s, d), _keys(s, d, _EFF), _keys(s, d, _BOUND)),
+     _V(f"""SELECT u.*, CASE WHEN NOT read AND NOT written THEN 'unused' WHEN ui_read AND NOT non_ui_read AND NOT written THEN 'ui_only' WHEN var_key IN ({_BOUND}) AND written AND NOT non_ui_read THEN 'procedure_status' WHEN role = 'local' AND read AND NOT written AND NOT is_const THEN 'read_only_non_const'
+     WHEN role = 'local' AND written AND NOT read THEN 'never_read' WHEN written AND var_key NOT IN ({_EFF}) THEN 'write_without_effect' END AS issue FROM u"""))
+_LINKS = "SELECT 'v' || cast(p_partkey // 10 AS string) AS parent_key, 'v' || cast(p_partkey AS string) AS child_key, CASE WHEN p_size % 2 = 0 THEN 'sub' ELSE '' END AS prefix, 9 - length(cast(p_partkey AS string)) AS level FROM part WHERE p_partkey >= 10"
+_ALIAS = ("var_key", "field", "module_path", "kind", "is_ui")
+_add("c4_propagate_aliases", lambda s, d: U.propagate_aliases(_A(s, d).select(*_ALIAS).distinct(), _sql(s, d, _LINKS.replace("//", "div"), "part")).distinct().groupBy("var_key", "field", "kind").agg(F.count("*").alias("n")),
+     _F(f""", l AS ({_LINKS}), walk AS (SELECT DISTINCT {', '.join(_ALIAS)} FROM accesses UNION
+     SELECT parent_key, CASE WHEN prefix <> '' AND field <> '' THEN prefix || '.' || field ELSE prefix || field END, module_path, kind, is_ui FROM walk JOIN l ON child_key = var_key)
+     SELECT var_key, field, kind, count(*) AS n FROM walk GROUP BY ALL""", "accesses").replace("\n,", ",", 1).replace("WITH ", "WITH RECURSIVE ", 1))
 _REC = "SELECT DISTINCT lower(p_type) AS record_key, 'f' || cast(p_size % 3 AS string) AS field, CASE p_size % 3 WHEN 0 THEN 'real' WHEN 1 THEN 'pair' ELSE lower(p_type) END AS datatype FROM part UNION SELECT DISTINCT 'pair', 'left' || cast(p_size % 2 AS string), 'integer' FROM part"
 _LEAF = f"""rec AS ({_REC}), walk(var_key, leaf, type, seen, done) AS (SELECT var_key, '', datatype, [datatype], false FROM declarations
  UNION ALL SELECT w.var_key, CASE WHEN leaf = '' THEN field ELSE leaf || '.' || field END, r.datatype, list_append(seen, r.datatype), list_contains(seen, r.datatype) FROM walk w JOIN rec r ON r.record_key = w.type WHERE NOT w.done)"""
@@ -65,17 +72,21 @@ _add("c7_unused_record_fields", lambda s, d: U.unused_record_fields(U.expand_lea
 _add("c8_root_access_by_module", lambda s, d: U.root_access_by_module(_A(s, d)), _F("SELECT var_key, module_path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, bool_or(field = '') AS root_level FROM accesses GROUP BY ALL", "accesses"))
 _add("c9_hidden_coupling", lambda s, d: U.hidden_coupling(_A(s, d)), _F("SELECT var_key, count(DISTINCT module_path) AS modules, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers, string_agg(DISTINCT module_path, ', ' ORDER BY module_path) AS module_list FROM accesses GROUP BY 1 HAVING modules >= 2 AND writers >= 1", "accesses"))
 _add("c10_high_fan_in_out", lambda s, d: U.high_fan_in_out(_A(s, d), 22), _F("SELECT var_key, count(DISTINCT CASE WHEN kind = 'read' THEN module_path END) AS readers, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers FROM accesses GROUP BY 1 HAVING readers >= 22 OR writers >= 22", "accesses"))
-_few = lambda s, d: _A(s, d).where("literal > 47")
-_add("c11_scope_minimization", lambda s, d: U.scope_minimization(_few(s, d), 1),
-     _F("""SELECT var_key, CASE WHEN count(DISTINCT module_path) = 1 THEN min(module_path) ELSE min(string_split(module_path, '.')[1] || '.' || string_split(module_path, '.')[2]) END AS scope FROM accesses WHERE literal > 47 GROUP BY var_key
+_LOCAL = "SELECT var_key, CASE WHEN cast(substr(var_key, 2) AS bigint) % 3 = 0 THEN 'b' ELSE field END AS field, CASE WHEN cast(substr(var_key, 2) AS bigint) % 2 = 0 THEN 'r1.g' || cast(cast(substr(var_key, 2) AS bigint) % 5 AS string) || substr(module_path, instr(module_path, '.m')) ELSE module_path END AS module_path FROM accesses"
+_local = lambda s, d: s.sql(_LOCAL.replace("FROM accesses", "FROM {accesses}"), accesses=_A(s, d))
+_add("c11_scope_minimization", lambda s, d: U.scope_minimization(_local(s, d), 1),
+     _F("""SELECT var_key, CASE WHEN count(DISTINCT module_path) = 1 THEN min(module_path) ELSE min(string_split(module_path, '.')[1] || '.' || string_split(module_path, '.')[2]) END AS scope FROM (""" + _LOCAL + """) GROUP BY var_key
      HAVING NOT bool_or(field = '') AND count(DISTINCT string_split(module_path, '.')[1] || '.' || string_split(module_path, '.')[2]) = 1""", "accesses"))
 _add("c12_duplicate_complex_types", lambda s, d: U.duplicate_complex_types(_D(s, d), _rec(s, d).where("record_key < 'p'").select(c("record_key").alias("datatype")).distinct()), _F("SELECT scope, datatype, count(*) AS n FROM declarations WHERE datatype >= 'p' GROUP BY ALL HAVING count(*) >= 2", "declarations"))
 _LOC = "SELECT p_partkey AS id, p_name AS name, CASE p_size % 3 WHEN 0 THEN 'r' || cast(p_partkey % 7 AS string) WHEN 1 THEN 'r' || cast(p_partkey % 7 AS string) || '.s' || cast(p_partkey % 14 AS string) ELSE 'r' || cast(p_partkey % 7 AS string) || '.s' || cast(p_partkey % 14 AS string) || '.t' || cast(p_partkey % 28 AS string) END AS path FROM part"
 _add("c13_shadowing", lambda s, d: U.shadowing(_sql(s, d, _LOC, "part")), f"WITH l AS ({_LOC}) SELECT id, hidden_id FROM (SELECT a.id, b.id AS hidden_id, row_number() OVER (PARTITION BY a.id ORDER BY length(b.path) DESC, b.id) AS n FROM l a JOIN l b ON lower(a.name) = lower(b.name) AND starts_with(a.path, b.path || '.')) WHERE n = 1")
 _add("c14_name_collisions", lambda s, d: U.name_collisions(_D(s, d)), _F("SELECT scope, lower(name) AS key FROM declarations GROUP BY ALL HAVING count(DISTINCT role) = 2", "declarations"))
-_add("c15_magic_numbers", lambda s, d: U.magic_numbers(_A(s, d)), _F("SELECT literal, count(*) AS n FROM accesses WHERE kind = 'write' AND literal NOT IN (0, 1) GROUP BY 1", "accesses"))
-_add("c17_naming_role_mismatch", lambda s, d: U.naming_role_mismatch(U.usage_summary(_D(s, d), _few(s, d))),
-     _U("SELECT var_key, role_word, CASE WHEN role_word = 'command' THEN 'command_never_read' ELSE 'status_never_written' END AS issue FROM (SELECT *, CASE WHEN list_contains(string_split(name, ' '), 'red') THEN 'command' WHEN list_contains(string_split(name, ' '), 'blue') THEN 'status' END AS role_word FROM u) WHERE (role_word = 'command' AND NOT read) OR (role_word = 'status' AND NOT written)").replace("FROM accesses GROUP BY var_key", "FROM accesses WHERE literal > 47 GROUP BY var_key"))
+_add("c15_magic_numbers", lambda s, d: U.magic_numbers(_A(s, d)), _F("SELECT literal, count(*) AS n FROM accesses WHERE kind = 'write' AND literal <> 0 GROUP BY 1", "accesses"))
+_NAMED = "SELECT * REPLACE (name || CASE init_value % 4 WHEN 0 THEN 'Cmd' WHEN 1 THEN 'STATUS' WHEN 2 THEN 'Alarm' ELSE '' END AS name) FROM declarations"
+_named = lambda s, d: _D(s, d).withColumn("name", F.concat("name", F.when(c("init_value") % 4 == 0, "Cmd").when(c("init_value") % 4 == 1, "STATUS").when(c("init_value") % 4 == 2, "Alarm").otherwise("")))
+_add("c17_naming_role_mismatch", lambda s, d: U.naming_role_mismatch(U.usage_summary(_named(s, d), _varied(s, d)), _keys(s, d, "SELECT var_key FROM declarations WHERE is_state"), _keys(s, d, _BOUND)),
+     _V(f"""SELECT var_key, CASE init_value % 4 WHEN 0 THEN 'command' WHEN 1 THEN 'status' ELSE 'alarm' END AS role, CASE init_value % 4 WHEN 0 THEN 'command_as_internal_state' WHEN 1 THEN 'status_written' ELSE 'alarm_as_control_input' END AS issue
+     FROM u WHERE init_value % 4 = 0 AND read AND written AND NOT is_state OR init_value % 4 = 1 AND written AND var_key NOT IN ({_BOUND}) OR init_value % 4 = 2 AND non_ui_read"""))
 _add("c19_usage_trace", lambda s, d: U.usage_trace(_A(s, d)), _F("SELECT var_key, field, module_path, count(*) FILTER (kind = 'read') AS reads, count(*) FILTER (kind = 'write') AS writes, CASE WHEN writes = 0 THEN 'READ' WHEN reads = 0 THEN 'WRITE' ELSE 'READ+WRITE' END AS usage FROM accesses GROUP BY ALL", "accesses"))
 _P = lambda s, d: fact(s, d, "parameters")
 _add("c20_required_parameters_missing", lambda s, d: U.required_parameters_missing(_P(s, d).select("moduletype", "parameter").distinct(), _P(s, d).select("moduletype", "instance").distinct(), _P(s, d)),
@@ -84,15 +95,15 @@ _add("c21_unknown_parameter_targets", lambda s, d: U.unknown_parameter_targets(_
      _F("SELECT * FROM parameters p WHERE NOT EXISTS (SELECT 1 FROM parameters q WHERE q.value <> '1' AND (q.moduletype < 'Brand#2' OR q.parameter = 'Size') AND q.moduletype = p.moduletype AND q.parameter = p.parameter)", "parameters"))
 _MAP = "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'String' WHEN 1 THEN 'tagstring' WHEN 2 THEN 'maxstring' ELSE 'integer' END AS source_type, CASE p_partkey % 4 WHEN 0 THEN 'identstring' WHEN 1 THEN 'linestring' WHEN 2 THEN 'AnyType' ELSE 'real' END AS target_type, CASE WHEN p_size % 5 = 0 THEN p_name || p_name || p_name || p_type END AS literal, CASE p_size % 3 WHEN 0 THEN 'MinLevel' WHEN 1 THEN 'Level_MAX' ELSE 'MinMax' END AS source, CASE p_partkey % 2 WHEN 0 THEN 'maxLevel' ELSE 'Low' END AS target FROM part"
 _add("c22_string_narrowing", lambda s, d: U.string_narrowing(_sql(s, d, _MAP, "part")),
-     f"WITH m AS (SELECT *, CASE lower(source_type) WHEN 'string' THEN 40 WHEN 'tagstring' THEN 15 WHEN 'maxstring' THEN 140 END AS a, CASE target_type WHEN 'identstring' THEN 30 WHEN 'linestring' THEN 80 END AS b FROM ({_MAP})) SELECT id, CASE WHEN literal IS NOT NULL THEN 'literal_too_long' ELSE 'narrowing' END AS issue FROM m WHERE (literal IS NOT NULL AND length(literal) > b) OR (literal IS NULL AND a > b)")
+     f"WITH m AS (SELECT *, CASE lower(source_type) WHEN 'string' THEN 40 WHEN 'tagstring' THEN 30 WHEN 'maxstring' THEN 140 END AS a, CASE target_type WHEN 'identstring' THEN 15 WHEN 'linestring' THEN 80 END AS b FROM ({_MAP})) SELECT id, CASE WHEN literal IS NOT NULL THEN 'literal_too_long' ELSE 'narrowing' END AS issue FROM m WHERE (literal IS NOT NULL AND length(literal) > b) OR (literal IS NULL AND a > b)")
 _add("c23_min_max_crossed", lambda s, d: U.min_max_crossed(_sql(s, d, _MAP, "part")), f"SELECT id FROM ({_MAP}) WHERE (source = 'MinLevel' AND target = 'maxLevel') OR (source = 'Level_MAX' AND target = 'Low')")
 _add("c24_contract_mismatch", lambda s, d: U.contract_mismatch(_sql(s, d, _MAP, "part")), f"SELECT id, source_type, target_type FROM ({_MAP}) WHERE target_type <> 'AnyType' AND NOT (source_type <> 'integer' AND target_type <> 'real')")
-_CALL = "SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_returnflag = 'A' THEN 'OpenFile' ELSE 'closefile' END AS function, l_linenumber % 3 AS arg_pos, 'v' || cast(l_partkey AS string) AS var_key FROM lineitem WHERE l_quantity < 20"
+_CALL = "SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_returnflag = 'A' THEN 'OpenFile' ELSE 'closefile' END AS function, l_linenumber % 3 AS arg_pos, 'v' || cast(l_partkey AS string) AS var_key FROM lineitem"
 _SG = "SELECT DISTINCT CASE WHEN l_returnflag = 'A' THEN 'openfile' ELSE 'CloseFile' END AS function, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS arg_pos FROM lineitem"
-_add("c16_procedure_status_ignored", lambda s, d: U.procedure_status_ignored(_sql(s, d, _CALL, "lineitem"), _sql(s, d, _SG, "lineitem"), U.usage_summary(_D(s, d), _few(s, d))),
-     _U(f"SELECT site, var_key, CASE WHEN ui_read THEN 'ui_only' ELSE 'ignored' END AS issue FROM ({_CALL}) c JOIN u USING (var_key) WHERE NOT non_ui_read AND ((function = 'OpenFile' AND arg_pos = 1) OR (function = 'closefile' AND arg_pos = 2))").replace("FROM accesses GROUP BY var_key", "FROM accesses WHERE literal > 47 GROUP BY var_key"))
-_add("c18_record_order_dependence", lambda s, d: U.record_order_dependence(_sql(s, d, "SELECT p_brand AS record, p_partkey AS site, p_size % 7 AS pos FROM part WHERE p_size > 30", "part"), _sql(s, d, "SELECT DISTINCT p_brand AS record, p_size % 5 AS pos, 'f' || cast(p_size % 5 AS string) AS field FROM part", "part")),
-     "SELECT record, site, field FROM (SELECT p_brand AS record, min(p_partkey) AS site, arg_min(p_size % 7, p_partkey) AS pos FROM part WHERE p_size > 30 GROUP BY 1) LEFT JOIN (SELECT DISTINCT p_brand AS record, p_size % 5 AS pos, 'f' || (p_size % 5) AS field FROM part) USING (record, pos)")
+_add("c16_procedure_status_ignored", lambda s, d: U.procedure_status_ignored(_sql(s, d, _CALL, "lineitem"), _sql(s, d, _SG, "lineitem"), U.usage_summary(_D(s, d), _varied(s, d))),
+     _V(f"SELECT site, var_key, CASE WHEN ui_read THEN 'ui_only' ELSE 'ignored' END AS issue FROM ({_CALL}) c JOIN u USING (var_key) WHERE NOT non_ui_read AND ((function = 'OpenFile' AND arg_pos = 1) OR (function = 'closefile' AND arg_pos = 2))"))
+_add("c18_record_order_dependence", lambda s, d: U.record_order_dependence(_sql(s, d, "SELECT p_brand AS record, p_partkey AS site, p_size % 7 AS pos FROM part", "part"), _sql(s, d, "SELECT DISTINCT p_brand AS record, p_size % 5 AS pos, 'f' || cast(p_size % 5 AS string) AS field FROM part", "part")),
+     "SELECT record, site, field FROM (SELECT p_brand AS record, min(p_partkey) AS site, arg_min(p_size % 7, p_partkey) AS pos FROM part GROUP BY 1) LEFT JOIN (SELECT DISTINCT p_brand AS record, p_size % 5 AS pos, 'f' || (p_size % 5) AS field FROM part) USING (record, pos)")
 _SYM = "SELECT DISTINCT p_brand || '.' || p_type || '.' || replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN '.' ELSE '_' END) AS path FROM part"
 _add("b18_search_symbols", lambda s, d: U.search_symbols(_sql(s, d, _SYM, "part"), "none.ECONOMY.red.widget", 15),
      f"SELECT path, CASE WHEN lower(path) LIKE '%.economy.red.widget' THEN 3 WHEN lower(path) LIKE '%.red.widget' THEN 2 ELSE 1 END AS rank FROM ({_SYM}) WHERE lower(path) LIKE '%.widget' ORDER BY rank DESC, len(string_split(path, '.')), path LIMIT 15")

@@ -5,24 +5,11 @@ A closure's size is up to sources times nodes: restrict the sources first where
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-c = F.col
-
+from ..shared import written
 
-def _written(df: DataFrame) -> DataFrame:
-    """df cut from its lineage: a checkpoint in the shared folder (spark.checkpoint.dir)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if at is None:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="spark-facts-")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+c = F.col
 
 
 def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
@@ -30,14 +17,14 @@ def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int
 
     edges: (src, dst); sources: (src), all by default.
     """
-    e = _written(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    e = written(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     step = e.select(c("src").alias("via"), c("dst").alias("to"))
     now = e if sources is None else e.join(sources.select("src").distinct(), "src", "left_semi")
-    now = _written(now.withColumn("depth", F.lit(1)))
+    now = written(now.withColumn("depth", F.lit(1)))
     seen = now
     for depth in range(2, max_rounds):
         new = now.select("src", c("dst").alias("via")).join(step, "via").select("src", c("to").alias("dst")).distinct().join(seen, ["src", "dst"], "left_anti")
-        now = _written(new.withColumn("depth", F.lit(depth)))
+        now = written(new.withColumn("depth", F.lit(depth)))
         if not now.limit(1).count():
             return seen
         seen = seen.unionByName(now)
@@ -64,10 +51,11 @@ def access_graph(accesses: DataFrame, owners: DataFrame) -> DataFrame:
     return per.join(owners, "var_key").groupBy("module_path", "owner").agg(F.sum("r").alias("reads"), F.sum("w").alias("writes"), F.count("*").alias("symbols"))
 
 
-def reverse_impact(edges: DataFrame) -> DataFrame:
-    """(node, direct, transitive): how many nodes depend on a node. edges: (src depends on dst); self-edges don't count."""
+def reverse_impact(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, direct, transitive): how many nodes depend on a node. edges: (src depends on dst); self-edges don't count. nodes: (node), the ones asked for; all by default."""
     e = edges.where("src <> dst")
-    back = closure(e.select(c("dst").alias("src"), c("src").alias("dst"))).where("src <> dst")
+    asked = None if nodes is None else nodes.select(c("node").alias("src"))
+    back = closure(e.select(c("dst").alias("src"), c("src").alias("dst")), asked).where("src <> dst")
     return back.groupBy(c("src").alias("node")).agg(F.count_if(c("depth") == 1).alias("direct"), F.count("*").alias("transitive"))
 
 
@@ -84,15 +72,15 @@ def taint_traces(edges: DataFrame, sources: DataFrame, sinks: DataFrame, modules
     source's module; a node without a module is in none.
     """
     e = edges.where("src <> dst").select("src", "dst").distinct().join(modules.select(c("node").alias("dst"), "module"), "dst", "left")
-    e = _written(e.select("src", "dst", "module"))
+    e = written(e.select("src", "dst", "module"))
     unfed = sources.distinct().join(e.select(c("dst").alias("node")), "node", "left_anti").join(modules.select("node", c("module").alias("home")), "node", "left")
-    now = _written(unfed.select(c("node").alias("source"), "home", "node", F.lit(0).alias("depth"), c("node").cast("string").alias("path"), F.lit(False).alias("multi_module")))
+    now = written(unfed.select(c("node").alias("source"), "home", "node", F.lit(0).alias("depth"), c("node").cast("string").alias("path"), F.lit(False).alias("multi_module")))
     seen = now
     for depth in range(1, max_rounds):
         multi = c("multi_module") | ~c("module").eqNullSafe(c("home"))
         new = now.join(e, c("node") == c("src")).select("source", "home", c("dst").alias("node"), F.struct(F.concat_ws(">", "path", c("dst").cast("string")).alias("path"), multi.alias("multi_module")).alias("x"))
         new = new.groupBy("source", "home", "node").agg(F.min("x").alias("x")).join(seen, ["source", "node"], "left_anti")
-        now = _written(new.select("source", "home", "node", F.lit(depth).alias("depth"), "x.path", "x.multi_module"))
+        now = written(new.select("source", "home", "node", F.lit(depth).alias("depth"), "x.path", "x.multi_module"))
         if not now.limit(1).count():
             return seen.where("depth > 0").join(sinks.distinct(), "node").select("source", c("node").alias("sink"), "depth", "path", "multi_module")
         seen = seen.unionByName(now)
@@ -107,7 +95,7 @@ def safety_traces(accesses: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component): nodes that reach themselves, with the smallest node of their strongly connected component."""
-    r = _written(closure(edges))
+    r = written(closure(edges))
     mutual = r.select("src", "dst").join(r.select(c("src").alias("dst"), c("dst").alias("src")), ["src", "dst"])
     return mutual.groupBy(c("src").alias("node")).agg(F.min("dst").alias("component"))
 
@@ -123,13 +111,13 @@ def load_order(edges: DataFrame) -> DataFrame:
     """(node, level) of an acyclic graph, dependencies first: level 0 depends on nothing, others are one above their deepest dependency. edges: (src depends on dst)."""
     e = edges.select("src", "dst").distinct()
     nodes = e.select(c("src").alias("node")).union(e.select("dst")).distinct()
-    level = _written(nodes.withColumn("level", F.lit(0)))
+    level = written(nodes.withColumn("level", F.lit(0)))
     for n in range(1, 1000):
         up = e.join(level.where(c("level") == n - 1).select(c("node").alias("dst")), "dst", "left_semi").select(c("src").alias("node")).distinct()
-        up = _written(up.withColumn("up", F.lit(n)))
+        up = written(up.withColumn("up", F.lit(n)))
         if not up.limit(1).count():
             return level
-        level = _written(level.join(up, "node", "left").select("node", F.coalesce("up", "level").alias("level")))
+        level = written(level.join(up, "node", "left").select("node", F.coalesce("up", "level").alias("level")))
     raise RuntimeError("the graph has a cycle, or is deeper than 1000")
 
 

@@ -56,13 +56,13 @@ def variant_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.select("name", "item", change.alias("change")).where("change is not null")
 
 
-def missing_initial_values(values: DataFrame, value_like: tuple = ("size", "value")) -> DataFrame:
+def missing_initial_values(values: DataFrame, value_like: tuple) -> DataFrame:
     """(moduletype, instance) of instances none of whose value-like parameters has a value."""
     like = F.lower("parameter").isin(*value_like)
     return values.groupBy("moduletype", "instance").agg(F.bool_or(like & c("value").isNotNull()).alias("has")).where("not has").select("moduletype", "instance")
 
 
-def unsafe_defaults(decls: DataFrame, words: tuple = ("bypass", "enable", "red")) -> DataFrame:
+def unsafe_defaults(decls: DataFrame, words: tuple = ("bypass", "enable")) -> DataFrame:
     """Declarations that start true and whose name has one of the words as a token: (var_key, name)."""
     return decls.where(c("init_true") & F.exists(identifier_tokens(c("name")), lambda t: t.isin(*words))).select("var_key", "name")
 
@@ -141,13 +141,13 @@ def dependency_version_conflicts(types: DataFrame) -> DataFrame:
 
 
 #: Words by documentation category, in the order in which they are tried.
-CATEGORIES = (("em", ("equipment", "widget", "em")), ("ops", ("operation", "bolt", "ops")), ("parameters", ("parameter", "ring", "par")))
+CATEGORIES = (("em", ("equipment", "em")), ("ops", ("operation", "ops")), ("parameters", ("parameter", "par")))
 
 
-def classify_modules(modules: DataFrame) -> DataFrame:
+def classify_modules(modules: DataFrame, categories: tuple = CATEGORIES) -> DataFrame:
     """(path, category): by the name's tokens, else that of the nearest classified module above; null without one. modules: (path, name)."""
     tokens = identifier_tokens(c("name"))
-    own = F.coalesce(*(F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words))), F.lit(k)) for k, words in CATEGORIES))
+    own = F.coalesce(*(F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words))), F.lit(k)) for k, words in categories))
     m = modules.select("path", own.alias("own"))
     steps = F.split("path", r"\.")
     up = m.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("d"), F.array_join(F.slice(steps, 1, n), ".").alias("above")))).alias("x")).select("path", "x.d", "x.above")

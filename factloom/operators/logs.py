@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import conflict_rep, limit_binding, path_conflicts
+from ..shared import written
 
 c = F.col
 
@@ -41,10 +42,27 @@ def unconsumed_writes(log: DataFrame) -> DataFrame:
 
 
 def dead_overwrites(log: DataFrame) -> DataFrame:
-    """(module_path, var_key, seq, next_seq): a write that the next access of the same variable overwrites."""
-    w = W.partitionBy("module_path", "var_key").orderBy("seq")
-    x = log.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_seq", F.lead("seq").over(w))
-    return x.where("kind = 'write' and next_kind = 'write'").select("module_path", "var_key", "seq", "next_seq")
+    """(module_path, var_key, seq, next_seq): a write that the next access of the same variable overwrites.
+
+    With a column `field` ('' or a dotted path) the write of a field is overwritten by the next write of the same field or of
+    the whole record, unless a read of the field, of a part of it or of what holds it stands between. A whole write is
+    overwritten by the next whole write, unless any read stands between.
+    """
+    if "field" not in log.columns:
+        w = W.partitionBy("module_path", "var_key").orderBy("seq")
+        x = log.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_seq", F.lead("seq").over(w))
+        return x.where("kind = 'write' and next_kind = 'write'").select("module_path", "var_key", "seq", "next_seq")
+    # each access is told to every prefix of its field (a read of a part reads what holds it); a whole write, and a read of
+    # what holds others, to all fields that the module touches
+    steps = F.split("field", r"\.")
+    held = F.transform(F.sequence(F.lit(0), F.when(c("field") == "", 0).otherwise(F.size(steps))), lambda n: F.array_join(F.slice(steps, 1, n), "."))
+    fields = log.select("module_path", "var_key", c("field").alias("at")).distinct()
+    up = log.select("module_path", "var_key", "seq", "kind", "field", F.explode(held).alias("at")).where("kind = 'read' or at = field")
+    down = log.join(fields, ["module_path", "var_key"]).where("at <> field and (field = '' or kind = 'read' and startswith(at, field || '.'))")
+    every = up.unionByName(down.select("module_path", "var_key", "seq", "kind", "field", "at"))
+    w = W.partitionBy("module_path", "var_key", "at").orderBy("seq")
+    x = every.withColumn("next_kind", F.lead("kind").over(w)).withColumn("next_seq", F.lead("seq").over(w))
+    return x.where("kind = 'write' and at = field and next_kind = 'write'").select("module_path", "var_key", "field", "seq", "next_seq")
 
 
 def initialization_order_hazards(flows: DataFrame, writes: DataFrame, with_init: DataFrame) -> DataFrame:
@@ -54,17 +72,24 @@ def initialization_order_hazards(flows: DataFrame, writes: DataFrame, with_init:
     return x.join(with_init.select(c("var_key").alias("source")), "source", "left_anti").select("module_path", "target", "source").distinct()
 
 
-def dependency_chains(flows: DataFrame, most: int = 4) -> DataFrame:
-    """(module_path, chain) target<-...<-source of three names or more, through the last assignment before each step. flows: (module_path, seq, target, source); most names."""
-    step = flows.select("module_path", c("seq").alias("s2"), c("target").alias("via"), c("source").alias("next"))
-    now = flows.select("module_path", "seq", F.concat_ws("<-", "target", "source").alias("chain"), c("source").alias("via"))
-    out = None
-    for _ in range(most - 2):
-        before = now.join(step, ["module_path", "via"]).where("s2 < seq")
-        last = before.groupBy("module_path", "seq", "chain").agg(F.max(F.struct("s2", "next")).alias("x"))
-        now = last.select("module_path", c("x.s2").alias("seq"), F.concat_ws("<-", "chain", "x.next").alias("chain"), c("x.next").alias("via"))
-        out = now if out is None else out.unionByName(now)
-    return out.select("module_path", "chain").distinct()
+def dependency_chains(flows: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(module_path, chain): of each assignment the whole chain target<-...<-source, if it has three names or more. flows: (module_path, seq, target, source), seq unique in its module.
+
+    A source stands for what its last assignment before was made from. Each assignment finds that one in one ordered
+    pass; then chains double: a chain takes over the chain, and the end, of the assignment that it ends at, so that the
+    rounds needed are the logarithm of the longest chain.
+    """
+    told = flows.select("module_path", "seq", c("source").alias("name"), F.lit(1).alias("asks"), "target").unionByName(flows.select("module_path", "seq", c("target").alias("name"), F.lit(2).alias("asks"), "target"))
+    before = W.partitionBy("module_path", "name").orderBy("seq", "asks").rowsBetween(W.unboundedPreceding, -1)
+    x = told.withColumn("last", F.last(F.when(c("asks") == 2, c("seq")), ignorenulls=True).over(before)).where("asks = 1")
+    now = written(x.select("module_path", "seq", F.when(c("last").isNull(), F.concat_ws("<-", "target", "name")).otherwise(c("target")).alias("chain"), "last"))
+    for _ in range(max_rounds):
+        if not now.where("last is not null").limit(1).count():
+            return now.where("size(split(chain, '<-')) >= 3").select("module_path", "chain").distinct()
+        more = now.select("module_path", c("seq").alias("last"), c("chain").alias("rest"), c("last").alias("after"))
+        now = now.join(more, ["module_path", "last"], "left")
+        now = written(now.select("module_path", "seq", F.concat_ws("<-", "chain", "rest").alias("chain"), c("after").alias("last")))
+    raise RuntimeError(f"chains did not end in {max_rounds} doublings")
 
 
 def resource_pairing(ops: DataFrame) -> DataFrame:
@@ -151,6 +176,18 @@ def duplicate_guards(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("sequence", "branch", F.lower(F.regexp_replace("guard", r"\s+", "")).alias("guard")).agg(F.count("*").alias("n")).where("n >= 2")
 
 
+def constant_guards(guards: DataFrame, known: DataFrame) -> DataFrame:
+    """(sequence, branch, node, value): guards that are always true or always false.
+
+    guards: (sequence, branch, node, key, op, value), a guard's comparisons, all of which must hold; op is = or <>; without a
+    key the value itself, true or false, is the guard. known: (key, value) of the names with one value for good.
+    """
+    g = guards.join(known.select("key", c("value").alias("is")), "key", "left")
+    holds = F.when(c("key").isNull(), F.lower("value") == "true").when(c("is").isNotNull(), F.when(c("op") == "=", c("is") == c("value")).otherwise(c("is") != c("value")))
+    x = g.groupBy("sequence", "branch", "node").agg(F.bool_and(F.coalesce(holds, F.lit(False))).alias("all"), F.bool_or(F.coalesce(~holds, F.lit(False))).alias("none"))
+    return x.where("all or none").select("sequence", "branch", "node", c("all").alias("value"))
+
+
 def illegal_step_combinations(active: DataFrame, groups: DataFrame) -> DataFrame:
     """(instant, grp): two steps of a mutually exclusive group active together. active: (instant, step); groups: (grp, step)."""
     return active.distinct().join(groups, "step").groupBy("instant", "grp").agg(F.count("*").alias("n")).where("n >= 2").select("instant", "grp")
@@ -187,7 +224,15 @@ def implicit_latch(sets: DataFrame, alternatives: DataFrame) -> DataFrame:
 
 
 def contradictory_conditions(facts: DataFrame) -> DataFrame:
-    """(condition, key): a conjunction that wants two values of one key, or a value that it excludes. facts: (condition, key, op, value) with op = or <>."""
+    """(condition, key): a conjunction that wants two values of one key, or a value that it excludes. facts: (condition, key, op, value) with op = or <>; a plain b is b = true, not b is b <> true."""
     eq = facts.where("op = '='").groupBy("condition", "key").agg(F.count_distinct("value").alias("n"))
     both = facts.where("op = '='").select("condition", "key", "value").join(facts.where("op = '<>'").select("condition", "key", "value"), ["condition", "key", "value"], "left_semi")
     return eq.where("n >= 2").select("condition", "key").unionByName(both.select("condition", "key")).distinct()
+
+
+def tautologies(facts: DataFrame) -> DataFrame:
+    """(condition, key, issue): a disjunction that takes a value and all others (tautology), or a comparison of a name with itself (self_compare). facts as above, value may be a name."""
+    per = facts.groupBy("condition", "key", "value").agg(F.bool_or(c("op") == "=").alias("eq"), F.bool_or(c("op") == "<>").alias("ne"))
+    always = per.where("eq and ne").select("condition", "key", F.lit("tautology").alias("issue"))
+    own = facts.where(F.lower("key") == F.lower("value")).select("condition", "key", F.lit("self_compare").alias("issue"))
+    return always.unionByName(own).distinct()

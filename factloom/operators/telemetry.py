@@ -46,7 +46,7 @@ def session_summary(events: DataFrame) -> DataFrame:
 
 
 #: Tools that look and don't act.
-DISCOVERY_TOOLS = ("search", "read", "list")
+DISCOVERY_TOOLS = ("fetch_webpage", "file_search", "get_errors", "grep_search", "list_dir", "memory", "read_file", "semantic_search", "session_store_sql")
 
 
 def discovery_before_action(events: DataFrame) -> DataFrame:

@@ -12,12 +12,12 @@ from ..functions.scalars import code_hints, normalize_layout, redact_email, reda
 c = F.col
 #: Patterns of leaks, one group each.
 LEAKS = (
-    ("windows_path", r"([A-Za-z]:\\(?:Users|Projects)\\[\w.-]+)"),
-    ("home_path", r"(/(?:home|Users)/[\w.-]+)"),
-    ("local_endpoint", r"((?:localhost|127\.0\.0\.1):\d+)"),
-    ("email", r"([\w.+-]+@[\w-]+\.[\w.]*\w)"),
+    ("windows_path", r"(?:^|[^\w/])([A-Za-z]:[\\/][^\s'\">|]+)"),
+    ("home_path", r"(?:^|[^\w.])(/(?:home|Users|mnt/c|mnt/[A-Za-z]/Users)/[^\s'\">]+)"),
+    ("local_endpoint", r"\b((?:localhost|127(?:\.\d{1,3}){3}|[a-z0-9-]+\.local)(?::\d{2,5})?)\b"),
+    ("email", r"(?i)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b"),
     ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)"),
-    ("secret", r"(?i)(?:password|secret|token|api_key)\s*[=:]\s*[\"']?([\w-]{4,})"),
+    ("secret", r"(?i)[\"']?[a-z0-9_-]*?(?:api[_-]?key|token|secret|password|passwd|connection[_-]?string)[\"']?\s*[:=]\s*[\"']?([^\s\"']{4,})"),
 )
 PLACEHOLDERS = r"(?i)^(example|changeme|placeholder|dummy|xxx+|your[-_].*|<.*>)$"
 

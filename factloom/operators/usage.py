@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import identifier_tokens
+from ..shared import written
 
 c = F.col
 
@@ -21,37 +22,52 @@ def usage_summary(decls: DataFrame, accesses: DataFrame) -> DataFrame:
     return decls.join(used, "var_key", "left").select(*decls.columns, *map(flag, ("read", "written", "ui_read", "non_ui_read")), *(F.coalesce(c(x), F.lit(0)).cast("long").alias(x) for x in ("readers", "writers")))
 
 
-def classify_usage(decls: DataFrame, accesses: DataFrame, effective: DataFrame | None = None) -> DataFrame:
-    """usage_summary with `issue`, the first that fits: unused, ui_only, read_only_non_const, never_read, write_without_effect; null for none.
+def classify_usage(decls: DataFrame, accesses: DataFrame, effective: DataFrame | None = None, status_bound: DataFrame | None = None) -> DataFrame:
+    """usage_summary with `issue`, the first that fits: unused, ui_only, procedure_status, read_only_non_const, never_read, write_without_effect; null for none.
 
     effective: rows (var_key) of the variables whose value reaches a sink; without it, no write is without effect.
+    status_bound: (var_key) that procedures report their status to: such a variable, written and not read outside of
+    the user interface, is procedure_status.
     """
     u = usage_summary(decls, accesses)
     reaches = F.lit(True)
     if effective is not None:
         u = u.join(effective.select("var_key").distinct().withColumn("_reaches", F.lit(True)), "var_key", "left")
         reaches = F.coalesce(c("_reaches"), F.lit(False))
+    bound = F.lit(False)
+    if status_bound is not None:
+        u = u.join(status_bound.select("var_key").distinct().withColumn("_bound", F.lit(True)), "var_key", "left")
+        bound = F.coalesce(c("_bound"), F.lit(False))
     local = c("role") == "local"
     issue = (
         F.when(~c("read") & ~c("written"), "unused")
         .when(c("ui_read") & ~c("non_ui_read") & ~c("written"), "ui_only")
+        .when(bound & c("written") & ~c("non_ui_read"), "procedure_status")
         .when(local & c("read") & ~c("written") & ~c("is_const"), "read_only_non_const")
         .when(local & c("written") & ~c("read"), "never_read")
         .when(c("written") & ~reaches, "write_without_effect")
     )
-    return u.withColumn("issue", issue).drop("_reaches")
+    return u.withColumn("issue", issue).drop("_reaches", "_bound")
 
 
 def propagate_aliases(accesses: DataFrame, links: DataFrame) -> DataFrame:
-    """Accesses with those of each child variable added for its parent, field prefix first; links (parent_key, child_key, prefix, level), lower levels first."""
-    out = accesses
-    levels = [r[0] for r in links.select("level").distinct().orderBy("level").collect()]  # the depth of the module tree
-    for n in levels:
-        at = links.where(c("level") == n).select(c("child_key").alias("var_key"), "parent_key", "prefix")
-        field = F.concat_ws(".", F.when(c("prefix") != "", c("prefix")), F.when(c("field") != "", c("field")))
-        more = out.join(at, "var_key").withColumn("field", field).withColumn("var_key", c("parent_key")).select(*accesses.columns).distinct()
-        out = out.unionByName(more)
-    return out
+    """Accesses with those of each child variable added for its parent, field prefix first; links (parent_key, child_key, prefix, level), lower levels first.
+
+    The accesses meet all links once; after that only what a level has added, written, meets the links of later levels.
+    """
+    down = links.select(c("child_key").alias("var_key"), "parent_key", "prefix", "level")
+    field = F.concat_ws(".", F.when(c("prefix") != "", c("prefix")), F.when(c("field") != "", c("field")))
+    up = lambda rows, at: rows.join(at, "var_key").withColumn("field", field).withColumn("var_key", c("parent_key")).select(*accesses.columns, "level")
+    direct = written(up(accesses, down).distinct())
+    added = None
+    for n in [r[0] for r in links.select("level").distinct().orderBy("level").collect()]:  # the depth of the module tree
+        at = c("level") == n
+        more = direct.where(at)
+        if added is not None:
+            more = more.unionByName(up(added.drop("level"), down.where(at)))
+        more = written(more.distinct())
+        added = more if added is None else added.unionByName(more)
+    return accesses if added is None else accesses.unionByName(added.drop("level"))
 
 
 def expand_leaf_fields(decls: DataFrame, record_fields: DataFrame, max_depth: int = 16) -> DataFrame:
@@ -66,7 +82,7 @@ def expand_leaf_fields(decls: DataFrame, record_fields: DataFrame, max_depth: in
         again = F.array_contains("seen", c("type"))
         done = done.unionByName(open_.where(again).select("var_key", "leaf", c("type").alias("datatype")))
         out = done if out is None else out.unionByName(done)
-        now = open_.where(~again).withColumn("seen", F.array_append("seen", c("type")))
+        now = written(open_.where(~again).withColumn("seen", F.array_append("seen", c("type"))))
         if not now.limit(1).count():
             return out
     raise RuntimeError(f"records nest deeper than {max_depth}")
@@ -143,18 +159,34 @@ def name_collisions(decls: DataFrame) -> DataFrame:
     return decls.groupBy("scope", F.lower("name").alias("key")).agg(F.bool_or(c("role") == "parameter").alias("p"), F.bool_or(c("role") == "local").alias("l")).where("p and l").select("scope", "key")
 
 
-def magic_numbers(accesses: DataFrame, allowed: tuple = (0, 1)) -> DataFrame:
+def magic_numbers(accesses: DataFrame, allowed: tuple = (0,)) -> DataFrame:
     """(literal, n) of the numeric literals written in code, but for the allowed ones."""
     return accesses.where((c("kind") == "write") & ~c("literal").isin(*allowed)).groupBy("literal").agg(F.count("*").alias("n"))
 
 
-def naming_role_mismatch(usage: DataFrame) -> DataFrame:
-    """(var_key, role_word, issue): names with a command token that nothing reads, or with a status or alarm token that nothing writes."""
-    tokens = identifier_tokens(c("name"))
-    word = F.when(F.exists(tokens, lambda t: t.isin("cmd", "command", "red")), "command").when(F.exists(tokens, lambda t: t.isin("status", "alarm", "blue")), "status")
-    u = usage.withColumn("role_word", word)
-    issue = F.when((c("role_word") == "command") & ~c("read"), "command_never_read").when((c("role_word") == "status") & ~c("written"), "status_never_written")
-    return u.withColumn("issue", issue).where("issue is not null").select("var_key", "role_word", "issue")
+#: Prefixes and suffixes of lower-cased names by role, in the order in which roles are tried.
+NAMING_ROLES = (("command", (), ("cmd",)), ("status", (), ("status",)), ("alarm", (), ("alarm",)))
+
+
+def naming_role_mismatch(usage: DataFrame, effective: DataFrame, status_bound: DataFrame, roles: tuple = NAMING_ROLES) -> DataFrame:
+    """(var_key, role, issue): variables that aren't used as their name says.
+
+    A command that is read and written and whose value reaches no output is internal state; a status that is written,
+    and that no procedure reports to, isn't observed; an alarm that is read outside of the user interface is a control input.
+    usage: usage_summary's flags; effective, status_bound: (var_key).
+    """
+    name = F.lower("name")
+    named = lambda pre, post: F.greatest(F.lit(False), *(F.startswith(name, F.lit(x)) for x in pre), *(F.endswith(name, F.lit(x)) for x in post))
+    role = F.coalesce(*(F.when(named(pre, post), F.lit(r)) for r, pre, post in roles))
+    u = usage.withColumn("role", role).where("role is not null")
+    for flag, keys in (("_effective", effective), ("_bound", status_bound)):
+        u = u.join(keys.select("var_key").distinct().withColumn(flag, F.lit(True)), "var_key", "left").withColumn(flag, F.coalesce(c(flag), F.lit(False)))
+    issue = (
+        F.when((c("role") == "command") & c("read") & c("written") & ~c("_effective"), "command_as_internal_state")
+        .when((c("role") == "status") & c("written") & ~c("_bound"), "status_written")
+        .when((c("role") == "alarm") & c("non_ui_read"), "alarm_as_control_input")
+    )
+    return u.withColumn("issue", issue).where("issue is not null").select("var_key", "role", "issue")
 
 
 def usage_trace(accesses: DataFrame) -> DataFrame:
@@ -175,7 +207,7 @@ def unknown_parameter_targets(mappings: DataFrame, declared: DataFrame) -> DataF
 
 
 #: Characters that each string type holds.
-STRING_LIMITS = (("identstring", 30), ("tagstring", 15), ("string", 40), ("linestring", 80), ("maxstring", 140))
+STRING_LIMITS = (("identstring", 15), ("tagstring", 30), ("string", 40), ("linestring", 80), ("maxstring", 140))
 
 
 def string_capacity(datatype: Column) -> Column:

@@ -56,7 +56,7 @@ FACTS = {
     "transcript": """
         SELECT event_id AS seq, user_id AS session, ts,
           CASE WHEN event_type = 'error' THEN 'tool.complete' WHEN event_type = 'signup' THEN 'assistant' WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'user' ELSE 'tool.start' END AS type,
-          CASE WHEN event_id % 4 < 2 THEN 'search' WHEN event_id % 4 = 2 THEN 'edit' ELSE 'run' END AS tool,
+          CASE WHEN event_id % 4 < 2 THEN 'grep_search' WHEN event_id % 4 = 2 THEN 'edit' ELSE 'run' END AS tool,
           event_type <> 'error' AS success, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'review the plan ' || cast(event_id AS string) END AS content
         FROM events""",
     "findings": """
