@@ -5,15 +5,15 @@ request and a metadata record; the last two name the first in WARC-Concurrent-To
 column that Spark's text writer ends with the two line breaks that the format asks for, so archives are
 written by Spark's own committer: a lost task leaves nothing behind.
 
-Reading: each archive file is parsed record by record by Content-Length. Assembling: records are joined
-through WARC-Concurrent-To into one nested row per capture.
+Reading: each archive file is unpacked and parsed record by record by Content-Length. Assembling: records are joined
+through WARC-Concurrent-To into one nested row per capture, and a revisit with its response through WARC-Refers-To.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,25 +51,29 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     Of rows with equal payloads of at least least_revisit_bytes bytes, those with the smallest id are
     responses, the others revisits without a payload; a smaller payload is always a response. A null payload
     is the empty one. Rows with a null id are responses, as no order says which came first. Line breaks and
-    surrounding blanks of an address become %0A, %0D or nothing, as a header holds one line.
+    surrounding blanks of an address become %0A, %0D or nothing, as a header holds one line. Repeated rows give
+    records each, with one id; an empty table gives no records; other columns are ignored, whatever their names. Files
+    hold as many bytes as adaptive execution gives a partition, and records_per_file records at most.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     p = p.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("n", F.octet_length("payload"))
-    again = p.where((F.col("n") >= least_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").select("digest", "first")
+    again = p.where((F.col("n") >= least_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("first.page_id <> last").select("digest", "first")
     p = p.join(again, "digest", "left")
-    revisit = (F.col("n") >= least_revisit_bytes) & (F.col("page_id") > F.col("first"))
-    p = p.withColumn("original", F.when(revisit, F.col("first")))
+    revisit = (F.col("n") >= least_revisit_bytes) & (F.col("page_id") > F.col("first.page_id"))
+    p = p.withColumn("original", F.when(revisit, F.col("first"))).drop("first")
+    p = p.withColumn("payload", F.when(F.col("original").isNull(), F.col("payload")).otherwise(F.lit(""))).hint("rebalance")
     url = F.replace(F.replace(F.trim("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     capture = _record_id("capture", F.col("page_id"), F.col("url"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     kind = F.when(F.col("original").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
     profile = F.when(F.col("original").isNotNull(), F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\npayload-bytes: "), F.col("n").cast("string"), F.coalesce(F.concat(F.lit("\r\nrefers-to-page: "), F.col("original").cast("string")), F.lit("")), F.lit("\r\n"))
+    refers_to = F.when(F.col("original").isNotNull(), _record_id("capture", F.col("original.page_id"), F.col("original.url"), F.col("digest")))
+    fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     day = F.lit(date)
     records = F.array(
         _record(F.lit("request"), _record_id("request", capture), F.concat(F.lit("GET "), F.coalesce("url_line", F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")), "application/http; msgtype=request", WARC_Date=day, WARC_Target_URI=F.col("url_line"), WARC_Concurrent_To=capture),
-        _record(kind, capture, F.concat(http, F.when(F.col("original").isNull(), F.col("payload")).otherwise(F.lit(""))), "application/http; msgtype=response", WARC_Date=day, WARC_Target_URI=F.col("url_line"), WARC_Payload_Digest=F.concat(F.lit("sha1:"), F.col("digest")), WARC_Profile=profile),
+        _record(kind, capture, F.concat(http, F.col("payload")), "application/http; msgtype=response", WARC_Date=day, WARC_Target_URI=F.col("url_line"), WARC_Payload_Digest=F.concat(F.lit("sha1:"), F.col("digest")), WARC_Profile=profile, WARC_Refers_To=refers_to),
         _record(F.lit("metadata"), _record_id("metadata", capture), fields, "application/warc-fields", WARC_Date=day, WARC_Target_URI=F.col("url_line"), WARC_Concurrent_To=capture),
     )
     p.withColumn("url_line", url).select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
@@ -83,22 +87,59 @@ def _header(block: bytes) -> dict[str, str]:
     return out
 
 
-def _parse(data: bytes) -> Iterator[tuple]:
-    """Records of an archive: by Content-Length, whatever the payloads hold. Stops at a cut-off record."""
+def _unpacked(data: memoryview, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a plain or gzip file of one or more members, bit by bit."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[at : at + step]) for at in range(0, len(data), step))
+        return
     at = 0
-    while (to := data.find(END.encode(), at)) >= 0 and data.startswith(b"WARC/", at):
-        head = _header(data[at:to])
+    while at < len(data):
+        member = zlib.decompressobj(wbits=31)
+        while at < len(data) and not member.eof:
+            piece = bytes(data[at : at + step])
+            at += len(piece)
+            yield member.decompress(piece)
+        at -= len(member.unused_data)
+
+
+def _parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """Records of an archive: by Content-Length, whatever the payloads hold. Memory holds one record. Stops at a cut-off record."""
+    held, before, ended = bytearray(), 0, False
+
+    def more() -> bool:
+        nonlocal ended
+        piece = next(pieces, None)
+        ended = piece is None
+        held.extend(piece or b"")
+        return not ended
+
+    seen = 0
+    while True:
+        while (to := held.find(END.encode(), max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not more():
+                return
+        if not held.startswith(b"WARC/"):
+            return
+        head = _header(bytes(held[:to]))
         size = head.get("content-length", "")
-        if not size.isdigit() or to + 4 + int(size) > len(data):
+        if not size.isdigit():
             return
-        block = data[to + 4 : to + 4 + int(size)]
+        end = to + 4 + int(size)
+        while len(held) < end:
+            if not more():
+                return
+        block = bytes(held[to + 4 : end])
         kind, fields, payload = head.get("warc-type"), None, None
         if kind in ("response", "revisit"):
             payload = block.partition(b"\r\n\r\n")[2]
         elif head.get("content-type") == "application/warc-fields":
             fields = list(_header(b"\r\n" + block).items())
-        yield at, kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, fields, payload
-        at = to + 4 + int(size) + 4
+        yield before, kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None, fields, payload
+        while len(held) < end + 4 and more():
+            pass
+        del held[: end + 4]
+        before, seen = before + end + 4, 0
 
 
 def _records(with_payload: bool):
@@ -108,11 +149,8 @@ def _records(with_payload: bool):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_buffer().to_pybytes()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
                 rows, held = [], 0
-                for *head, payload in _parse(data):
+                for *head, payload in _parse(_unpacked(memoryview(content.as_buffer()))):
                     sha = base64.b32encode(hashlib.sha1(payload).digest()).decode() if payload is not None else None
                     rows.append((path, *head, None if payload is None else len(payload), sha, payload if with_payload else None))
                     held += len(payload or b"") + 500
@@ -150,8 +188,9 @@ def captures(records: DataFrame) -> DataFrame:
 def archived(pages: DataFrame, *, least_revisit_bytes: int = 0) -> DataFrame:
     """Write pages as archives in the shared folder, read them back: one row per page.
 
-    page_id, payload_bytes, payload_digest (of the full payload, as read; of a revisit, as its headers say),
-    record_type, refers_to (the response's page_id for revisits, else null), url.
+    page_id, payload_bytes, payload_digest (of the full payload, as read; of a revisit, its response's bytes and the digest
+    that its headers say), record_type, refers_to (the response's page_id for revisits, else null), url. Null payloads are
+    empty, repeated rows give repeated rows, an empty table gives an empty table.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
@@ -159,13 +198,16 @@ def archived(pages: DataFrame, *, least_revisit_bytes: int = 0) -> DataFrame:
     # parsed once: a lazy plan would parse the archives for each side of the joins
     c = captures(written(read_archives(spark, path, with_payload=False), "records"))
     bounded_batches(spark)  # what follows has small rows again
-    told = F.col("metadata")[0]["fields"]
+    c = c.where("response is not null").select("response", F.expr("try_cast(metadata[0].fields['page-id'] as long)").alias("page_id"))
+    # repeated rows are repeated records of one id
+    first = c.where("response.record_type = 'response'").groupBy(F.col("response.record_id").alias("refers")).agg(F.min("page_id").alias("original"), F.min("response.payload_bytes").alias("bytes"))
     whole = F.col("response.record_type") == "response"
-    return c.where("response is not null").select(
-        F.expr("try_cast(metadata[0].fields['page-id'] as long)").alias("page_id"),
-        F.when(whole, F.col("response.payload_bytes")).otherwise(told["payload-bytes"].cast("long")).alias("payload_bytes"),
+    out = c.withColumn("refers", F.when(~whole, F.col("response.refers_to"))).join(first, "refers", "left")
+    return out.select(
+        "page_id",
+        F.when(whole, F.col("response.payload_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(whole, F.col("response.payload_sha1")).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        F.expr("try_cast(metadata[0].fields['refers-to-page'] as long)").alias("refers_to"),
+        F.col("original").alias("refers_to"),
         F.col("response.target_uri").alias("url"),
     )
