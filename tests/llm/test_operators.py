@@ -703,6 +703,55 @@ def test_wrapped_notices_are_found(spark):
     assert {r.path: r.own_license for r in license_scan.own_licenses(df).collect() if r.own_license} == wanted
 
 
+COMMON = {
+    "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+    "Apache-2.0": "Apache-2.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0",
+}
+
+
+def test_licence_files_get_their_own_licence(spark):
+    from pathlib import Path
+
+    at = Path("/usr/share/common-licenses")
+    if not at.is_dir():
+        pytest.skip("no licence texts here")
+    wanted = {f"{n}/LICENSE": w for n, w in COMMON.items() if (at / n).is_file()}
+    files = [(p, (at / p.split("/")[0]).read_text(encoding="utf-8", errors="replace")) for p in wanted]
+    mit = 'The MIT License\n\nCopyright (c) 2020 A. Person. All rights reserved.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n'
+    gpl2 = "\n".join(" * " + x for x in textwrap.wrap("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", 60))
+    files += [("m/LICENSE", mit), ("g/x.c", gpl2), ("u/LICENSE", "Do what you like, as long as you water the plants of whoever wrote this."), ("p/LICENSE", "Copyright 2020 A. Person\nAll rights reserved.\n"), ("l/long.txt", "words and more words\n" * 30_000)]
+    wanted |= {"m/LICENSE": "MIT", "g/x.c": "GPL-2.0", "p/LICENSE": "Proprietary"}
+    found = {r.path: r.own_license for r in license_scan.own_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: w for p, w in found.items() if w} == wanted
+
+
+def test_similarity_is_the_cosine(spark):
+    rng = random.Random(17)
+    tokens_of = lambda x: re.findall(license_scan.TOKEN, x.lower())
+    texts = []
+    for i in range(80):
+        w = rng.choice(license_scan.TEMPLATES)[2].split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = rng.choice(["work", "under", "version", "2", "3", "other", "GNU"])
+        texts.append((f"f{i}", " ".join(w).replace(".", "").replace(";", "").replace("20 ", "2.0 ")))
+    vocabulary = {t for x in license_scan.TEMPLATES for t in tokens_of(x[2])}
+    n = len(texts)
+    seen = Counter(t for _, x in texts for t in set(tokens_of(x)))
+    idf = lambda t: math.log((1 + n) / (1 + seen[t])) + 1 if t in vocabulary else math.log(1 + n) + 1
+    vector = lambda x: {t: c * idf(t) for t, c in Counter(tokens_of(x)).items()}
+    wanted = {}
+    for p, x in texts:
+        a, best = vector(x), None
+        for i, (name, version, y, rank) in enumerate(license_scan.TEMPLATES):
+            b = vector(y)
+            score = round(sum(v * b.get(t, 0) for t, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())), 6)
+            if score >= 0.75 and (not version or {version, f"{version}.0", f"v{version}"} & set(a)):
+                best = max(best or (-1,), (rank, score, -i, name))
+        wanted[p] = (best[3], best[1]) if best else (None, None)
+    for r in license_scan.own_licenses(spark.createDataFrame(texts, "path string, text string")).collect():
+        assert (r.own_license, r.similarity) == (wanted[r.path][0], pytest.approx(wanted[r.path][1], abs=2e-6)), r
+
+
 # --- all: empty tables ----------------------------------------------------------------------------------
 
 
