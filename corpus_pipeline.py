@@ -16,7 +16,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts go, repeated rows stay or go each."""
     return quality.judged(docs).where("kept").select("row.*")
 
 
@@ -28,7 +28,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that an earlier document holds; n_chars follows the text."""
+    """Documents without the passages of 50 words or more that an earlier document holds; n_chars follows the text. Null and short texts stay as they are, repeated rows are cut alike."""
     found = substring.passages(docs, k=SHINGLE_WORDS, similarity=SIMILAR_PERCENT / 100)
     cut = found.withColumn("cut", substring.without_spans(F.col("row.text"), F.col("spans")))
     new = {"text": F.col("cut"), "n_chars": F.when(F.size("spans") > 0, F.length("cut").cast("long")).otherwise(F.col("row.n_chars"))}
@@ -36,12 +36,12 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none and stay, repeated rows stay or go each."""
     return decontam.scan(docs, table(spark, sf_dir, "benchmark"), similarity=SIMILAR_PERCENT / 100).where(F.size("matches") == 0).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in bins."""
+    """The pieces of the documents in bins. Null and empty texts have a row without a bin, repeated rows are packed each."""
     return packing.packed(docs)
 
 

@@ -208,7 +208,7 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, 250)  # whole texts go in and out
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # what tells rows apart: rows of one id and one text get one result
     base = base.withColumn("kd", F.coalesce("doc_id", F.lit(-1))).withColumn("kh", F.xxhash64("text"))

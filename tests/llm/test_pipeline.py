@@ -65,3 +65,26 @@ def test_each_stage(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     packed = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert packed == {i: len(t.split()) for i, t in clean.items()}
+
+
+def test_stages_take_repeated_rows_nulls_and_columns_of_any_name(spark, tmp_path):
+    docs, items = planted(9)
+    rows = [(i, t, "x", "y", "z", None) for i, t in docs.items()]
+    rows += [rows[0], rows[40], (None, docs[1], None, None, None, None), (None, None, None, None, None, None)]
+    schema = "doc_id long, text string, row string, spans string, kept string, n_chars long"
+    now = spark.createDataFrame(rows, schema)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, now, str(tmp_path)), "stage")
+        assert out.schema == now.schema and 0 < out.count() <= now.count()
+        now = out
+    assert now.where("doc_id = 0").count() == 2 and now.where("doc_id is null").count() == 1
+    words = sum(len(r.text.split()) for r in now.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).agg(F.sum("n_tokens")).first()[0] == words
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    now = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, now, str(tmp_path)).count() == 0
