@@ -38,6 +38,7 @@ _add("h2_findings_diff", lambda s, d: H.findings_diff(_BASE(s, d), _CUR(s, d)),
      UNION ALL SELECT CASE WHEN lo.message IS NULL THEN 'new' WHEN lw.message IS NULL THEN 'resolved' ELSE 'changed' END, {_K}, CASE WHEN lo.message IS NULL OR lw.message IS NULL THEN '' WHEN lo.os = lw.ns THEN 'message' ELSE 'message,severity' END FROM lo FULL JOIN lw USING ({_K}, m)"""))
 _add("h3_findings_set_diff", lambda s, d: H.findings_set_diff(_BASE(s, d).withColumn("fingerprint", _fp()), _CUR(s, d).withColumn("fingerprint", _fp()), ["fingerprint"]),
      _w(_BC + ", x AS (SELECT DISTINCT rule_id || '|' || path || '|' || line || '|' || symbol || '|' || message AS fingerprint FROM b), y AS (SELECT DISTINCT rule_id || '|' || path || '|' || line || '|' || symbol || '|' || message AS fingerprint FROM k) SELECT coalesce(x.fingerprint, y.fingerprint) AS fingerprint, CASE WHEN x.fingerprint IS NULL THEN 'added' WHEN y.fingerprint IS NULL THEN 'removed' ELSE 'surviving' END AS status FROM x FULL JOIN y ON x.fingerprint = y.fingerprint"))
+_add("h3_severity_drift", lambda s, d: H.severity_drift(_fi(s, d).where("doc_id % 40 > 0 or rule_id < 'semantic.src5'"), _fi(s, d)), _w("SELECT DISTINCT rule_id FROM findings WHERE doc_id % 40 = 0 AND rule_id >= 'semantic.src5'"))
 _add("h4_findings_summary", lambda s, d: H.findings_summary(_fi(s, d)), _w("SELECT CASE WHEN g = 3 THEN 'rule' WHEN g = 5 THEN 'category' ELSE 'severity' END AS grp, coalesce(rule_id, category, severity) AS value, n FROM (SELECT rule_id, category, severity, count(*) AS n, grouping(rule_id, category, severity) AS g FROM findings GROUP BY GROUPING SETS ((rule_id), (category), (severity)))"))
 _add("h5_rule_metrics", lambda s, d: H.rule_metrics(_fi(s, d).where("rule_id <> 'semantic.src3'"), _fi(s, d).select("rule_id")), _w("SELECT rule_id, count(*) FILTER (rule_id <> 'semantic.src3') AS fires, count(DISTINCT CASE WHEN rule_id <> 'semantic.src3' THEN path END) AS targets, rule_id = 'semantic.src3' AS never_triggered FROM findings GROUP BY 1"))
 _add("h6_accuracy", lambda s, d: H.accuracy(_fi(s, d).withColumn("fingerprint", c("doc_id").cast("string")), _t(s, d, "labels").select(c("doc_id").cast("string").alias("fingerprint"), F.when(c("quality") == 1, "correct").otherwise("wrong").alias("annotation"))),
@@ -52,7 +53,7 @@ _add("h9_corpus_evaluation", lambda s, d: H.corpus_evaluation(_fi(s, d).groupBy(
 _add("h10_ratchet_check", lambda s, d: H.ratchet_check(_fi(s, d).where("severity <> 'low'").groupBy(c("rule_id").alias("metric")).agg(F.count("*").alias("value")), _fi(s, d).groupBy(c("rule_id").alias("metric")).agg(F.expr("count(*) * 2 div 3").alias("max_value"), F.expr("count(*) * 3 div 5").alias("min_value"))),
      _w("SELECT metric, value, max_value, min_value FROM (SELECT rule_id AS metric, count(*) FILTER (severity <> 'low') AS value, count(*) * 2 // 3 AS max_value, count(*) * 3 // 5 AS min_value FROM findings GROUP BY 1) WHERE value > max_value OR value < min_value"))
 _add("h11_change_coverage", lambda s, d: H.change_coverage(_fi(s, d).where("doc_id % 3 > 0 and path not like '%7.s'").select("path", "line", (c("doc_id") % 2).alias("hits")), _fi(s, d).select("path", ((c("line") + 1) % 10).alias("line"))),
-     _w(", l AS (SELECT path, line, max(doc_id % 2) AS hits FROM findings WHERE doc_id % 3 > 0 AND path NOT LIKE '%7.s' GROUP BY ALL) SELECT path, count(hits) AS measured, count(*) FILTER (hits > 0) AS covered, count(*) FILTER (hits IS NULL) AS unmeasured, path IN (SELECT path FROM l) AS reported FROM (SELECT DISTINCT path, (line + 1) % 10 AS line FROM findings) LEFT JOIN l USING (path, line) GROUP BY path"))
+     _w(", l AS (SELECT path, line, max(doc_id % 2) AS hits FROM findings WHERE doc_id % 3 > 0 AND path NOT LIKE '%7.s' GROUP BY ALL), p AS (SELECT path, count(hits) AS measured, count(*) FILTER (hits > 0) AS covered, count(*) FILTER (hits IS NULL) AS unmeasured, path IN (SELECT path FROM l) AS reported FROM (SELECT DISTINCT path, (line + 1) % 10 AS line FROM findings) LEFT JOIN l USING (path, line) GROUP BY path) SELECT * FROM p UNION ALL SELECT NULL, sum(measured)::BIGINT, sum(covered)::BIGINT, sum(unmeasured)::BIGINT, bool_or(reported) FROM p"))
 _te = lambda s, d: fact(s, d, "telemetry")
 _tr = lambda s, d: fact(s, d, "transcript")
 _T, _R = _W("telemetry"), _W("transcript")
@@ -74,9 +75,10 @@ _add("i9_top_tools", lambda s, d: T.top_tools(_tr(s, d).withColumn("tool", F.con
 _BU = f"(SELECT bucket, count(*) AS sessions, CASE WHEN sum(assistants) > 0 THEN round(sum(empty_assistants) / sum(assistants), 4) ELSE 0 END AS empty_rate, cast(sum(failures) AS bigint) AS failures, round(avg(discovery), 4) AS avg_discovery, max(discovery) AS max_discovery FROM {_SS} s LEFT JOIN {_DI} USING (session) GROUP BY 1)"
 _bu = lambda s, d: T.bucket_summary(T.session_summary(_tr(s, d)), T.discovery_before_action(_tr(s, d)))
 _add("i10_bucket_summary", _bu, _R(f"FROM {_BU}"))
-_add("i11_grounding_overlap", lambda s, d: T.grounding_overlap(_tr(s, d).groupBy("session").agg(F.collect_set(F.when((c("seq") % 9 == 0) & (c("session") % 7 > 0), c("seq") % 11)).alias("candidates"), F.collect_set(F.when(c("seq") % 13 < 4, c("seq") % 11)).alias("referenced"))),
-     _R("SELECT session, n AS overlap, CASE WHEN t > 0 THEN round(n / t, 4) END AS ratio, CASE WHEN t = 0 THEN 'no_candidates' WHEN round(n / t, 4) >= 0.5 THEN 'grounded' ELSE 'weak' END AS status FROM (SELECT session, len(list_intersect(a, b)) AS n, len(a) AS t FROM (SELECT session, coalesce(list(DISTINCT seq % 11) FILTER (seq % 9 = 0 AND session % 7 > 0), []) AS a, coalesce(list(DISTINCT seq % 11) FILTER (seq % 13 < 4), []) AS b FROM transcript GROUP BY 1))"))
-_add("i12_chat_findings", lambda s, d: T.chat_findings(_bu(s, d), T.same_tool_retries(_tr(s, d)), 0.1, 0.5), _R(f"SELECT 'empty_messages' AS rule, bucket AS subject FROM {_BU} WHERE empty_rate >= 0.1 UNION ALL SELECT 'much_discovery', bucket FROM {_BU} WHERE avg_discovery >= 0.5 UNION ALL SELECT 'tool_retries', cast(session AS string) FROM {_RE} WHERE retries > 0"))
+_gr = lambda s, d: T.grounding_overlap(_tr(s, d).groupBy("session").agg(F.collect_set(F.when((c("seq") % 9 == 0) & (c("session") % 7 > 0), c("seq") % 11)).alias("candidates"), F.collect_set(F.when(c("seq") % 13 < 4, c("seq") % 11)).alias("referenced")))
+_GR = "SELECT session, n AS overlap, CASE WHEN t > 0 THEN round(n / t, 4) END AS ratio, CASE WHEN t = 0 THEN 'no_candidates' WHEN round(n / t, 4) >= 0.5 THEN 'grounded' ELSE 'weak' END AS status FROM (SELECT session, len(list_intersect(a, b)) AS n, len(a) AS t FROM (SELECT session, coalesce(list(DISTINCT seq % 11) FILTER (seq % 9 = 0 AND session % 7 > 0), []) AS a, coalesce(list(DISTINCT seq % 11) FILTER (seq % 13 < 4), []) AS b FROM transcript GROUP BY 1))"
+_add("i11_grounding_overlap", _gr, _R(_GR))
+_add("i12_chat_findings", lambda s, d: T.chat_findings(_bu(s, d), T.same_tool_retries(_tr(s, d)), _gr(s, d), 0.1, 0.5, 0.9), _R(f"SELECT 'empty_messages' AS rule, bucket AS subject FROM {_BU} WHERE empty_rate >= 0.1 UNION ALL SELECT 'much_discovery', bucket FROM {_BU} WHERE avg_discovery >= 0.5 UNION ALL SELECT 'tool_retries', cast(session AS string) FROM {_RE} WHERE retries > 0 UNION ALL SELECT 'low_grounding', 'sessions' FROM ({_GR}) WHERE status <> 'no_candidates' HAVING count(*) > 0 AND count(*) FILTER (overlap > 0) < 0.9 * count(*)"))
 _docs = lambda s, d: _t(s, d, "documents").select(c("doc_id").alias("id"), "text")
 _L = " UNION ALL ".join(f"SELECT id, line_no, '{r}' AS rule, unnest(regexp_extract_all(line, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS value FROM l" for r, p in X.LEAKS)
 _add("j1_leak_scan", lambda s, d: X.leak_scan(_docs(s, d)), f"WITH l AS (SELECT id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS p FROM documents)) SELECT id, line_no AS line, rule, CASE WHEN rule = 'email' THEN left(value, 1) || '***@' || list_last(string_split(value, '@')) WHEN length(value) <= 6 THEN '<redacted>' ELSE left(value, 2) || '...' || right(value, 2) END AS detail FROM ({_L}) WHERE NOT regexp_matches(value, '{X.PLACEHOLDERS}')")

@@ -48,6 +48,13 @@ def findings_set_diff(baseline: DataFrame, current: DataFrame, key: list[str]) -
     return s(b.join(a, key, "left_anti"), "added").unionByName(s(a.join(b, key, "left_anti"), "removed")).unionByName(s(a.join(b, key, "left_semi"), "surviving"))
 
 
+def severity_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(rule_id) whose findings have other severities than before, counted: new rules and rules gone are among them. A missing severity is ''."""
+    count = lambda df, n: df.where("rule_id is not null").groupBy("rule_id", F.coalesce("severity", F.lit("")).alias("severity")).agg(F.count("*").alias(n))
+    x = count(baseline, "a").join(count(current, "b"), ["rule_id", "severity"], "full_outer")
+    return x.where(~c("a").eqNullSafe(c("b"))).select("rule_id").distinct()
+
+
 def findings_summary(findings: DataFrame, prefix: str = "semantic.") -> DataFrame:
     """(grp, value, n): counts per rule, category and severity, of rules with the prefix, in one pass of grouping sets."""
     f = findings.where(F.startswith("rule_id", F.lit(prefix)))
@@ -101,7 +108,10 @@ def ratchet_check(metrics: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def change_coverage(lines: DataFrame, changed: DataFrame) -> DataFrame:
-    """(path, measured, covered, unmeasured, reported): changed lines per file. lines: (path, line, hits); changed: (path, line)."""
+    """(path, measured, covered, unmeasured, reported): changed lines per file, and in total (path null; reported: whether any file is). lines: (path, line, hits); changed: (path, line)."""
     x = changed.distinct().join(lines.groupBy("path", "line").agg(F.max("hits").alias("hits")), ["path", "line"], "left")
     per = x.groupBy("path").agg(F.count("hits").alias("measured"), F.count_if(c("hits") > 0).alias("covered"), F.count_if(c("hits").isNull()).alias("unmeasured"))
-    return per.join(lines.select("path").distinct().withColumn("reported", F.lit(True)), "path", "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
+    per = per.join(lines.select("path").distinct().withColumn("reported", F.lit(True)), "path", "left").withColumn("reported", F.coalesce("reported", F.lit(False)))
+    n = lambda x: F.coalesce(F.sum(x), F.lit(0)).alias(x)
+    total = per.agg(n("measured"), n("covered"), n("unmeasured"), F.coalesce(F.bool_or("reported"), F.lit(False)).alias("reported"))
+    return per.unionByName(total.withColumn("path", F.lit(None).cast("string")))

@@ -91,9 +91,11 @@ def grounding_overlap(sessions: DataFrame) -> DataFrame:
     return sessions.select("session", n.cast("long").alias("overlap"), ratio.alias("ratio"), F.when(total == 0, "no_candidates").when(ratio >= 0.5, "grounded").otherwise("weak").alias("status"))
 
 
-def chat_findings(buckets: DataFrame, retries: DataFrame, empty_rate: float = 0.2, discovery: float = 5.0) -> DataFrame:
-    """(rule, subject): buckets with many empty messages or much discovery, sessions with retries."""
+def chat_findings(buckets: DataFrame, retries: DataFrame, grounding: DataFrame, empty_rate: float = 0.2, discovery: float = 5.0, match_rate: float = 0.5) -> DataFrame:
+    """(rule, subject): buckets with many empty messages or much discovery, sessions with retries, and low_grounding if under match_rate of the sessions with candidates have an overlap. grounding: grounding_overlap's rows."""
     a = buckets.where(c("empty_rate") >= empty_rate).select(F.lit("empty_messages").alias("rule"), c("bucket").alias("subject"))
     b = buckets.where(c("avg_discovery") >= discovery).select(F.lit("much_discovery").alias("rule"), c("bucket").alias("subject"))
     r = retries.where("retries > 0").select(F.lit("tool_retries").alias("rule"), c("session").cast("string").alias("subject"))
-    return a.unionByName(b).unionByName(r)
+    some = grounding.where("status <> 'no_candidates'").agg(F.count("*").alias("n"), F.count_if(c("overlap") > 0).alias("hit"))
+    g = some.where((c("n") > 0) & (c("hit") < match_rate * c("n"))).select(F.lit("low_grounding").alias("rule"), F.lit("sessions").alias("subject"))
+    return a.unionByName(b).unionByName(r).unionByName(g)
