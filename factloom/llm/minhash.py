@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import hashing as H
-from .common import bounded_batches, connected, written
+from .common import bounded_batches, connected, discard, written
 
 U = np.uint64
 
@@ -197,7 +197,9 @@ def _resolve(base: DataFrame, nodes: DataFrame, k: int, percent: int, cluster_no
         links = settled if links is None else links.unionByName(settled)
         large = written(of.join(sizes.where(~fits), "cluster").select("node", "score"), "large")
         if not large.limit(1).count():
-            return connected(links)
+            found = connected(links)  # from a written table
+            discard(sets, groups, centre)
+            return found
         many = written(groups.select("g", "node").join(large, "node"), "buckets")
         hub = many.groupBy("g").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("h")).select("g", (-F.col("h.m")).alias("p"))
         pairs = many.join(hub, "g").where("node <> p").select("p", F.col("node").alias("q")).distinct()
