@@ -45,15 +45,15 @@ def _record(kind: Column, record_id: Column, block: Column, content_type: str, *
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_revisit_bytes: int = 0, records_per_file: int = 12_000) -> None:
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_revisit_bytes: int = 0, records_per_file: int = 3_000) -> None:
     """Write three records for each row of pages under path.
 
     Of rows with equal payloads of at least least_revisit_bytes bytes, those with the smallest id are
     responses, the others revisits without a payload; a smaller payload is always a response. A null payload
     is the empty one. Rows with a null id are responses, as no order says which came first. Line breaks and
     surrounding blanks of an address become %0A, %0D or nothing, as a header holds one line. Repeated rows give
-    records each, with one id; an empty table gives no records; other columns are ignored, whatever their names. Files
-    hold as many bytes as adaptive execution gives a partition, and records_per_file records at most.
+    records each, with one id; an empty table gives no records; other columns are ignored, whatever their names. A
+    file holds records_per_file records at most.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -62,7 +62,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     p = p.join(again, "digest", "left")
     revisit = (F.col("n") >= least_revisit_bytes) & (F.col("page_id") > F.col("first.page_id"))
     p = p.withColumn("original", F.when(revisit, F.col("first"))).drop("first")
-    p = p.withColumn("payload", F.when(F.col("original").isNull(), F.col("payload")).otherwise(F.lit(""))).hint("rebalance")
+    p = p.withColumn("payload", F.when(F.col("original").isNull(), F.col("payload")).otherwise(F.lit("")))
     url = F.replace(F.replace(F.trim("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     capture = _record_id("capture", F.col("page_id"), F.col("url"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
