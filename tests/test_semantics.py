@@ -220,3 +220,32 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_field_overwrites_and_their_clean_twins(spark):
+    s = "module_path string, var_key string, field string, seq long, kind string"
+    rows = [("m", "a", "x", 1, "write"), ("m", "a", "", 2, "write"), ("m", "b", "x", 1, "write"), ("m", "b", "y", 2, "read"), ("m", "b", "x", 3, "write"), ("m", "c", "x", 1, "write"), ("m", "c", "", 2, "read"), ("m", "c", "x", 3, "write"), ("m", "d", "", 1, "write"), ("m", "d", "x", 2, "write")]
+    found = {(r.var_key, r.field, r.seq, r.next_seq) for r in L.dead_overwrites(spark.createDataFrame(rows, s)).collect()}
+    assert found == {("a", "x", 1, 2), ("b", "x", 1, 3)}
+
+
+def test_constant_guards_and_tautologies(spark):
+    guards = spark.createDataFrame([(1, 0, 1, None, "=", "TRUE"), (1, 0, 2, "k", "=", "1"), (1, 0, 3, "k", "<>", "1"), (1, 0, 4, "free", "=", "1"), (1, 0, 5, "k", "=", "1"), (1, 0, 5, "free", "=", "1")], "sequence long, branch long, node long, key string, op string, value string")
+    known = spark.createDataFrame([("k", "1")], "key string, value string")
+    assert {(r.node, r.value) for r in L.constant_guards(guards, known).collect()} == {(1, True), (2, True), (3, False)}
+    facts = spark.createDataFrame([(1, "a", "=", "1"), (1, "a", "<>", "1"), (2, "a", "=", "A"), (3, "a", "=", "1"), (3, "a", "<>", "2")], "condition long, key string, op string, value string")
+    assert {tuple(r) for r in L.tautologies(facts).collect()} == {(1, "a", "tautology"), (2, "a", "self_compare")}
+
+
+def test_names_that_say_another_role(spark):
+    s = "var_key string, name string, read boolean, written boolean, ui_read boolean, non_ui_read boolean"
+    use = spark.createDataFrame([("a", "OpenCmd", True, True, False, True), ("b", "ShutCmd", True, True, False, True), ("c", "PumpStatus", False, True, False, False), ("d", "ValveStatus", False, True, False, False), ("e", "HighAlarm", True, False, False, True), ("f", "LowAlarm", True, False, True, False), ("g", "Level", True, True, True, True)], s)
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "var_key string")
+    found = {(r.var_key, r.issue) for r in U.naming_role_mismatch(use, keys("b"), keys("d")).collect()}
+    assert found == {("a", "command_as_internal_state"), ("c", "status_written"), ("e", "alarm_as_control_input")}
+
+
+def test_chains_go_to_their_ends(spark):
+    flows = [("m", i, f"v{i}", f"v{i - 1}") for i in range(1, 40)] + [("n", 1, "a", "b")]
+    found = {r.chain for r in L.dependency_chains(spark.createDataFrame(flows, "module_path string, seq long, target string, source string")).collect()}
+    assert found == {"<-".join(f"v{j}" for j in range(i, -1, -1)) for i in range(2, 40)}
