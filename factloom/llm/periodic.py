@@ -12,7 +12,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .hashing import SPACE, text_slices, words
@@ -280,13 +280,14 @@ def runs_text(runs: Column) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
 
 
-def with_planted_period(text: Column, doc_id: Column) -> Column:
-    """text, where crc32(decimal doc_id) % 10 is 0, with its words from word a on replaced by those of a period: as the query's contract says. Null doc_id: unchanged."""
-    w = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    n, g = F.size(w), F.floor(h / 10)
-    a = F.try_mod(g, n)
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    moved = F.transform(w, lambda x, i: F.get(w, place(i).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(moved, " ")).otherwise(text)
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where, of documents whose crc32(decimal doc_id) % 10 is 0, the words from word a on are those of a period: as the query's contract says. Null doc_id: unchanged."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    x = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, w).alias("w")).withColumn("n", F.size("w"))
+    n, a = F.col("n"), F.try_mod("g", "n").cast("int")
+    x = x.withColumn("a", a).withColumn("p", (F.lit(1) + F.floor((n - a) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    moved = F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest))
+    return x.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))

@@ -73,7 +73,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, after a period is planted into one in ten, as the contract has it."""
     bounded_batches(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.with_planted_period(F.col("text"), F.col("doc_id")).alias("text"))
+    docs = periodic.with_planted_period(table(spark, sf_dir, "documents"))
     x = docs.select("doc_id", periodic.periodic_runs(F.col("text")).alias("x")).select("doc_id", "x.runs", "x.collapsed")
     x = x.withColumn("best", periodic.longest_run(F.col("runs")))
     return x.select(
