@@ -33,12 +33,42 @@ _CLO = "clo(src, dst) AS (SELECT DISTINCT src, dst FROM e UNION SELECT clo.src,
 _add("c5_effective_outputs", lambda s, d: G.effective_outputs(_sql(s, d, _DAG, "part"), _sql(s, d, "SELECT DISTINCT p_partkey // 50 AS node FROM part WHERE p_partkey % 50 = 1", "part")), f"WITH RECURSIVE e AS ({_DAG}), k(node) AS (SELECT DISTINCT p_partkey // 50 FROM part WHERE p_partkey % 50 = 1 UNION SELECT e.src FROM k JOIN e ON e.dst = k.node) SELECT node FROM k")
 _add("f1_dependency_graph", lambda s, d: G.dependency_graph(fact(s, d, "lib_edges")), _F("SELECT lower(source) AS source, lower(target) AS target, string_agg(DISTINCT entry, ',' ORDER BY entry) AS entries FROM lib_edges GROUP BY 1, 2", "lib_edges"))
 _add("f2_access_graph", lambda s, d: G.access_graph(fact(s, d, "accesses"), fact(s, d, "declarations").select("var_key", c("scope").alias("owner"))), _F("SELECT module_path, scope AS owner, count(*) FILTER (kind = 'read') AS reads, count(*) FILTER (kind = 'write') AS writes, count(DISTINCT var_key) AS symbols FROM accesses JOIN declarations USING (var_key) GROUP BY ALL", "accesses", "declarations"))
-_add("f3_reverse_impact", lambda s, d: G.reverse_impact(_sql(s, d, _CYC, "part").unionByName(_sql(s, d, _DAG, "part"))), f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_CYC} UNION ALL {_DAG}) WHERE src <> dst), {_CLO} SELECT clo.dst AS node, (SELECT count(*) FROM e WHERE e.dst = clo.dst) AS direct, count(*) AS transitive FROM clo WHERE src <> dst GROUP BY clo.dst")
-_add("f4_impact_selection", lambda s, d: G.impact_selection(G.reverse_impact(_sql(s, d, _DAG, "part")), _sql(s, d, "SELECT p_partkey * 3 AS selector FROM part", "part")), f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_DAG}) WHERE src <> dst), {_CLO}, i AS (SELECT clo.dst AS node, (SELECT count(*) FROM e WHERE e.dst = clo.dst) AS direct, count(*) AS transitive FROM clo WHERE src <> dst GROUP BY clo.dst) SELECT p_partkey * 3 AS selector, direct, transitive, CASE WHEN node IS NULL THEN 'unknown selector' END AS error FROM part LEFT JOIN i ON node = p_partkey * 3")
-_MOD = lambda s, d: fact(s, d, "flow_edges").select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("module", c("node") % 2)
-_add("f5_taint_traces", lambda s, d: G.taint_traces(fact(s, d, "flow_edges"), fact(s, d, "flow_edges").where("src < 20").select(c("src").alias("node")), fact(s, d, "flow_edges").where("dst >= 3000 and dst % 3 = 0").select(c("dst").alias("node")), _MOD(s, d)),
-     _F("SELECT source, sink, depth, min(path) AS path, arg_min(m, path) AS multi_module FROM (SELECT a.src AS source, b.dst AS sink, 2 AS depth, a.src || '>' || a.dst || '>' || b.dst AS path, a.dst % 2 <> a.src % 2 OR b.dst % 2 <> a.src % 2 AS m FROM flow_edges a JOIN flow_edges b ON a.dst = b.src WHERE a.src < 20 AND b.dst >= 3000 AND b.dst % 3 = 0) GROUP BY 1, 2, 3", "flow_edges"))
-_add("f6_safety_traces", lambda s, d: G.safety_traces(fact(s, d, "accesses").join(fact(s, d, "declarations").where("name like '%red%'").select("var_key"), "var_key", "left_semi")), _F("SELECT var_key, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers, count(DISTINCT CASE WHEN kind = 'read' THEN module_path END) AS readers, count(DISTINCT module_path) > 1 AS spans_modules FROM accesses WHERE var_key IN (SELECT var_key FROM declarations WHERE name LIKE '%red%') GROUP BY 1", "accesses", "declarations"))
+_IMP = "i AS (SELECT node, (SELECT count(*) FROM e WHERE e.dst = node) AS direct, (SELECT count(*) FROM clo WHERE clo.dst = node) AS transitive FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))"
+_add("f3_reverse_impact", lambda s, d: G.reverse_impact(_sql(s, d, _CYC, "part").unionByName(_sql(s, d, _DAG, "part"))), f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({_CYC} UNION ALL {_DAG}) WHERE src <> dst), {_CLO}, {_IMP} FROM i")
+# edges with what they carry; an edge into a node is met by every path that leads on from there
+_CAR = ", cast(p_size % 4 AS bigint) AS reads, cast(p_size % 3 AS bigint) AS writes, 's' || cast(p_size % 7 AS string) AS symbol FROM part"
+_CARRY = f"{_CYC.replace(' FROM part', _CAR)} UNION ALL {_DAG.replace(' FROM part', _CAR)}"
+_carried = lambda s, d: _sql(s, d, _CARRY, "part").withColumn("symbols", F.array("symbol"))
+_add("f3_module_impact", lambda s, d: G.reverse_impact(_carried(s, d), list_fields=("symbols",), count_fields=("reads", "writes")).withColumn("direct_symbols", F.array_join("direct_symbols", ",")).withColumn("transitive_symbols", F.array_join("transitive_symbols", ",")),
+     f"""WITH RECURSIVE r AS (SELECT * FROM ({_CARRY}) WHERE src <> dst), e AS (SELECT DISTINCT src, dst FROM r), {_CLO}, {_IMP}, v AS (SELECT node, node AS at FROM i UNION SELECT dst, src FROM clo),
+     w AS (SELECT v.node, v.node = v.at AS own, reads, writes, symbol FROM v JOIN r ON r.dst = v.at),
+     x AS (SELECT node, sum(reads) FILTER (own)::BIGINT AS direct_reads, sum(reads)::BIGINT AS transitive_reads, sum(writes) FILTER (own)::BIGINT AS direct_writes, sum(writes)::BIGINT AS transitive_writes, string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER (own) AS direct_symbols, count(DISTINCT symbol) FILTER (own) AS direct_symbols_count, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS transitive_symbols, count(DISTINCT symbol) AS transitive_symbols_count FROM w GROUP BY 1)
+     SELECT node, direct, transitive, coalesce(direct_reads, 0) AS direct_reads, coalesce(transitive_reads, 0) AS transitive_reads, coalesce(direct_writes, 0) AS direct_writes, coalesce(transitive_writes, 0) AS transitive_writes,
+     coalesce(direct_symbols, '') AS direct_symbols, coalesce(direct_symbols_count, 0) AS direct_symbols_count, coalesce(transitive_symbols, '') AS transitive_symbols, coalesce(transitive_symbols_count, 0) AS transitive_symbols_count FROM i LEFT JOIN x USING (node)""")
+_SEL = "SELECT 'library' AS selector_kind, cast(p_partkey * 3 AS string) AS selector FROM part UNION ALL SELECT 'module', cast(p_partkey + 5 AS string) FROM part UNION ALL SELECT 'entry_file', CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE p_brand || '.s' END FROM part"
+_ENT = "SELECT p_brand AS entry_file, CASE WHEN p_size % 3 = 0 THEN 'library' ELSE 'module' END AS kind, p_partkey AS node FROM part WHERE p_size % 5 < 4"
+_both = lambda s, d: G.reverse_impact(_sql(s, d, _DAG, "part")).withColumn("kind", F.lit("library")).unionByName(G.reverse_impact(_sql(s, d, _CYC, "part")).withColumn("kind", F.lit("module")))
+_add("f4_impact_selection", lambda s, d: G.impact_selection(_both(s, d), _sql(s, d, _SEL, "part"), _sql(s, d, _ENT, "part")),
+     f"""WITH RECURSIVE e AS (SELECT DISTINCT 'library' AS kind, src, dst FROM ({_DAG}) WHERE src <> dst UNION SELECT DISTINCT 'module', src, dst FROM ({_CYC}) WHERE src <> dst), clo(kind, src, dst) AS (SELECT * FROM e UNION SELECT clo.kind, clo.src, e.dst FROM clo JOIN e ON e.src = clo.dst AND e.kind = clo.kind),
+     i AS (SELECT kind, node, (SELECT count(*) FROM e WHERE e.dst = node AND e.kind = n.kind) AS direct, (SELECT count(*) FROM clo WHERE clo.dst = node AND clo.kind = n.kind) AS transitive FROM (SELECT kind, src AS node FROM e UNION SELECT kind, dst FROM e) n), q AS (SELECT DISTINCT * FROM ({_SEL})), n AS ({_ENT})
+     SELECT q.*, i.kind, node, direct, transitive, NULL AS error FROM q JOIN i ON i.kind = selector_kind AND cast(node AS string) = selector
+     UNION ALL SELECT q.*, i.kind, i.node, direct, transitive, NULL FROM q JOIN (SELECT DISTINCT * FROM n) n ON selector_kind = 'entry_file' AND lower(selector) = lower(entry_file) JOIN i ON i.kind = n.kind AND i.node = n.node
+     UNION ALL SELECT q.*, NULL, NULL, NULL, NULL, 'unknown ' || replace(selector_kind, '_', ' ') || ' selector' FROM q WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.kind = selector_kind AND cast(node AS string) = selector) AND NOT EXISTS (SELECT 1 FROM n WHERE selector_kind = 'entry_file' AND lower(selector) = lower(entry_file))""")
+# signals that flow to the half of their number, some in circles of 16; names of every class, repeated, and within type definitions
+_SIG = "SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_size % 3 > 0 UNION ALL SELECT p_partkey, (p_partkey // 16) * 16 + (p_partkey * 5 + 1) % 16 FROM part WHERE p_size % 4 = 0"
+_NAM = "SELECT p_partkey AS node, CASE p_size % 12 WHEN 0 THEN 'Unit.Mes_In' || cast(p_partkey % 9 AS string) WHEN 1 THEN 'area.Sensor-' || cast(p_partkey % 5 AS string) || '.Value' WHEN 2 THEN 'Plant.Inter-lock.O' || cast(p_partkey % 3 AS string) WHEN 3 THEN 'TypeDef:Valve.' || p_type WHEN 4 THEN 'Plant.TRIP' ELSE 'n' || cast(p_partkey % 7 AS string) || '.x' END AS name FROM part"
+_USES = "SELECT p_partkey AS node, 'm' || cast(p_partkey // 64 AS string) AS module FROM part WHERE p_size % 9 > 0 UNION ALL SELECT p_partkey, 'other' FROM part WHERE p_size % 17 = 0"
+_add("f5_taint_traces", lambda s, d: G.taint_traces(_sql(s, d, _SIG, "part"), _sql(s, d, _NAM, "part"), _sql(s, d, _USES, "part")),
+     f"""WITH RECURSIVE n AS (SELECT node, name, lower(name) AS low FROM ({_NAM}) WHERE NOT starts_with(name, 'TypeDef:')), a AS ({_SIG}), e AS (SELECT DISTINCT a.src, a.dst FROM a JOIN n x ON x.node = a.src JOIN n y ON y.node = a.dst WHERE src <> dst),
+     so AS (SELECT node, CASE WHEN contains(low, 'mes_in') THEN 'mes' ELSE 'sensor' END AS source_kind FROM n WHERE (contains(low, 'mes_in') OR contains(low, 'sensor-')) AND node NOT IN (SELECT dst FROM a)), si AS (SELECT node FROM n WHERE contains(low, 'inter-lock') OR contains(low, 'trip')),
+     b(sink, node, rest) AS (SELECT node, node, 0 FROM si UNION SELECT b.sink, e.src, b.rest + 1 FROM b JOIN e ON e.dst = b.node WHERE b.rest < 40), m AS (SELECT sink, node, min(rest) AS rest FROM b GROUP BY ALL),
+     nx AS (SELECT x.sink, x.node, arg_min(y.node, (n.low, y.node)) AS next FROM m x JOIN e ON e.src = x.node JOIN m y ON y.sink = x.sink AND y.node = e.dst AND y.rest = x.rest - 1 JOIN n ON n.node = y.node GROUP BY ALL),
+     w(source, source_kind, sink, node, hop) AS (SELECT so.node, source_kind, sink, so.node, 0 FROM so JOIN m USING (node) WHERE rest > 0 UNION ALL SELECT source, source_kind, w.sink, next, hop + 1 FROM w JOIN nx ON nx.sink = w.sink AND nx.node = w.node WHERE w.node <> w.sink),
+     u AS (SELECT source, sink, count(DISTINCT module) AS modules FROM w JOIN ({_USES}) USING (node) GROUP BY ALL)
+     SELECT source, source_kind, sink, max(hop) AS depth, string_agg(name, '>' ORDER BY hop) AS path, coalesce(any_value(modules), 0) AS modules, coalesce(any_value(modules), 0) > 1 AS multi_module FROM w JOIN n USING (node) LEFT JOIN u USING (source, sink) GROUP BY ALL""")
+_SAFE = "SELECT var_key, CASE init_value % 4 WHEN 0 THEN 'Unit.Emergency-Stop.' || name WHEN 1 THEN name || '.Shut_Down' WHEN 2 THEN 'Pump.' || name ELSE 'E.stop.x' END AS name FROM declarations"
+_add("f6_safety_traces", lambda s, d: G.safety_traces(fact(s, d, "accesses"), s.sql(_SAFE.replace("FROM declarations", "FROM {declarations}"), declarations=fact(s, d, "declarations"))),
+     _F("SELECT var_key, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers, count(DISTINCT CASE WHEN kind = 'read' THEN module_path END) AS readers, count(DISTINCT module_path) > 1 AS spans_modules FROM accesses JOIN declarations USING (var_key) WHERE init_value % 4 < 2 GROUP BY 1", "accesses", "declarations"))
 _BW = "SELECT p_partkey AS block, 'x' || cast(p_partkey AS string) AS var_key FROM part"
 _BR = "SELECT (p_partkey // 10) * 10 + (p_partkey * 7 + 3) % 10 AS block, 'x' || cast(p_partkey AS string) AS var_key FROM part WHERE p_size > 12"
 _SCC = "SELECT a.src AS node, min(a.dst) AS component FROM clo a JOIN clo b ON a.src = b.dst AND a.dst = b.src GROUP BY 1"
