@@ -40,22 +40,6 @@ def config_drift(values: DataFrame) -> DataFrame:
     return per.join(drift, "moduletype").select("moduletype", "parameters", "instance", "values")
 
 
-def version_drift(modules: DataFrame) -> DataFrame:
-    """(name, variants, instances) of names whose modules differ in structure. modules: (name, instance, part): the parts of each instance, but for dates.
-
-    A module's fingerprint is the digest of its sorted parts.
-    """
-    prints = modules.groupBy("name", "instance").agg(F.sha2(F.to_json(F.sort_array(F.collect_list("part"))), 256).alias("fingerprint"))
-    return prints.groupBy("name").agg(F.count_distinct("fingerprint").alias("variants"), F.count("*").alias("instances")).where("variants >= 2")
-
-
-def variant_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Items of two variants: (name, item, change: added, missing or changed). a, b: (name, item, value)."""
-    x = a.select("name", "item", c("value").alias("va"), F.lit(1).alias("ia")).join(b.select("name", "item", c("value").alias("vb"), F.lit(1).alias("ib")), ["name", "item"], "full_outer")
-    change = F.when(c("ia").isNull(), "added").when(c("ib").isNull(), "missing").when(~c("va").eqNullSafe(c("vb")), "changed")
-    return x.select("name", "item", change.alias("change")).where("change is not null")
-
-
 def missing_initial_values(values: DataFrame, value_like: tuple) -> DataFrame:
     """(moduletype, instance) of instances none of whose value-like parameters has a value."""
     like = F.lower("parameter").isin(*value_like)
@@ -109,10 +93,58 @@ def spec_rules(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("issue", issue).where("issue is not null").select("id", "issue")
 
 
-def layout_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fields that differ from a rule's: (item, rule, field, expected, actual). entries: (item, kind, field, actual); rules: (rule, pattern, field, expected), pattern a SQL LIKE pattern over kind."""
-    kinds = entries.select("kind").distinct().join(rules.select("pattern").distinct(), F.expr("kind like pattern"))
-    return entries.join(kinds, "kind").join(rules, ["pattern", "field"]).where("not (actual <=> expected)").select("item", "rule", "field", "expected", "actual")
+#: Path selectors of graphics rules, of which a rule has one at most.
+SELECTORS = ("unit_structure_path", "equipment_module_structure_path", "relative_module_path")
+
+
+def _rule_key(kind, selector, rest):
+    return F.concat_ws("\n", kind, selector, rest)
+
+
+def _selected(rules: DataFrame) -> DataFrame:
+    """rules with `key`, what an entry must be to match, and `name`."""
+    text = lambda x: F.coalesce(F.trim(c(x)), F.lit(""))
+    path = F.coalesce(*(F.when(text(x) != "", F.concat(F.lit(f"{x}:"), F.lower(text(x)))) for x in SELECTORS), F.lit(""))
+    shown = F.coalesce(*(F.when(text(x) != "", F.concat(F.lit(f"{short}:"), text(x))) for x, short in zip(SELECTORS, ("unit", "equipment", "path"))), text("module_name"))
+    typed = c("module_kind") == "moduletype"
+    rest = F.when(typed, F.concat(F.lit("type:"), F.lower(text("moduletype_name")))).when((path == "") & (text("module_name") != ""), F.concat(F.lit("name:"), F.lower(text("module_name")))).otherwise("")
+    name = F.when(typed, F.concat(F.lit("moduletype:"), text("moduletype_name"), F.lit("@"), shown)).otherwise(F.concat("module_kind", F.lit(":"), shown))
+    return rules.where(~typed | (text("moduletype_name") != "")).withColumn("key", _rule_key(c("module_kind"), path, rest)).withColumn("name", name)
+
+
+def _entry_keys(entries: DataFrame) -> DataFrame:
+    """(item, key): every key of a rule that an entry would match; at most 14."""
+    text = lambda x: F.coalesce(F.trim(c(x)), F.lit(""))
+    kind = F.when(c("module_kind") == "module", "single").when(c("module_kind") == "frame", "frame").when(c("module_kind") == "moduletype-instance", "moduletype").otherwise("")
+    paths = [F.when(text(x) != "", F.concat(F.lit(f"{x}:"), F.lower(text(x)))) for x in SELECTORS]
+    keys = []
+    for k in (F.lit("any"), F.when(kind != "moduletype", kind)):
+        keys += [F.when(k.isNotNull() & p.isNotNull(), _rule_key(k, p, F.lit(""))) for p in paths]
+        keys += [F.when(k.isNotNull(), _rule_key(k, F.lit(""), r)) for r in (F.lit(""), F.concat(F.lit("name:"), F.lower(text("module_name"))))]
+    typed = F.concat(F.lit("type:"), F.lower(text("moduletype_name")))
+    keys += [F.when((kind == "moduletype") & p.isNotNull(), _rule_key(F.lit("moduletype"), p, typed)) for p in (*paths, F.lit(""))]
+    return entries.where("module_kind <> 'basepicture'").select("item", F.explode(F.array_compact(F.array_distinct(F.array(*keys)))).alias("key"))
+
+
+def graphics_rules_check(entries: DataFrame, values: DataFrame, rules: DataFrame, expected: DataFrame) -> DataFrame:
+    """(item, rule, field, expected, actual) of the fields that differ from what a matching rule expects.
+
+    entries: (item, module_kind: module, frame, moduletype-instance or basepicture, the three SELECTORS, moduletype_name, module_name);
+    values: (item, field, actual), fields as dotted paths; rules: (rule, module_kind: any, single, frame or moduletype, and the
+    same names, null where a rule doesn't ask); expected: (rule, field, expected). A rule matches entries that have all
+    that it asks for, without regard to case; a base picture matches none. What a rule asks is one key, and an entry is
+    dealt to the few keys that it fits, so that rules and entries meet by an equal key. A field that an entry lacks differs.
+    """
+    met = _entry_keys(entries).join(_selected(rules).select("rule", "name", "key"), "key").select("item", "rule", "name").distinct()
+    x = met.join(expected, "rule").join(values, ["item", "field"], "left")
+    return x.where(~c("actual").eqNullSafe(c("expected"))).select("item", c("name").alias("rule"), "field", "expected", "actual")
+
+
+def unmatched_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule) names of rules that no entry matches; rules of one name match together."""
+    named = _selected(rules).select("name", "key").distinct()
+    met = named.join(_entry_keys(entries).select("key").distinct(), "key", "left_semi").select("name")
+    return named.select("name").distinct().join(met, "name", "left_anti").select(c("name").alias("rule"))
 
 
 def layout_drift(items: DataFrame, fields: list[str]) -> DataFrame:
@@ -140,21 +172,6 @@ def dependency_version_conflicts(types: DataFrame) -> DataFrame:
     return types.where("datecode is not null").groupBy(F.lower("name").alias("name")).agg(F.count_distinct("datecode").alias("versions"), F.count_distinct("library").alias("libraries")).where("versions >= 2 and libraries >= 2").select("name", "versions")
 
 
-#: Words by documentation category, in the order in which they are tried.
-CATEGORIES = (("em", ("equipment", "em")), ("ops", ("operation", "ops")), ("parameters", ("parameter", "par")))
-
-
-def classify_modules(modules: DataFrame, categories: tuple = CATEGORIES) -> DataFrame:
-    """(path, category): by the name's tokens, else that of the nearest classified module above; null without one. modules: (path, name)."""
-    tokens = identifier_tokens(c("name"))
-    own = F.coalesce(*(F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, words))), F.lit(k)) for k, words in categories))
-    m = modules.select("path", own.alias("own"))
-    steps = F.split("path", r"\.")
-    up = m.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("d"), F.array_join(F.slice(steps, 1, n), ".").alias("above")))).alias("x")).select("path", "x.d", "x.above")
-    known = m.where("own is not null").select(c("path").alias("above"), "own")
-    return up.join(known, "above", "left").groupBy("path").agg(F.max(F.when(c("own").isNotNull(), F.struct("d", "own"))).alias("x")).select("path", c("x.own").alias("category"))
-
-
 def structure_metrics(facts: DataFrame) -> DataFrame:
     """(program, kind, n) counts per program and kind, per program, and in total (null: all). facts: (program, kind)."""
     return facts.rollup("program", "kind").agg(F.count("*").alias("n"))
