@@ -45,20 +45,33 @@ def _record(kind: Column, record_id: Column, block: Column, content_type: str, *
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_revisit_bytes: int = 0, records_per_file: int = 3_000) -> None:
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", least_revisit_bytes: int = 0, file_bytes: int = 1 << 26) -> None:
     """Write three records for each row of pages under path.
 
     Of rows with equal payloads of at least least_revisit_bytes bytes, those with the smallest id are
     responses, the others revisits without a payload; a smaller payload is always a response. A null payload
     is the empty one. Rows with a null id are responses, as no order says which came first. Line breaks and
     surrounding blanks of an address become %0A, %0D or nothing, as a header holds one line. Repeated rows give
-    records each, with one id; an empty table gives no records; other columns are ignored, whatever their names. A
-    file holds records_per_file records at most.
+    records each, with one id; an empty table gives no records; other columns are ignored, whatever their names.
+
+    Captures are written by classes of payload size, so many to a file that their payloads are file_bytes at most; a
+    capture of more than a sixteenth of that has a file of its own. A class is chosen before anything is shuffled, so
+    that each payload is still shuffled once.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     p = p.withColumn("digest", sha1_base32(F.col("payload").cast("binary"))).withColumn("n", F.octet_length("payload"))
     again = p.where((F.col("n") >= least_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last")).where("first.page_id <> last").select("digest", "first")
+    again = written(again, "repeated-payloads")
+    most, above = file_bytes >> 12, -1
+    while above < (file_bytes >> 4):
+        _write_class(p.where((F.col("n") > above) & (F.col("n") <= most)), again, path, date, least_revisit_bytes, file_bytes // most)
+        most, above = most << 4, most
+    _write_class(p.where(F.col("n") > above), again, path, date, least_revisit_bytes, 1)
+
+
+def _write_class(p: DataFrame, again: DataFrame, path: str, date: str, least_revisit_bytes: int, captures_per_file: int) -> None:
+    """Add archives of the pages p (page_id, url, payload, digest, n), captures_per_file to a file at most."""
     p = p.join(again, "digest", "left")
     revisit = (F.col("n") >= least_revisit_bytes) & (F.col("page_id") > F.col("first.page_id"))
     p = p.withColumn("original", F.when(revisit, F.col("first"))).drop("first")
@@ -76,7 +89,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         _record(kind, capture, F.concat(http, F.col("payload")), "application/http; msgtype=response", WARC_Date=day, WARC_Target_URI=F.col("url_line"), WARC_Payload_Digest=F.concat(F.lit("sha1:"), F.col("digest")), WARC_Profile=profile, WARC_Refers_To=refers_to),
         _record(F.lit("metadata"), _record_id("metadata", capture), fields, "application/warc-fields", WARC_Date=day, WARC_Target_URI=F.col("url_line"), WARC_Concurrent_To=capture),
     )
-    p.withColumn("url_line", url).select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    p.withColumn("url_line", url).select(F.explode(records).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 3 * captures_per_file).option("compression", "gzip").mode("append").text(path)
 
 
 def _header(block: bytes) -> dict[str, str]:

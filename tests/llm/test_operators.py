@@ -594,6 +594,18 @@ def test_archives_round_trip(spark):
     assert [(r.page_id, r.refers_to) for r in far] == [(6, 5)]
 
 
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(6)
+    pages = [(i, f"http://p/{i}", f"{i} " + "x" * rng.choice([0, 10, 300, 900, 5_000, 90_000])) for i in range(300)]
+    # columns of the names that the operator uses inside
+    df = spark.createDataFrame([(*p, 1, "d", "f") for p in pages], "page_id long, url string, html string, n long, digest string, payload string").coalesce(2)
+    warc.write_archives(df, str(tmp_path / "w"), file_bytes=1 << 16)
+    r = warc.read_archives(spark, str(tmp_path / "w")).where("record_type = 'response'").groupBy("file").agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes")).collect()
+    assert sum(x.n for x in r) == 300 and all(x.bytes <= 1 << 16 or x.n == 1 for x in r) and max(x.n for x in r) > 10
+    out = warc.archived(df)
+    assert {(x.page_id, x.payload_bytes) for x in out.collect()} == {(i, len(h)) for i, _, h in pages}
+
+
 def test_captures_without_a_response_are_kept(spark):
     r = "record_type string, record_id string, concurrent_to string"
     df = spark.createDataFrame([("response", "a", None), ("request", "b", "a"), ("metadata", "c", "gone"), ("metadata", "d", None)], r)
