@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.scalars import conflict_rep, limit_binding, path_conflicts
-from ..shared import written
+from ..functions.scalars import limit_binding
+from ..shared import stored, written
 
 c = F.col
 
@@ -20,19 +20,43 @@ def read_before_write(log: DataFrame, with_init: DataFrame) -> DataFrame:
     return first.where("r is not null and (w is null or r < w)").join(with_init.select("var_key"), "var_key", "left_anti").select("module_path", "var_key")
 
 
-def read_before_write_branches(log: DataFrame) -> DataFrame:
-    """(module_path, var_key) read before a sure write, where rows may stand in one of two branches of a block.
+def read_before_write_branches(log: DataFrame, blocks: DataFrame, with_init: DataFrame | None = None) -> DataFrame:
+    """(module_path, var_key) read before a sure write, where blocks of branches nest to any depth.
 
-    log: (module_path, var_key, seq, kind, block, branch): block null means straight line; the rows of a block
-    follow each other. A write in a branch counts for what follows in it, and for what follows the block if
-    both branches (0 and 1) write. First a row per branch, so that a long log is summed before it meets.
+    log: (module_path, var_key, seq, kind, guard: array<struct<block, branch>>, the branches that a row is in, outermost first;
+    empty or null on the straight line). blocks: (module_path, block, branches): how many branches a block has, an else that
+    says nothing among them. Branches of a block follow each other. Variables in with_init count as written.
+
+    A write counts for what follows it in its branch; what follows a block is sure of a variable if every branch of the
+    block is. Rows are summed to the first read and the first write of each branch; then sure writes are folded from the
+    innermost branches out, a level a round: a block in which all branches are sure is a write at its end, in the
+    branch around it. A read is looked up in its branch and in those around it.
     """
     key = ["module_path", "var_key"]
-    per = log.groupBy(*key, "block", "branch").agg(F.min(F.when(c("kind") == "read", c("seq"))).alias("r"), F.min(F.when(c("kind") == "write", c("seq"))).alias("w"), F.max("seq").alias("last"))
-    blocks = per.groupBy(*key, "block").agg(F.min("w").alias("w"), F.count(F.when(c("w").isNotNull(), c("branch"))).alias("writing"), F.max("last").alias("last"))
-    sure = blocks.groupBy(*key).agg(F.min(F.when(c("block").isNull(), c("w")).when(c("writing") == 2, c("last"))).alias("sure"))
-    bad = per.where("r is not null and (w is null or r < w)").join(sure, key).where("sure is null or r < sure")
-    return bad.select(*key).distinct()
+    frame = F.transform(F.coalesce("guard", F.array().cast(log.schema["guard"].dataType)), lambda g: F.concat_ws(":", g["block"].cast("string"), g["branch"].cast("string")))
+    x = log if with_init is None else log.join(with_init.select("var_key").distinct(), "var_key", "left_anti")
+    per = x.withColumn("frame", F.array_join(frame, "/")).groupBy(*key, "frame").agg(F.min(F.when(c("kind") == "read", c("seq"))).alias("r"), F.min(F.when(c("kind") == "write", c("seq"))).alias("w"))
+    per = stored(per, "branches")
+    depth = F.when(c("frame") == "", 0).otherwise(F.size(F.split("frame", "/")))
+    direct = per.where("w is not null").select(*key, "frame", "w", depth.alias("depth"))
+    deepest = direct.agg(F.max("depth")).first()[0] or 0
+    sure, folded = None, None
+    for d in range(deepest, -1, -1):
+        here = direct.where(c("depth") == d).select(*key, "frame", "w")
+        if folded is not None:
+            here = here.unionByName(folded).groupBy(*key, "frame").agg(F.min("w").alias("w"))
+        here = stored(here, "sure")
+        sure = here if sure is None else sure.unionByName(here)
+        steps = F.split("frame", "/")
+        up = here.where("frame <> ''").select(*key, F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), "/").alias("frame"), F.element_at(F.split(F.element_at(steps, -1), ":"), 1).alias("block"), "w")
+        told = up.groupBy(*key, "frame", "block").agg(F.count("*").alias("n"), F.max("w").alias("w"))
+        of = blocks.select("module_path", c("block").cast("string").alias("block"), "branches").distinct()
+        folded = told.join(of, ["module_path", "block"]).where("n >= branches").select(*key, "frame", "w")
+    reads = per.where("r is not null").select(*key, c("frame").alias("own"), "r")
+    steps = F.split("own", "/")
+    around = F.when(c("own") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/")))
+    seen = reads.withColumn("frame", F.explode(around)).join(sure, [*key, "frame"]).where("w < r").select(*key, "own").distinct()
+    return reads.join(seen, [*key, "own"], "left_anti").select(*key).distinct()
 
 
 def unconsumed_writes(log: DataFrame) -> DataFrame:
@@ -111,11 +135,18 @@ def limit_violations(writes: DataFrame, constants: DataFrame) -> DataFrame:
     return writes.withColumn("key", F.lower("name")).join(b, ["scope", "key"]).where("literal < lo or literal > hi").select("scope", "name", "literal", "lo", "hi")
 
 
-def fault_handling(log: DataFrame) -> DataFrame:
-    """(var_key, issue): set true and never false, else set true and never read. log: (var_key, kind, value boolean)."""
-    x = log.groupBy("var_key").agg(F.bool_or((c("kind") == "write") & c("value")).alias("t"), F.bool_or((c("kind") == "write") & ~c("value")).alias("f"), F.bool_or(c("kind") == "read").alias("r"))
-    issue = F.when(c("t") & ~c("f"), "never_cleared").when(c("t") & ~c("r"), "never_read")
-    return x.withColumn("issue", issue).where("issue is not null").select("var_key", "issue")
+def fault_handling(log: DataFrame, words: tuple = ("fault", "alarm")) -> DataFrame:
+    """(module_path, var_key, issue) of booleans named fault or alarm, per scope: missing_recovery, set true and never false; unhandled_fault, set true and never read. Both may hold.
+
+    log: (module_path, var_key, name, is_boolean, kind, value boolean: null for writes of no literal).
+    """
+    named = F.lit(False)
+    for x in words:
+        named = named | F.contains(F.lower("name"), F.lit(x))
+    w = c("kind") == "write"
+    x = log.where(c("is_boolean") & named).groupBy("module_path", "var_key").agg(F.coalesce(F.bool_or(w & c("value")), F.lit(False)).alias("t"), F.coalesce(F.bool_or(w & ~c("value")), F.lit(False)).alias("f"), F.bool_or(c("kind") == "read").alias("r"))
+    issues = F.array_compact(F.array(F.when(~c("f"), F.lit("missing_recovery")), F.when(~c("r"), F.lit("unhandled_fault"))))
+    return x.where("t").select("module_path", "var_key", F.explode(issues).alias("issue"))
 
 
 def alarm_never_cleared(log: DataFrame) -> DataFrame:
@@ -123,39 +154,72 @@ def alarm_never_cleared(log: DataFrame) -> DataFrame:
     return log.where("kind = 'write'").groupBy("var_key").agg(F.bool_and("value").alias("only")).where("only").select("var_key")
 
 
-def _path(prefix: str = ""):
-    return F.concat_ws(".", f"{prefix}var_key", F.when(c(f"{prefix}field") != "", c(f"{prefix}field")))
+def _rolled_up(log: DataFrame, scope: str, user: str, extra: tuple = ()) -> DataFrame:
+    """(scope, at, own, user, kind, ...): each distinct access told to its path and to every path above it; own: whether `at` is its own path."""
+    path = F.lower(F.concat_ws(".", "var_key", F.when(c("field") != "", c("field"))))
+    root = F.size(F.split(F.lower("var_key"), r"\."))
+    e = log.select(c(scope).alias("scope"), path.alias("path"), root.alias("root"), c(user).alias("user"), "kind", *extra).distinct()
+    steps = F.split("path", r"\.")
+    at = F.explode(F.transform(F.sequence(c("root"), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), ".")))
+    return e.select("scope", "path", at.alias("at"), "user", "kind", *extra).withColumn("own", c("at") == c("path"))
+
+
+def _users(name: str, which) -> list:
+    """The smallest and the largest user of some rows: whether there is one other than a given one, without a list of them."""
+    return [F.min(F.when(which, c("user"))).alias(f"{name}_a"), F.max(F.when(which, c("user"))).alias(f"{name}_z")]
+
+
+def _other(name: str, user: str = "user"):
+    """Whether those summed as name have another user than this row's."""
+    return F.coalesce((c(f"{name}_a") != c(user)) | (c(f"{name}_z") != c(user)), F.lit(False))
 
 
 def parallel_conflicts(log: DataFrame) -> DataFrame:
     """(parallel_id, path, conflict): paths that two branches of one parallel touch, write/write first, else read/write.
 
-    Equal (branch, path, kind) are one row before the join, which is on the parallel and the variable.
+    Two paths conflict if one holds the other; the shorter is reported. No accesses are paired: each is told to its path
+    and to those above it (as many as the path is deep), and each path keeps the smallest and largest branch that
+    reads and writes it, itself and below; two branches differ if and only if these do.
     """
-    e = log.select("parallel_id", "branch", "var_key", "field", "kind").distinct()
-    o = e.select("parallel_id", "var_key", c("branch").alias("b2"), c("field").alias("field2"), c("kind").alias("k2"))
-    p, q = _path(), F.concat_ws(".", "var_key", F.when(c("field2") != "", c("field2")))
-    x = e.join(o, ["parallel_id", "var_key"]).where("branch < b2 and (kind = 'write' or k2 = 'write')").where(path_conflicts(p, q))
-    return x.groupBy("parallel_id", F.lower(conflict_rep(p, q)).alias("path")).agg(F.when(F.bool_or((c("kind") == "write") & (c("k2") == "write")), "write/write").otherwise("read/write").alias("conflict"))
+    e = _rolled_up(log, "parallel_id", "branch")
+    r, w = c("kind") == "read", c("kind") == "write"
+    x = e.groupBy(c("scope").alias("parallel_id"), c("at").alias("path")).agg(*_users("ow", c("own") & w), *_users("or", c("own") & r), *_users("sw", w), *_users("sr", r))
+    apart = lambda a, b: F.coalesce((F.least(f"{a}_a", f"{b}_a") != F.greatest(f"{a}_z", f"{b}_z")) & c(f"{a}_a").isNotNull() & c(f"{b}_a").isNotNull(), F.lit(False))
+    conflict = F.when(apart("ow", "sw"), "write/write").when(apart("ow", "sr") | apart("or", "sw"), "read/write")
+    return x.withColumn("conflict", conflict).where("conflict is not null").select("parallel_id", "path", "conflict")
+
 
+def shared_access_hazards(log: DataFrame, user: str = "module_path", need_write: bool = True) -> DataFrame:
+    """(program, path, users, user, kinds, sites): paths read and written in one program by different users, a row for each user.
 
-def shared_access_hazards(log: DataFrame, key: str = "module_path") -> DataFrame:
-    """(program, path, users): paths read and written in one program by different users (modules, or sites by key).
+    An access takes part in a path if it conflicts with one of another user there: one of the two is at the path itself,
+    the other there or below; need_write: one of the two writes. A path is told if of those that take part some read and
+    some write. kinds: read, write or both; sites: the distinct sites, sorted (column `site`, missing ones left out). users: how many.
 
-    First a row per (program, path, user, kind): whatever the number of accesses, a hot variable has at most
-    users times kinds rows.
+    No accesses are paired: each is told to its path and to those above it, and each path keeps the smallest and
+    the largest user of all and of writing accesses, itself and below; that tells whether there is another one.
+    E12 is this over modules; E13 over continuous sites (need_write = False) of variables that keep no state.
     """
-    e = log.select("program", "var_key", "field", c(key).alias("user"), "kind").distinct()
-    o = e.where("kind = 'write'").select("program", "var_key", c("field").alias("field2"), c("user").alias("u2"))
-    p, q = _path(), F.concat_ws(".", "var_key", F.when(c("field2") != "", c("field2")))
-    x = e.where("kind = 'read'").join(o, ["program", "var_key"]).where("user <> u2").where(path_conflicts(p, q))
-    return x.select("program", F.lower(conflict_rep(p, q)).alias("path"), F.explode(F.array("user", "u2")).alias("user")).groupBy("program", "path").agg(F.count_distinct("user").alias("users"))
+    e = _rolled_up(log, "program", user, ("site",) if user != "site" else ())
+    if user == "site":
+        e = e.withColumn("site", c("user"))
+    w = c("kind") == "write"
+    sums = e.groupBy("scope", "at").agg(*_users("oa", c("own")), *_users("ow", c("own") & w), *_users("sa", F.lit(True)), *_users("sw", w))
+    x = e.join(sums, ["scope", "at"])
+    if need_write:
+        takes = F.when(c("own"), (w & _other("sa")) | _other("sw")).otherwise((w & _other("oa")) | _other("ow"))
+    else:
+        takes = F.when(c("own"), _other("sa")).otherwise(_other("oa"))
+    x = x.where(takes)
+    per = x.groupBy("scope", "at", "user").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.array_join(F.sort_array(F.collect_set("site")), ",").alias("sites"))
+    told = per.groupBy("scope", "at").agg(F.count("*").alias("users"), F.bool_or(F.contains("kinds", F.lit("read"))).alias("r"), F.bool_or(F.contains("kinds", F.lit("write"))).alias("w")).where("r and w and users >= 2")
+    return per.join(told, ["scope", "at"]).select(c("scope").alias("program"), c("at").alias("path"), "users", "user", "kinds", "sites")
 
 
 def unsafe_scan_calls(calls: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Calls whose function isn't known to be safe in scan code. signatures: (function, safe)."""
+    """(site, function) of calls in scan code whose signature says that they aren't safe there; calls without a signature aren't findings. signatures: (function, safe)."""
     s = signatures.select(F.lower("function").alias("key"), "safe")
-    return calls.withColumn("key", F.lower("function")).join(s, "key", "left").where("not coalesce(safe, false)").select("site", "function")
+    return calls.withColumn("key", F.lower("function")).join(s, "key").where("not safe").select("site", "function")
 
 
 def complexity(steps: DataFrame, module_limit: int = 10, step_limit: int = 6) -> DataFrame:
@@ -197,15 +261,14 @@ def step_contracts(contracts: DataFrame, writes: DataFrame) -> DataFrame:
     """(step, var_key, phase, leaked) of contract writes that a step lacks. contracts, writes: (step, var_key, phase).
 
     Steps are ordered by their number. A missing enter write leaks if an earlier step's enter contract set the
-    variable and no exit contract satisfied since then cleared it.
+    variable and no exit contract satisfied since then cleared it: one ordered pass over a variable's contracts.
     """
-    missing = contracts.join(writes, ["step", "var_key", "phase"], "left_anti")
-    held = contracts.join(writes, ["step", "var_key", "phase"], "left_semi")
-    # the last set and the last clear before each missing write: an aggregate over the earlier steps of its variable
-    earlier = held.select("var_key", c("step").alias("s"), c("phase").alias("p"))
-    x = missing.where("phase = 'enter'").join(earlier, "var_key").where("s < step").groupBy("step", "var_key").agg(F.max(F.when(c("p") == "enter", c("s"))).alias("set"), F.max(F.when(c("p") == "exit", c("s"))).alias("cleared"))
-    leaks = x.where("set is not null and (cleared is null or cleared < set)").select("step", "var_key", F.lit("enter").alias("phase"), F.lit(True).alias("leaked"))
-    return missing.join(leaks, ["step", "var_key", "phase"], "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
+    kept = contracts.distinct().join(writes.select("step", "var_key", "phase").distinct().withColumn("held", F.lit(True)), ["step", "var_key", "phase"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    before = W.partitionBy("var_key").orderBy("step").rangeBetween(W.unboundedPreceding, -1)
+    last = lambda phase: F.max(F.when(c("held") & (c("phase") == phase), c("step"))).over(before)
+    x = kept.withColumn("set", last("enter")).withColumn("cleared", last("exit")).where("not held")
+    leaks = (c("phase") == "enter") & c("set").isNotNull() & (c("cleared").isNull() | (c("cleared") < c("set")))
+    return x.select("step", "var_key", "phase", F.coalesce(leaks, F.lit(False)).alias("leaked"))
 
 
 def reset_contamination(run: DataFrame, reset: DataFrame) -> DataFrame:
