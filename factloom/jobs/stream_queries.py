@@ -36,12 +36,16 @@ _add("k2_stream_session_rollup", lambda s, d: R.drained(R.session_rollup(_stream
 _add("k3_stream_new_findings", lambda s, d: R.drained(R.new_findings(_stream(s, d), ["session", "operation"]), "new"), _F("SELECT DISTINCT session, operation FROM telemetry", "telemetry"))
 
 
+_add("k1_stream_sliding_rollup", lambda s, d: R.drained(R.operation_rollup(_stream(s, d), "2 hours", slide="30 minutes"), "sliding"),
+     _F(f"SELECT start, coalesce(operation, 'unknown') AS operation, count(*) AS n, count(*) FILTER (NOT success) AS failures FROM (SELECT *, time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start FROM telemetry, range(4) r(k)) GROUP BY ALL HAVING start + INTERVAL 2 HOUR <= {_MARK}", "telemetry"))
+
+
 def _retries(s, d):
     e = _stream(s, d).withColumn("type", F.when(c("success"), "tool.start").otherwise("tool.complete")).withColumn("tool", F.when(c("seq") % 4 < 2, "search").otherwise("edit"))
-    return R.drained(R.tool_retries(e), "retries").groupBy("session").agg(F.sum("retries").alias("retries"))
+    return R.drained(R.tool_retries(e), "retries", R.ROCKSDB).groupBy("session").agg(F.sum("retries").alias("retries"))
 
 
-_add("k4_stream_tool_retries", _retries, "SELECT session, count(*) FILTER (s AND NOT bs AND b = tool) AS retries FROM (SELECT session, tool, s, lag(s) OVER w AS bs, lag(tool) OVER w AS b FROM (SELECT user_id AS session, event_id, event_type <> 'error' AS s, CASE WHEN event_id % 4 < 2 THEN 'search' ELSE 'edit' END AS tool FROM events) WINDOW w AS (PARTITION BY session ORDER BY event_id)) GROUP BY 1")
+_add("k4_stream_tool_retries", _retries, f"SELECT session, count(*) AS retries FROM (SELECT session, tool, s, lag(s) OVER w AS bs, lag(tool) OVER w AS b FROM (SELECT user_id AS session, event_id, ts, event_type <> 'error' AS s, CASE WHEN event_id % 4 < 2 THEN 'search' ELSE 'edit' END AS tool FROM events WHERE date_trunc('millisecond', ts) < date_trunc('millisecond', {_MARK})) WINDOW w AS (PARTITION BY session ORDER BY ts, event_id)) WHERE s AND NOT bs AND b = tool GROUP BY 1")
 
 
 def _discovered(s, d):
@@ -56,7 +60,8 @@ def _discovered(s, d):
 
 _add("a1_discover_and_decode", _discovered, "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 _add("a2_decode_text", lambda s, d: S.decode_text(_t(s, d, "documents").select("doc_id", F.when(c("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1")).alias("content"))).select("doc_id", F.md5(c("text").cast("binary")).alias("digest")), "SELECT doc_id, md5(text) AS digest FROM documents")
-_add("a3_dependency_edges", lambda s, d: S.dependency_edges(_t(s, d, "documents").select(F.concat(F.lit("Stem"), c("doc_id").cast("string")).alias("stem"), F.concat(F.left("text", F.lit(0)), F.concat_ws("\n", F.concat(F.lit("  "), "source"), F.lit(""), F.upper("lang"))).alias("text"))), "SELECT 'stem' || doc_id AS source, unnest([source, lang]) AS target FROM documents")
+_add("a3_dependency_edges", lambda s, d: S.dependency_edges(_t(s, d, "documents").select(F.concat(F.lit("Stem"), c("doc_id").cast("string")).alias("stem"), "text")).select("source", F.md5(c("target").cast("binary")).alias("target")).groupBy("source", "target").agg(F.count("*").alias("n")),
+     "SELECT source, md5(target) AS target, count(*) AS n FROM (SELECT 'stem' || doc_id AS source, lower(trim(rtrim(unnest(string_split(text, chr(10))), chr(13)), ' ')) AS target FROM documents) WHERE target <> '' GROUP BY ALL")
 
 
 def _found(s, d):

@@ -6,24 +6,36 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..shared import fresh_path
 
 c = F.col
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """What a stream appends until its input is used up, as a table in the shared folder (spark.checkpoint.dir)."""
+#: State that lists and timers need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(stream: DataFrame, name: str, provider: str | None = None) -> DataFrame:
+    """What a stream appends until its input is used up, as a table in the shared folder (spark.checkpoint.dir). provider: the state store of this query alone."""
     spark = stream.sparkSession
     path = fresh_path(spark, name)
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    if provider:
+        spark.conf.set(key, provider)  # a query keeps the settings that it was started with
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    finally:
+        spark.conf.set(key, before)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def operation_rollup(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, operation, n, failures) per tumbling window; rows later than the watermark are dropped. events: (ts, operation, success)."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), F.coalesce("operation", F.lit("unknown")).alias("operation"))
+def operation_rollup(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """(start, operation, n, failures) per window, tumbling, or sliding by `slide`; rows later than the watermark are dropped. events: (ts, operation, success)."""
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), F.coalesce("operation", F.lit("unknown")).alias("operation"))
     return w.agg(F.count("*").alias("n"), F.count_if(~c("success")).alias("failures")).select(c("window.start").alias("start"), "operation", "n", "failures")
 
 
@@ -38,30 +50,63 @@ def new_findings(events: DataFrame, key: list[str], late: str = "60 days") -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key).select(*key)
 
 
-def tool_retries(events: DataFrame, late: str = "10 minutes", idle: int = 24) -> DataFrame:
-    """(session, retries): how many retries each batch adds to a session: a start of the tool that failed last, with no start between. events: (ts, session, seq, type, tool, success).
-
-    The state is the tool that failed last, or none; it is forgotten when the watermark is `idle` hours past
-    the session's last event.
-    """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        failed = state.get[0] if state.exists else None
+class _Retries(StatefulProcessor):
+    """Holds a session's events until the watermark is past them, then reads them in the order of their time."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts long, seq long, type string, tool string, success boolean")
+        self.failed = handle.getValueState("failed", "tool string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        times = set()
+        for batch in rows:
+            ms = batch["ts"].to_numpy("datetime64[us]").astype("int64")
+            self.waiting.appendList([(int(t), int(q), str(y), None if o is None else str(o), bool(u)) for t, q, y, o, u in zip(ms, batch["seq"], batch["type"], batch["tool"], batch["success"])])
+            times.update((ms // 1000).tolist())
+        for t in times:  # an event is due when the watermark reaches the next millisecond
+            self.handle.registerTimer(int(t) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get())
+        due = sorted(r for r in rows if r[0] // 1000 < mark)
+        failed = self.failed.get()[0] if self.failed.exists() else None
         n = 0
-        for r in rows.itertuples():
-            if r.type == "tool.complete" and not r.success:
-                failed = r.tool
-            elif r.type == "tool.start":
-                n += failed is not None and r.tool == failed
+        for _, _, kind, tool, success in due:
+            if kind == "tool.complete" and not success:
+                failed = tool
+            elif kind == "tool.start":
+                n += failed is not None and tool == failed
                 failed = None
-        state.update((failed,))
-        last = int(rows.ts.max().timestamp() * 1000) + idle * 3600 * 1000
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"session": [key[0]], "retries": [n]})
-
+        rest = [r for r in rows if r[0] // 1000 >= mark]
+        if due:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+            if failed is None:
+                self.failed.clear()
+            else:
+                self.failed.update((failed,))
+                # a failure is forgotten when nothing comes for so long
+                self.handle.registerTimer(max(mark, due[-1][0] // 1000) + self.idle_ms)
+        elif not rows:
+            self.failed.clear()
+        if n:
+            yield pd.DataFrame({"session": [key[0]], "retries": [n]})
+
+
+def tool_retries(events: DataFrame, late: str = "10 minutes", idle_hours: int = 24 * 365) -> DataFrame:
+    """(session, retries): retries of a session as the watermark passes them: a start of the tool that failed last, with no start between. events: (ts, session, seq, type, tool, success).
+
+    Events may come in any order within `late`: each waits in a list until a timer says that the watermark is past it, and
+    those that are due are read by time, then by seq. So the sums don't depend on how the stream is cut into batches.
+    Events later than the watermark are dropped; what the watermark never passes is not told. State is the events
+    that wait and the tool that failed last, forgotten after idle_hours without events. Needs the ROCKSDB state store.
+    """
     x = events.select("ts", "session", "seq", "type", "tool", "success").withWatermark("ts", late).where("type in ('tool.start', 'tool.complete')")
-    return x.groupBy("session").applyInPandasWithState(update, "session long, retries long", "failed string", "append", GroupStateTimeout.EventTimeTimeout)
+    return x.groupBy("session").transformWithStateInPandas(_Retries(idle_hours * 3_600_000), "session long, retries long", "append", "EventTime")
