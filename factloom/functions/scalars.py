@@ -77,21 +77,35 @@ def literal_signature(value: Column, kind: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind == "string", F.lower(F.trim(value))).otherwise(value))
 
 
+#: White space that trimming takes off: what counts as such in Unicode.
+BLANK = r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+
+
+#: Program and path after a prefix of one letter and two colons, which may be missing.
+ICF_REF = r"^(?:^|.*?)(?:[A-Za-z]::)?([^:]+):(.+)$"
+
+
 def icf_ref(c: Column) -> Column:
-    """struct(program, path) of F::Program:Path; null for others."""
-    p = r"^\s*[A-Za-z]*::([^:]+):(.+?)\s*$"
-    return F.when(F.rlike(c, F.lit(p)), F.struct(F.regexp_extract(c, p, 1).alias("program"), F.regexp_extract(c, p, 2).alias("path")))
+    """struct(program, path) of F::Program:Path or Program:Path; null for others."""
+    t = stripped(c)
+    program, path = (stripped(F.regexp_extract(t, ICF_REF, k)) for k in (1, 2))
+    return F.when(F.rlike(t, F.lit(ICF_REF)) & (program != "") & (path != ""), F.struct(program.alias("program"), path.alias("path")))
 
 
 def icf_prefix(c: Column) -> Column:
-    """Upper-cased letters before the double colon; null without."""
-    p = r"^\s*([A-Za-z]+)::"
-    return F.when(F.rlike(c, F.lit(p)), F.upper(F.regexp_extract(c, p, 1)))
+    """Upper-cased letter before the double colon; null without."""
+    p = "^([A-Za-z])::"
+    return F.when(F.rlike(stripped(c), F.lit(p)), F.upper(F.regexp_extract(stripped(c), p, 1)))
 
 
 def icf_is_placeholder(c: Column) -> Column:
     """Whether a value is a placeholder such as X::."""
-    return F.rlike(c, F.lit(r"^\s*[A-Za-z]+::\.?\s*$"))
+    return F.rlike(stripped(c), F.lit(r"^[A-Za-z]::\.$"))
 
 
 #: Keywords by class, in the order in which classes are tried.
@@ -117,9 +131,9 @@ def holds_keyword(path: Column, words=SINK_KEYWORDS) -> Column:
 
 
 def prompt_bucket(c: Column) -> Column:
-    """implement_plan, review, audit, validate or other; the first that fits."""
+    """implement-this-plan, review, audit, validate or other; the first whose phrase the prompt holds."""
     t = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(F.contains(t, F.lit("implement")) & F.contains(t, F.lit("plan")), "implement_plan").when(F.contains(t, F.lit("review")), "review").when(F.contains(t, F.lit("audit")), "audit").when(F.contains(t, F.lit("validate")), "validate").otherwise("other")
+    return F.when(F.contains(t, F.lit("implement this plan")) | F.contains(t, F.lit("implement plan")), "implement-this-plan").when(F.contains(t, F.lit("review")), "review").when(F.contains(t, F.lit("audit")), "audit").when(F.contains(t, F.lit("validate")), "validate").otherwise("other")
 
 
 def redact_value(c: Column) -> Column:
@@ -143,19 +157,30 @@ def sanitize_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(p, F.lit(root + "/")), F.substring(p, len(root) + 2, 10**6)).otherwise(F.concat(F.lit("<external>/"), F.element_at(F.split(p, "/"), -1)))
 
 
+#: What assignments, calls, control words and comparisons look like. A word begins where no letter, digit or _ is before it.
+_WORD = r"(?:^|[^\p{L}\p{N}_])"
+CODE = (
+    ("assignment", _WORD + r"[A-Za-z_][A-Za-z0-9_:.]*\s*(?::=|=(?:[^=]|$))"),
+    ("call", _WORD + r"[A-Za-z_][A-Za-z0-9_]*\s*\([^()\n]*\S[^()\n]*\)"),
+    ("control", r"(?i)" + _WORD + r"(?:IF|THEN|ELSIF|ELSE|ENDIF|FOR|WHILE|REPEAT|UNTIL|CASE|ENDCASE|SEQUENCE|ENDSEQUENCE|EQUATIONBLOCK|MODULECODE|LOCALVARIABLES|TYPEDEFINITIONS)(?:[^\p{L}\p{N}_]|$)"),
+    ("comparison", _WORD + r"[A-Za-z_][A-Za-z0-9_:.]*\s*(?:<=|>=|<>|<|>)"),
+)
+
+
 def code_hints(text: Column) -> Column:
-    """struct(assignment, call, control, comparison, like_code): like_code is an assignment, or a call with control or comparison."""
-    a = F.rlike(text, F.lit(r"[A-Za-z_][A-Za-z0-9_.]*\s*=\s*[^=\s]"))
-    c = F.rlike(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*\([^)]*\)"))
-    k = F.rlike(text, F.lit(r"(?i)\b(if|then|else|endif|while|for)\b"))
-    x = F.rlike(text, F.lit(r"(<>|<=|>=|==|<|>)"))
-    return F.struct(a.alias("assignment"), c.alias("call"), k.alias("control"), x.alias("comparison"), (a | (c & (k | x))).alias("like_code"))
+    """struct(assignment, call, control, comparison, like_code): like_code is an assignment, call or comparison, or a control word with a semicolon."""
+    has = {name: F.rlike(text, F.lit(p)) for name, p in CODE}
+    like = has["assignment"] | has["call"] | has["comparison"] | (has["control"] & F.contains(text, F.lit(";")))
+    return F.struct(*(x.alias(name) for name, x in has.items()), like.alias("like_code"))
 
 
 def normalize_layout(text: Column) -> Column:
-    """One kind of line end, no blanks at line ends, runs of empty lines as one."""
-    t = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+\n", "\n")
-    return F.regexp_replace(F.regexp_replace(t, "[ \t]+$", ""), "\n{3,}", "\n\n")
+    """One kind of line end, no white space at line ends, runs of empty lines as one, none at the end of the text, and a line feed there."""
+    t = F.regexp_replace(text, "\r\n?", "\n")
+    blank = BLANK.replace(r"\n", "")
+    t = F.regexp_replace(F.regexp_replace(t, f"{blank}+\n", "\n"), blank + r"+\z", "")
+    t = F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"\A\n{2,}", "\n")
+    return F.concat(F.regexp_replace(t, r"\n+\z", ""), F.lit("\n"))
 
 
 def finding_fingerprint(rule: Column, path: Column, line: Column, symbol: Column, message: Column) -> Column:

@@ -88,14 +88,14 @@ _add("g2_tag_datatype_mismatch", lambda s, d: V.tag_datatype_mismatch(_T(s, d)),
 _add("g3_tag_naming_drift", lambda s, d: V.tag_naming_drift(_T(s, d)), _F("SELECT 'tag|' || regexp_extract(external_tag, '[0-9]+') || '|a' AS family, string_agg(DISTINCT external_tag, ',' ORDER BY external_tag) AS spellings FROM ext_tags GROUP BY 1 HAVING count(DISTINCT external_tag) >= 2", "ext_tags"))
 _add("g4_dead_tags", lambda s, d: V.dead_tags(_T(s, d), fact(s, d, "accesses").where("kind = 'write' and literal > 45").select("var_key")), _F("SELECT var_key, external_tag FROM ext_tags WHERE direction = 'outgoing' AND var_key NOT IN (SELECT var_key FROM accesses WHERE kind = 'write' AND literal > 45)", "ext_tags", "accesses"))
 # lines of interface files: an order a unit, its lines headers and entries
-_LN = """SELECT 'f' || cast(l_suppkey AS string) AS file, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS line_no, CASE l_linenumber WHEN 1 THEN '[Unit u' || cast(l_partkey AS string) || ']' WHEN 2 THEN '[Operation o' || cast(l_partkey AS string) || ']'
- WHEN 3 THEN '[Journal j' || cast(l_partkey AS string) || ']' WHEN 4 THEN CASE WHEN l_tax > 0.06 THEN '[Other]' ELSE '[Group g' || cast(l_partkey AS string) || ']' END WHEN 5 THEN '; note' ELSE 'key' || cast(l_linenumber AS string) || ' = F::P:a' || cast(l_partkey AS string) END AS line FROM lineitem"""
+_LN = """SELECT 'f' || cast(l_suppkey AS string) AS file, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey AS line_no, CASE l_linenumber WHEN 1 THEN ' [Unit u' || cast(l_partkey AS string) || '] ' WHEN 2 THEN '[OPERATION o' || cast(l_partkey AS string) || ']'
+ WHEN 3 THEN '[Journal j ' || cast(l_partkey AS string) || ' ]' WHEN 4 THEN CASE WHEN l_tax > 0.06 THEN '[Other]' WHEN l_tax > 0.04 THEN '[Group]' ELSE '[Group g' || cast(l_partkey AS string) || ']' END WHEN 5 THEN CASE WHEN l_tax > 0.04 THEN ' ; note = 1' ELSE '[open = F::x:y' END WHEN 6 THEN '= ' || cast(l_partkey AS string) ELSE 'key[' || cast(l_linenumber AS string) || '] =F::P:a = b' || cast(l_partkey AS string) END AS line FROM lineitem"""
 _H = lambda n: f"last_value(CASE WHEN k = {n} THEN line_no END IGNORE NULLS) OVER w AS l{n}, last_value(CASE WHEN k = {n} THEN h END IGNORE NULLS) OVER w AS h{n}"
 _add("a4_icf_entries", lambda s, d: V.icf_entries(_sql(s, d, _LN, "lineitem")),
-     f"""WITH x AS (SELECT *, CASE WHEN starts_with(line, '[U') THEN 1 WHEN starts_with(line, '[Op') THEN 2 WHEN starts_with(line, '[J') THEN 3 WHEN starts_with(line, '[G') THEN 4 WHEN starts_with(line, '[') THEN 5 END AS k, regexp_extract(line, ' (.*)\\]', 1) AS h FROM ({_LN})),
+     f"""WITH x AS (SELECT file, line_no, trim(line) AS line, CASE WHEN NOT ends_with(trim(line), ']') OR contains(line, '=') THEN NULL WHEN starts_with(trim(line), '[U') THEN 1 WHEN starts_with(line, '[O') AND NOT starts_with(line, '[Ot') THEN 2 WHEN starts_with(line, '[J') THEN 3 WHEN starts_with(line, '[G') THEN 4 ELSE 5 END AS k, coalesce(trim(regexp_extract(trim(line), '^[^ ]+ (.*)\\]$', 1)), '') AS h FROM ({_LN})),
      y AS (SELECT *, {', '.join(map(_H, (1, 2, 3, 4, 5)))} FROM x WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING))
      SELECT file, line_no, h1 AS unit, CASE WHEN l2 > greatest(coalesce(l1, -1), coalesce(l5, -1)) THEN h2 END AS operation, CASE WHEN l3 > greatest(coalesce(l1, -1), coalesce(l2, -1), coalesce(l5, -1)) THEN h3 END AS journal,
-     CASE WHEN l4 > greatest(coalesce(l1, -1), coalesce(l2, -1), coalesce(l3, -1), coalesce(l5, -1)) THEN h4 END AS grp, regexp_extract(line, '^(key[0-9]) = (.*)$', 1) AS key, regexp_extract(line, '^(key[0-9]) = (.*)$', 2) AS value FROM y WHERE starts_with(line, 'key')""")
+     CASE WHEN l4 > greatest(coalesce(l1, -1), coalesce(l2, -1), coalesce(l3, -1), coalesce(l5, -1)) AND h4 <> '' THEN h4 END AS grp, trim(line[:instr(line, '=') - 1]) AS key, trim(line[instr(line, '=') + 1:]) AS value FROM y WHERE contains(line, '=') AND NOT starts_with(line, ';')""")
 _IE = "SELECT p_partkey AS id, p_brand AS program, CASE p_size % 5 WHEN 0 THEN 'X::.' WHEN 1 THEN 'plain' WHEN 2 THEN 'F::' || p_brand || ':A.' || p_name WHEN 3 THEN 'T::' || lower(p_brand) || ':a.' || p_type ELSE 'F::Other:q' END AS value FROM part"
 _add("g5_icf_validate", lambda s, d: V.icf_validate(_sql(s, d, _IE, "part"), _sql(s, d, "SELECT DISTINCT 'a.' || upper(p_name) AS path FROM part WHERE p_size > 20", "part")), f"SELECT id, CASE p_size % 5 WHEN 0 THEN 'placeholder' WHEN 1 THEN 'unparseable' WHEN 4 THEN 'program_mismatch' WHEN 3 THEN 'unresolved_path' ELSE CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size > 20) THEN 'valid' ELSE 'unresolved_path' END END AS status FROM (SELECT *, p_partkey AS id FROM part)")
 _add("g6_icf_context_check", lambda s, d: V.icf_context_check(_sql(s, d, "SELECT p_partkey AS id, p_type AS unit, CASE WHEN p_size % 2 = 0 THEN 'a.' || lower(p_type) ELSE 'a.x' || p_type END AS path FROM part", "part")), "SELECT p_partkey AS id FROM part WHERE p_size % 2 = 1")

@@ -62,8 +62,11 @@ _add("d8_alarm_candidates", lambda s, d: I.alarm_candidates(fact(s, d, "alarms")
 _add("d8_duplicate_alarm_tags", lambda s, d: I.duplicate_alarms(fact(s, d, "alarms"), "tag"), _F("SELECT tag AS key, instance, n FROM alarms JOIN (SELECT tag, count(*) AS n FROM alarms GROUP BY 1 HAVING n >= 2) USING (tag)", "alarms"))
 _add("d8_duplicate_alarm_conditions", lambda s, d: I.duplicate_alarms(fact(s, d, "alarms"), "condition"), _F("SELECT condition AS key, instance, n FROM alarms JOIN (SELECT condition, count(*) AS n FROM alarms GROUP BY 1 HAVING n >= 2) USING (condition)", "alarms"))
 _add("d9_conflicting_priorities", lambda s, d: I.conflicting_priorities(fact(s, d, "alarms")), _F("SELECT 'tag' AS scope, tag AS key, instance, priority FROM alarms WHERE priority IS NOT NULL AND tag IN (SELECT tag FROM alarms GROUP BY 1 HAVING count(DISTINCT priority) >= 2) UNION ALL SELECT 'condition', condition, instance, priority FROM alarms WHERE priority IS NOT NULL AND condition IN (SELECT condition FROM alarms GROUP BY 1 HAVING count(DISTINCT priority) >= 2)", "alarms"))
-_SY = "SELECT p_brand AS kind, CASE p_size % 4 WHEN 0 THEN upper(replace(p_name, ' ', '_')) WHEN 1 THEN replace(p_name, ' ', '') ELSE replace(p_name, ' ', '_') END AS name FROM part"
-_add("d10_naming_consistency", lambda s, d: I.naming_consistency(_sql(s, d, _SY)), f"WITH s AS (SELECT DISTINCT kind, name, CASE WHEN name = upper(name) THEN 'upper_snake' WHEN contains(name, '_') THEN 'snake' ELSE 'lower' END AS style FROM ({_SY})), m AS (SELECT kind, style, count(*) AS k FROM s GROUP BY ALL), n AS (SELECT kind, style, rank() OVER (PARTITION BY kind ORDER BY k DESC) AS r FROM m), w AS (SELECT kind, min(style) AS dominant FROM n WHERE r = 1 GROUP BY 1 HAVING count(*) = 1) SELECT kind, name, style, dominant FROM s JOIN w USING (kind) WHERE style <> dominant")
+_SY = "SELECT p_brand AS kind, CASE p_size % 5 WHEN 0 THEN upper(replace(p_name, ' ', '_')) WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN '_' || p_name ELSE replace(p_name, ' ', '_') END AS name, p_partkey AS n FROM part"
+_AW = "SELECT DISTINCT p_brand AS kind, upper(replace(p_name, ' ', '')) AS name FROM part WHERE p_size % 3 = 0"
+_DEC = f"""s AS (SELECT kind, name, n, lower(name) AS key, CASE WHEN starts_with(name, '_') THEN 'unknown' WHEN name = upper(name) THEN 'upper_snake' WHEN contains(name, '_') THEN 'snake' ELSE 'lower' END AS style FROM ({_SY}) x WHERE NOT EXISTS (SELECT 1 FROM ({_AW}) w WHERE w.kind = x.kind AND lower(w.name) = lower(x.name))),
+ m AS (SELECT kind, style, count(*) AS k FROM (SELECT kind, key, arg_min(style, n) AS style FROM s GROUP BY ALL) WHERE style <> 'unknown' GROUP BY ALL), r AS (SELECT kind, style, rank() OVER (PARTITION BY kind ORDER BY k DESC) AS r FROM m), w AS (SELECT kind, min(style) AS dominant FROM r WHERE r = 1 GROUP BY 1 HAVING count(*) = 1)"""
+_add("d10_naming_consistency", lambda s, d: I.naming_consistency(_sql(s, d, _SY), _sql(s, d, _AW), {"Brand#1": "pascal"}), f"WITH {_DEC} SELECT kind, name, style, CASE WHEN kind = 'Brand#1' THEN 'pascal' ELSE dominant END AS dominant FROM s LEFT JOIN w USING (kind) WHERE style <> CASE WHEN kind = 'Brand#1' THEN 'pascal' ELSE dominant END")
 _ND = "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'step' ELSE 'transition' END AS node_type, CASE p_partkey % 4 WHEN 0 THEN 'ST_' || p_type WHEN 1 THEN 'TR_' || p_type WHEN 2 THEN NULL ELSE p_type END AS name FROM part"
 _add("d11_spec_rules", lambda s, d: I.spec_rules(_sql(s, d, _ND)), f"SELECT * FROM (SELECT id, CASE WHEN node_type = 'step' AND (name IS NULL OR NOT starts_with(name, 'ST_')) THEN 'step_prefix' WHEN node_type = 'transition' AND name IS NULL THEN 'transition_unnamed' WHEN node_type = 'transition' AND NOT starts_with(name, 'TR_') THEN 'transition_prefix' END AS issue FROM ({_ND})) WHERE issue IS NOT NULL")
 _EN = "SELECT p_partkey AS item, CASE p_size % 7 WHEN 0 THEN 'basepicture' WHEN 1 THEN 'frame' WHEN 2 THEN 'module' WHEN 3 THEN 'module' ELSE 'moduletype-instance' END AS module_kind, CASE WHEN p_partkey % 3 = 0 THEN 'Unit.' || p_type END AS unit_structure_path, CASE WHEN p_partkey % 5 = 0 THEN 'EM.' || p_type END AS equipment_module_structure_path, 'a.' || p_brand AS relative_module_path, p_type AS moduletype_name, p_name AS module_name FROM part"

@@ -40,9 +40,11 @@ _BOUND = "SELECT var_key FROM declarations WHERE init_value < 20"
 _EFF = "SELECT var_key FROM declarations WHERE init_value % 2 = 0"
 _keys = lambda s, d, sql: s.sql(sql.replace("FROM declarations", "FROM {declarations}"), declarations=_D(s, d))
 _V = lambda sql: _U(sql).replace("FROM accesses GROUP BY var_key", f"FROM ({_VARIED}) GROUP BY var_key")
-_add("c3_classify_usage", lambda s, d: U.classify_usage(_D(s, d), _varied(s, d), _keys(s, d, _EFF), _keys(s, d, _BOUND)),
-     _V(f"""SELECT u.*, CASE WHEN NOT read AND NOT written THEN 'unused' WHEN ui_read AND NOT non_ui_read AND NOT written THEN 'ui_only' WHEN var_key IN ({_BOUND}) AND written AND NOT non_ui_read THEN 'procedure_status' WHEN role = 'local' AND read AND NOT written AND NOT is_const THEN 'read_only_non_const'
-     WHEN role = 'local' AND written AND NOT read THEN 'never_read' WHEN written AND var_key NOT IN ({_EFF}) THEN 'write_without_effect' END AS issue FROM u"""))
+_IGN = "SELECT var_key FROM declarations WHERE init_value % 7 = 0"
+_FIX = "SELECT var_key FROM declarations WHERE init_value % 11 = 0"
+_add("c3_classify_usage", lambda s, d: U.classify_usage(_D(s, d), _varied(s, d), _keys(s, d, _EFF), _keys(s, d, _BOUND), _keys(s, d, _IGN), _keys(s, d, _FIX)),
+     _V(f"""SELECT u.*, CASE WHEN NOT (read OR written) THEN 'unused' WHEN init_value < 20 AND written AND NOT non_ui_read THEN 'procedure_status' WHEN ui_read AND NOT non_ui_read THEN 'ui_only' WHEN role = 'local' AND read AND NOT written AND NOT is_const AND init_value % 11 <> 0 THEN 'read_only_non_const'
+     WHEN role = 'local' AND written AND NOT read AND init_value % 7 <> 0 THEN 'never_read' WHEN read AND written AND init_value % 2 <> 0 AND init_value >= 20 THEN 'write_without_effect' END AS issue FROM u"""))
 _LINKS = "SELECT 'v' || cast(p_partkey // 10 AS string) AS parent_key, 'v' || cast(p_partkey AS string) AS child_key, CASE WHEN p_size % 2 = 0 THEN 'sub' ELSE '' END AS prefix, 9 - length(cast(p_partkey AS string)) AS level FROM part WHERE p_partkey >= 10"
 _ALIAS = ("var_key", "field", "module_path", "kind", "is_ui")
 _add("c4_propagate_aliases", lambda s, d: U.propagate_aliases(_A(s, d).select(*_ALIAS).distinct(), _sql(s, d, _LINKS.replace("//", "div"), "part")).distinct().groupBy("var_key", "field", "kind").agg(F.count("*").alias("n")),
@@ -96,8 +98,17 @@ _add("c21_unknown_parameter_targets", lambda s, d: U.unknown_parameter_targets(_
 _MAP = "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'String' WHEN 1 THEN 'tagstring' WHEN 2 THEN 'maxstring' ELSE 'integer' END AS source_type, CASE p_partkey % 4 WHEN 0 THEN 'identstring' WHEN 1 THEN 'linestring' WHEN 2 THEN 'AnyType' ELSE 'real' END AS target_type, CASE WHEN p_size % 5 = 0 THEN p_name || p_name || p_name || p_type END AS literal, CASE p_size % 3 WHEN 0 THEN 'MinLevel' WHEN 1 THEN 'Level_MAX' ELSE 'MinMax' END AS source, CASE p_partkey % 2 WHEN 0 THEN 'maxLevel' ELSE 'Low' END AS target FROM part"
 _add("c22_string_narrowing", lambda s, d: U.string_narrowing(_sql(s, d, _MAP, "part")),
      f"WITH m AS (SELECT *, CASE lower(source_type) WHEN 'string' THEN 40 WHEN 'tagstring' THEN 30 WHEN 'maxstring' THEN 140 END AS a, CASE target_type WHEN 'identstring' THEN 15 WHEN 'linestring' THEN 80 END AS b FROM ({_MAP})) SELECT id, CASE WHEN literal IS NOT NULL THEN 'literal_too_long' ELSE 'narrowing' END AS issue FROM m WHERE (literal IS NOT NULL AND length(literal) > b) OR (literal IS NULL AND a > b)")
-_add("c23_min_max_crossed", lambda s, d: U.min_max_crossed(_sql(s, d, _MAP, "part")), f"SELECT id FROM ({_MAP}) WHERE (source = 'MinLevel' AND target = 'maxLevel') OR (source = 'Level_MAX' AND target = 'Low')")
-_add("c24_contract_mismatch", lambda s, d: U.contract_mismatch(_sql(s, d, _MAP, "part")), f"SELECT id, source_type, target_type FROM ({_MAP}) WHERE target_type <> 'AnyType' AND NOT (source_type <> 'integer' AND target_type <> 'real')")
+_add("c23_min_max_crossed", lambda s, d: U.min_max_crossed(_sql(s, d, _MAP, "part")), f"SELECT id FROM ({_MAP}) WHERE source = 'MinLevel' AND target = 'maxLevel'")
+_add("c24_contract_mismatch", lambda s, d: U.contract_mismatch(_sql(s, d, _MAP, "part")), f"SELECT id, source_type, target_type, NULL AS field FROM ({_MAP}) WHERE target_type <> 'AnyType' AND NOT (source_type <> 'integer' AND target_type <> 'real')")
+# parameters of any type, handed on from owner to owner; what the innermost use, the outermost need
+_DIR = "SELECT DISTINCT 'O' || cast(p_partkey % 90 AS string) AS owner, 'par' AS parameter, CASE p_size % 5 WHEN 0 THEN 'F0' WHEN 1 THEN 'f1.left0' WHEN 2 THEN 'f2' WHEN 3 THEN 'left1' ELSE 'none.x' END AS field FROM part WHERE p_partkey % 90 >= 60"
+_HAND = "SELECT DISTINCT 'o' || cast(p_partkey % 90 AS string) AS owner, 'Par' AS parameter, CASE WHEN p_partkey % 4 = 0 THEN 'f1' ELSE '' END AS prefix, 'o' || cast(p_partkey % 90 + 17 AS string) AS child_owner, 'PAR' AS child_parameter FROM part WHERE p_partkey % 90 < 73 UNION ALL SELECT DISTINCT 'o5', 'par', '', 'o5', 'par' FROM part"
+_ANY = "SELECT p_partkey AS id, 'o' || cast(p_partkey % 90 AS string) AS owner, 'PAR' AS target, CASE WHEN p_size % 6 = 0 THEN 'real' ELSE 'AnyType' END AS target_type, CASE WHEN p_size % 9 = 0 THEN 'Pair' ELSE p_type END AS source_type, CASE WHEN p_size % 4 = 0 THEN 'F1' ELSE '' END AS source_field FROM part"
+_add("c24_anytype_contracts", lambda s, d: U.contract_mismatch(_sql(s, d, _ANY, "part"), U.anytype_requirements(_sql(s, d, _DIR, "part"), _sql(s, d, _HAND, "part")), _rec(s, d)),
+     f"""WITH RECURSIVE rec AS ({_REC}), di AS ({_DIR}), li AS ({_HAND}), rq(owner, field) AS (SELECT DISTINCT lower(owner), lower(field) FROM di UNION SELECT lower(li.owner), CASE WHEN prefix = '' THEN '' ELSE lower(prefix) || '.' END || rq.field FROM rq JOIN li ON lower(child_owner) = rq.owner),
+     a AS (SELECT id, source_type, target_type, rq.field, CASE WHEN source_field = '' THEN '' ELSE lower(source_field) || '.' END || rq.field AS way FROM ({_ANY}) m JOIN rq ON rq.owner = m.owner WHERE target_type = 'AnyType'),
+     w(id, source_type, target_type, field, type, rest) AS (SELECT id, source_type, target_type, field, lower(source_type), string_split(way, '.') FROM a UNION ALL SELECT w.id, w.source_type, w.target_type, w.field, lower(rec.datatype), w.rest[2:] FROM w JOIN rec ON rec.record_key = w.type AND lower(rec.field) = w.rest[1] WHERE len(w.rest) > 0)
+     SELECT id, source_type, target_type, NULL AS field FROM ({_ANY}) WHERE target_type = 'real' UNION ALL SELECT a.id, a.source_type, a.target_type, a.field FROM a WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.id = a.id AND w.field = a.field AND len(w.rest) = 0)""")
 _CALL = "SELECT l_orderkey * 10 + l_linenumber AS site, CASE WHEN l_returnflag = 'A' THEN 'OpenFile' ELSE 'closefile' END AS function, l_linenumber % 3 AS arg_pos, 'v' || cast(l_partkey AS string) AS var_key FROM lineitem"
 _SG = "SELECT DISTINCT CASE WHEN l_returnflag = 'A' THEN 'openfile' ELSE 'CloseFile' END AS function, CASE WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS arg_pos FROM lineitem"
 _add("c16_procedure_status_ignored", lambda s, d: U.procedure_status_ignored(_sql(s, d, _CALL, "lineitem"), _sql(s, d, _SG, "lineitem"), U.usage_summary(_D(s, d), _varied(s, d))),

@@ -13,32 +13,37 @@ def apply_rule_profile(findings: DataFrame, rules: DataFrame, profile: DataFrame
     return x.where("not coalesce(disabled, false)").withColumn("severity", F.coalesce("_profile", "severity", "_rule")).select(findings.columns)
 
 
-def findings_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
+#: What a changed finding is compared by, where both runs have the column.
+COMPARED = ("message", "severity", "confidence", "source", "analyzer", "artifact", "detail", "suggestion", "data")
+
+
+def findings_diff(baseline: DataFrame, current: DataFrame, compared: tuple = COMPARED) -> DataFrame:
     """(status, rule_id, path, line, symbol, changed): two runs compared as bags.
 
-    First the n-th finding of a fingerprint (rule, path, line, symbol, message) meets the n-th: unchanged, or
-    changed where the severity differs. What is left meets by (rule, path, line, symbol): changed. The rest
-    is new or resolved. Within a key, findings are in the order of their severity and message.
+    First the n-th finding of a fingerprint (rule, path, line, symbol, message) meets the n-th: unchanged, whatever else
+    differs. What is left meets by (rule, path, line, symbol), in the order of the message: changed, with the compared
+    columns that differ. The rest is new or resolved. Missing values are equal to each other.
     """
     anchor = ["rule_id", "path", "line", "symbol"]
-    exact = [*anchor, "message"]
-
-    def numbered(df: DataFrame, key: list[str]) -> DataFrame:
-        return df.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy("severity", "message")))
-
-    def paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
-        one = numbered(a, key).select(*key, "n", F.struct("message", "severity").alias("old"))
-        two = numbered(b, key).select(*key, "n", F.struct("message", "severity").alias("new"))
-        return one.join(two, [*key, "n"], "full_outer")
-
-    first = paired(baseline, current, exact)
-    both = first.where("old is not null and new is not null")
-    out = both.select(F.when(c("old.severity").eqNullSafe(c("new.severity")), "unchanged").otherwise("changed").alias("status"), *anchor, F.when(~c("old.severity").eqNullSafe(c("new.severity")), "severity").otherwise("").alias("changed"))
-    left = lambda side: first.where("old is null or new is null").where(f"{side} is not null").select(*anchor, f"{side}.message", f"{side}.severity")
-    second = paired(left("old"), left("new"), anchor)
+    fields = [x for x in compared if x in baseline.columns and x in current.columns]
+
+    def keyed(df: DataFrame, *parts: str):
+        return F.concat_ws("\x1f", *(F.coalesce(c(x).cast("string"), F.lit("\x1e")) for x in parts))
+
+    def paired(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+        side = lambda df, name: df.select(keyed(df, *key).alias("key"), F.struct(*anchor, *fields).alias(name)).withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(*(c(f"{name}.{x}") for x in fields))))
+        return side(a, "old").join(side(b, "new"), ["key", "n"], "full_outer")
+
+    shown = lambda side: [c(f"{side}.{x}").alias(x) for x in anchor]
+    first = paired(baseline, current, *anchor, "message")
+    out = first.where("old is not null and new is not null").select(F.lit("unchanged").alias("status"), *shown("new"), F.lit("").alias("changed"))
+    left = lambda side, other: first.where(f"{other} is null").select(f"{side}.*")
+    second = paired(left("old", "new"), left("new", "old"), *anchor)
+    changed = F.concat_ws(",", *(F.when(~c(f"old.{x}").eqNullSafe(c(f"new.{x}")), F.lit(x)) for x in fields))
+    both = c("old").isNotNull() & c("new").isNotNull()
     status = F.when(c("old").isNull(), "new").when(c("new").isNull(), "resolved").otherwise("changed")
-    changed = F.when(c("old").isNotNull() & c("new").isNotNull(), F.concat_ws(",", F.lit("message"), F.when(~c("old.severity").eqNullSafe(c("new.severity")), F.lit("severity")))).otherwise("")
-    return out.unionByName(second.select(status.alias("status"), *anchor, changed.alias("changed")))
+    at = [F.coalesce(c(f"new.{x}"), c(f"old.{x}")).alias(x) for x in anchor]
+    return out.unionByName(second.select(status.alias("status"), *at, F.when(both, changed).otherwise("").alias("changed")))
 
 
 def findings_set_diff(baseline: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
@@ -71,26 +76,54 @@ def rule_metrics(findings: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def accuracy(findings: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(rule_id, correct, wrong, unknown, precision): verdicts by fingerprint, else correct for high severity and unknown for others."""
-    x = findings.join(annotations.select("fingerprint", "annotation"), "fingerprint", "left")
-    verdict = F.coalesce("annotation", F.when(c("severity") == "high", "correct").otherwise("unknown"))
-    p = x.withColumn("verdict", verdict).groupBy("rule_id").pivot("verdict", ["correct", "wrong", "unknown"]).count()
-    n = lambda x: F.coalesce(c(x), F.lit(0))
-    total = n("correct") + n("wrong") + n("unknown")
-    return p.select("rule_id", n("correct").alias("correct"), n("wrong").alias("wrong"), n("unknown").alias("unknown"), F.round(n("correct") / total, 4).alias("precision"))
+    """(rule_id, correct, false_positive, missed_issue, total, precision) per rule, and of all (rule_id null).
+
+    A finding's verdict is that of the annotation of its fingerprint (of several the greatest), counted for the
+    annotation's rule; without one, high and critical findings are missed_issue and all others correct. A missing rule is
+    unknown. precision: correct of total, to four digits. findings: (fingerprint, rule_id, severity); annotations: (fingerprint, annotation, rule_id).
+    """
+    told = annotations.groupBy("fingerprint").agg(F.max(F.struct("annotation", "rule_id")).alias("a"))
+    x = findings.select("fingerprint", "rule_id", "severity").join(told, "fingerprint", "left")
+    default = F.when(F.coalesce(c("severity").isin("high", "critical"), F.lit(False)), "missed_issue").otherwise("correct")
+    x = x.select(F.coalesce(F.when(c("a").isNotNull(), c("a.rule_id")).otherwise(c("rule_id")), F.lit("unknown")).alias("rule_id"), F.coalesce("a.annotation", default).alias("verdict"))
+    n = lambda v: F.count_if(c("verdict") == v).alias(v)
+    per = x.rollup("rule_id").agg(n("correct"), n("false_positive"), n("missed_issue"), F.count("*").alias("total"))
+    return per.where("total > 0").withColumn("precision", F.bround(c("correct") / c("total"), 4))
 
 
 def findings_per_kloc(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """(category, findings, per_kloc): findings over thousands of lines, one thousand at least. files: (category, lines)."""
+    """(category, findings, per_kloc, ignored, fixed): findings over thousands of lines, one thousand at least, and how many fingerprints say ignored or fixed. files: (category, lines); findings: (category, fingerprint)."""
     k = files.groupBy("category").agg(F.greatest(F.expr("sum(lines) div 1000"), F.lit(1)).alias("k"))
-    n = findings.groupBy("category").agg(F.count("*").alias("findings"))
-    return k.join(n, "category", "left").select("category", F.coalesce("findings", F.lit(0)).alias("findings"), F.round(F.coalesce("findings", F.lit(0)) / c("k"), 2).alias("per_kloc"))
+    says = lambda x: F.count_if(F.contains(F.lower("fingerprint"), F.lit(x))).alias(x)
+    n = findings.groupBy("category").agg(F.count("*").alias("findings"), says("ignored"), says("fixed"))
+    zero = lambda x: F.coalesce(c(x), F.lit(0)).alias(x)
+    return k.join(n, "category", "left").select("category", zero("findings"), F.bround(F.coalesce("findings", F.lit(0)) / c("k"), 2).alias("per_kloc"), zero("ignored"), zero("fixed"))
+
+
+def rule_frequency(findings: DataFrame) -> DataFrame:
+    """(category, rule_id, n): how often each rule fires; a missing rule is unknown."""
+    return findings.groupBy("category", F.coalesce("rule_id", F.lit("unknown")).alias("rule_id")).agg(F.count("*").alias("n"))
+
+
+def failure_runs(runs: DataFrame) -> DataFrame:
+    """(signature, run_id, captured_at) of runs that didn't pass.
+
+    runs: (run_id, captured_at, kind, status, surface, gate, failures, checks; the last two arrays). A signature is the kind
+    (audit if missing), the surface, finish: and the gate's status, and the first five failures or, without any, the first five
+    checks; blank ones are left out. A run with a kind alone has no signature.
+    """
+    some = lambda x: F.slice(F.filter(F.coalesce(c(x), F.array().cast("array<string>")), lambda v: v.isNotNull() & (v != "")), 1, 5)
+    parts = F.concat(
+        F.array(F.coalesce("kind", F.lit("audit"))), F.array(F.when(c("surface") != "", c("surface")), F.when(c("gate") != "", F.concat(F.lit("finish:"), "gate"))), F.when(F.size(some("failures")) > 0, some("failures")).otherwise(some("checks"))
+    )
+    x = runs.where(~c("status").eqNullSafe(F.lit("pass"))).withColumn("parts", F.array_compact(parts)).where(F.size("parts") > 1)
+    return x.select(F.array_join("parts", "|").alias("signature"), "run_id", "captured_at")
 
 
 def failure_patterns(runs: DataFrame) -> DataFrame:
-    """(signature, occurrences, latest_run, run_ids) of failed runs. runs: (run_id, captured_at, kind, status, failures)."""
-    f = runs.where("status = 'failed'").withColumn("signature", F.concat_ws("|", "kind", "failures"))
-    return f.groupBy("signature").agg(F.count("*").alias("occurrences"), F.max_by("run_id", F.struct("captured_at", "run_id")).alias("latest_run"), F.array_join(F.sort_array(F.collect_list("run_id")), ",").alias("run_ids"))
+    """(signature, occurrences, latest_run, latest_at) of failure_runs; its rows are each pattern's runs."""
+    f = failure_runs(runs)
+    return f.groupBy("signature").agg(F.count("*").alias("occurrences"), F.max_by("run_id", F.struct("captured_at", "run_id")).alias("latest_run"), F.max("captured_at").alias("latest_at"))
 
 
 def corpus_evaluation(cases: DataFrame, found: DataFrame) -> DataFrame:

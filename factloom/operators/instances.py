@@ -74,16 +74,24 @@ def conflicting_priorities(alarms: DataFrame) -> DataFrame:
     return within("tag").unionByName(within("condition"))
 
 
-def naming_consistency(symbols: DataFrame) -> DataFrame:
-    """(kind, name, style, dominant) of names in another style than their kind's dominant one. symbols: (kind, name).
+def naming_consistency(symbols: DataFrame, allowed: DataFrame | None = None, styles: dict | None = None) -> DataFrame:
+    """(kind, name, style, dominant): every declaration whose name is in another style than its kind's, an unknown style too.
 
-    The dominant style has more distinct names than any other; without a sole winner nothing is reported.
+    A kind's style is that of `styles`, else the dominant one: that of more names than any other, each name counted once
+    without regard to case, in the spelling declared first (by n, then name); without a sole winner nothing is
+    reported. symbols: (kind, name, n); allowed: (kind, name) that are neither counted nor reported.
     """
-    s = symbols.distinct().withColumn("style", identifier_style(c("name"))).where("style <> 'unknown'")
-    counts = s.groupBy("kind", "style").agg(F.count("*").alias("n"))
+    s = symbols.select("kind", "name", "n", F.lower("name").alias("key"))
+    if allowed is not None:
+        s = s.join(allowed.select("kind", F.lower("name").alias("key")).distinct(), ["kind", "key"], "left_anti")
+    first = s.groupBy("kind", "key").agg(F.min(F.struct("n", "name")).alias("x")).select("kind", identifier_style(c("x.name")).alias("style")).where("style <> 'unknown'")
+    counts = first.groupBy("kind", "style").agg(F.count("*").alias("n"))
     best = counts.groupBy("kind").agg(F.max("n").alias("n"))
     won = counts.join(best, ["kind", "n"]).groupBy("kind").agg(F.count("*").alias("winners"), F.min("style").alias("dominant")).where("winners = 1").select("kind", "dominant")
-    return s.join(won, "kind").where("style <> dominant").select("kind", "name", "style", "dominant")
+    if styles:
+        given = F.coalesce(*(F.when(c("kind") == k, F.lit(v)) for k, v in styles.items()))
+        won = s.select("kind").distinct().join(won, "kind", "left").select("kind", F.coalesce(given, "dominant").alias("dominant")).where("dominant is not null")
+    return s.withColumn("style", identifier_style(c("name"))).join(won, "kind").where("style <> dominant").select("kind", "name", "style", "dominant")
 
 
 def spec_rules(nodes: DataFrame) -> DataFrame:

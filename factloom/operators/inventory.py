@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.scalars import icf_is_placeholder, icf_prefix, icf_ref, tag_family_key, tag_key
+from ..functions.scalars import icf_is_placeholder, icf_prefix, icf_ref, stripped, tag_family_key, tag_key
 
 c = F.col
 
@@ -35,11 +35,13 @@ def icf_entries(lines: DataFrame) -> DataFrame:
     """key=value lines with the headers above them: (file, line_no, unit, operation, journal, grp, key, value). lines: (file, line_no, line).
 
     [Unit x] [Operation y] [Journal z] [Group g] headers hold until one of the same or an outer level; an
-    unknown header clears all but the unit; ; and # start comments.
+    unknown header clears all but the unit; ; and # start comments. A header without a name takes away what it would
+    name. Any other line with = is an entry: its key is what stands before the first one, be it nothing.
     """
-    text = F.trim("line")
-    header = F.regexp_extract(text, r"^\[\s*(\w+)\s*(.*?)\s*\]$", 1)
-    name = F.regexp_extract(text, r"^\[\s*(\w+)\s*(.*?)\s*\]$", 2)
+    text = stripped(c("line"))
+    tag = r"^\[([^\]\s]+)(?:\s+(.+?))?\]$"
+    header, label = F.regexp_extract(text, tag, 1), stripped(F.regexp_extract(text, tag, 2))
+    name = F.when(label != "", label)
     level = F.when(header == "", None).when(F.lower(header) == "unit", 1).when(F.lower(header) == "operation", 2).when(F.lower(header) == "journal", 3).when(F.lower(header) == "group", 4).otherwise(5)
     x = lines.where(~F.rlike(text, F.lit("^[;#]"))).withColumn("level", level).withColumn("name", name)
     w = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -55,9 +57,10 @@ def icf_entries(lines: DataFrame) -> DataFrame:
             alive = alive & (o.isNull() | (o < c(f"at{n}.line_no")))
         return F.when(alive, c(f"at{n}.name"))
 
-    entry = r"^([^=\[]+?)\s*=\s*(.*)$"
-    x = x.where(F.rlike(F.trim("line"), F.lit(entry)))
-    return x.select("file", "line_no", held(1).alias("unit"), held(2).alias("operation"), held(3).alias("journal"), held(4).alias("grp"), F.regexp_extract(F.trim("line"), entry, 1).alias("key"), F.regexp_extract(F.trim("line"), entry, 2).alias("value"))
+    x = x.where(c("level").isNull() & F.contains(text, F.lit("=")))
+    key = stripped(F.substring_index(text, "=", 1))
+    value = stripped(F.substr(text, F.locate("=", text) + 1))
+    return x.select("file", "line_no", held(1).alias("unit"), held(2).alias("operation"), held(3).alias("journal"), held(4).alias("grp"), key.alias("key"), value.alias("value"))
 
 
 def icf_validate(entries: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -84,18 +84,19 @@ def bucket_summary(sessions: DataFrame, discovery: DataFrame) -> DataFrame:
 
 
 def grounding_overlap(sessions: DataFrame) -> DataFrame:
-    """(session, overlap, ratio, status) of candidate and referenced files (arrays): no_candidates, grounded from a half, else weak."""
-    n = F.size(F.array_intersect("candidates", "referenced"))
-    total = F.size(F.array_distinct("candidates"))
-    ratio = F.when(total > 0, F.round(n / total, 4))
-    return sessions.select("session", n.cast("long").alias("overlap"), ratio.alias("ratio"), F.when(total == 0, "no_candidates").when(ratio >= 0.5, "grounded").otherwise("weak").alias("status"))
+    """(session, overlap, ratio, status) of candidate and referenced files (arrays): no-results without candidates, ungrounded without a match, else ok. Paths match without regard to case."""
+    found = F.array_distinct(F.coalesce("candidates", F.array().cast("array<string>")))
+    known = F.transform(F.coalesce("referenced", F.array().cast("array<string>")), lambda x: F.lower(x))
+    n, total = F.size(F.filter(found, lambda x: F.array_contains(known, F.lower(x)))), F.size(found)
+    ratio = F.when(total > 0, F.round(n / total, 4)).otherwise(0.0)
+    return sessions.select("session", n.cast("long").alias("overlap"), ratio.alias("ratio"), F.when(total == 0, "no-results").when(n == 0, "ungrounded").otherwise("ok").alias("status"))
 
 
 def chat_findings(buckets: DataFrame, retries: DataFrame, grounding: DataFrame, empty_rate: float = 0.2, discovery: float = 5.0, match_rate: float = 0.5) -> DataFrame:
-    """(rule, subject): buckets with many empty messages or much discovery, sessions with retries, and low_grounding if under match_rate of the sessions with candidates have an overlap. grounding: grounding_overlap's rows."""
+    """(rule, subject): buckets with many empty messages or much discovery, sessions with retries, and low_grounding if under match_rate of the sessions searched are ok. grounding: grounding_overlap's rows."""
     a = buckets.where(c("empty_rate") >= empty_rate).select(F.lit("empty_messages").alias("rule"), c("bucket").alias("subject"))
     b = buckets.where(c("avg_discovery") >= discovery).select(F.lit("much_discovery").alias("rule"), c("bucket").alias("subject"))
     r = retries.where("retries > 0").select(F.lit("tool_retries").alias("rule"), c("session").cast("string").alias("subject"))
-    some = grounding.where("status <> 'no_candidates'").agg(F.count("*").alias("n"), F.count_if(c("overlap") > 0).alias("hit"))
+    some = grounding.agg(F.count("*").alias("n"), F.count_if(c("status") == "ok").alias("hit"))
     g = some.where((c("n") > 0) & (c("hit") < match_rate * c("n"))).select(F.lit("low_grounding").alias("rule"), F.lit("sessions").alias("subject"))
     return a.unionByName(b).unionByName(r).unionByName(g)

@@ -10,25 +10,43 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import code_hints, normalize_layout, redact_email, redact_value
 
 c = F.col
-#: Patterns of leaks, one group each.
+#: Patterns of leaks, one group each, and texts of which a line with a match has one at least.
 LEAKS = (
-    ("windows_path", r"(?:^|[^\w/])([A-Za-z]:[\\/][^\s'\">|]+)"),
-    ("home_path", r"(?:^|[^\w.])(/(?:home|Users|mnt/c|mnt/[A-Za-z]/Users)/[^\s'\">]+)"),
-    ("local_endpoint", r"\b((?:localhost|127(?:\.\d{1,3}){3}|[a-z0-9-]+\.local)(?::\d{2,5})?)\b"),
-    ("email", r"(?i)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b"),
-    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)"),
-    ("secret", r"(?i)[\"']?[a-z0-9_-]*?(?:api[_-]?key|token|secret|password|passwd|connection[_-]?string)[\"']?\s*[:=]\s*[\"']?([^\s\"']{4,})"),
+    ("windows_path", r"(?:^|[^\w/])([A-Za-z]:[\\/][^\s'\">|]+)", (":\\", ":/")),
+    ("home_path", r"(?:^|[^\w.])(/(?:home|Users|mnt/c|mnt/[A-Za-z]/Users)/[^\s'\">]+)", ("/home/", "/Users/", "/mnt/")),
+    ("local_endpoint", r"\b((?:localhost|127(?:\.\d{1,3}){3}|[a-z0-9-]+\.local)(?::\d{2,5})?)\b", ("localhost", "127.", ".local")),
+    ("email", r"(?i)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b", ("@",)),
+    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", ("-----BEGIN ",)),
+    ("secret", r"(?i)[\"']?[a-z0-9_-]*?(?:api[_-]?key|token|secret|password|passwd|connection[_-]?string)[\"']?\s*[:=]\s*[\"']([^'\"]+)[\"']", ("\"", "'")),
 )
-PLACEHOLDERS = r"(?i)^(example|changeme|placeholder|dummy|xxx+|your[-_].*|<.*>)$"
+#: Secrets that are none, and parts of paths that are examples.
+PLACEHOLDERS = ("<repo-url>", "<repository-url>", "<token>", "<secret>", "changeme", "example", "example-token", "example-secret", "placeholder")
+EXAMPLE_PATHS = ("%USERPROFILE%", r"C:\Users\MyUser")
 
 
 def leak_scan(texts: DataFrame) -> DataFrame:
-    """(id, line, rule, detail) for every match of every rule; placeholders are skipped, details redacted. texts: (id, text)."""
+    """(id, line, rule, detail) for every match of every rule, a private key once a line; details are redacted. texts: (id, text).
+
+    Secrets are quoted values; those of PLACEHOLDERS, or that begin with <, are none. Windows paths with a part of EXAMPLE_PATHS
+    are none. A line is searched for a rule's pattern only if it has one of the rule's texts: most lines have none.
+    """
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    found = F.concat(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(1)), _named(r)) for r, p in LEAKS))
-    x = lines.select("id", (c("at") + 1).alias("line"), F.explode(found).alias("m")).select("id", "line", "m.rule", "m.value")
+    none = F.array().cast("array<struct<rule string, value string>>")
+
+    def matches(rule: str, pattern: str, needs: tuple):
+        has = F.lit(False)
+        for x in needs:
+            has = has | F.contains("line", F.lit(x))
+        found = F.regexp_extract_all("line", F.lit(pattern), F.lit(1))
+        return F.when(has, F.transform(F.slice(found, 1, 1) if rule == "private_key" else found, _named(rule))).otherwise(none)
+
+    x = lines.select("id", (c("at") + 1).alias("line"), F.explode(F.concat(*(matches(*rule) for rule in LEAKS))).alias("m")).select("id", "line", "m.rule", F.when(c("m.rule") == "secret", F.trim("m.value")).otherwise(c("m.value")).alias("value"))
+    example = F.lit(False)
+    for p in EXAMPLE_PATHS:
+        example = example | F.contains("value", F.lit(p))
+    spared = ((c("rule") == "secret") & (F.lower("value").isin(*PLACEHOLDERS) | F.startswith("value", F.lit("<")))) | ((c("rule") == "windows_path") & example)
     detail = F.when(c("rule") == "email", redact_email(c("value"))).otherwise(redact_value(c("value")))
-    return x.where(~F.rlike("value", F.lit(PLACEHOLDERS))).select("id", "line", "rule", detail.alias("detail"))
+    return x.where(~spared).select("id", "line", "rule", detail.alias("detail"))
 
 
 def _named(rule: str):

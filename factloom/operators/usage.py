@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import identifier_tokens
-from ..shared import written
+from ..shared import stored, written
 
 c = F.col
 
@@ -22,32 +22,39 @@ def usage_summary(decls: DataFrame, accesses: DataFrame) -> DataFrame:
     return decls.join(used, "var_key", "left").select(*decls.columns, *map(flag, ("read", "written", "ui_read", "non_ui_read")), *(F.coalesce(c(x), F.lit(0)).cast("long").alias(x) for x in ("readers", "writers")))
 
 
-def classify_usage(decls: DataFrame, accesses: DataFrame, effective: DataFrame | None = None, status_bound: DataFrame | None = None) -> DataFrame:
-    """usage_summary with `issue`, the first that fits: unused, ui_only, procedure_status, read_only_non_const, never_read, write_without_effect; null for none.
+def classify_usage(decls: DataFrame, accesses: DataFrame, effective: DataFrame | None = None, status_bound: DataFrame | None = None, ignorable: DataFrame | None = None, fixed: DataFrame | None = None) -> DataFrame:
+    """usage_summary with `issue`, the first that fits; null for none.
 
-    effective: rows (var_key) of the variables whose value reaches a sink; without it, no write is without effect.
-    status_bound: (var_key) that procedures report their status to: such a variable, written and not read outside of
-    the user interface, is procedure_status.
+    unused: neither read nor written. procedure_status: a procedure reports its status to it, and nothing but the user
+    interface reads it. ui_only: read, and by the user interface alone, written or not. read_only_non_const: a local
+    that is read, never written and no constant. never_read: a local that is written and never read. write_without_effect:
+    read and written, but its value reaches no sink, and no procedure reports to it.
+
+    effective: (var_key) of the variables whose value reaches a sink; without it, no write is without effect. status_bound:
+    (var_key) that procedures report their status to. ignorable: (var_key) bound to outputs that may go unread: never
+    never_read. fixed: (var_key) that can't be constants: never read_only_non_const.
     """
     u = usage_summary(decls, accesses)
-    reaches = F.lit(True)
-    if effective is not None:
-        u = u.join(effective.select("var_key").distinct().withColumn("_reaches", F.lit(True)), "var_key", "left")
-        reaches = F.coalesce(c("_reaches"), F.lit(False))
-    bound = F.lit(False)
-    if status_bound is not None:
-        u = u.join(status_bound.select("var_key").distinct().withColumn("_bound", F.lit(True)), "var_key", "left")
-        bound = F.coalesce(c("_bound"), F.lit(False))
+
+    def held(keys: DataFrame | None, flag: str, missing: bool) -> Column:
+        nonlocal u
+        if keys is None:
+            return F.lit(missing)
+        u = u.join(keys.select("var_key").distinct().withColumn(flag, F.lit(True)), "var_key", "left")
+        return F.coalesce(c(flag), F.lit(False))
+
+    reaches, bound = held(effective, "_reaches", True), held(status_bound, "_bound", False)
+    spared, unfit = held(ignorable, "_ignorable", False), held(fixed, "_fixed", False)
     local = c("role") == "local"
     issue = (
         F.when(~c("read") & ~c("written"), "unused")
-        .when(c("ui_read") & ~c("non_ui_read") & ~c("written"), "ui_only")
         .when(bound & c("written") & ~c("non_ui_read"), "procedure_status")
-        .when(local & c("read") & ~c("written") & ~c("is_const"), "read_only_non_const")
-        .when(local & c("written") & ~c("read"), "never_read")
-        .when(c("written") & ~reaches, "write_without_effect")
+        .when(c("ui_read") & ~c("non_ui_read"), "ui_only")
+        .when(local & c("read") & ~c("written") & ~c("is_const") & ~unfit, "read_only_non_const")
+        .when(local & c("written") & ~c("read") & ~spared, "never_read")
+        .when(c("read") & c("written") & ~reaches & ~bound, "write_without_effect")
     )
-    return u.withColumn("issue", issue).drop("_reaches", "_bound")
+    return u.withColumn("issue", issue).drop("_reaches", "_bound", "_ignorable", "_fixed")
 
 
 def propagate_aliases(accesses: DataFrame, links: DataFrame) -> DataFrame:
@@ -224,17 +231,59 @@ def string_narrowing(mappings: DataFrame) -> DataFrame:
 
 def min_max_crossed(mappings: DataFrame) -> DataFrame:
     """(id) of mappings whose target name says min and source name max, or the reverse; names that say both are skipped."""
-    lo, hi = ("min", "minimum", "low"), ("max", "maximum", "high")
+    lo, hi = ("min", "minimum"), ("max", "maximum")
     says = lambda x, words, other: F.exists(identifier_tokens(c(x)), lambda t: t.isin(*words)) & ~F.exists(identifier_tokens(c(x)), lambda t: t.isin(*other))
     crossed = (says("target", lo, hi) & says("source", hi, lo)) | (says("target", hi, lo) & says("source", lo, hi))
     return mappings.where(crossed).select("id")
 
 
-def contract_mismatch(mappings: DataFrame) -> DataFrame:
-    """(id, source_type, target_type) whose types differ; two string types agree, and anytype takes all."""
+def anytype_requirements(direct: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(owner, parameter, field): the fields that parameters of any type need, their own and those of the parameters that they are handed on to.
+
+    direct: (owner, parameter, field): fields that the owner uses itself; links: (owner, parameter, prefix, child_owner,
+    child_parameter): the parameter, or its part at prefix, is mapped to a parameter of any type inside. Names are
+    compared without regard to case. Each round hands on what the last one added.
+    """
+    key = ["owner", "parameter", "field"]
+    low = lambda df, names: df.select(*(F.lower(x).alias(x) for x in names)).distinct()
+    up = stored(low(links, ("owner", "parameter", "prefix", "child_owner", "child_parameter")), "links")
+    now = stored(low(direct, key), "required")
+    out = now
+    for _ in range(max_rounds):
+        told = now.select(c("owner").alias("child_owner"), c("parameter").alias("child_parameter"), c("field").alias("below")).join(up, ["child_owner", "child_parameter"])
+        told = told.select("owner", "parameter", F.concat_ws(".", F.when(c("prefix") != "", c("prefix")), "below").alias("field")).distinct()
+        now = stored(told.join(out, key, "left_anti"), "required")
+        if now.isEmpty():
+            return out
+        out = out.unionByName(now)
+    raise RuntimeError(f"parameters are handed on for more than {max_rounds} levels, or round and round")
+
+
+def contract_mismatch(mappings: DataFrame, required: DataFrame | None = None, record_fields: DataFrame | None = None) -> DataFrame:
+    """(id, source_type, target_type, field) of mappings that break the target's contract.
+
+    Types that differ (field null): two string types agree, and anytype takes all. A target of anytype, though, needs the
+    fields that its owner uses: for each that the source lacks a row with the field. mappings: (id, source_type, target_type)
+    and, with required, owner, target and source_field ('' or the part of the source that is mapped); required:
+    anytype_requirements' rows; record_fields: (record_key, field, datatype). A field is looked up a segment a round,
+    from the source's type on; a type without the next segment lacks it.
+    """
     a, b = F.lower("source_type"), F.lower("target_type")
     both = string_capacity(a).isNotNull() & string_capacity(b).isNotNull()
-    return mappings.where((a != b) & ~both & (b != "anytype")).select("id", "source_type", "target_type")
+    out = mappings.where((a != b) & ~both & (b != "anytype")).select("id", "source_type", "target_type", F.lit(None).cast("string").alias("field"))
+    if required is None:
+        return out
+    asked = mappings.where((b == "anytype") & (a != b)).select("id", "source_type", "target_type", F.lower("owner").alias("owner"), F.lower("target").alias("parameter"), F.lower("source_field").alias("part"))
+    asked = asked.join(required.select(F.lower("owner").alias("owner"), F.lower("parameter").alias("parameter"), F.lower("field").alias("field")).distinct(), ["owner", "parameter"])
+    way = F.split(F.concat_ws(".", F.when(c("part") != "", c("part")), "field"), r"\.")
+    now = asked.select("id", "source_type", "target_type", "field", F.lower("source_type").alias("type"), way.alias("way"))
+    step = record_fields.select(F.lower("record_key").alias("type"), F.lower("field").alias("step"), F.lower("datatype").alias("next")).distinct()
+    now = stored(now, "asked")
+    while not now.isEmpty():
+        x = now.withColumn("step", F.element_at("way", 1)).join(step, ["type", "step"], "left")
+        out = out.unionByName(x.where("next is null").select("id", "source_type", "target_type", "field"))
+        now = stored(x.where("next is not null and size(way) > 1").select("id", "source_type", "target_type", "field", c("next").alias("type"), F.slice("way", F.lit(2), F.size("way")).alias("way")), "asked")
+    return out
 
 
 def procedure_status_ignored(calls: DataFrame, signatures: DataFrame, usage: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as S
-from factloom.operators import findings as H, graphs as G, instances as I, inventory as V, logs as L, telemetry as T, text as X, usage as U
+from factloom.operators import findings as H, graphs as G, instances as I, inventory as V, logs as L, telemetry as T, text as X, trees as R, usage as U
 from factloom.sources import files as FS
 
 
@@ -91,11 +91,28 @@ def test_resource_pairing(spark, ops, issues):
     assert [r.issue for r in L.resource_pairing(df).collect()] == issues
 
 
-@pytest.mark.parametrize(("branches", "bad"), [((0, 1), False), ((0,), True)])
-def test_a_write_counts_if_both_branches_write(spark, branches, bad):
-    log = [("m", "x", n, "write", 1, b) for n, b in enumerate(branches)] + [("m", "x", 9, "read", None, None)]
-    df = spark.createDataFrame(log, "module_path string, var_key string, seq long, kind string, block long, branch long")
-    assert (L.read_before_write_branches(df).count() == 1) is bad
+GUARDED = "module_path string, var_key string, seq long, kind string, guard array<struct<block long, branch int>>"
+
+
+@pytest.mark.parametrize(("log", "bad"), [
+    ([(1, "write", [(1, 0)]), (2, "write", [(1, 1)]), (9, "read", [])], False),
+    ([(1, "write", [(1, 0)]), (9, "read", None)], True),
+    ([(1, "write", [(1, 0)]), (2, "read", [(1, 0)])], False),
+    ([(1, "write", [(1, 0)]), (2, "read", [(1, 1)])], True),
+    ([(1, "write", [(1, 0), (2, 0)]), (2, "write", [(1, 0), (2, 1)]), (3, "write", [(1, 1)]), (9, "read", [])], False),
+    ([(1, "write", [(1, 0), (2, 0)]), (3, "write", [(1, 1)]), (9, "read", [])], True),
+    ([(1, "write", [(1, 0), (2, 0)]), (2, "write", [(1, 0), (2, 1)]), (3, "read", [(1, 0)]), (4, "read", [(1, 1)])], True),
+    ([(k, "write", [(1, 0), (2, 0), (3, k)]) for k in (0, 1)] + [(2, "write", [(1, 0), (2, 1)]), (3, "write", [(1, 1)]), (4, "read", [])], False),
+    ([(1, "write", []), (5, "read", [(1, 0), (2, 1), (3, 1)])], False),
+    ([(1, "read", []), (1, "write", [])], True),
+])
+def test_a_write_counts_if_all_branches_write(spark, log, bad):
+    df = spark.createDataFrame([("m", "x", *r) for r in log], GUARDED)
+    blocks = spark.createDataFrame([("m", b, 2) for b in (1, 2, 3)], "module_path string, block long, branches int")
+    assert (L.read_before_write_branches(df, blocks).count() == 1) is bad
+    three = spark.createDataFrame([("m", 1, 3)], "module_path string, block long, branches int")
+    if bad:  # another branch makes nothing surer
+        assert L.read_before_write_branches(df, three).count() == 1
 
 
 def test_a_missing_enter_write_leaks_until_an_exit_clears(spark):
@@ -139,7 +156,11 @@ def test_findings_are_bags(spark):
     diff = lambda a, b: dict(rows(H.findings_diff(spark.createDataFrame(a, FINDING), spark.createDataFrame(b, FINDING)).groupBy("status").count()))
     assert diff(f(3), f(2)) == {"unchanged": 2, "resolved": 1}
     assert diff(f(2), f(2)) == {"unchanged": 2}
-    assert diff(f(1), f(1, "high")) == {"changed": 1}
+    assert diff(f(1), f(1, "high")) == {"unchanged": 1}
+    moved = spark.createDataFrame([("r", "p", None, None, "other", "high")], FINDING)
+    same = spark.createDataFrame([("r", "p", None, None, "m", "low")], FINDING)
+    assert rows(H.findings_diff(same, moved), "status", "changed") == [("changed", "message,severity")]
+    assert rows(H.findings_diff(same, same), "status", "changed") == [("unchanged", "")]
 
 
 def test_icf_headers_carry_down(spark):
@@ -149,9 +170,9 @@ def test_icf_headers_carry_down(spark):
 
 
 def test_leaks_are_found_and_placeholders_are_not(spark):
-    text = "mail a.b@mail.example.org and c@d.example.org\npassword = example\ntoken: abcdef123\n/home/someone/x localhost:8080"
+    text = "mail a.b@mail.example.org and c@d.example.org\npassword = 'example'\ntoken: \"abcdef123\"\n/home/someone/x localhost:8080\ntoken = unquoted1\nsecret='<mine>'\nC:\\Users\\MyUser\\a D:\\b"
     found = rows(X.leak_scan(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")), "line", "rule")
-    assert found == [(1, "email"), (1, "email"), (3, "secret"), (4, "home_path"), (4, "local_endpoint")]
+    assert found == [(1, "email"), (1, "email"), (3, "secret"), (4, "home_path"), (4, "local_endpoint"), (7, "windows_path")]
 
 
 def test_lines_in_order(spark):
@@ -249,3 +270,196 @@ def test_chains_go_to_their_ends(spark):
     flows = [("m", i, f"v{i}", f"v{i - 1}") for i in range(1, 40)] + [("n", 1, "a", "b")]
     found = {r.chain for r in L.dependency_chains(spark.createDataFrame(flows, "module_path string, seq long, target string, source string")).collect()}
     assert found == {"<-".join(f"v{j}" for j in range(i, -1, -1)) for i in range(2, 40)}
+
+
+def test_a_variable_is_told_the_first_class_that_fits(spark):
+    decls = spark.createDataFrame([(v, r, False) for v, r in (("par", "parameter"), ("ui", "local"), ("idle", "local"), ("bound", "local"), ("status", "local"), ("spared", "local"))], "var_key string, role string, is_const boolean")
+    a = accesses(spark, ("par", "", "m", "write", False), ("ui", "", "m", "read", True), ("ui", "", "m", "write", False), ("idle", "", "m", "read", False), ("idle", "", "m", "write", False), ("bound", "", "m", "read", False), ("bound", "", "m", "write", False), ("status", "", "m", "write", False), ("status", "", "m", "read", True), ("spared", "", "m", "write", False))
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "var_key string")
+    found = dict(rows(U.classify_usage(decls, a, keys("none"), keys("bound", "status"), keys("spared")), "var_key", "issue"))
+    assert found == {"par": None, "ui": "ui_only", "idle": "write_without_effect", "bound": None, "status": "procedure_status", "spared": None}
+
+
+@pytest.mark.parametrize(("text", "like"), [("a := 1;", True), ("x < y", True), ("IF x THEN;", True), ("if only, then", False), ("f(2)", True), ("plain words", False), ("a == b", False), ("note; see there", False)])
+def test_what_looks_like_code(spark, text, like):
+    assert one(spark, S.code_hints(F.lit(text))["like_code"]) is like
+
+
+@pytest.mark.parametrize(("prompt", "bucket"), [("review how we implement the new plan", "review"), ("Implement this PLAN", "implement-this-plan"), ("revalidate", "validate"), (None, "other")])
+def test_prompt_buckets(spark, prompt, bucket):
+    assert one(spark, S.prompt_bucket(F.lit(prompt).cast("string"))) == bucket
+
+
+@pytest.mark.parametrize(("value", "ref"), [("F::P:a.b", ("P", "a.b")), ("P:a.b", ("P", "a.b")), (" P : a ", ("P", "a")), ("plain", None), ("F::P:", ("F", ":P:"))])
+def test_interface_references(spark, value, ref):
+    found = one(spark, S.icf_ref(F.lit(value)))
+    assert (found and tuple(found)) == ref
+
+
+def test_limits_are_crossed_by_min_and_max_alone(spark):
+    df = spark.createDataFrame([(1, "MinLevel", "maxLevel"), (2, "LowLevel", "HighLevel"), (3, "MinMax", "max")], "id int, source string, target string")
+    assert rows(U.min_max_crossed(df)) == [(1,)]
+
+
+def test_faults_that_nobody_clears_or_reads(spark):
+    s = "module_path string, var_key string, name string, is_boolean boolean, kind string, value boolean"
+    df = spark.createDataFrame([("m", "a", "Fault1", True, "write", True), ("m", "b", "OldAlarm", True, "write", True), ("m", "b", "OldAlarm", True, "write", False), ("m", "b", "OldAlarm", True, "read", None), ("n", "b", "OldAlarm", True, "write", True), ("n", "b", "OldAlarm", True, "read", None), ("m", "c", "Level", True, "write", True), ("m", "d", "FaultNo", False, "write", True), ("m", "e", "Fault2", True, "write", None)], s)
+    assert rows(L.fault_handling(df)) == [("m", "a", "missing_recovery"), ("m", "a", "unhandled_fault"), ("n", "b", "missing_recovery")]
+
+
+def test_calls_without_a_signature_are_no_findings(spark):
+    calls = spark.createDataFrame([(1, "Open"), (2, "SAFE"), (3, "unknown")], "site int, function string")
+    assert rows(L.unsafe_scan_calls(calls, spark.createDataFrame([("open", False), ("safe", True)], "function string, safe boolean"))) == [(1, "Open")]
+
+
+def test_accuracy_without_annotations(spark):
+    f = spark.createDataFrame([("a", "r", "low"), ("b", "r", "high"), ("c", "r", None), ("d", None, "critical"), ("e", "r", "low")], "fingerprint string, rule_id string, severity string")
+    notes = spark.createDataFrame([("e", "false_positive", "s")], "fingerprint string, annotation string, rule_id string")
+    assert rows(H.accuracy(f, notes), "rule_id", "correct", "false_positive", "missed_issue", "precision") == [("r", 2, 0, 1, 0.6667), ("s", 0, 1, 0, 0.0), ("unknown", 0, 0, 1, 0.0), (None, 2, 1, 2, 0.4)]
+
+
+def test_grounding_asks_for_any_match_without_regard_to_case(spark):
+    df = spark.createDataFrame([(1, ["A", "b", "c"], ["a"]), (2, ["x"], ["y"]), (3, [], ["y"]), (4, None, None)], "session int, candidates array<string>, referenced array<string>")
+    assert rows(T.grounding_overlap(df), "session", "overlap", "status") == [(1, 1, "ok"), (2, 0, "ungrounded"), (3, 0, "no-results"), (4, 0, "no-results")]
+
+
+def test_layout_of_texts(spark):
+    assert one(spark, S.normalize_layout(F.lit("\n\n\na \r\n\r\n\r\n\tb\u00a0\n \n"))) == "\na\n\n\tb\n"
+    assert one(spark, S.normalize_layout(F.lit(""))) == "\n"
+
+
+def test_edges_count_once_however_many_paths_lead_to_them(spark):
+    df = spark.createDataFrame([(1, 2, ["a"], 1), (1, 3, ["b"], 10), (2, 4, ["a"], 100), (3, 4, ["c"], 1000), (5, 1, ["d"], 10000), (4, 4, ["z"], 7)], "src int, dst int, symbols array<string>, reads long")
+    found = {r.node: r for r in G.reverse_impact(df, list_fields=("symbols",), count_fields=("reads",)).collect()}
+    assert (found[4].direct, found[4].transitive, found[4].direct_reads, found[4].transitive_reads) == (2, 4, 1100, 11111)
+    assert (found[4].direct_symbols, found[4].transitive_symbols, found[4].transitive_symbols_count) == (["a", "c"], ["a", "b", "c", "d"], 4)
+    assert (found[5].direct, found[5].transitive, found[5].transitive_reads, found[5].direct_symbols) == (0, 0, 0, [])
+    asked = spark.createDataFrame([(4,), (5,)], "node int")
+    assert rows(G.reverse_impact(df, asked), "node", "direct", "transitive") == [(4, 2, 4), (5, 0, 0)]
+
+
+def test_a_thousand_steps_take_ten_rounds(spark, monkeypatch):
+    made = []
+    inner = G.stored
+    monkeypatch.setattr(G, "stored", lambda df, name: made.append(name) or inner(df, name))
+    chain = spark.range(1000).selectExpr("cast(id as int) as src", "cast(id + 1 as int) as dst")
+    c = G.closure(chain)
+    assert c.count() == 1000 * 1001 // 2 and c.where("depth <> dst - src").count() == 0
+    assert made.count("closure") <= 11
+
+
+def test_closures_from_some_sources_and_orders_of_loading(spark):
+    e = edges(spark, (1, 2), (2, 3), (3, 1), (4, 5), (3, 4))
+    assert rows(G.closure(e, spark.createDataFrame([(4,), (3,)], "src int"))) == [(3, 1, 1), (3, 2, 2), (3, 3, 3), (3, 4, 1), (3, 5, 2), (4, 5, 1)]
+    assert rows(G.load_order(edges(spark, (1, 2), (2, 3), (1, 3), (9, 3)))) == [(1, 2), (2, 1), (3, 0), (9, 1)]
+    with pytest.raises(RuntimeError, match="cycle"):
+        G.load_order(e)
+    assert rows(G.cycles(e)) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_taint_goes_the_shortest_way_and_of_equals_the_first_by_name(spark):
+    names = [(1, "Area.Sensor1"), (2, "b.x"), (3, "A.y"), (4, "Unit.Trip"), (5, "TypeDef:T.Sensor"), (6, "Unit.Sensor2"), (7, "c"), (8, "EStop.Q"), (9, "lone.Sensor")]
+    e = edges(spark, (1, 2), (1, 3), (2, 4), (3, 4), (4, 7), (7, 4), (4, 8), (5, 6), (6, 4), (3, 3))
+    uses = spark.createDataFrame([(1, "m"), (3, "m"), (4, "n")], "node int, module string")
+    found = rows(G.taint_traces(e, spark.createDataFrame(names, "node int, name string"), uses), "source", "sink", "depth", "path", "multi_module")
+    # 6 is fed, though by a type definition alone
+    assert found == [(1, 4, 2, "Area.Sensor1>A.y>Unit.Trip", True), (1, 8, 3, "Area.Sensor1>A.y>Unit.Trip>EStop.Q", True)]
+
+
+def test_variants_of_modules(spark):
+    m = lambda *xs: spark.createDataFrame([("p", path, kind) for path, kind in xs], "program string, path string, kind string")
+    items = spark.createDataFrame([("p", "r.a.pump", "parameters", "Size", "1"), ("p", "r.b.pump", "parameters", "size", "1"), ("p", "r.c.pump", "parameters", "size", "2")], "program string, path string, section string, item string, value string")
+    tree = [("R", "single"), ("R.A", "single"), ("R.b", "single"), ("r.c", "single"), ("R.A.Pump", "single"), ("R.b.PUMP", "single"), ("r.c.pump", "single"), ("R.A.Pump.v", "frame"), ("R.b.Pump.V", "frame"), ("R.A.Pump.v.w", "single"), ("R.b.pump.v.w", "single")]
+    found = R.version_drift(m(*tree, ("R.c.pump.v", "frame"), ("R.c.pump.v.other", "single")), items)
+    assert rows(found) == [("p", "pump", 2, 3, "r")]
+    diff = R.variant_diff(m(*tree, ("R.c.pump.v", "frame"), ("R.c.pump.v.other", "single")), items)
+    assert rows(diff, "section", "item", "change", "variant", "value") == [("parameters", "size", "modified", 1, "1"), ("parameters", "size", "modified", 2, "2"), ("submodules", "v.other", "only", 2, "single"), ("submodules", "v.w", "only", 1, "single")]
+    same = spark.createDataFrame([("p", f"r.{x}.pump", "parameters", "Size", "1") for x in "abc"], items.schema)
+    assert rows(R.version_drift(m(*tree, ("R.c.pump.v", "frame"), ("R.c.pump.v.w", "single")), same)) == []
+    assert rows(R.version_drift(m(), same)) == [] and rows(R.variant_diff(m(), same)) == []
+
+
+def test_markers_lift_through_wrappers(spark):
+    m = [("P", None), ("P.unit", "Unit"), ("P.unit.tank", None), ("P.unit.tank.L1", None), ("P.unit.tank.L1.Display", None), ("P.unit.tank.L1.Display.Panel", None), ("P.unit.tank.L1.Display.Panel.mark", "Marker"), ("P.unit.Oprframe", None), ("P.unit.Oprframe.fill", None), ("P.L7", None), ("P.L7.mark", "Marker")]
+    df = spark.createDataFrame([("p", path, t, t and f"lib:{t}") for path, t in m], "program string, path string, moduletype string, label string")
+    rules = spark.createDataFrame([("em", "desc_label", "marker")], "category string, match string, pattern string")
+    found = rows(R.classify_modules(df, rules), "path", "category")
+    assert found == [("p.l7", "em"), ("p.unit.oprframe.fill", "ops"), ("p.unit.tank", "em")]
+    none = spark.createDataFrame([], "program string, path string, parameter string")
+    assert rows(R.unit_roots(df, R.classify_modules(df, rules), none), "path") == [("p.unit",)]
+
+
+def test_a_variable_with_many_users_needs_no_pairs(spark):
+    n = 100_000
+    log = spark.range(n).selectExpr("'p' as program", "'V' as var_key", "'' as field", "concat('m', id) as module_path", "if(id = 0, 'write', 'read') as kind", "concat('s', id) as site")
+    assert L.shared_access_hazards(log).agg(F.count("*"), F.max("users")).first()[:] == (n, n)
+
+
+def test_shared_accesses_with_kinds_and_sites(spark):
+    s = "program string, var_key string, field string, module_path string, kind string, site string"
+    log = [("p", "V", "a", "m", "write", "1"), ("p", "v", "A.x", "n", "write", "2"), ("p", "v", "a", "m", "read", "3"), ("p", "v", "b", "m", "read", "4"), ("p", "v", "b", "n", "read", "5"), ("p", "w", "", "m", "write", "6"), ("p", "w", "", "m", "read", "7"), ("q", "v", "a", "z", "write", "8")]
+    found = rows(L.shared_access_hazards(spark.createDataFrame(log, s)), "path", "users", "user", "kinds", "sites")
+    assert found == [("v.a", 2, "m", "read,write", "1,3"), ("v.a", 2, "n", "write", "2")]
+
+
+def test_anytype_parameters_need_the_fields_that_are_used(spark):
+    need = U.anytype_requirements(spark.createDataFrame([("inner", "P", "speed")], "owner string, parameter string, field string"), spark.createDataFrame([("outer", "Q", "motor", "Inner", "p"), ("outer", "q", "", "outer", "Q")], "owner string, parameter string, prefix string, child_owner string, child_parameter string"))
+    assert rows(need) == [("inner", "p", "speed"), ("outer", "q", "motor.speed")]
+    fields = spark.createDataFrame([("pump", "motor", "drive"), ("drive", "speed", "real"), ("tank", "motor", "real")], "record_key string, field string, datatype string")
+    maps = [(1, "Outer", "q", "AnyType", "Pump", ""), (2, "outer", "Q", "anytype", "tank", ""), (3, "inner", "p", "anytype", "pump", "motor"), (4, "inner", "p", "anytype", "pump", ""), (5, "inner", "p", "real", "pump", "")]
+    df = spark.createDataFrame(maps, "id int, owner string, target string, target_type string, source_type string, source_field string")
+    assert rows(U.contract_mismatch(df, need, fields), "id", "field") == [(2, "motor.speed"), (4, "speed"), (5, None)]
+
+
+def test_graphics_rules_meet_entries_by_equal_keys(spark):
+    e = spark.createDataFrame([(1, "module", "U.a", None, "a.b", None, "Valve"), (2, "moduletype-instance", "u.A", None, "a.c", "Pump", "P1"), (3, "basepicture", "u.a", None, "", None, "Valve")], "item int, module_kind string, unit_structure_path string, equipment_module_structure_path string, relative_module_path string, moduletype_name string, module_name string")
+    v = spark.createDataFrame([(1, "f", "x"), (2, "f", "y")], "item int, field string, actual string")
+    r = spark.createDataFrame([("r1", "any", "u.a", None, None, None, None), ("r2", "moduletype", None, None, None, "PUMP", None), ("r3", "single", None, None, None, None, "valve"), ("r4", "frame", None, None, None, None, "valve")], "rule string, module_kind string, unit_structure_path string, equipment_module_structure_path string, relative_module_path string, moduletype_name string, module_name string")
+    x = spark.createDataFrame([("r1", "f", "x"), ("r2", "g", "z"), ("r3", "f", "x"), ("r4", "f", "q")], "rule string, field string, expected string")
+    found = I.graphics_rules_check(e, v, r, x)
+    assert rows(found) == [(2, "any:unit:u.a", "f", "x", "y"), (2, "moduletype:PUMP@", "g", "z", None)]
+    assert rows(I.unmatched_rules(e, r)) == [("frame:valve",)]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_retries_do_not_depend_on_batches(spark, tmp_path, batches):
+    import datetime
+    import random
+
+    from factloom.streaming import rollups
+
+    at = datetime.datetime(2024, 1, 1)
+    rng = random.Random(5)
+    log = [(at + datetime.timedelta(seconds=7 * i), i % 3, i, rng.choice(["tool.start", "tool.complete"]), rng.choice("ab"), rng.random() < 0.3) for i in range(300)]
+    end = (at + datetime.timedelta(hours=2), 0, 999, "tool.start", "z", True)
+    wanted = {}
+    for k in range(3):
+        failed, n = None, 0
+        for _, _, _, kind, tool, ok in (r for r in log if r[1] == k):
+            if kind == "tool.complete" and not ok:
+                failed = tool
+            elif kind == "tool.start":
+                n += failed == tool
+                failed = None
+        wanted[k] = n
+    s = "ts timestamp, session long, seq long, type string, tool string, success boolean"
+    rows_ = log[:]
+    rng.shuffle(rows_)  # all within the hour that may be late
+    for b in range(batches):
+        spark.createDataFrame(rows_[b::batches] + ([end] if b == batches - 1 else []), s).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = rollups.drained(rollups.tool_retries(stream, "1 hour"), "retries", rollups.ROCKSDB)
+    assert dict(rows(found.groupBy("session").agg(F.sum("retries")))) == wanted
+
+
+def test_headers_of_interface_files(spark):
+    lines = ["[Unit U]", "[Group]", "[open = 1", " = 2 ", "[Group g h ]", "a[0] = b = c", "[Other x]", "k="]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
+    assert rows(V.icf_entries(df), "unit", "grp", "key", "value") == [("U", "g h", "a[0]", "b = c"), ("U", None, "", "2"), ("U", None, "[open", "1"), ("U", None, "k", "")]
+
+
+def test_names_in_another_style(spark):
+    df = spark.createDataFrame([("v", "PumpOne", 1), ("v", "pumpone", 2), ("v", "TankTwo", 3), ("v", "snake_name", 4), ("v", "_odd", 5), ("v", "allowed_one", 6)], "kind string, name string, n int")
+    ok = spark.createDataFrame([("v", "Allowed_One")], "kind string, name string")
+    assert rows(I.naming_consistency(df, ok), "name", "style", "dominant") == [("_odd", "unknown", "pascal"), ("pumpone", "lower", "pascal"), ("snake_name", "snake", "pascal")]
