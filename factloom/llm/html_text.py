@@ -2,9 +2,10 @@
 
 The standard library's parser streams events. They cut a page into lines: the text between two block-level
 tags, with the number of its tags. A line's ratio is its characters outside links over its tags. The ratios are smoothed
-with a Gaussian, and lines over the threshold are the cluster of content. Content lines vote for the region
-(article, main, or a container) that holds them; regions of links without a content line are no part of it. The
-text of a page is every line of the chosen regions, in page order, but for what its tags or names say to be a menu,
+with a Gaussian, and lines over the threshold are the cluster of content. Content lines vote for the regions
+(articles, main, or containers) that hold them: articles unless main says more than twice as much, and of a page without
+either the containers whose own ratio is near that of the largest one. Regions of links without a content line are no part of it. The
+text of a page is the headlines before and around it, and every line of the chosen regions, in page order, but for what its tags or names say to be a menu,
 header, footer, sidebar, notice, advert, form or reader comment. Names that say less (legal, tags, search) only drop
 lines that the ratio doesn't find to be content.
 """
@@ -42,6 +43,9 @@ GENERIC = frozenset("area article articles bar block bottom box button buttons c
 #: An id is often a heading's words: alone, only these count.
 ID_FURNITURE = frozenset("ad ads adbox adsense sidebar comments commentlist disqus respond breadcrumbs newsletter".split())
 PART = re.compile(r"[-_]+")
+#: How a short line outside of articles says that it is a notice of rights.
+NOTICE = re.compile(r"^(?:©|\(c\)|copyright\b).*\b(?:19|20)\d\d\b|\ball rights reserved\b", re.I)
+NOTICE_CHARS = 160
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -52,13 +56,13 @@ KEPT, DOUBTED, DROPPED_TEXT = 0, 1, 2
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (text, characters in links, tags, region, what is known of it)."""
+    """Cuts a page into lines: (text, characters in links, tags, region, what is known of it, whether it is a headline)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, int]] = []  # name, what is known, region
         self.open: Counter = Counter()  # names on the stack
-        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.regions: list[tuple[str, int, bool]] = [("page", -1, False)]  # kind, parent, whether in an article or main
         self.text: list[str] = []
         self.tags = self.links = self.linked = 0
@@ -68,7 +72,9 @@ class _Lines(HTMLParser):
             line = " ".join("".join(self.text).split())
             if line:
                 _, known, region = self.stack[-1] if self.stack else ("", KEPT, 0)
-                self.lines.append((line, min(self.linked, len(line)), self.tags, region, known))
+                if known == KEPT and not self.regions[region][2] and len(line) <= NOTICE_CHARS and NOTICE.search(line):
+                    known = DROPPED_TEXT
+                self.lines.append((line, min(self.linked, len(line)), self.tags, region, known, self.open["h1"] > 0))
             self.text = []
         self.tags = self.linked = 0
 
@@ -187,7 +193,7 @@ def main_text(html: str, sigma: float = 1.0, threshold: float = 0.5) -> str:
     weight: dict[int, int] = {}
     told: dict[int, list[int]] = {}  # of each region without those in it: characters, of which in links, lines over half of which is plain content
     for i in kept:
-        text, linked, _, r, _ = lines[i]
+        text, linked, _, r, _, _ = lines[i]
         if content[i]:
             weight[r] = weight.get(r, 0) + len(text) - linked
         t = told.setdefault(r, [0, 0, 0])
@@ -205,11 +211,25 @@ def main_text(html: str, sigma: float = 1.0, threshold: float = 0.5) -> str:
             if outer[kind][r] >= 0:
                 found[outer[kind][r]] = found.get(outer[kind][r], 0) + w
     if best["article"] or best["main"]:
-        found = best["article"] or best["main"]
-        chosen = {r for r, w in found.items() if 2 * w >= max(found.values())}
+        # articles, unless main says more than twice as much as they do
+        whole = {kind: sum(found.values()) for kind, found in best.items()}
+        kind = "article" if best["article"] and 2 * whole["article"] >= whole["main"] else "main"
+        found, chars = best[kind], {}
+        for r, (n, linked, _) in told.items():
+            if outer[kind][r] >= 0:
+                t = chars.setdefault(outer[kind][r], [0, 0])
+                t[0] += n
+                t[1] += linked
+        # every one that isn't a card: small beside the largest one, and with a link to what it tells of
+        most = max(found.values())
+        chosen = {r for r, w in found.items() if (20 * w >= most or not chars[r][1]) and 2 * chars[r][1] <= chars[r][0]} or {max(found, key=found.get)}
     else:  # containers with at least a tenth of the largest one's content, so that sections of one text stay together
         most = max(weight.values(), default=0)
         chosen = {r for r, w in weight.items() if 10 * w >= most}
+        # the ratio of each container as a whole tells blocks of the page that aren't of its text: half the largest one's at least
+        dense = {r: sum(plain[i] for i in kept if lines[i][3] == r) / sum(lines[i][3] == r for i in kept) for r in chosen}
+        top = max(chosen, key=weight.get, default=-1)
+        chosen = {r for r in chosen if 2 * dense[r] >= dense[top] or regions[r][0] == "section" or regions[regions[r][1]][0] not in ("page", "body")}
         # and their smaller siblings with content: a page's own blocks only if they are sections
         parents = {regions[r][1] for r in chosen}
         chosen |= {r for r in weight if (up := regions[r][1]) in parents and up >= 0 and (regions[r][0] == "section" or regions[up][0] not in ("page", "body"))}
@@ -218,7 +238,14 @@ def main_text(html: str, sigma: float = 1.0, threshold: float = 0.5) -> str:
     within = np.zeros(len(regions), bool)
     for r, (_, up, _) in enumerate(regions):
         within[r] = r in chosen or (up >= 0 and within[up])
-    return " ".join(lines[i][0] for i in kept if within[lines[i][3]] and lines[i][3] not in links)
+    told_of = [i for i in kept if within[lines[i][3]] and lines[i][3] not in links]
+    # headlines before the text, in what surrounds it
+    around, r = set(), lines[told_of[0]][3] if told_of else -1
+    while r >= 0:
+        around.add(r)
+        r = regions[r][1]
+    heads = [i for i in kept if told_of and i < told_of[0] and lines[i][5] and lines[i][3] in around and 2 * lines[i][1] <= len(lines[i][0])]
+    return " ".join(lines[i][0] for i in (*heads, *told_of))
 
 
 def _batches(sigma: float, threshold: float):

@@ -625,12 +625,40 @@ def test_captures_without_a_response_are_kept(spark):
     ("<div class=content><p>The text of this page, which is long.</p></div><div class='sidebar'>The links of this page, which are long.</div><form>name</form>", "The text of this page, which is long."),
     ("<div class='content with-sidebar'><p>The text of this page, which is long.</p></div><div id='cookie-notice'>We use cookies on this page.</div>", "The text of this page, which is long."),
     ("<header>Site</header><article><div class='entry-header'><h1>T</h1></div><p>text of it</p><ol class=commentlist><li>a comment</ol></article>", "T text of it"),
+    ("<main><p>The text of this page, which is long.</p></main><article><p>tiny card</p></article>", "The text of this page, which is long."),
+    ("<body><h1>Head line</h1><div><p>The text of this page, which is long.</p><p>And more of it, as long as that.</p></div></body>", "Head line The text of this page, which is long. And more of it, as long as that."),
+    ("<article><p>The first article of this page, which is long. It has two sentences and more to say.</p></article><article><p>The second.</p></article>", "The first article of this page, which is long. It has two sentences and more to say. The second."),
+    ("<article><p>The first article of this page, which is long. It has two sentences, and more to say than a card about something else would have, by far, as it goes on and on.</p></article><article><p>See <a href=x>x</a></p></article>", "The first article of this page, which is long. It has two sentences, and more to say than a card about something else would have, by far, as it goes on and on."),
+    ("<body><div><p>The text of this page, which is long, and says all that there is to say.</p><p>And more of it, which is as long as that, and says the rest of it.</p></div><div>Buy <a href=x>one</a> or <b>two</b> <i>now</i></div><div>Copyright 2024 Some Company. All rights reserved.</div></body>", "The text of this page, which is long, and says all that there is to say. And more of it, which is as long as that, and says the rest of it."),
+    ("<main><h1>T</h1><article><p>The copyright of 2024 is what this text is about, all rights reserved.</p></article></main>", "T The copyright of 2024 is what this text is about, all rights reserved."),
     ("<article><p>a<script>if (a < b) { x('</p>') }</script><p>b<!-- no --></article><article class='related'><p>c</article>", "a b"),
 ])
 def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_ratios_are_smoothed_and_clustered_as_defined():
+    rng = random.Random(8)
+    for sigma in (0.5, 1.0, 2.5):
+        x = np.array([rng.choice([0, 1, 3, 80, 200]) for _ in range(rng.randint(1, 40))], float)
+        reach = max(1, round(3 * sigma))
+        wanted = []
+        for i in range(len(x)):
+            near = [(math.exp(-0.5 * ((i - j) / sigma) ** 2), x[j]) for j in range(max(0, i - reach), min(len(x), i + reach + 1))]
+            wanted.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        assert np.allclose(html_text._smoothed(x, sigma), wanted)
+    # a line's ratio is its characters outside links over its tags; doubtful lines stay if they are in the cluster over the threshold
+    text = "Long content of a page that says a lot about what it is about. " * 3
+    page = f"<body><div><p>{text}</p><p class=legal>{text}</p><p class=legal>short <b>x</b> <i>y</i></p><p>a</p><p class=legal>b</p></div></body>"
+    assert html_text.main_text(page).count("Long content") == 6 and not html_text.main_text(page).endswith(" b")
+    assert html_text.main_text(page, threshold=0.0).endswith("a b")
+
+
+def test_columns_of_pages_may_clash(spark):
+    df = spark.createDataFrame([(1, "u", "<p>one</p>", 9, "t"), (None, None, None, 9, "t"), (1, "u", "<p>one</p>", 9, "t")], "page_id long, url string, html string, n_chars int, text string")
+    assert by_key(html_text.extract(df).collect()) == by_key([(1, "u", "one", 3), (None, None, "", 0), (1, "u", "one", 3)])
+
+
 LONG = "The text of this page is long enough to be its content, by far, whatever else there is on it. " * 4
 
 
