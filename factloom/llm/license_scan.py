@@ -5,8 +5,9 @@ is one more. A notice may be wrapped: a sentence over several lines is a segment
 to RUN of its lines, as a notice may be part of a longer sentence. A line without letters and digits ends a
 sentence; comment marks aren't tokens, so they need no stripping. A segment's vector has tf * idf for each token; idf counts, over all files, how many hold the
 token. Tokens outside the templates weigh as tokens that no file holds. Each segment is compared with every
-template, and the best one at or over the threshold is the file's own licence: a title of a licence text before a notice,
-and a reservation of rights only where nothing else is found.
+template, and the best one at or over the threshold is the file's own licence: a title of a licence text before a clause that
+tells it from its like, that before a notice, and a reservation of rights only where nothing else is found. A segment's
+tokens are sorted, so that equal ones are counted in one pass: work grows with a text, not with its square.
 
 Only segments with a key token of some template are weighed. A template's key tokens are its heaviest ones,
 so many that the others alone are shorter than threshold times the template's vector: by Cauchy-Schwarz a
@@ -36,11 +37,19 @@ NOTICES = (
     ("GPL-2.0", "2", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "2", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
     ("GPL-2.0", "2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "3", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "3", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "3", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-3.0", "3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
     ("GPL-1.0", "1", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version"),
     ("LGPL-3.0", "3", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("LGPL-2.1", "2.1", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
     ("AGPL-3.0", "3", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("Zlib", "", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("Zlib", "", "Licensed under the zlib License."),
     ("BSD-3-Clause", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "3", "Licensed under the BSD 3-Clause License."),
     ("BSD-2-Clause", "2", "Licensed under the BSD 2-Clause License."),
@@ -54,6 +63,12 @@ NOTICES = (
     ("CC0-1.0", "1.0", "To the extent possible under law, the author has waived all copyright and related rights, CC0 1.0 Universal public domain dedication."),
     ("Unlicense", "", "This is free and unencumbered software released into the public domain."),
 )
+#: Fixed values: (..., rank): clauses that tell a licence from its like; one with all clauses of another, and more, ranks higher.
+CLAUSES = (
+    ("BSD-2-Clause", "", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", 2),
+    ("BSD-3-Clause", "", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", 3),
+    ("BSD-3-Clause", "", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.", 3),
+)
 #: Titles of licence texts; a title counts more than what the text says elsewhere of other licences.
 TITLES = (
     ("GPL-3.0", "3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -76,7 +91,7 @@ TITLES = (
 #: What is only taken where nothing else is found.
 LAST = (("Proprietary", "", "All rights reserved."),)
 #: (licence, version, text, rank): of templates that a file reaches, one of the highest rank, then the most similar, is its own.
-TEMPLATES = (*((*x, 1) for x in NOTICES), *((*x, 2) for x in TITLES), *((*x, 0) for x in LAST))
+TEMPLATES = (*((*x, 1) for x in NOTICES), *CLAUSES, *((*x, 4) for x in TITLES), *((*x, 0) for x in LAST))
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 SEGMENT_END = r"\n|(?<=[.!?;])\s+"
 SENTENCE_END = r"\n[^\p{L}\p{N}\n]*(?=\n)|(?<=[.!?])\s+"
@@ -125,13 +140,18 @@ def _best(segment: Column, idf: dict[str, float], unseen: float, vectors: list[d
     zero = F.array(*(F.lit(0.0) for _ in range(len(vectors) + 1)))
 
     def of(tokens: Column) -> Column:
-        def add(acc: Column, t: Column) -> Column:
-            tf = F.size(F.filter(tokens, lambda u: u == t)).cast("double")
+        def counted(sums: Column, t: Column, tf: Column) -> Column:
             w = F.coalesce(F.try_element_at(weights, t), F.array(F.lit(unseen), *(F.lit(0.0) for _ in vectors)))
             # first the squared norm, then the products with the templates
-            return F.transform(w, lambda x, i: F.get(acc, i) + tf * x * F.when(i == 0, tf * x).otherwise(F.lit(1.0)))
+            return F.transform(w, lambda x, i: F.get(sums, i) + tf * x * F.when(i == 0, tf * x).otherwise(F.lit(1.0)))
+
+        def add(acc: Column, t: Column) -> Column:
+            same = acc["t"] == t
+            return F.struct(t.alias("t"), F.when(same, acc["tf"] + 1.0).otherwise(F.lit(1.0)).alias("tf"), F.when(same, acc["sums"]).otherwise(counted(acc["sums"], acc["t"], acc["tf"])).alias("sums"))
 
-        total = F.aggregate(F.array_distinct(tokens), zero, add)
+        # equal tokens follow each other; what comes after the last one counts it, and what came before the first counted nothing
+        start = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("tf"), zero.alias("sums"))
+        total = F.aggregate(F.array_append(F.sort_array(tokens), F.lit("~")), start, add, lambda acc: acc["sums"])
         named = F.array_append(tokens, F.lit(""))
 
         def told(s: Column) -> Column:

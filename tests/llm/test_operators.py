@@ -765,6 +765,24 @@ def test_licence_files_get_their_own_licence(spark):
     assert {p: w for p, w in found.items() if w} == wanted
 
 
+def test_licences_that_are_like_others(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    two = "Copyright (c) 2020, A. Person\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    three = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".\n'
+    zlib_text = "This software is provided 'as-is', without any express or implied\nwarranty.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented.\n\nAll rights reserved.\n"
+    files = {"AGPL-3.0": gnu.format("Affero"), "LGPL-3.0": gnu.format("Lesser"), "GPL-3.0": gnu.format("").replace("GNU  ", "GNU "), "BSD-2-Clause": two + end, "BSD-3-Clause": two + three + end, "Zlib": zlib_text}
+    df = spark.createDataFrame([(f"{k}/LICENSE", v) for k, v in files.items()], "path string, text string")
+    assert {r.path: r.own_license for r in license_scan.own_licenses(df).collect()} == {f"{k}/LICENSE": k for k in files}
+
+
+def test_a_licence_file_of_a_megabyte(spark):
+    long = " ".join(f"w{i}" for i in range(150_000)) + "\nReleased under the MIT License.\n"
+    assert len(long) > 1_000_000
+    df = spark.createDataFrame([("a/LICENSE", long), ("b/LICENSE", "free " * 200_000)], "path string, text string")
+    assert {r.path: r.own_license for r in license_scan.own_licenses(df).collect()} == {"a/LICENSE": "MIT", "b/LICENSE": None}
+
+
 def test_similarity_is_the_cosine(spark):
     rng = random.Random(17)
     tokens_of = lambda x: re.findall(license_scan.TOKEN, x.lower())
