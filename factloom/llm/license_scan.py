@@ -16,6 +16,7 @@ segment without any of them stays under the threshold, so nothing is lost.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -136,12 +137,14 @@ def _best(segment: Column, idf: dict[str, float], unseen: float, vectors: list[d
     # the version as it may be written; without one, the empty token, which is added to every segment
     versions = F.array(*(F.array(*map(F.lit, {v, f"{v}.0", f"v{v}"} if v else {""})) for _, v, _, _ in TEMPLATES))
     vocabulary = sorted(idf)
-    weights = F.create_map(*(y for t in vocabulary for y in (F.lit(t), F.array(F.lit(idf[t]), *(F.lit(idf[t] * v.get(t, 0.0)) for v in vectors)))))
-    zero = F.array(*(F.lit(0.0) for _ in range(len(vectors) + 1)))
+    # one constant, not an expression for each number: the plan stays small
+    weights = F.from_json(F.lit(json.dumps({t: [idf[t], *(idf[t] * v.get(t, 0.0) for v in vectors)] for t in vocabulary})), "map<string,array<double>>")
+    zero = F.array_repeat(F.lit(0.0), len(vectors) + 1)
+    none = F.from_json(F.lit(json.dumps([unseen] + [0.0] * len(vectors))), "array<double>")
 
     def of(tokens: Column) -> Column:
         def counted(sums: Column, t: Column, tf: Column) -> Column:
-            w = F.coalesce(F.try_element_at(weights, t), F.array(F.lit(unseen), *(F.lit(0.0) for _ in vectors)))
+            w = F.coalesce(F.try_element_at(weights, t), none)
             # first the squared norm, then the products with the templates
             return F.transform(w, lambda x, i: F.get(sums, i) + tf * x * F.when(i == 0, tf * x).otherwise(F.lit(1.0)))
 
