@@ -7,6 +7,7 @@ import os
 import re
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shared import fresh_path
@@ -17,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_if_any(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """The named table of an input folder, or None where the folder has none."""
+    try:
+        return table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a written Parquet table in the shared folder, reread.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, decontam, html_text, license_scan, lm, manifest, minhash, packing, periodic, quality, substring, suffix_dedup, warc
-from .common import bounded_batches, table, written
+from .common import bounded_batches, table, table_if_any, written
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and the verdict of the quality rules for every document."""
-    out = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = quality.judged(table(spark, sf_dir, "documents"), keep=["doc_id"], labels=table_if_any(spark, sf_dir, "labels"))
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_quality")
 
 

@@ -199,6 +199,80 @@ def test_insulting_texts_are_rejected_and_their_like_are_kept(spark):
     assert kept == set(range(300)) - rude
 
 
+def test_labels_teach_insults_of_any_language(spark):
+    rng = random.Random(13)
+    plain = "the of and to in is that it house tree river mountain walks slowly under bright stars near old bridges".split()
+    text = lambda: [rng.choice(plain) for _ in range(90)]
+    docs, labels, toxic, junk = [], [], set(), set()
+    for i in range(600):
+        w = text()
+        if i % 8 == 0:
+            w[5:5] = ["Schafsköpfiger,", "(schafsköpfige)", "bobosco!"]
+            toxic.add(i)
+        elif i % 8 == 1:
+            w = [f"x{j}### y{j}$$$" for j in range(40 + i % 30)]
+            junk.add(i)
+        docs.append((i, " ".join(w) + "."))
+        if i % 3:
+            labels.append((i, int(i not in junk), int(i in toxic)))
+    labels += [(None, 1, 1), (7, None, 0), (9, 1, None), (100_000, 1, 1)]
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality.judged(frame(spark, docs), labels=given)
+    assert {r.doc_id for r in out.where("kept").select("row.doc_id").collect()} == set(range(600)) - toxic - junk
+    assert set(quality.toxic_stems(frame(spark, docs), quality.labelled_sample(given))) == {"schafs", "schafskö", "bobosc", "bobosco"}
+    assert quality.labelled_sample(given, 50).count() == 50
+    # few labels still bound the estimate; none at all are as if not given
+    none = spark.createDataFrame([(None, 1, 1), (3, None, None)], given.schema)
+    a, b = (x.select("row.doc_id", "kept", F.round("p_quality", 9).alias("p")).collect() for x in (quality.judged(frame(spark, docs), labels=none), quality.judged(frame(spark, docs))))
+    assert by_key(a) == by_key(b)
+
+
+def test_expectation_maximisation_with_labels(spark):
+    rng = random.Random(3)
+    rows = Counter()
+    for _ in range(400):
+        k = rng.choice([1, 1, 1, 0, 2])
+        votes = tuple(None if r == "insults" and k != 2 else rng.choice([1, 1, None]) if k != 0 and r in quality.TWO_SIDED else rng.choice([0, 0, None]) if k == 0 or (r == "insults" and k == 2) else None for r in quality.RULES)
+        rows[votes, rng.choice([k, None])] += 1
+    df = spark.createDataFrame([(*v, k, n) for (v, k), n in rows.items()], ", ".join(f"{r} int" for r in quality.RULES) + ", label int, n long")
+    model = quality.fit(df, rounds=5, tolerance=0.0)
+    classes = (quality.GOOD, quality.BAD, quality.TOXIC)
+    first = quality._start(classes)
+    want = first
+
+    def weights(m, votes):
+        rest = 1 - m["prior"]
+        out = {1: m["prior"], 0: rest * (1 - m["toxic"]), 2: rest * m["toxic"]}
+        odds = {}
+        for k in (0, 2):
+            odds[k] = out[k] / out[1]
+            for r, v in zip(quality.RULES, votes, strict=True):
+                g, b = m[r][1][quality.SAYS.index(v)], m[r][k][quality.SAYS.index(v)]
+                odds[k] *= b / g if g > 0 and b > 0 else 1.0
+        total = 1 + sum(odds.values())
+        return {1: 1 / total, 0: odds[0] / total, 2: odds[2] / total}
+
+    for _ in range(5):
+        part = {(v, k): weights(want, v) if k is None else {c: float(c == k) for c in classes} for v, k in rows}
+        of = {c: sum(n * part[x][c] for x, n in rows.items()) for c in classes}
+        n = sum(rows.values())
+        new = {"prior": min(0.98, max(0.3, of[1] / n)), "toxic": of[2] / (n - of[1])}
+        for j, r in enumerate(quality.RULES):
+            says = {c: [sum(n * part[x][c] for x, n in rows.items() if x[0][j] == s) + 20 * first[r][c][i] for i, s in enumerate(quality.SAYS)] for c in classes}
+            says = {c: [x / sum(y) for x in y] for c, y in says.items()}
+            g, b = says[1], says[0]
+            if g[1] > b[1]:
+                g[1] = b[1] = (g[1] + b[1]) / 2
+            if g[0] < b[0]:
+                g[0] = b[0] = (g[0] + b[0]) / 2
+            new[r] = {c: tuple(x) for c, x in says.items()}
+        want = new
+    assert model["prior"] == pytest.approx(want["prior"], abs=1e-9) and model["toxic"] == pytest.approx(want["toxic"], abs=1e-9)
+    for r in quality.RULES:
+        for c in classes:
+            assert model[r][c] == pytest.approx(want[r][c], abs=1e-9)
+
+
 # --- 6: repeated bytes ----------------------------------------------------------------------------------
 
 
