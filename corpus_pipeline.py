@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.llm import decontam, minhash, packing, quality, substring
-from factloom.llm.common import table, written
+from factloom.llm.common import table, table_if_any, written
 
 #: Shingles of five words and a similarity of 0.8, as for every near-duplicate stage.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Null and empty texts go, repeated rows stay or go each."""
-    return quality.judged(docs).where("kept").select("row.*")
+    """Documents that the quality rules keep, held to `labels` where the folder has them. Null and empty texts go, repeated rows stay or go each."""
+    return quality.judged(docs, labels=table_if_any(spark, sf_dir, "labels")).where("kept").select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
