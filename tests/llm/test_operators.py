@@ -385,6 +385,38 @@ def test_recall_of_edited_passages(spark):
     assert not {i for i in found if i < 10_000}
 
 
+@pytest.mark.parametrize("percent", [15, 20])
+def test_recall_of_passages_near_the_threshold(spark, percent):
+    rng = random.Random(percent)
+    text = lambda n: [f"v{rng.randrange(20000)}" for _ in range(n)]
+    rows = []
+    for i in range(150):
+        passage = text(70)
+        rows.append((i, " ".join(text(40) + passage + text(40))))
+        for at in rng.sample(range(70), 70 * percent // 100):
+            passage[at] = f"e{rng.randrange(10**6)}"
+        rows.append((1000 + i, " ".join(text(40) + passage + text(40))))
+    found = {r.doc_id for r in substring.passages(frame(spark, rows)).where(F.size("spans") > 0).select("row.doc_id").collect()}
+    assert len(found) >= 0.85 * 150 and min(found) >= 1000
+
+
+def test_passages_of_lines_that_many_earlier_documents_hold(spark):
+    rng = random.Random(4)
+    text = lambda n: [f"v{rng.randrange(20000)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        lines = [text(14) for _ in range(5)]
+        rows += [(len(rows), " ".join(text(40) + x + text(40))) for x in lines for _ in range(4)]
+        rows.append((len(rows), " ".join(text(40) + sum(lines, []) + text(40))))
+    for n, i in enumerate(range(20, len(rows), 21)):  # each passage again, with three other words
+        passage = rows[i][1].split()[40:110]
+        for at in rng.sample(range(70), 3):
+            passage[at] = "other"
+        rows.append((10_000 + n, " ".join(text(40) + passage + text(40))))
+    found = {r.doc_id for r in substring.passages(frame(spark, rows)).where(F.size("spans") > 0).select("row.doc_id").collect()}
+    assert len(found) >= 0.8 * 60 and min(found) >= 10_000
+
+
 def best_chain(x, y, k, gap):
     """Score of the best chain, all predecessors tried."""
     score = []
