@@ -96,9 +96,13 @@ _add("a4_icf_entries", lambda s, d: V.icf_entries(_sql(s, d, _LN, "lineitem")),
      y AS (SELECT *, {', '.join(map(_H, (1, 2, 3, 4, 5)))} FROM x WINDOW w AS (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING))
      SELECT file, line_no, h1 AS unit, CASE WHEN l2 > greatest(coalesce(l1, -1), coalesce(l5, -1)) THEN h2 END AS operation, CASE WHEN l3 > greatest(coalesce(l1, -1), coalesce(l2, -1), coalesce(l5, -1)) THEN h3 END AS journal,
      CASE WHEN l4 > greatest(coalesce(l1, -1), coalesce(l2, -1), coalesce(l3, -1), coalesce(l5, -1)) AND h4 <> '' THEN h4 END AS grp, trim(line[:instr(line, '=') - 1]) AS key, trim(line[instr(line, '=') + 1:]) AS value FROM y WHERE contains(line, '=') AND NOT starts_with(line, ';')""")
-_IE = "SELECT p_partkey AS id, p_brand AS program, CASE p_size % 5 WHEN 0 THEN 'X::.' WHEN 1 THEN 'plain' WHEN 2 THEN 'F::' || p_brand || ':A.' || p_name WHEN 3 THEN 'T::' || lower(p_brand) || ':a.' || p_type ELSE 'F::Other:q' END AS value FROM part"
-_add("g5_icf_validate", lambda s, d: V.icf_validate(_sql(s, d, _IE, "part"), _sql(s, d, "SELECT DISTINCT 'a.' || upper(p_name) AS path FROM part WHERE p_size > 20", "part")), f"SELECT id, CASE p_size % 5 WHEN 0 THEN 'placeholder' WHEN 1 THEN 'unparseable' WHEN 4 THEN 'program_mismatch' WHEN 3 THEN 'unresolved_path' ELSE CASE WHEN p_name IN (SELECT p_name FROM part WHERE p_size > 20) THEN 'valid' ELSE 'unresolved_path' END END AS status FROM (SELECT *, p_partkey AS id FROM part)")
-_add("g6_icf_context_check", lambda s, d: V.icf_context_check(_sql(s, d, "SELECT p_partkey AS id, p_type AS unit, CASE WHEN p_size % 2 = 0 THEN 'a.' || lower(p_type) ELSE 'a.x' || p_type END AS path FROM part", "part")), "SELECT p_partkey AS id FROM part WHERE p_size % 2 = 1")
+_IE = "SELECT p_partkey AS id, p_brand AS program, CASE p_size % 8 WHEN 0 THEN 'X::.' WHEN 1 THEN 'plain' WHEN 2 THEN 'F::' || p_brand || ':A.' || p_type WHEN 3 THEN lower(p_brand) || ':a.' || p_type || '.F1' WHEN 4 THEN 'T::' || p_brand || ':A.' || p_type || '.f1.x' WHEN 5 THEN 'T::' || p_brand || ':a.' || p_type || '.f1.y.z' WHEN 6 THEN p_brand || ':b.' || p_type ELSE 'F::Other:q' END AS value FROM part"
+_IS = "SELECT DISTINCT 'a.' || upper(p_type) AS path, CASE WHEN p_type < 'M' THEN 'Rec' ELSE 'real' END AS datatype FROM part WHERE p_type < 'S'"
+_IR = "SELECT DISTINCT 'rec' AS record_key, 'f1' AS field, 'Pair' AS datatype FROM part UNION ALL SELECT DISTINCT 'PAIR', 'X', 'real' FROM part"
+_add("g5_icf_validate", lambda s, d: V.icf_validate(_sql(s, d, _IE, "part"), _sql(s, d, _IS, "part"), _sql(s, d, _IR, "part")), "SELECT p_partkey AS id, CASE p_size % 8 WHEN 0 THEN 'placeholder' WHEN 1 THEN 'unparseable' WHEN 7 THEN 'program_mismatch' WHEN 6 THEN 'unresolved_path' ELSE CASE WHEN p_type >= 'S' THEN 'unresolved_path' WHEN p_size % 8 = 2 OR p_type < 'M' AND p_size % 8 < 5 THEN 'valid' ELSE 'invalid_field' END END AS status FROM part")
+_CT = "SELECT p_partkey AS id, CASE WHEN p_size % 11 > 0 THEN p_type END AS unit, CASE p_size % 3 WHEN 0 THEN 'JournalData' WHEN 1 THEN 'other' END AS grp, CASE WHEN p_partkey % 2 = 0 THEN 'Opr_Id' ELSE 'cycle' END AS key, CASE WHEN p_size % 2 = 0 THEN 'a.' || lower(p_type) ELSE 'a.x' || p_type END || CASE p_partkey % 5 WHEN 0 THEN '.T.OPR_ID' WHEN 1 THEN '.my_T.opr_id' WHEN 2 THEN '.S.old_CYCLE' ELSE '.q' END AS path FROM part"
+_SU = "SELECT DISTINCT 'journaldata' AS grp, 'OPR_ID' AS key, 't.OPR_ID' AS suffix FROM part UNION ALL SELECT DISTINCT 'JOURNALDATA', 'cycle', 'T.CYCLE' FROM part UNION ALL SELECT DISTINCT 'JOURNALDATA', 'cycle', 's.CYCLE' FROM part"
+_add("g6_icf_context_check", lambda s, d: V.icf_context_check(_sql(s, d, _CT, "part"), _sql(s, d, _SU, "part")), "SELECT p_partkey AS id, 'unit_mismatch' AS issue FROM part WHERE p_size % 2 = 1 AND p_size % 11 > 0 UNION ALL SELECT p_partkey, 'group_mismatch' FROM part WHERE p_size % 3 = 0 AND NOT CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 IN (0, 1) ELSE p_partkey % 5 = 2 END")
 _add("g7_icf_case_mismatch", lambda s, d: V.icf_case_mismatch(_sql(s, d, "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_name ELSE upper(p_name) END AS path FROM part", "part"), _sql(s, d, "SELECT p_name AS path FROM part WHERE p_size > 10", "part")), "SELECT p_partkey AS id, upper(p_name) AS path, p_name AS spelled FROM part WHERE p_size % 2 = 1 AND p_name IN (SELECT p_name FROM part WHERE p_size > 10)")
 _add("g8_icf_mixed_prefix", lambda s, d: V.icf_mixed_prefix(_sql(s, d, "SELECT p_name AS file, CASE WHEN p_size % 9 = 0 THEN 'T' ELSE 'f' END || '::P:x' AS value FROM part", "part")), "SELECT p_name AS file, 'F,T' AS prefixes FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 9 = 0) = 2")
 _PR = "SELECT p_brand AS record, p_type || CASE WHEN p_size % 2 = 0 THEN '.x' ELSE '' END AS field FROM part WHERE p_size > 40"

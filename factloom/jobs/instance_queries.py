@@ -85,7 +85,16 @@ _MET = f"""rules AS ({_RU}), named AS (SELECT *, CASE WHEN module_kind = 'module
  AND CASE WHEN r.module_kind = 'moduletype' THEN lower(r.moduletype_name) = lower(e.moduletype_name) WHEN coalesce(r.unit_structure_path, '') <> '' OR coalesce(r.equipment_module_structure_path, '') <> '' OR coalesce(r.relative_module_path, '') <> '' OR coalesce(r.module_name, '') = '' THEN true ELSE lower(r.module_name) = lower(e.module_name) END)"""
 _add("d12_graphics_rules_check", lambda s, d: I.graphics_rules_check(_sql(s, d, _EN), _sql(s, d, _EV), _rules(s, d), _expect(s, d)), f"WITH {_MET} SELECT item, name AS rule, field, expected, actual FROM met JOIN ({_EX}) USING (rule) LEFT JOIN ({_EV}) USING (item, field) WHERE actual IS DISTINCT FROM expected")
 _add("d12_unmatched_rules", lambda s, d: I.unmatched_rules(_sql(s, d, _EN), _rules(s, d)), f"WITH {_MET} SELECT DISTINCT name AS rule FROM named WHERE name NOT IN (SELECT name FROM met)")
-_add("d13_layout_drift", lambda s, d: I.layout_drift(_sql(s, d, "SELECT p_brand || p_type AS kind, p_size % 2 AS w, p_partkey % 3 AS h, 1 AS z FROM part").select("kind", *(c(x).cast("string").alias(x) for x in "whz")), ["w", "h", "z"]), "SELECT kind, field, count(DISTINCT value) AS variants FROM (UNPIVOT (SELECT p_brand || p_type AS kind, cast(p_size % 2 AS string) AS w, cast(p_partkey % 3 AS string) AS h, '1' AS z FROM part) ON w, h, z INTO NAME field VALUE value) GROUP BY ALL HAVING variants >= 2")
+_LD = "SELECT CASE WHEN p_size % 9 = 0 THEN 'basepicture' ELSE p_type END AS kind, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE upper(p_brand) END AS name, cast(p_size % 2 AS string) AS w, CASE WHEN p_partkey % 40 > 0 THEN '5' END AS h, '1' AS z FROM part"
+_add("d13_layout_drift", lambda s, d: I.layout_drift(_sql(s, d, _LD), ["w", "h", "z"]), f"SELECT kind, lower(name) AS name, count(*) AS entries, field, count(DISTINCT coalesce(value, '-')) AS variants FROM (SELECT kind, name, unnest(['w', 'h', 'z']) AS field, unnest([w, h, z]) AS value FROM ({_LD}) WHERE kind <> 'basepicture') GROUP BY 1, 2, 4 HAVING variants >= 2")
+_IN = "SELECT p_type AS moduletype, 'i' || cast(p_partkey AS string) AS instance, CASE WHEN p_size % 3 = 0 THEN 'Control' ELSE p_name END AS name FROM part"
+_IV = "SELECT 'i' || cast(p_partkey AS string) AS instance, CASE WHEN p_size % 2 = 0 THEN 'Max_Try' ELSE 'UseSignature' END AS parameter, CASE p_size % 5 WHEN 0 THEN NULL ELSE cast(p_size % 3 * 10 AS string) END AS value, CASE p_size % 5 WHEN 0 THEN CASE WHEN p_size % 4 = 0 THEN 'unresolved_mapping' ELSE 'unknown' END ELSE 'resolved' END AS status FROM part"
+_NM = "SELECT DISTINCT upper(p_type) AS moduletype, 'Control' AS name FROM part WHERE p_type < 'M'"
+_PM = "SELECT DISTINCT lower(p_type) AS moduletype, 'MAX_TRY' AS parameter, '10' AS value, true AS allowed FROM part WHERE p_type < 'P' UNION ALL SELECT DISTINCT p_type, 'useSignature', '20', false FROM part"
+_add("d11_instance_rules", lambda s, d: I.instance_rules(_sql(s, d, _IN), _sql(s, d, _IV), _sql(s, d, _NM), _sql(s, d, _PM)),
+     f"""WITH i AS ({_IN}), v AS ({_IV}), p AS ({_PM}) SELECT instance, 'name' AS rule, 'Control' AS expected, name AS actual FROM i WHERE moduletype < 'M' AND name <> 'Control'
+     UNION ALL SELECT i.instance, 'MAX_TRY', '10', v.value FROM i LEFT JOIN v ON v.instance = i.instance AND v.parameter = 'Max_Try' WHERE moduletype < 'P' AND CASE WHEN status = 'resolved' THEN v.value <> '10' ELSE status IS DISTINCT FROM 'unresolved_mapping' END
+     UNION ALL SELECT i.instance, 'useSignature', '20', v.value FROM i JOIN v ON v.instance = i.instance AND v.parameter = 'UseSignature' WHERE status = 'resolved' AND v.value = '20'""")
 _add("d14_layout_overlaps", lambda s, d: I.layout_overlaps(fact(s, d, "placements")), _F("SELECT a.container, a.item, b.item AS other FROM placements a JOIN placements b ON a.container = b.container AND a.item < b.item AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND a.layer = b.layer", "placements"))
 # modules within modules, each invocation scaled, one in three clipped
 _PL = """SELECT p_partkey AS item, CASE WHEN p_partkey >= 8 THEN p_partkey // 8 END AS container, CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_brand END AS layer, cast(p_partkey % 8 * 3 AS double) / 4 AS x, cast(p_size % 16 AS double) / 8 AS y,

@@ -112,7 +112,9 @@ _add("e19_step_contracts", lambda s, d: L.step_contracts(_sql(s, d, _SC, "lineit
 _RS = "SELECT l_suppkey AS sequence, l_linenumber AS path_id, 'v' || cast(l_partkey % 20 AS string) AS var_key, l_tax > 0.04 AS value FROM lineitem"
 # what reset paths write: nothing in sequences 1 to 9, else a variable or the one before it
 _RR = "SELECT l_suppkey AS sequence, l_linenumber % 3 AS path_id, 'v' || cast((l_partkey - CASE WHEN l_tax > 0.07 THEN 1 ELSE 0 END) % 20 AS string) AS var_key FROM lineitem WHERE l_suppkey > 9"
-_add("e20_reset_contamination", lambda s, d: L.reset_contamination(_sql(s, d, _RS, "lineitem"), _sql(s, d, _RR, "lineitem")), f"WITH r AS ({_RR}) SELECT sequence, var_key FROM (SELECT DISTINCT sequence, var_key FROM ({_RS})) LEFT JOIN (SELECT sequence, count(DISTINCT path_id) AS total FROM r GROUP BY 1) USING (sequence) LEFT JOIN (SELECT sequence, var_key, count(DISTINCT path_id) AS hit FROM r GROUP BY ALL) USING (sequence, var_key) WHERE total IS NULL OR coalesce(hit, 0) < total")
+_RF = "SELECT DISTINCT l_suppkey AS sequence FROM lineitem WHERE l_suppkey % 7 > 0"
+_KO = "SELECT DISTINCT l_suppkey AS sequence, 'v' || cast(l_partkey % 20 AS string) AS var_key FROM lineitem WHERE l_partkey % 20 = l_suppkey % 20"
+_add("e20_reset_contamination", lambda s, d: L.reset_contamination(_sql(s, d, _RS, "lineitem"), _sql(s, d, _RR, "lineitem"), _sql(s, d, _RF, "lineitem"), _sql(s, d, _KO, "lineitem")), f"WITH r AS ({_RR}), k AS ({_KO}) SELECT sequence, var_key FROM (SELECT DISTINCT sequence, var_key FROM ({_RS})) x LEFT JOIN (SELECT sequence, count(DISTINCT path_id) AS total FROM r GROUP BY 1) USING (sequence) LEFT JOIN (SELECT sequence, var_key, count(DISTINCT path_id) AS hit FROM r GROUP BY ALL) USING (sequence, var_key) WHERE (total IS NULL OR coalesce(hit, 0) < total) AND sequence % 7 > 0 AND NOT EXISTS (SELECT 1 FROM k WHERE k.sequence = x.sequence AND k.var_key = x.var_key)")
 _AL = "SELECT l_suppkey AS sequence, l_linenumber + 10 * (l_suppkey % 2) AS path_id FROM lineitem UNION ALL SELECT l_suppkey, l_linenumber FROM lineitem"
 _add("e21_implicit_latch", lambda s, d: L.implicit_latch(_sql(s, d, _RS, "lineitem"), _sql(s, d, _AL, "lineitem")), f"SELECT sequence, var_key FROM (SELECT sequence, var_key, count(DISTINCT CASE WHEN NOT value THEN path_id END) + count(DISTINCT CASE WHEN value THEN path_id END) AS n, bool_or(value) AS t FROM ({_RS}) GROUP BY ALL) JOIN (SELECT sequence, count(DISTINCT path_id) AS total FROM ({_AL}) GROUP BY 1) USING (sequence) WHERE t AND n < total")
 _CO = "SELECT l_orderkey AS condition, l_suppkey % 5 AS key, CASE WHEN l_returnflag = 'R' THEN '<>' ELSE '=' END AS op, l_partkey % 3 AS value FROM lineitem"

@@ -70,6 +70,11 @@ _add("i1_operation_summary", lambda s, d: T.operation_summary(_te(s, d)), _T("SE
 _maps = lambda s, d: _te(s, d).where("operation is not null").select("id", F.create_map(c("operation"), c("duration").cast("double"), F.lit("total"), c("duration").cast("double") * (c("id") % 2), F.lit("zz"), F.lit(3.0)).alias("timings"))
 _ML = "(SELECT id, unnest([operation, 'total', 'zz']) AS name, unnest([cast(duration AS double), cast(duration AS double) * (id % 2), 3.0]) AS ms FROM telemetry WHERE operation IS NOT NULL)"
 _add("i2_named_timings", lambda s, d: T.named_timings(_maps(s, d)), _T(f"SELECT name, count(*) AS n, round(sum(ms), 3) AS total_ms, max(ms) AS max_ms FROM {_ML} GROUP BY 1"))
+_PH = "SELECT id, 'phase' || cast(id % 6 AS string) AS p1, CASE WHEN id % 4 > 0 THEN 'load' END AS p2, CASE WHEN id % 9 = 0 THEN 'n/a' ELSE duration END AS d1, '-' || duration AS d2, coalesce(operation, 'none') AS a FROM telemetry"
+_phases = lambda s, d: s.sql(_PH.replace("FROM telemetry", "FROM {telemetry}"), telemetry=_te(s, d)).withColumn("x", F.array(*(F.struct(c(f"p{k}").alias("phase"), c(f"d{k}").alias("duration_ms")) for k in (1, 2))))
+_PL = f"SELECT p1 AS p, try_cast(d1 AS double) AS ms, a FROM ({_PH}) UNION ALL SELECT p2, 0.0, a FROM ({_PH})"
+_add("i2_phase_timings", lambda s, d: T.named_timings(_phases(s, d), "x"), _T(f"SELECT p AS name, count(*) AS n, round(sum(round_even(ms, 3)), 3) AS total_ms, max(round_even(ms, 3)) AS max_ms FROM ({_PL}) WHERE p IS NOT NULL AND ms IS NOT NULL GROUP BY 1"))
+_add("i2_analyzer_phase_timings", lambda s, d: T.named_timings(_phases(s, d).withColumn("m", F.create_map("a", "x")), "m"), _T(f"SELECT a || ':' || p AS name, count(*) AS n, round(sum(round_even(ms, 3)), 3) AS total_ms, max(round_even(ms, 3)) AS max_ms FROM ({_PL}) WHERE p IS NOT NULL AND ms IS NOT NULL GROUP BY 1"))
 _add("i3_bottleneck", lambda s, d: T.bottleneck(_maps(s, d)), _T(f"SELECT id, name, ms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ms DESC, name DESC) AS r FROM {_ML}) WHERE r = 1"))
 _add("i4_analyzer_bottlenecks", lambda s, d: T.analyzer_bottlenecks(_te(s, d).where("operation is not null").select(c("operation").alias("analyzer"), (c("id") % 5).alias("issues"), c("duration").cast("double").alias("ms"))), _T("SELECT operation AS analyzer, count(*) AS entries, cast(sum(id % 5) AS bigint) AS issues, round(sum(cast(duration AS double)), 3) AS total_ms, max(cast(duration AS double)) AS max_ms, round(avg(cast(duration AS double)), 3) AS avg_ms FROM telemetry WHERE operation IS NOT NULL GROUP BY 1"))
 _add("i5_phase_spans", lambda s, d: T.phase_spans(_te(s, d).select((c("id") % 500).alias("phase"), (c("id") % 7 * c("duration").cast("double")).alias("offset_ms"))), _T("SELECT phase, span_ms, span_ms >= 25 AS slow, span_ms > 50 AS over_budget FROM (SELECT id % 500 AS phase, round(max(id % 7 * cast(duration AS double)) - min(id % 7 * cast(duration AS double)), 3) AS span_ms FROM telemetry GROUP BY 1)"))

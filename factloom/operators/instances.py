@@ -155,10 +155,31 @@ def unmatched_rules(entries: DataFrame, rules: DataFrame) -> DataFrame:
     return named.select("name").distinct().join(met, "name", "left_anti").select(c("name").alias("rule"))
 
 
+def instance_rules(instances: DataFrame, values: DataFrame, names: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(instance, rule, expected, actual) of instances that break a rule of their type.
+
+    instances: (moduletype, instance, name); values: resolve_parameter_values' rows; names: (moduletype, name): the exact name, case
+    included, that its instances have, rule name; parameters: (moduletype, parameter, value, allowed): the value that a
+    parameter has to have, or with allowed false must not have. A required parameter without a value breaks its rule (actual
+    null); one that must not have a value may have none, and one that no one can tell (unresolved_mapping) breaks neither.
+    Types and parameters are compared without regard to case.
+    """
+    low = lambda df: df.withColumn("type", F.lower("moduletype"))
+    wrong = low(instances).join(low(names).select("type", c("name").alias("expected")), "type").where("name <> expected").select("instance", F.lit("name").alias("rule"), "expected", c("name").alias("actual"))
+    asked = low(instances).select("type", "instance").join(low(parameters).select("type", F.lower("parameter").alias("key"), "parameter", c("value").alias("expected"), "allowed"), "type")
+    x = asked.join(values.select("instance", F.lower("parameter").alias("key"), c("value").alias("actual"), "status"), ["instance", "key"], "left")
+    same = c("actual").eqNullSafe(c("expected"))
+    known = F.coalesce(c("status") == "resolved", F.lit(False))
+    breaks = F.when(c("allowed"), (known & ~same) | (~known & ~F.coalesce(c("status") == "unresolved_mapping", F.lit(False)))).otherwise(known & same)
+    return wrong.unionByName(x.where(breaks).select("instance", c("parameter").alias("rule"), "expected", "actual"))
+
+
 def layout_drift(items: DataFrame, fields: list[str]) -> DataFrame:
-    """(kind, field, variants) of fields that differ between items of one kind."""
-    long = items.unpivot(["kind"], fields, "field", "value")
-    return long.groupBy("kind", "field").agg(F.count_distinct("value").alias("variants")).where("variants >= 2")
+    """(kind, name, entries, field, variants) of layout fields that differ between modules of one kind and name. items: (kind, name, fields); base pictures are left out, a missing value is a value."""
+    i = items.where("kind <> 'basepicture'").withColumn("name", F.lower("name"))
+    long = i.select("kind", "name", *(c(x).cast("string").alias(x) for x in fields)).unpivot(["kind", "name"], fields, "field", "value")
+    n = F.count_distinct(F.struct("value"))
+    return long.groupBy("kind", "name", "field").agg(F.count("*").alias("entries"), n.alias("variants")).where("variants >= 2").select("kind", "name", "entries", "field", "variants")
 
 
 def layout_overlaps(p: DataFrame, cell: float = 16.0) -> DataFrame:

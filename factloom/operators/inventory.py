@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import icf_is_placeholder, icf_prefix, icf_ref, stripped, tag_family_key, tag_key
+from ..shared import stored
 
 c = F.col
 
@@ -63,17 +64,51 @@ def icf_entries(lines: DataFrame) -> DataFrame:
     return x.select("file", "line_no", held(1).alias("unit"), held(2).alias("operation"), held(3).alias("journal"), held(4).alias("grp"), key.alias("key"), value.alias("value"))
 
 
-def icf_validate(entries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(id, status), the first that fits: placeholder, unparseable, program_mismatch, unresolved_path, valid. entries: (id, program, value); symbols: (path)."""
-    x = entries.withColumn("r", icf_ref(c("value"))).withColumn("path", F.lower("r.path"))
-    x = x.join(symbols.select(F.lower("path").alias("path")).distinct().withColumn("known", F.lit(True)), "path", "left")
-    status = F.when(icf_is_placeholder(c("value")), "placeholder").when(c("r").isNull(), "unparseable").when(F.lower("r.program") != F.lower("program"), "program_mismatch").when(c("known").isNull(), "unresolved_path").otherwise("valid")
-    return x.select("id", status.alias("status"))
+def icf_validate(entries: DataFrame, symbols: DataFrame, record_fields: DataFrame) -> DataFrame:
+    """(id, status), the first that fits: placeholder, unparseable, program_mismatch, unresolved_path, invalid_field, valid.
 
-
-def icf_context_check(entries: DataFrame) -> DataFrame:
-    """(id) whose unit isn't a segment of the path. entries: (id, unit, path)."""
-    return entries.where(~F.array_contains(F.split(F.lower("path"), r"\."), F.lower("unit"))).select("id")
+    entries: (id, program, value); symbols: (path, datatype) of variables; record_fields: (record_key, field, datatype). A path
+    is resolved by the longest symbol that it begins with; what follows are fields, looked up a segment a round from the
+    symbol's type on. Names are compared without regard to case.
+    """
+    ref = icf_ref(c("value"))
+    early = F.when(icf_is_placeholder(c("value")), "placeholder").when(ref.isNull(), "unparseable").when(F.lower(ref["program"]) != F.lower("program"), "program_mismatch")
+    x = stored(entries.select("id", early.alias("status"), F.lower(ref["path"]).alias("path")), "references")
+    steps = F.split("path", r"\.")
+    open_ = x.where("status is null").select("id", "path")
+    up = open_.select("id", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(steps, F.lit(1), n), ".").alias("symbol")))).alias("u")).select("id", "path", "u.n", "u.symbol")
+    known = symbols.groupBy(F.lower("path").alias("symbol")).agg(F.min(F.lower("datatype")).alias("type"))
+    found = up.join(known, "symbol").groupBy("id", "path").agg(F.max(F.struct("n", "type")).alias("x"))
+    now = found.select("id", c("x.type").alias("type"), F.slice(steps, c("x.n") + 1, F.size(steps)).alias("way"))
+    field = record_fields.groupBy(F.lower("record_key").alias("type"), F.lower("field").alias("step")).agg(F.min(F.lower("datatype")).alias("next"))
+    now, told = stored(now, "fields"), None
+    while True:
+        done = now.where("size(way) = 0").select("id", F.lit("valid").alias("late"))
+        told = done if told is None else told.unionByName(done)
+        more = now.where("size(way) > 0")
+        if more.isEmpty():
+            break
+        on = more.withColumn("step", F.element_at("way", 1)).join(field, ["type", "step"], "left")
+        told = told.unionByName(on.where("next is null").select("id", F.lit("invalid_field").alias("late")))
+        now = stored(on.where("next is not null").select("id", c("next").alias("type"), F.slice("way", F.lit(2), F.size("way")).alias("way")), "fields")
+    return x.join(told, "id", "left").select("id", F.coalesce("status", "late", F.lit("unresolved_path")).alias("status"))
+
+
+def icf_context_check(entries: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(id, issue): unit_mismatch, an entry whose unit isn't a segment of its path; group_mismatch, one whose path ends with none of the suffixes of its group and key.
+
+    entries: (id, unit, grp, key, path); suffixes: (grp, key, suffix), dotted. A segment is a suffix's if it equals it or ends
+    with an underscore and it. Entries without a unit, or of a group and key without suffixes, are right. No regard to case.
+    """
+    steps = F.split(F.lower("path"), r"\.")
+    unit = entries.where("unit <> ''").where(~F.array_contains(steps, F.lower("unit"))).select("id", F.lit("unit_mismatch").alias("issue"))
+    low = lambda x: F.lower(x).alias(x)
+    asked = entries.select("id", low("grp"), low("key"), steps.alias("steps")).join(suffixes.select(low("grp"), low("key"), F.split(F.lower("suffix"), r"\.").alias("suffix")), ["grp", "key"])
+    n = F.size("suffix")
+    ends = F.slice("steps", F.greatest(F.size("steps") - n + 1, F.lit(1)), n)
+    fits = (F.size("steps") >= n) & F.forall(F.zip_with(ends, "suffix", lambda a, s: (a == s) | F.endswith(a, F.concat(F.lit("_"), s))), lambda x: x)
+    bad = asked.groupBy("id").agg(F.bool_or(fits).alias("any")).where("not any")
+    return unit.unionByName(bad.select("id", F.lit("group_mismatch").alias("issue")))
 
 
 def icf_case_mismatch(entries: DataFrame, symbols: DataFrame) -> DataFrame:

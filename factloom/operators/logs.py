@@ -271,11 +271,20 @@ def step_contracts(contracts: DataFrame, writes: DataFrame) -> DataFrame:
     return x.select("step", "var_key", "phase", F.coalesce(leaks, F.lit(False)).alias("leaked"))
 
 
-def reset_contamination(run: DataFrame, reset: DataFrame) -> DataFrame:
-    """(sequence, var_key) that a run path writes and not every reset path; all of them where there is no reset path. reset: (sequence, path_id, var_key)."""
+def reset_contamination(run: DataFrame, reset: DataFrame, referenced: DataFrame | None = None, kept_old: DataFrame | None = None) -> DataFrame:
+    """(sequence, var_key) that a run path writes and not every reset path; all of them where there is no reset path. run: (sequence, var_key); reset: (sequence, path_id, var_key).
+
+    referenced: (sequence) of the sequences whose .Reset anything refers to: only these are looked at. kept_old: (sequence,
+    var_key) that the reset branch keeps through :OLD: never reported.
+    """
     total = reset.groupBy("sequence").agg(F.count_distinct("path_id").alias("total"))
     hit = reset.groupBy("sequence", "var_key").agg(F.count_distinct("path_id").alias("hit"))
-    x = run.select("sequence", "var_key").distinct().join(total, "sequence", "left").join(hit, ["sequence", "var_key"], "left")
+    x = run.select("sequence", "var_key").distinct()
+    if referenced is not None:
+        x = x.join(referenced.select("sequence"), "sequence", "left_semi")
+    if kept_old is not None:
+        x = x.join(kept_old.select("sequence", "var_key"), ["sequence", "var_key"], "left_anti")
+    x = x.join(total, "sequence", "left").join(hit, ["sequence", "var_key"], "left")
     return x.where("total is null or coalesce(hit, 0) < total").select("sequence", "var_key")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalars import duration_ms, prompt_bucket
 
@@ -16,8 +16,21 @@ def operation_summary(telemetry: DataFrame) -> DataFrame:
 
 
 def named_timings(events: DataFrame, field: str = "timings") -> DataFrame:
-    """(name, n, total_ms, max_ms) over a map<string,double> column of timings."""
-    x = events.select(F.explode(field).alias("name", "ms")).where("ms is not null")
+    """(name, n, total_ms, max_ms) of the timings in a column; durations below 0 are 0, what is no number is left out.
+
+    field: map<string, number or text>; or a list of struct<phase, duration_ms>; or a map of such lists by analyzer, whose
+    names are analyzer:phase. Sums are rounded once, to three digits.
+    """
+    kind = events.schema[field].dataType
+    phases = lambda df: df.select(c("x.phase").alias("name"), c("x.duration_ms").cast("string").alias("ms"))
+    if isinstance(kind, T.ArrayType):
+        x = phases(events.select(F.explode(field).alias("x")))
+    elif isinstance(kind.valueType, T.ArrayType):
+        each = events.select(F.explode(field).alias("analyzer", "phases")).select("analyzer", F.explode("phases").alias("x"))
+        x = each.select(F.concat("analyzer", F.lit(":"), "x.phase").alias("name"), c("x.duration_ms").cast("string").alias("ms"))
+    else:
+        x = events.select(F.explode(field).alias("name", "ms")).withColumn("ms", c("ms").cast("string"))
+    x = x.withColumn("ms", duration_ms(c("ms"))).where("name is not null and ms is not null")
     return x.groupBy("name").agg(F.count("*").alias("n"), F.round(F.sum("ms"), 3).alias("total_ms"), F.max("ms").alias("max_ms"))
 
 
