@@ -64,13 +64,17 @@ _recursive = lambda sql, *n: with_facts("", *n).rstrip().replace("WITH ", "WITH
 _LEAVES = "SELECT var_key, leaf, type AS datatype FROM walk w WHERE done OR NOT EXISTS (SELECT 1 FROM rec r WHERE r.record_key = w.type)"
 _add("c1_expand_leaf_fields", lambda s, d: U.expand_leaf_fields(_D(s, d), _rec(s, d)), _recursive(_LEAVES, "declarations"))
 _FLD = "CASE field WHEN 'a' THEN 'f0' WHEN 'a.x' THEN 'f1.left0' WHEN 'a.y' THEN 'f1.left1' WHEN 'b' THEN 'f2' ELSE field END"
-_fields = lambda s, d: _A(s, d).withColumn("field", F.expr(_FLD)).where("field <> '' or literal > 48")
-_add("c6_field_asymmetry", lambda s, d: U.field_asymmetry(U.expand_leaf_fields(_D(s, d), _rec(s, d)), _fields(s, d)),
+# whole accesses with a low literal are told as accesses of a part, so that not every leaf is covered
+_FLD6 = f"CASE WHEN field = '' AND literal <= 48 THEN 'f1' ELSE {_FLD} END"
+_add("c6_field_asymmetry", lambda s, d: U.field_asymmetry(U.expand_leaf_fields(_D(s, d), _rec(s, d)), _A(s, d).withColumn("field", F.expr(_FLD6))),
      _recursive(f"""SELECT var_key, leaf, CASE WHEN r THEN 'read_never_written' ELSE 'written_never_read' END AS issue FROM (SELECT l.var_key, leaf, bool_or(kind = 'read') AS r, bool_or(kind = 'write') AS w
-     FROM ({_LEAVES}) l JOIN (SELECT var_key, {_FLD} AS field, kind FROM accesses WHERE {_FLD} <> '' OR literal > 48) a ON a.var_key = l.var_key AND (field = '' OR starts_with(leaf || '.', field || '.')) GROUP BY ALL) WHERE r <> w""", "declarations", "accesses"))
-_add("c7_unused_record_fields", lambda s, d: U.unused_record_fields(U.expand_leaf_fields(_D(s, d), _rec(s, d)).join(_D(s, d).select("var_key", F.concat("scope", F.lit("/"), "datatype").alias("record")), "var_key").select("record", "var_key", "leaf"), _fields(s, d).where("field <> '' and literal > 46 and var_key like '%3'")),
+     FROM ({_LEAVES}) l JOIN (SELECT DISTINCT var_key, {_FLD6} AS field, kind FROM accesses) a ON a.var_key = l.var_key AND (field = '' OR starts_with(leaf || '.', field || '.')) GROUP BY ALL) WHERE r <> w""", "declarations", "accesses"))
+# most accesses are of one field; a few records are accessed whole
+_FLD7 = f"CASE WHEN literal > 49 AND var_key LIKE '%77' THEN '' WHEN literal > 46 AND var_key LIKE '%3' AND field <> '' THEN {_FLD} ELSE 'f0' END"
+_of_record = lambda s, d: U.expand_leaf_fields(_D(s, d), _rec(s, d)).join(_D(s, d).select("var_key", F.concat("scope", F.lit("/"), "datatype").alias("record")), "var_key").select("record", "var_key", "leaf")
+_add("c7_unused_record_fields", lambda s, d: U.unused_record_fields(_of_record(s, d), _A(s, d).withColumn("field", F.expr(_FLD7))),
      _recursive(f"""SELECT DISTINCT record, leaf FROM (SELECT l.*, scope || '/' || d.datatype AS record FROM ({_LEAVES}) l JOIN declarations d USING (var_key)) x
-     WHERE record IN (SELECT scope || '/' || datatype FROM declarations JOIN a USING (var_key)) AND NOT EXISTS (SELECT 1 FROM a JOIN declarations e USING (var_key) WHERE e.scope || '/' || e.datatype = x.record AND starts_with(x.leaf || '.', a.field || '.'))""", "declarations", "accesses").replace("WITH RECURSIVE ", f"WITH RECURSIVE ", 1).replace(", rec AS", f", a AS (SELECT var_key, {_FLD} AS field FROM accesses WHERE {_FLD} <> '' AND literal > 46 AND var_key LIKE '%3'), rec AS", 1))
+     WHERE record IN (SELECT record FROM t WHERE record NOT IN (SELECT record FROM t WHERE field = '')) AND NOT EXISTS (SELECT 1 FROM t WHERE t.record = x.record AND starts_with(x.leaf || '.', t.field || '.'))""", "declarations", "accesses").replace(", rec AS", f", t AS (SELECT DISTINCT scope || '/' || datatype AS record, {_FLD7} AS field FROM accesses JOIN declarations USING (var_key)), rec AS", 1))
 _add("c8_root_access_by_module", lambda s, d: U.root_access_by_module(_A(s, d)), _F("SELECT var_key, module_path, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, bool_or(field = '') AS root_level FROM accesses GROUP BY ALL", "accesses"))
 _add("c9_hidden_coupling", lambda s, d: U.hidden_coupling(_A(s, d)), _F("SELECT var_key, count(DISTINCT module_path) AS modules, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers, string_agg(DISTINCT module_path, ', ' ORDER BY module_path) AS module_list FROM accesses GROUP BY 1 HAVING modules >= 2 AND writers >= 1", "accesses"))
 _add("c10_high_fan_in_out", lambda s, d: U.high_fan_in_out(_A(s, d), 22), _F("SELECT var_key, count(DISTINCT CASE WHEN kind = 'read' THEN module_path END) AS readers, count(DISTINCT CASE WHEN kind = 'write' THEN module_path END) AS writers FROM accesses GROUP BY 1 HAVING readers >= 22 OR writers >= 22", "accesses"))
