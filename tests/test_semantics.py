@@ -463,3 +463,15 @@ def test_names_in_another_style(spark):
     df = spark.createDataFrame([("v", "PumpOne", 1), ("v", "pumpone", 2), ("v", "TankTwo", 3), ("v", "snake_name", 4), ("v", "_odd", 5), ("v", "allowed_one", 6)], "kind string, name string, n int")
     ok = spark.createDataFrame([("v", "Allowed_One")], "kind string, name string")
     assert rows(I.naming_consistency(df, ok), "name", "style", "dominant") == [("_odd", "unknown", "pascal"), ("pumpone", "lower", "pascal"), ("snake_name", "snake", "pascal")]
+
+
+def test_known_layers_are_part_of_the_key(spark):
+    p = spark.range(400).selectExpr("'c' as container", "id as item", "case when id = 7 then null when id < 9 then 'same' else 'l' || id end as layer", "0d as x0", "0d as y0", "1d + id % 3 as x1", "1d as y1")
+    found = I.layout_overlaps(p)
+    assert "layer" in found._jdf.queryExecution().sparkPlan().toString().split("Join [")[1].split("]")[0]  # no pairs of all layers
+    want = {(min(a, 7), max(a, 7)) for a in range(400) if a != 7} | {(a, b) for a in range(9) for b in range(a + 1, 9)}
+    assert rows(found, "item", "other") == sorted(want, key=repr)
+    unlike = [("c", 1, None, 0.0, 0.0, 0.1, 500.0), ("c", 2, "a", -5.0, 99.0, 5.0, 99.5), ("c", 3, None, 0.05, 400.0, 3.0, 401.0), ("d", 4, "a", 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(unlike, "container string, item int, layer string, x0 double, y0 double, x1 double, y1 double")
+    assert rows(I.layout_overlaps(df)) == [("c", 1, 2), ("c", 1, 3)]
+    assert rows(I.layout_overlaps(df.limit(0))) == []
