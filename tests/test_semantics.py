@@ -475,3 +475,10 @@ def test_known_layers_are_part_of_the_key(spark):
     df = spark.createDataFrame(unlike, "container string, item int, layer string, x0 double, y0 double, x1 double, y1 double")
     assert rows(I.layout_overlaps(df)) == [("c", 1, 2), ("c", 1, 3)]
     assert rows(I.layout_overlaps(df.limit(0))) == []
+
+
+def test_a_scope_above_is_met_once_however_many_locals_it_has(spark):
+    df = spark.range(900).selectExpr("'X' as name", "case id % 3 when 0 then 'r' when 1 then 'r.s' else 'r.s.t' end as path", "id")
+    found = U.shadowing(df)
+    assert "min(id" in found._jdf.queryExecution().optimizedPlan().toString()  # before the join
+    assert rows(found) == sorted(((i, i % 3 - 1) for i in range(900) if i % 3), key=repr)
