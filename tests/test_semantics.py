@@ -482,3 +482,8 @@ def test_a_scope_above_is_met_once_however_many_locals_it_has(spark):
     found = U.shadowing(df)
     assert "min(id" in found._jdf.queryExecution().optimizedPlan().toString()  # before the join
     assert rows(found) == sorted(((i, i % 3 - 1) for i in range(900) if i % 3), key=repr)
+
+
+def test_limits_by_other_words(spark):
+    df = spark.createDataFrame([(1, "Level_MAX", "Low"), (2, "HighLevel", "min"), (3, "Low", "Low"), (4, "Level_MAX", "Level")], "id int, source string, target string")
+    assert rows(U.min_max_crossed(df, ("min", "low"), ("max", "high"))) == [(1,), (2,)]
