@@ -487,3 +487,24 @@ def test_a_scope_above_is_met_once_however_many_locals_it_has(spark):
 def test_limits_by_other_words(spark):
     df = spark.createDataFrame([(1, "Level_MAX", "Low"), (2, "HighLevel", "min"), (3, "Low", "Low"), (4, "Level_MAX", "Level")], "id int, source string, target string")
     assert rows(U.min_max_crossed(df, ("min", "low"), ("max", "high"))) == [(1,), (2,)]
+
+
+def test_a_session_has_one_timer_however_many_events_wait():
+    import pandas as pd
+    from types import SimpleNamespace as N
+
+    from factloom.streaming.rollups import _Retries
+
+    timers, waiting, failed = [], [], []
+    r = _Retries(10**9)
+    r.handle = N(registerTimer=timers.append)
+    r.waiting = N(appendValue=waiting.append, get=lambda: iter(waiting), clear=waiting.clear)
+    r.failed = N(exists=lambda: bool(failed), get=lambda: failed[0], clear=failed.clear, update=lambda x: failed.__setitem__(slice(None), [x]))
+    n = 500
+    df = pd.DataFrame({"ts": pd.to_datetime(range(n), unit="s"), "seq": range(n), "type": ["tool.complete", "tool.start"] * (n // 2), "tool": "a", "success": [False, True] * (n // 2)})
+    list(r.handleInputRows((7,), iter([df.iloc[n // 2 :], df.iloc[: n // 2]]), None))
+    assert timers == [1]
+    at = lambda ms: list(r.handleExpiredTimer((7,), N(getCurrentWatermarkInMs=lambda: ms), None))
+    assert at(1)[0:] == [] and timers[1] == 1001  # the failure of 0 s; 1 s is next
+    assert at(1)[0:] == [] and failed  # a timer that has nothing to do forgets nothing
+    assert at(n * 1000)[0]["retries"].tolist() == [n // 2] and not waiting
