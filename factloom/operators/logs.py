@@ -30,17 +30,23 @@ def read_before_write_branches(log: DataFrame, blocks: DataFrame, with_init: Dat
     A write counts for what follows it in its branch; what follows a block is sure of a variable if every branch of the
     block is. Rows are summed to the first read and the first write of each branch; then sure writes are folded from the
     innermost branches out, a level a round: a block in which all branches are sure is a write at its end, in the
-    branch around it. A read is looked up in its branch and in those around it.
+    branch around it. A read is looked up in its branch and in those around it. What comes after a module's first write on
+    the straight line is left out first: its reads are sure, and its writes, or blocks that need one, are sure of such reads alone.
     """
     key = ["module_path", "var_key"]
     frame = F.transform(F.coalesce("guard", F.array().cast(log.schema["guard"].dataType)), lambda g: F.concat_ws(":", g["block"].cast("string"), g["branch"].cast("string")))
     x = log if with_init is None else log.join(with_init.select("var_key").distinct(), "var_key", "left_anti")
-    per = x.withColumn("frame", F.array_join(frame, "/")).groupBy(*key, "frame").agg(F.min(F.when(c("kind") == "read", c("seq"))).alias("r"), F.min(F.when(c("kind") == "write", c("seq"))).alias("w"))
+    x = x.select(*key, "seq", "kind", F.array_join(frame, "/").alias("frame"))
+    straight = x.where("kind = 'write' and frame = ''").groupBy(*key).agg(F.min("seq").alias("sure_from"))
+    x = x.join(straight, key, "left").where("sure_from is null or seq <= sure_from")
+    per = x.groupBy(*key, "frame").agg(F.min(F.when(c("kind") == "read", c("seq"))).alias("r"), F.min(F.when(c("kind") == "write", c("seq"))).alias("w"))
     per = stored(per, "branches")
     depth = F.when(c("frame") == "", 0).otherwise(F.size(F.split("frame", "/")))
     direct = per.where("w is not null").select(*key, "frame", "w", depth.alias("depth"))
     deepest = direct.agg(F.max("depth")).first()[0] or 0
     sure, folded = None, None
+    of = blocks.select("module_path", c("block").cast("string").alias("block"), "branches").distinct()
+    of = stored(of, "blocks") if deepest else of
     for d in range(deepest, -1, -1):
         here = direct.where(c("depth") == d).select(*key, "frame", "w")
         if folded is not None:
@@ -50,7 +56,6 @@ def read_before_write_branches(log: DataFrame, blocks: DataFrame, with_init: Dat
         steps = F.split("frame", "/")
         up = here.where("frame <> ''").select(*key, F.array_join(F.slice(steps, F.lit(1), F.size(steps) - 1), "/").alias("frame"), F.element_at(F.split(F.element_at(steps, -1), ":"), 1).alias("block"), "w")
         told = up.groupBy(*key, "frame", "block").agg(F.count("*").alias("n"), F.max("w").alias("w"))
-        of = blocks.select("module_path", c("block").cast("string").alias("block"), "branches").distinct()
         folded = told.join(of, ["module_path", "block"]).where("n >= branches").select(*key, "frame", "w")
     reads = per.where("r is not null").select(*key, c("frame").alias("own"), "r")
     steps = F.split("own", "/")

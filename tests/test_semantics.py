@@ -508,3 +508,21 @@ def test_a_session_has_one_timer_however_many_events_wait():
     assert at(1)[0:] == [] and timers[1] == 1001  # the failure of 0 s; 1 s is next
     assert at(1)[0:] == [] and failed  # a timer that has nothing to do forgets nothing
     assert at(n * 1000)[0]["retries"].tolist() == [n // 2] and not waiting
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """The tables that operators write, by name, with their numbers of rows."""
+    seen = []
+    for module in (L, U):
+        real = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, real=real: (lambda out: seen.append((name, out.count())) or out)(real(df, name)))
+    return seen
+
+
+def test_what_follows_a_straight_write_is_left_out(spark, tables):
+    guard = "array<struct<block:int,branch:int>>"
+    log = spark.range(400).selectExpr("'m' as module_path", "'v' as var_key", "id as seq", "case when id % 2 = 0 then 'read' else 'write' end as kind", f"case when id = 3 then cast(array() as {guard}) else array(struct(cast(id div 4 as int) as block, cast(id % 2 as int) as branch)) end as guard")
+    blocks = spark.range(100).selectExpr("'m' as module_path", "cast(id as int) as block", "2 as branches")
+    assert rows(L.read_before_write_branches(log, blocks)) == [("m", "v")]
+    assert dict(tables)["branches"] == 3
