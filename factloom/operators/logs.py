@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import limit_binding
-from ..shared import stored, written
+from ..shared import stored
 
 c = F.col
 
@@ -111,13 +111,16 @@ def dependency_chains(flows: DataFrame, max_rounds: int = 60) -> DataFrame:
     told = flows.select("module_path", "seq", c("source").alias("name"), F.lit(1).alias("asks"), "target").unionByName(flows.select("module_path", "seq", c("target").alias("name"), F.lit(2).alias("asks"), "target"))
     before = W.partitionBy("module_path", "name").orderBy("seq", "asks").rowsBetween(W.unboundedPreceding, -1)
     x = told.withColumn("last", F.last(F.when(c("asks") == 2, c("seq")), ignorenulls=True).over(before)).where("asks = 1")
-    now = written(x.select("module_path", "seq", F.when(c("last").isNull(), F.concat_ws("<-", "target", "name")).otherwise(c("target")).alias("chain"), "last"))
+    now = stored(x.select("module_path", "seq", F.when(c("last").isNull(), F.concat_ws("<-", "target", "name")).otherwise(c("target")).alias("chain"), "last"), "chains")
+    ended = None  # chains that have ended are written once; they are asked for, but ask no more
     for _ in range(max_rounds):
-        if not now.where("last is not null").limit(1).count():
-            return now.where("size(split(chain, '<-')) >= 3").select("module_path", "chain").distinct()
-        more = now.select("module_path", c("seq").alias("last"), c("chain").alias("rest"), c("last").alias("after"))
-        now = now.join(more, ["module_path", "last"], "left")
-        now = written(now.select("module_path", "seq", F.concat_ws("<-", "chain", "rest").alias("chain"), c("after").alias("last")))
+        done, open_ = now.where("last is null"), now.where("last is not null")
+        ended = done if ended is None else ended.unionByName(done)
+        if open_.isEmpty():
+            return ended.where("size(split(chain, '<-')) >= 3").select("module_path", "chain").distinct()
+        rest = ended.unionByName(open_).select("module_path", c("seq").alias("last"), c("chain").alias("rest"), c("last").alias("after"))
+        told = open_.join(rest, ["module_path", "last"], "left")
+        now = stored(told.select("module_path", "seq", F.concat_ws("<-", "chain", "rest").alias("chain"), c("after").alias("last")), "chains")
     raise RuntimeError(f"chains did not end in {max_rounds} doublings")
 
 

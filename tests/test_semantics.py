@@ -526,3 +526,10 @@ def test_what_follows_a_straight_write_is_left_out(spark, tables):
     blocks = spark.range(100).selectExpr("'m' as module_path", "cast(id as int) as block", "2 as branches")
     assert rows(L.read_before_write_branches(log, blocks)) == [("m", "v")]
     assert dict(tables)["branches"] == 3
+
+
+def test_chains_that_have_ended_are_written_once(spark, tables):
+    flows = [("m", 100 + i, f"x{i}", f"y{i}") for i in range(50)] + [("m", i, f"v{i}", f"v{i - 1}") for i in range(1, 5)]
+    df = spark.createDataFrame(flows, "module_path string, seq long, target string, source string")
+    assert len(rows(L.dependency_chains(df))) == 3
+    assert [n for name, n in tables if name == "chains"] == [54, 3, 2]
