@@ -533,3 +533,10 @@ def test_chains_that_have_ended_are_written_once(spark, tables):
     df = spark.createDataFrame(flows, "module_path string, seq long, target string, source string")
     assert len(rows(L.dependency_chains(df))) == 3
     assert [n for name, n in tables if name == "chains"] == [54, 3, 2]
+
+
+def test_levels_of_aliases_are_tables(spark, tables):
+    a = spark.createDataFrame([("c", "f", "m", "read", False)], "var_key string, field string, module_path string, kind string, is_ui boolean")
+    links = spark.createDataFrame([("p", "c", "s", 1), ("q", "p", "", 2)], "parent_key string, child_key string, prefix string, level int")
+    assert rows(U.propagate_aliases(a, links), "var_key", "field") == [("c", "f"), ("p", "s.f"), ("q", "s.f")]
+    assert [n for name, n in tables if name == "aliases"] == [1, 1, 1]
