@@ -163,10 +163,10 @@ def alarm_never_cleared(log: DataFrame) -> DataFrame:
 
 
 def _rolled_up(log: DataFrame, scope: str, user: str, extra: tuple = ()) -> DataFrame:
-    """(scope, at, own, user, kind, ...): each distinct access told to its path and to every path above it; own: whether `at` is its own path."""
+    """(scope, at, own, user, kind, ...): each access told to its path and to every path above it; own: whether `at` is its own path. What is asked of them, ends and sets, is the same with repeated rows."""
     path = F.lower(F.concat_ws(".", "var_key", F.when(c("field") != "", c("field"))))
     root = F.size(F.split(F.lower("var_key"), r"\."))
-    e = log.select(c(scope).alias("scope"), path.alias("path"), root.alias("root"), c(user).alias("user"), "kind", *extra).distinct()
+    e = log.select(c(scope).alias("scope"), path.alias("path"), root.alias("root"), c(user).alias("user"), "kind", *extra)
     steps = F.split("path", r"\.")
     at = F.explode(F.transform(F.sequence(c("root"), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), ".")))
     return e.select("scope", "path", at.alias("at"), "user", "kind", *extra).withColumn("own", c("at") == c("path"))
@@ -220,6 +220,7 @@ def shared_access_hazards(log: DataFrame, user: str = "module_path", need_write:
         takes = F.when(c("own"), _other("sa")).otherwise(_other("oa"))
     x = x.where(takes)
     per = x.groupBy("scope", "at", "user").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.array_join(F.sort_array(F.collect_set("site")), ",").alias("sites"))
+    per = stored(per, "users")  # read twice
     told = per.groupBy("scope", "at").agg(F.count("*").alias("users"), F.bool_or(F.contains("kinds", F.lit("read"))).alias("r"), F.bool_or(F.contains("kinds", F.lit("write"))).alias("w")).where("r and w and users >= 2")
     return per.join(told, ["scope", "at"]).select(c("scope").alias("program"), c("at").alias("path"), "users", "user", "kinds", "sites")
 

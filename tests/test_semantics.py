@@ -540,3 +540,10 @@ def test_levels_of_aliases_are_tables(spark, tables):
     links = spark.createDataFrame([("p", "c", "s", 1), ("q", "p", "", 2)], "parent_key string, child_key string, prefix string, level int")
     assert rows(U.propagate_aliases(a, links), "var_key", "field") == [("c", "f"), ("p", "s.f"), ("q", "s.f")]
     assert [n for name, n in tables if name == "aliases"] == [1, 1, 1]
+
+
+def test_users_of_paths_are_made_once(spark, tables):
+    log = spark.range(40).selectExpr("'p' as program", "'v' as var_key", "'' as field", "'m' || id % 4 as module_path", "case when id % 2 = 0 then 'read' else 'write' end as kind", "'s' as site")
+    found = L.shared_access_hazards(log)
+    assert len(rows(found)) == 4 and tables == [("users", 4)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0  # accesses are not read again
