@@ -547,3 +547,12 @@ def test_users_of_paths_are_made_once(spark, tables):
     found = L.shared_access_hazards(log)
     assert len(rows(found)) == 4 and tables == [("users", 4)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0  # accesses are not read again
+
+
+def test_each_case_of_a_mapping_is_looked_up_once(spark, tables):
+    m = spark.range(300).selectExpr("id", "'rec' as source_type", "'AnyType' as target_type", "'o' as owner", "'P' as target", "case when id = 0 then null else '' end as source_field")
+    need = spark.createDataFrame([("O", "p", "a"), ("O", "p", "b")], "owner string, parameter string, field string")
+    fields = spark.createDataFrame([("Rec", "A", "int")], "record_key string, field string, datatype string")
+    found = rows(U.contract_mismatch(m, need, fields), "id", "field")
+    assert found == sorted(((i, "b") for i in range(300)), key=repr)
+    assert max(n for name, n in tables if name == "asked") <= 4
