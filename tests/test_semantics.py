@@ -226,6 +226,20 @@ def test_sources_are_discovered(spark, tmp_path):
     assert rows(FS.dependency_edges(found.where("kind = 'dependencies'"))) == [("main", "dep"), ("main", "other")]
 
 
+def test_bytes_are_decoded_in_the_jvm_as_python_decodes_them(spark):
+    def wanted(b):
+        for name in ("utf-8", "cp1252", "latin-1"):
+            try:
+                return b.decode(name)
+            except UnicodeDecodeError:
+                pass
+
+    cases = [bytes([b]) for b in range(256)] + [bytes([b, 0xE9]) for b in range(128, 256)] + [b"", "\ufeffgr\u00fc\u00df \U0001f600".encode(), b"\xc0\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xe2\x82", b"a\x00b\r\n", b"\x80\x81", "\u20ac \u201eq\u201c \u0178".encode("cp1252"), b"\xf8\x88\x80\x80\x80"]
+    df = FS.decode_text(spark.createDataFrame([*enumerate(map(bytearray, cases)), (-1, None)], "n int, content binary"))
+    assert dict(df.select("n", "text").collect()) == {-1: None, **{i: wanted(b) for i, b in enumerate(cases)}}
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entry_works_without_the_llm_folders(monkeypatch):
     import __spark_entry__ as entry
 
