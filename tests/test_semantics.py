@@ -570,3 +570,19 @@ def test_each_case_of_a_mapping_is_looked_up_once(spark, tables):
     found = rows(U.contract_mismatch(m, need, fields), "id", "field")
     assert found == sorted(((i, "b") for i in range(300)), key=repr)
     assert max(n for name, n in tables if name == "asked") <= 4
+
+
+def test_rounds_over_a_graph_send_no_broadcasts_to_the_driver(spark):
+    e = edges(spark, *[(i, i + 1) for i in range(6)]).localCheckpoint()
+    with_names = spark.createDataFrame([(i, f"n{i}") for i in range(7)], "node int, name string").withColumn("name", F.when(F.col("node") == 0, "a.Sensor").when(F.col("node") == 6, "b.Trip").otherwise(F.col("name")))
+    plans = []
+    stored = G.stored
+    G.stored = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name)
+    try:
+        traces = G.taint_traces(e, with_names, spark.createDataFrame([(0, "m")], "node int, module string"))
+        G.closure(e).count()
+    finally:
+        G.stored = stored
+    plans.append(traces._jdf.queryExecution().executedPlan().toString())
+    assert rows(traces, "source", "sink", "depth") == [(0, 6, 6)]
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
