@@ -609,6 +609,24 @@ def test_tree_scores_equal_a_plain_tree(spark):
     assert np.allclose([r.score for r in sorted(found, key=lambda r: r.doc_id)], wanted)
 
 
+def test_tree_scores_do_not_depend_on_what_is_sent_to_the_tasks(spark):
+    rng = random.Random(32)
+    texts = []
+    for _ in range(150):
+        w = ["v0", "v1"]
+        for _ in range(rng.randint(0, 80)):
+            a, b = (int(x[1:]) for x in w[-2:])
+            w.append(f"v{(3 * a + 5 * b) % 40 if rng.random() < 0.6 else rng.randrange(40)}")
+        texts.append(w)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(150)]
+    wanted, nodes = tree_score([[*w, None] for w in texts], held, 20, 2)
+    assert {len(x) for x in nodes} == {1, 2}
+    docs = frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
+    for few in ({"most_pairs": 9}, {"most_contexts": 4}, {"most_words": 11}, {"most_words": 7, "most_contexts": 3, "most_pairs": 5}):
+        found = lm.score(docs, least_context=20, **few).collect()
+        assert np.allclose([r.score for r in sorted(found, key=lambda r: r.doc_id)], wanted), few
+
+
 # --- 2: packing -----------------------------------------------------------------------------------------
 
 
