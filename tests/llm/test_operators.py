@@ -7,6 +7,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from llm.helpers import corpus, empty, frame
 
 from factloom.llm import decontam, html_text, license_scan, lm, minhash, packing, quality, substring, suffix_dedup, warc
 from factloom.llm.common import connected
+from factloom.shared import shared_dir
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -627,6 +629,17 @@ def test_tree_scores_do_not_depend_on_what_is_sent_to_the_tasks(spark):
         assert np.allclose([r.score for r in sorted(found, key=lambda r: r.doc_id)], wanted), few
 
 
+def test_language_model_leaves_no_tables_that_only_the_tree_was_made_of(spark):
+    rng = random.Random(33)
+    docs = frame(spark, [(i, " ".join(f"v{rng.randrange(9)}" for _ in range(60))) for i in range(150)])
+    folder = Path(shared_dir(spark))
+    before = set(folder.iterdir())
+    out = lm.score(docs, least_context=20, most_pairs=5)
+    left = {x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before}
+    assert left == {"lookups", "scored"}
+    assert out.count() == 150
+
+
 # --- 2: packing -----------------------------------------------------------------------------------------
 
 
