@@ -510,6 +510,16 @@ def test_recall_of_items_with_the_most_edits(spark, length):
     assert all(best_fit(plain_words(dict(items)[r.item_id]), plain_words(dict(rows)[r.doc_id])) == r.edits for r in found if length < 500)
 
 
+def test_an_edited_passage_that_its_document_repeats_six_times_is_found_each_time(spark):
+    rng = random.Random(41)
+    home = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    edited = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(home)]
+    own = [x for i in range(6) for x in [*(f"y{i}_{j}" for j in range(30)), *edited]]
+    spans = {r.row.doc_id: r.spans for r in substring.passages(frame(spark, [(1, " ".join(home)), (2, " ".join(own))])).collect()}
+    assert spans[1] == []
+    assert [(x.s, x.e, x.home_id, x.edits) for x in spans[2]] == [(110 * i + 30, 110 * i + 110, 1, 4) for i in range(6)]
+
+
 # --- 10: language model ---------------------------------------------------------------------------------
 
 
