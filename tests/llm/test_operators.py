@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -650,6 +651,39 @@ def test_language_model_leaves_no_tables_that_only_the_tree_was_made_of(spark):
     assert out.count() == 150
 
 
+def test_counts_of_a_task_are_handed_on_before_its_end(spark):
+    read = 0
+
+    def texts():
+        nonlocal read
+        for i in range(12):
+            read += 1
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}_{j}" for j in range(100_000))])], ["text"])
+
+    out = lm._word_counts(texts())
+    first = next(out)
+    assert read < 12
+    told = Counter()
+    for batch in (first, *out):
+        told.update(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+    assert len(told) == 1_200_001 and sum(told.values()) == 1_200_012
+
+
+def test_scores_of_slices_are_those_of_the_whole(spark):
+    rng = random.Random(34)
+    texts = [["v0", "v1", *(f"v{rng.randrange(40)}" if rng.random() < 0.9 else f"rare{i}" for _ in range(rng.randint(0, 80)))] for i in range(150)]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(150)]
+    wanted, _ = tree_score([[*w, None] for w in texts], held, 20, 2)
+    folder = Path(shared_dir(spark))
+    before = set(folder.iterdir())
+    out = lm.score(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), least_context=20, most_words=11, most_contexts=4, most_pairs=5, slice_tokens=2000, most_slices=3)
+    left = [x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before]
+    assert sorted(left) == ["lookups", "scored", "scored", "scored"]
+    found = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in found] == list(range(150))
+    assert np.allclose([r.score for r in found], wanted)
+
+
 # --- 2: packing -----------------------------------------------------------------------------------------
 
 
