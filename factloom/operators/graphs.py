@@ -8,16 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import SAFETY_KEYWORDS, SIGNAL_KEYWORDS, SINK_KEYWORDS, classify_signal_path, holds_keyword
-from ..shared import stored
+from ..shared import shuffled, stored
 
 c = F.col
 
 
-def _shuffled(df: DataFrame) -> DataFrame:
-    """df, for a join of shuffles: what a round joins may be small, but broadcasts of many rounds add up in the driver."""
-    return df.hint("merge")
-
-
 def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
     """(src, dst, depth): every node that a source reaches, with its least distance; a node reaches itself only through a cycle.
 
@@ -32,7 +27,7 @@ def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int
     for _ in range(64):
         last = known.where(c("depth") == at).select("src", c("dst").alias("via"))
         on = known.select(c("src").alias("via"), "dst", c("depth").alias("rest"))
-        more = last.join(_shuffled(on), "via").groupBy("src", "dst").agg((F.min("rest") + at).alias("depth")).join(_shuffled(known), ["src", "dst"], "left_anti")
+        more = last.join(shuffled(on), "via").groupBy("src", "dst").agg((F.min("rest") + at).alias("depth")).join(shuffled(known), ["src", "dst"], "left_anti")
         more = stored(more, "closure")
         if more.isEmpty():
             return known
@@ -42,10 +37,10 @@ def closure(edges: DataFrame, sources: DataFrame | None = None, max_rounds: int
 
 def _reach(e: DataFrame, sources: DataFrame, max_rounds: int) -> DataFrame:
     step = e.select(c("src").alias("via"), c("dst").alias("to"))
-    now = stored(e.join(_shuffled(sources.select("src").distinct()), "src", "left_semi"), "reach")
+    now = stored(e.join(shuffled(sources.select("src").distinct()), "src", "left_semi"), "reach")
     seen = now
     for depth in range(2, max_rounds):
-        new = now.select("src", c("dst").alias("via")).join(_shuffled(step), "via").select("src", c("to").alias("dst")).distinct().join(_shuffled(seen), ["src", "dst"], "left_anti")
+        new = now.select("src", c("dst").alias("via")).join(shuffled(step), "via").select("src", c("to").alias("dst")).distinct().join(shuffled(seen), ["src", "dst"], "left_anti")
         now = stored(new.withColumn("depth", F.lit(depth)), "reach")
         if now.isEmpty():
             return seen
@@ -59,7 +54,7 @@ def reached(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataF
     now = stored(start.where("node is not null").select("node").distinct(), "reached")
     seen = now
     for _ in range(max_rounds):
-        now = stored(e.join(_shuffled(now.select(c("node").alias("src"))), "src", "left_semi").select(c("dst").alias("node")).distinct().join(_shuffled(seen), "node", "left_anti"), "reached")
+        now = stored(e.join(shuffled(now.select(c("node").alias("src"))), "src", "left_semi").select(c("dst").alias("node")).distinct().join(shuffled(seen), "node", "left_anti"), "reached")
         if now.isEmpty():
             return seen
         seen = seen.unionByName(now)
@@ -152,19 +147,19 @@ def taint_traces(edges: DataFrame, names: DataFrame, uses: DataFrame, keywords:
     n = names.where(~F.exists(F.split(F.lower("name"), r"\."), lambda x: F.startswith(x, F.lit("typedef:"))))
     n = stored(n.select("node", "name", F.lower("name").alias("low")), "names")
     fed = edges.select(c("dst").alias("node")).distinct()
-    source = stored(n.withColumn("source_kind", classify_signal_path(c("name"), keywords)).where("source_kind is not null").join(_shuffled(fed), "node", "left_anti").select("node", "source_kind"), "sources")
+    source = stored(n.withColumn("source_kind", classify_signal_path(c("name"), keywords)).where("source_kind is not null").join(shuffled(fed), "node", "left_anti").select("node", "source_kind"), "sources")
     sink = n.where(holds_keyword(c("name"), sink_words)).select("node")
-    e = edges.where("src <> dst").select("src", "dst").distinct().join(_shuffled(n.select(c("node").alias("src"))), "src", "left_semi").join(_shuffled(n.select(c("node").alias("dst"))), "dst", "left_semi")
+    e = edges.where("src <> dst").select("src", "dst").distinct().join(shuffled(n.select(c("node").alias("src"))), "src", "left_semi").join(shuffled(n.select(c("node").alias("dst"))), "dst", "left_semi")
     on = reached(e, source)
-    e = stored(e.join(_shuffled(on.select(c("node").alias("src"))), "src", "left_semi"), "flow")
-    back = closure(e.select(c("dst").alias("src"), c("src").alias("dst")), sink.join(_shuffled(on), "node", "left_semi").select(c("node").alias("src")), max_rounds)
+    e = stored(e.join(shuffled(on.select(c("node").alias("src"))), "src", "left_semi"), "flow")
+    back = closure(e.select(c("dst").alias("src"), c("src").alias("dst")), sink.join(shuffled(on), "node", "left_semi").select(c("node").alias("src")), max_rounds)
     back = stored(back.select(c("src").alias("sink"), c("dst").alias("node"), c("depth").alias("rest")).unionByName(sink.select(c("node").alias("sink"), "node", F.lit(0).alias("rest"))), "distances")
-    step = e.join(_shuffled(n.select(c("node").alias("dst"), "low")), "dst")
+    step = e.join(shuffled(n.select(c("node").alias("dst"), "low")), "dst")
     # of each node and sink the next node, once: a round is one join then
-    near = back.where("rest > 0").select("sink", c("node").alias("src"), (c("rest") - 1).alias("rest")).join(_shuffled(step), "src").join(_shuffled(back.withColumnRenamed("node", "dst")), ["sink", "dst", "rest"])
+    near = back.where("rest > 0").select("sink", c("node").alias("src"), (c("rest") - 1).alias("rest")).join(shuffled(step), "src").join(shuffled(back.withColumnRenamed("node", "dst")), ["sink", "dst", "rest"])
     near = near.groupBy("sink", "src").agg(F.min(F.struct("low", "dst")).alias("x")).select("sink", c("src").alias("node"), c("x.dst").alias("next"))
-    near = stored(near.join(_shuffled(n.select(c("node").alias("next"), c("name").alias("next_name"))), "next"), "next")
-    at = back.where("rest > 0").join(_shuffled(source), "node").join(_shuffled(n.select("node", "name")), "node")
+    near = stored(near.join(shuffled(n.select(c("node").alias("next"), c("name").alias("next_name"))), "next"), "next")
+    at = back.where("rest > 0").join(shuffled(source), "node").join(shuffled(n.select("node", "name")), "node")
     at = stored(at.select(c("node").alias("source"), "source_kind", "sink", c("rest").alias("depth"), "node", "rest", F.array(F.struct("node", "name")).alias("way")), "traces")
     done = None
     for _ in range(max_rounds):
@@ -173,10 +168,10 @@ def taint_traces(edges: DataFrame, names: DataFrame, uses: DataFrame, keywords:
         at = at.where("rest > 0")
         if at.isEmpty():
             break
-        at = at.join(_shuffled(near), ["sink", "node"])
+        at = at.join(shuffled(near), ["sink", "node"])
         at = stored(at.select("source", "source_kind", "sink", "depth", c("next").alias("node"), (c("rest") - 1).alias("rest"), F.array_append("way", F.struct(c("next").alias("node"), c("next_name").alias("name"))).alias("way")), "traces")
-    used = done.select("source", "sink", F.explode("way.node").alias("node")).join(_shuffled(uses.select("node", "module").distinct()), "node").groupBy("source", "sink").agg(F.count_distinct("module").alias("modules"))
-    x = done.join(_shuffled(used), ["source", "sink"], "left").withColumn("modules", F.coalesce("modules", F.lit(0)).cast("long"))
+    used = done.select("source", "sink", F.explode("way.node").alias("node")).join(shuffled(uses.select("node", "module").distinct()), "node").groupBy("source", "sink").agg(F.count_distinct("module").alias("modules"))
+    x = done.join(shuffled(used), ["source", "sink"], "left").withColumn("modules", F.coalesce("modules", F.lit(0)).cast("long"))
     return x.select("source", "source_kind", "sink", "depth", F.array_join("way.name", ">").alias("path"), "modules", (c("modules") > 1).alias("multi_module"))
 
 

@@ -586,3 +586,13 @@ def test_rounds_over_a_graph_send_no_broadcasts_to_the_driver(spark):
     plans.append(traces._jdf.queryExecution().executedPlan().toString())
     assert rows(traces, "source", "sink", "depth") == [(0, 6, 6)]
     assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_overlaps_and_frames_send_no_broadcasts_to_the_driver(spark, sf_dir, monkeypatch):
+    from factloom.jobs.instance_queries import Q
+
+    plans, stored = [], R.stored
+    monkeypatch.setattr(R, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    for query in ("d14_nested_overlaps", "d14_layout_overlaps"):
+        plans.append(Q[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 6 and not [p for p in plans if "Broadcast" in p]
