@@ -596,3 +596,14 @@ def test_overlaps_and_frames_send_no_broadcasts_to_the_driver(spark, sf_dir, mon
     for query in ("d14_nested_overlaps", "d14_layout_overlaps"):
         plans.append(Q[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
     assert len(plans) >= 6 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_aliases_are_joined_once_and_counted_in_slices(spark, tables):
+    a = spark.createDataFrame([("v0", f, m, "read", False) for f in ("f", "g") for m in ("m", "n")] + [("v3", "f", "m", "read", False)], "var_key string, field string, module_path string, kind string, is_ui boolean")
+    links = spark.createDataFrame([(f"v{i + 1}", f"v{i}", "", i) for i in range(6)], "parent_key string, child_key string, prefix string, level int")
+    found = U.propagate_aliases(a, links)
+    assert [n for name, n in tables if name == "waiting"] == [4, 4, 4, 4, 4]  # v3's own access waited for its level from the first
+    counts = U.distinct_counts(found, "var_key", "field", "kind", slice_rows=5)
+    assert len([n for name, n in tables if name == "counts"]) == 6 and rows(counts) == rows(found.distinct().groupBy("var_key", "field", "kind").agg(F.count("*").alias("n")))
+    assert rows(counts, "n") == [(2,)] * 14
+    assert rows(U.propagate_aliases(a, links.limit(0))) == rows(a)
