@@ -7,16 +7,11 @@ on the full shingle sets.
 
 Documents of equal sets are one node. Nodes that buckets hold together, directly or through others, are a
 cluster. A cluster of a bounded size is settled in one task, which compares the full sets. A larger one is
-never brought together, nor are all pairs within its buckets: each bucket's most central node (the hub) is
-compared with the others, and what a hub may hide is looked for where it can be. Let a and r count the
-shingles that a node adds to its hub and lacks of it. Two nodes of one bucket, of which one at least isn't
-linked with the hub, can only be similar if they share an added shingle, or if for the node o that isn't
-linked and the other node y the sizes allow it (|r_o - r_y| + a_o + a_y is at most the difference that the
-threshold leaves). The second are compared at once; the first are the buckets of the next round, keyed by
-the hub and the added shingle. A hub ranks highest in its bucket and lacks each of these shingles, so the hubs
-of these buckets rank lower. A hub that meets further nodes in a later round keeps what it was compared with:
-each further node is searched together with all that the hub has met, so that every two nodes of a bucket are
-linked with its hub, compared, or handed on to a hub of a lower rank. Rounds end when no hub meets a new node.
+dealt to blocks of a bounded size, and each block is settled so. Then the nodes are dealt anew, those of the
+cluster's largest component apart from the others, and every two blocks that hold unlike components are compared
+in a task of their own: full sets again, but for pairs that links connect already. So every two nodes of a
+cluster are compared or connected, whatever buckets they share. Where much is linked, few blocks are left to
+compare; where nothing is, pairs of blocks grow with the square of the cluster, and their memory is bounded.
 """
 
 from __future__ import annotations
@@ -110,7 +105,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     doc_id = component_id. With the defaults (32 bands of 4 entries from 64 permutations) a link of
     similarity 0.8 is missed with a probability of 5e-8.
 
-    A cluster of up to cluster_nodes nodes and cluster_shingles shingles is settled in one task.
+    A cluster of up to cluster_nodes nodes and cluster_shingles shingles is settled in one task, a larger one in blocks.
 
     A row without doc_id is linked with nothing: component_id is null, kept is true. Rows that share a doc_id
     count as one document. Other columns are ignored.
@@ -168,62 +163,85 @@ def _within(percent: int):
     return settle
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (p, q, ...) with the sizes np, nq and i of the sets and the intersection, linked, and what q adds to p."""
-    held = pairs.join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("node").alias("q"), F.col("shingles").alias("sq")), "q")
-    held = held.withColumn("i", F.size(F.array_intersect("sp", "sq")).cast("long")).withColumn("np", F.size("sp").cast("long")).withColumn("nq", F.size("sq").cast("long"))
-    return held.withColumn("linked", F.expr(f"100 * i >= {int(percent)} * (np + nq - i)")).withColumn("added", F.array_except("sq", "sp")).drop("sp", "sq")
+def _across(percent: int):
+    """Links between two blocks of a cluster that connect unlike components: rows (a, b)."""
+
+    def settle(blocks: pa.Table) -> pa.Table:
+        blocks = blocks.combine_chunks()
+        right = blocks.column("right").to_numpy(zero_copy_only=False)
+        node, label = blocks.column("node").to_numpy(), blocks.column("label").to_numpy()
+        lists = blocks.column("shingles").chunk(0)
+        start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        _, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        size = np.diff(start)
+        kinds, root = np.unique(label, return_inverse=True)
+        top = np.arange(len(kinds))  # the component of each label, kept flat
+        mine, others = np.flatnonzero(~right), np.flatnonzero(right)
+        held = np.repeat(right, size)
+        owner = np.repeat(np.cumsum(right) - 1, size)[held]
+        holders = owner[np.argsort(ids[held], kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(ids[held], minlength=int(ids.max(initial=-1)) + 1))])
+        other_size, of = size[others], root[others]
+        a, b = [], []
+        for i in mine.tolist():
+            apart = top[of] != top[root[i]]
+            if not apart.any():
+                continue
+            x = ids[start[i] : start[i + 1]]
+            lo, n = first[x], first[x + 1] - first[x]
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.bincount(holders[at], minlength=len(others)).astype(np.int64)
+            linked = np.flatnonzero((100 * common >= percent * (size[i] + other_size - common)) & apart)
+            for j in linked.tolist():
+                p, q = top[root[i]], top[of[j]]
+                if p != q:
+                    top[top == q] = p
+                    a.append(node[i])
+                    b.append(node[others[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return settle
 
 
 def _resolve(base: DataFrame, nodes: DataFrame, k: int, percent: int, cluster_nodes: int, cluster_shingles: int) -> DataFrame:
     """Labels (id, label) of the nodes that have links."""
     members = nodes.select("node", "n", F.explode("bands").alias("g"))
     busy = members.groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("first")).where("c > 1")
-    groups = written(members.join(busy, "g").select("g", "node", "n", "c", "first"), "buckets")
-    centre = written(groups.groupBy("node").agg(F.sum("c").alias("score"), F.max("n").alias("n")), "centres")
-    wanted = centre.select("node")
-    texts = base.where("doc_id is not null").join(wanted, base.doc_id == wanted.node, "left_semi").dropDuplicates(["doc_id"])
+    groups = written(members.join(busy, "g").select("node", "n", "first"), "buckets")
+    found = connected(groups.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    sized = groups.select("node", "n").distinct()
+    of = written(sized.join(found, sized.node == found.id).select("node", F.col("label").alias("cluster"), "n"), "clusters")
+    texts = base.where("doc_id is not null").join(of, base.doc_id == of.node, "left_semi").dropDuplicates(["doc_id"])
     sets = written(texts.select("doc_id", "text").mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
-    links = done = None
-    while True:
-        held = groups.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-        of = connected(held)
-        of = written(of.join(centre, of.id == centre.node).select("node", F.col("label").alias("cluster"), "n", "score"), "clusters")
-        sizes = of.groupBy("cluster").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
-        fits = (F.col("nodes") <= cluster_nodes) & (F.col("shingles") <= cluster_shingles)
-        small = of.join(sizes.where(fits), "cluster").select("cluster", "node")
-        settled = sets.join(small, "node").groupBy("cluster").applyInArrow(_within(percent), "a long, b long")
-        settled = written(settled, "links")
-        links = settled if links is None else links.unionByName(settled)
-        large = written(of.join(sizes.where(~fits), "cluster").select("node", "score"), "large")
-        if not large.limit(1).count():
-            found = connected(links)  # from a written table
-            discard(sets, groups, centre)
-            return found
-        many = written(groups.select("g", "node").join(large, "node"), "buckets")
-        hub = many.groupBy("g").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("h")).select("g", (-F.col("h.m")).alias("p"))
-        pairs = many.join(hub, "g").where("node <> p").select("p", F.col("node").alias("q")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["p", "q"], "left_anti")
-        part = written(_compared(pairs, sets, percent), "stars")
-        links = links.unionByName(part.where("linked").select(F.col("p").alias("a"), F.col("q").alias("b")))
-        held = part.withColumn("new", F.lit(True))
-        if done is not None:  # what these hubs have met before
-            held = held.unionByName(done.join(part.select("p").distinct(), "p", "left_semi").withColumn("new", F.lit(False)))
-            held = written(held, "met")
-        done = part if done is None else done.unionByName(part)
-        loose = held.where("not linked").select("p").distinct()
-        open_ = held.join(loose, "p", "left_semi").withColumn("a", F.col("nq") - F.col("i")).withColumn("r", F.col("np") - F.col("i"))
-        # pairs that share nothing but the lack of the hub's shingles: only next to the threshold
-        gap, both = 100 - percent, 100 + percent
-        y = open_.where("r > a").select("p", F.col("q").alias("y"), F.col("r").alias("ry"), F.col("a").alias("ay"), F.col("nq").alias("ny"), F.col("new").alias("newy"))
-        widest = y.groupBy("p").agg(F.max(F.col("ry") - F.col("ay")).alias("widest"))
-        o = open_.where("not linked").join(widest, "p").where(F.expr(f"{gap} * (nq + np) - {both} * (a + r) >= -{2 * percent} * widest"))
-        o = o.select("p", F.col("q").alias("o"), F.col("r").alias("ro"), F.col("a").alias("ao"), F.col("nq").alias("no"), F.col("new").alias("newo"))
-        close = o.join(y, "p").where("o <> y and (newo or newy)").where(F.expr(f"{both} * (abs(ro - ry) + ao + ay) <= {gap} * (no + ny)"))
-        close = written(close.select(F.least("o", "y").alias("p"), F.greatest("o", "y").alias("q")).distinct(), "close")
-        links = links.unionByName(written(_compared(close, sets, percent).where("linked").select(F.col("p").alias("a"), F.col("q").alias("b")), "links"))
-        # the buckets of the next round: nodes that add one shingle to one hub, one of them not linked with it and one new to it
-        added = open_.select(F.col("q").alias("node"), "linked", "new", "p", F.explode("added").alias("e")).select("node", "linked", "new", F.struct("p", "e").alias("g"))
-        shared = added.groupBy("g").agg(F.count("*").alias("c"), F.min("node").alias("first"), F.bool_and("linked").alias("tied"), F.bool_or("new").alias("fresh")).where("c > 1 and fresh and not tied").select("g", "c", "first")
-        groups = written(added.join(shared, "g").select("g", "node", "c", "first"), "buckets")
+    discard(groups)
+
+    def dealt(df: DataFrame, *key: str) -> DataFrame:
+        """df with the block of each node among those of its key: one block if they fit a task, else blocks of half that size."""
+        sizes = df.groupBy(*key).agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+        share = F.greatest(F.col("nodes") / cluster_nodes, F.col("shingles") / cluster_shingles)
+        sizes = sizes.select(*key, F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("long").alias("blocks"))
+        return df.join(sizes, [*key]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+
+    blocks = written(dealt(of, "cluster"), "blocks")
+    settled = sets.join(blocks.select("node", "cluster", "block"), "node").groupBy("cluster", "block").applyInArrow(_within(percent), "a long, b long")
+    links = written(settled, "links")
+    large = blocks.where("blocks > 1").drop("blocks", "block")
+    if large.isEmpty():
+        found = connected(links)  # from a written table
+        discard(sets)
+        return found
+    found = connected(links)
+    large = written(large.join(found, large.node == found.id, "left").select("node", "cluster", "n", F.coalesce("label", "node").alias("label")), "large")
+    widest = large.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("m")).select("cluster", F.col("m.label").alias("widest"))
+    part = dealt(large.join(widest, "cluster").withColumn("main", F.col("label") == F.col("widest")), "cluster", "main")
+    part = written(part.select("node", "cluster", "label", "main", (2 * F.col("block") + F.col("main").cast("long")).alias("block")), "blocks")
+    # blocks of the largest component don't meet each other, a block of others meets itself too
+    each = written(part.select("cluster", "block", "main").distinct(), "pairs")
+    pairs = each.join(each.select("cluster", F.col("block").alias("other"), F.col("main").alias("other_main")), "cluster")
+    pairs = written(pairs.where("block <= other and not (main and other_main)").select("cluster", "block", "other"), "pairs")
+    left = part.join(pairs, ["cluster", "block"]).select("node", "label", "cluster", "block", "other", F.lit(False).alias("right"))
+    right = part.withColumnRenamed("block", "other").join(pairs, ["cluster", "other"]).select("node", "label", "cluster", "block", "other", F.lit(True).alias("right"))
+    met = left.unionByName(right).join(sets, "node").groupBy("cluster", "block", "other").applyInArrow(_across(percent), "a long, b long")
+    found = connected(links.unionByName(written(met, "links")))
+    discard(sets)
+    return found

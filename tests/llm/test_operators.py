@@ -1003,3 +1003,13 @@ def test_empty_tables(spark):
         lm.score(docs), packing.packed(docs), html_text.extract(pages), warc.archived(pages), license_scan.licenses(docs.select("text", F.col("source").alias("path"))),
     ):
         assert df.count() == 0
+
+
+def test_blocks_of_a_large_cluster_are_compared_in_few_rounds(spark, monkeypatch):
+    rows = list(enumerate(family(7, 150, 40, 3, 6)))
+    _, label = components(rows, 4, 80)
+    names = []
+    monkeypatch.setattr(minhash, "written", lambda df, name, real=minhash.written: names.append(name) or real(df, name))
+    found = dict(map(tuple, minhash.near_duplicates(frame(spark, rows), k=4, cluster_nodes=20).select("doc_id", "component_id").collect()))
+    assert found == label and len(set(label.values())) > 1
+    assert names.count("links") == 2 and not {"stars", "met", "close"} & set(names)
